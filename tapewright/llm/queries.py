@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, tokens, topk, urlfilter
+from . import mixing, packing, secrets, tokens, topk, toxicity, urlfilter
 
 #: Folder of the public tokenizers' files; None: where their package is installed.
 TOKENIZERS = os.environ.get("TAPEWRIGHT_TOKENIZERS")
@@ -40,17 +40,36 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s, base = F.col("secret_spans"), tuple(r.kind for r in secrets.BASE)
     return found.select("doc_id", *[secrets.count(s, k).alias(f"n_{k}") for k in base], F.sha2(secrets.digest(s, base), 256).alias("base_sha256"), secrets.digest(s).alias("spans"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_token_counts": op4_token_counts,
     "op5_top_k": op5_top_k,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
