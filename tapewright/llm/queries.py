@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, secrets, tokens, topk, toxicity, urlfilter
+from . import media, mixing, packing, secrets, tokens, topk, toxicity, urlfilter, warc
+from .common import shared_dir
 
 #: Folder of the public tokenizers' files; None: where their package is installed.
 TOKENIZERS = os.environ.get("TAPEWRIGHT_TOKENIZERS")
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=1000)
+    read = warc.read_archives(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.parse_rules(URL_RULES), default="allow")
 
@@ -40,6 +48,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
@@ -63,9 +75,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
     "op4_token_counts": op4_token_counts,
     "op5_top_k": op5_top_k,
+    "op6_media": op6_media,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
@@ -74,6 +88,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY n, d) AS last FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM g
+"""
+
 ORACLES["op2_url_filters"] = """
 WITH rest AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages
