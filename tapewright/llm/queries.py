@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, packing, secrets, tokens, topk, toxicity, urlfilter, warc
+from . import jaccard, media, mixing, packing, secrets, tokens, topk, toxicity, urlfilter, warc
 from .common import shared_dir
 
 #: Folder of the public tokenizers' files; None: where their package is installed.
@@ -40,6 +40,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.parse_rules(URL_RULES), default="allow")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -77,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_top_k": op5_top_k,
     "op6_media": op6_media,
