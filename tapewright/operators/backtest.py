@@ -60,6 +60,29 @@ def with_positions(df: DataFrame, *, weight: float, warmup: int, holding: Holdin
     return x.groupBy(*keys).applyInArrow(run, schema)
 
 
+def positions_of_many(df: DataFrame, *, time_rules: bool, delay: int = 1, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """``with_positions`` for rows of many strategies at once (each a group of ``keys``).
+
+    The rules are columns: ``weight, warmup``, and null or a number in
+    ``maximum_holding_bars`` and ``cooldown_bars``.
+    """
+    w = W.partitionBy(*keys).orderBy(time)
+    x = df.withColumns({"__in": delayed(F.col("entry"), delay, w), "__out": delayed(F.col("exit"), delay, w), "__n": F.row_number().over(w) - 1})
+    if not time_rules:
+        enter = F.col("__in") & (F.col("__n") >= F.col("warmup") + delay)
+        state = F.last(F.when(enter | F.col("__out"), enter), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+        return x.withColumn("position", F.when(F.coalesce(state, F.lit(False)), F.col("weight")).otherwise(F.lit(0.0))).drop("__in", "__out", "__n")
+    schema = T.StructType([*df.schema.fields, T.StructField("position", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(time)
+        first = {c: table.column(c)[0].as_py() for c in ("weight", "warmup", "maximum_holding_bars", "cooldown_bars")}
+        held = resolve(table.column("__in").to_numpy().astype(bool), table.column("__out").to_numpy().astype(bool), HoldingRules(first["maximum_holding_bars"], first["cooldown_bars"]), first["warmup"] + delay)
+        return table.append_column("position", pa.array(held * first["weight"], pa.float64())).select(schema.names)
+
+    return x.groupBy(*keys).applyInArrow(run, schema)
+
+
 # --- equity ------------------------------------------------------------------
 
 

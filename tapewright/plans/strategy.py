@@ -76,14 +76,30 @@ def compare(view: MarketView, specs: Sequence[StrategySpec], timeframe: Timefram
     return out.withColumn("excess_return", F.col("total_return") - hold)
 
 
+def positions_of(table: DataFrame, strategies: Sequence[Strategy], keys: Sequence[str] = KEYS, delay: int = 1) -> DataFrame:
+    """``trial, strategy, keys, open_time, close, position`` of many strategies over one table.
+
+    All conditions are columns of the one table, so it is computed once; then a
+    row is dealt to each strategy, and those groups spread over the tasks.
+    """
+    w = ordered(keys)
+    flags = {f"__{k}_{i}": c for i, s in enumerate(strategies) for k, c in (("in", s.entry.evaluate(table, w) & s.filters.evaluate(table, w)), ("out", s.exit.evaluate(table, w)))}
+
+    def row(i: int, s: Strategy):
+        hold, cool = s.holding.maximum_holding_bars, s.holding.cooldown_bars
+        return F.struct(
+            F.lit(i).alias("trial"), F.lit(s.name).alias("strategy"), F.col(f"__in_{i}").alias("entry"), F.col(f"__out_{i}").alias("exit"), F.lit(s.direction.weight).alias("weight"),
+            F.lit(s.warmup).alias("warmup"), F.lit(hold).cast("int").alias("maximum_holding_bars"), F.lit(cool).cast("int").alias("cooldown_bars"),
+        )
+
+    dealt = table.withColumns(flags).select(*keys, "open_time", "close", F.explode(F.array(*[row(i, s) for i, s in enumerate(strategies)])).alias("t")).select(*keys, "open_time", "close", "t.*")
+    found = bt.positions_of_many(dealt, time_rules=any(s.holding.has_time_rules for s in strategies), delay=delay, keys=("trial", "strategy", *keys))
+    return found.select("trial", "strategy", *keys, "open_time", "close", "position")
+
+
 def strategy_curves(table: DataFrame, strategies: Sequence[Strategy], costs: CostModel, capital: float = 10_000.0) -> DataFrame:
     """The strategies' equity curves, told apart by the column ``strategy``."""
-    keep = [*KEYS, "open_time", "close"]
-    parts = [signals(table, s).select(F.lit(s.name).alias("strategy"), *keep, "position") for s in strategies]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return bt.equity_curve(both, costs, capital, ("strategy", *KEYS))
+    return bt.equity_curve(positions_of(table, strategies), costs, capital, ("strategy", *KEYS))
 
 
 def ranked_by_sharpe(performance: DataFrame) -> DataFrame:
@@ -199,18 +215,7 @@ def search(view: MarketView, space: SearchSpace, timeframe: Timeframe, costs: Co
     specs = space.expand()
     table = walk_forward(strategy_table(view, specs, timeframe), in_sample)
     keys = ("trial", "strategy", "fold", *KEYS)
-    alike: dict[tuple, list[tuple[int, Strategy]]] = {}
-    for i, spec in enumerate(specs):
-        s = assemble(spec)
-        alike.setdefault((s.warmup, s.holding, s.direction), []).append((i, s))
-    both, w = None, ordered(("fold", *KEYS))
-    for (warmup, holding, direction), trials in alike.items():
-        # the trials' conditions are columns of one table: one scan, one window pass
-        own = table.withColumns({f"__{k}_{i}": c for i, s in trials for k, c in (("in", s.entry.evaluate(table, w) & s.filters.evaluate(table, w)), ("out", s.exit.evaluate(table, w)))})
-        rows = F.explode(F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(s.name).alias("strategy"), F.col(f"__in_{i}").alias("entry"), F.col(f"__out_{i}").alias("exit")) for i, s in trials]))
-        own = own.select("fold", *KEYS, "open_time", "close", rows.alias("t")).select("fold", *KEYS, "open_time", "close", "t.*")
-        part = bt.with_positions(own, weight=direction.weight, warmup=warmup, holding=holding, keys=keys)
-        both = part if both is None else both.unionByName(part)
+    both = positions_of(table, [assemble(spec) for spec in specs], ("fold", *KEYS))
     curves = bt.equity_curve(both, costs, capital, keys)
     w = W.partitionBy(*keys).orderBy("open_time")
     curves = curves.withColumn("starts", (F.col("position") != 0) & (F.lag("position", 1, 0.0).over(w) == 0))

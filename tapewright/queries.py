@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import views
 from .functions import features as fn
 from .functions.indicators import PointOfControl, Recursive, crosses, gains, rsi, sma, true_range, with_recursive
-from .functions.windows import KEYS, full, ordered
-from .model import CostModel, DepthAggregation, ExtremeSide, HoldingRules, PriceSource, Timeframe
+from .functions.windows import KEYS, last_rows, longest_run as runs, ordered
+from .model import ActivityMeasure, Comparison, ConditionTree, CostModel, CrossDirection, DepthAggregation, ExtremeSide, HoldingRules, PriceSource, StrategySpec, Timeframe
 from .operators import backtest as bt, bars, merge, profile, quality, research
 from .plans.conditions import AnyOf, Compare, Constant, Crossover, Event, Not, Range, Sustained, Threshold
-from .plans.features import trimmed
-from .model import Comparison, CrossDirection
+from .plans.features import FeaturePlan, MarketView, trimmed
+from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace, compare, expanding_folds, search, walk_forward
+from .plans.yaml_specs import load_features, load_strategy
+from .sources.columns import epoch_to_timestamp
+from .streaming import orderbook
 from .views import HOUR, SQL_DEPTH, SQL_TRADES, sql_candles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +29,13 @@ T, D, C = SQL_TRADES, f"{SQL_TRADES}, {SQL_DEPTH}", f"{SQL_TRADES}, {sql_candles
 W = "WINDOW w AS (ORDER BY open_time)"
 
 
+SHIPPED = Path(__file__).parent / "plans" / "shipped"
+
+
+def shipped() -> list[StrategySpec]:
+    return [load_strategy(SHIPPED / f"{n}.yaml") for n in ("trend", "mean_reversion", "breakout")]
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -195,8 +207,6 @@ def idempotent_merge(s, d):
 @query("""WITH x AS (SELECT event_id, event_id % 3 AS file, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) // 1000000 WHEN 1 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) END AS epoch FROM events)
 SELECT event_id, make_timestamp(CASE file WHEN 0 THEN epoch * 1000000 WHEN 1 THEN epoch * 1000 ELSE epoch END) AS moment FROM x""")
 def epoch_to_utc(s, d):
-    from .sources.columns import epoch_to_timestamp
-
     e = s.read.parquet(f"{d}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     x = e.select("event_id", (F.col("event_id") % 3).alias("file"), us.alias("us"))
@@ -284,8 +294,6 @@ _LAST20 = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
 
 @query(f"""WITH {C} SELECT open_time, {q(f"CASE WHEN count(*) OVER (ORDER BY open_time {_LAST20}) = 20 THEN sum({_TP} * volume) OVER (ORDER BY open_time {_LAST20}) / sum(volume) OVER (ORDER BY open_time {_LAST20}) END")} AS vwap_rolling_20 FROM candles""")
 def vwap_rolling(s, d):
-    from .functions.windows import last_rows
-
     return _feature(s, d, vwap_rolling_20=fn.vwap(last_rows(ordered(), 20), PriceSource.TYPICAL, 20))
 
 
@@ -312,10 +320,8 @@ _P20 = f"(ORDER BY open_time {_PRIOR20})"
 @query(f"""WITH {C}, x AS (SELECT open_time, CAST(trade_count AS DOUBLE) AS n, abs(ln(close / lag(close) OVER w)) AS a FROM candles {W})
 SELECT open_time, {q(_z_sql("n", _P20, f"count(n) OVER {_P20} = 20"))} AS activity_trade_count, {q(_z_sql("a", _P20, f"count(a) OVER {_P20} = 20"))} AS activity_absolute_return FROM x""")
 def activity_rolling(s, d):
-    from .model import ActivityMeasure as M
-
     w = ordered()
-    x = _candles(s, d).withColumns({"n": fn.activity(M.TRADE_COUNT, w), "a": fn.activity(M.ABSOLUTE_RETURN, w)})
+    x = _candles(s, d).withColumns({"n": fn.activity(ActivityMeasure.TRADE_COUNT, w), "a": fn.activity(ActivityMeasure.ABSOLUTE_RETURN, w)})
     return x.select(ntz("open_time"), r(fn.z_rolling(F.col("n"), 20, w)).alias("activity_trade_count"), r(fn.z_rolling(F.col("a"), 20, w)).alias("activity_absolute_return"))
 
 
@@ -375,8 +381,6 @@ def direction_flips(s, d):
 @query(f"""WITH {C}, x AS (SELECT open_time, close > {_rolling_sql(8, "avg(close)", "close", "ROWS BETWEEN 7 PRECEDING AND CURRENT ROW")} AS up, row_number() OVER (ORDER BY open_time) AS n FROM candles),
 y AS (SELECT n - coalesce(max(CASE WHEN up THEN NULL ELSE n END) OVER (ORDER BY n), 0) AS run FROM x) SELECT CAST(max(run) AS BIGINT) AS longest FROM (SELECT run FROM y)""")
 def longest_run(s, d):
-    from .functions.windows import longest_run as runs
-
     w = ordered()
     x = _candles(s, d).withColumn("up", F.col("close") > sma(F.col("close"), 8, w))
     return x.withColumn("run", runs(F.col("up"), w)).agg(F.max("run").cast("long").alias("longest"))
@@ -681,14 +685,62 @@ def strategy_correlation(s, d):
 
 @query(f"""WITH {C}, x AS (SELECT open_time, row_number() OVER (ORDER BY open_time) AS n, count(*) OVER () AS c FROM candles) SELECT open_time, CASE WHEN n <= floor(c * 0.7::DOUBLE) THEN 'in' ELSE 'out' END AS fold FROM x""")
 def walk_forward_split(s, d):
-    from .plans.strategy import walk_forward
-
     return walk_forward(_candles(s, d)).select(ntz("open_time"), "fold")
 
 
 @query(f"""WITH {C}, x AS (SELECT open_time, row_number() OVER (ORDER BY open_time) AS n, count(*) OVER () // 4 AS b FROM candles), y AS (SELECT open_time, n, b, CAST(k AS INTEGER) AS number FROM x, range(1, 4) t(k) WHERE n <= b * (k + 1))
 SELECT open_time, number, CASE WHEN n <= floor(b * (number + 1) * 0.7::DOUBLE) THEN 'in' ELSE 'out' END AS fold FROM y""")
 def walk_forward_folds(s, d):
-    from .plans.strategy import expanding_folds
-
     return expanding_folds(_candles(s, d), 3).select(ntz("open_time"), "number", "fold")
+
+
+# --- whole runs --------------------------------------------------------------
+
+
+@query()
+def shipped_strategies_compare(s, d):
+    t = _trades(s, d)
+    x = compare(MarketView(views.candles(t), t, views.depth(t)), shipped(), HOUR, COSTS)
+    return x.select("strategy", "bars", "trades", r("total_return").alias("total_return"), r("maximum_drawdown").alias("maximum_drawdown"), r("sharpe", 4).alias("sharpe"), r("excess_return").alias("excess_return"))
+
+
+@query()
+def shipped_features(s, d):
+    t = _trades(s, d)
+    plan = FeaturePlan.of(load_features(SHIPPED / "features.yaml"))
+    x = plan.table(MarketView(views.candles(t)), HOUR)
+    return x.select(ntz("open_time"), *[r(n).alias(n) for n in plan.names])
+
+
+@query()
+def search_trials(s, d):
+    space = SearchSpace(shipped()[0], (FeatureAxis(0, "period", (8, 12, 21)), FeatureAxis(1, "period", (21, 26, 34, 55)), ConditionAxis(ConditionTree.FILTERS, "value", (60, 65, 70, 75))), (Increasing(0, 1),))
+    x = search(MarketView(_candles(s, d)), space, HOUR, COSTS)
+    return x.select("trial", "strategy", "trades", r("in_sharpe", 4).alias("in_sharpe"), r("in_return").alias("in_return"), r("out_sharpe", 4).alias("out_sharpe"), r("out_return").alias("out_return"))
+
+
+def book_messages(t: DataFrame) -> DataFrame:
+    """Updates made from trades, a snapshot every 500 and a lost update every 777."""
+    n = F.row_number().over(Window.partitionBy("symbol", "market").orderBy("transact_time", "trade_id")).cast("long")
+    x = t.withColumn("n", n)
+    level = lambda p, v: F.struct(p.alias("price"), v.alias("quantity"))
+    bids, asks = F.array(level(F.round("price") - 1, F.col("quantity") - 1), level(F.round("price") - 2, F.col("quantity"))), F.array(level(F.round("price") + 1, F.col("quantity") - 1), level(F.round("price") + 2, F.col("quantity")))
+    updates = x.where("n % 777 <> 0").select("symbol", "market", (F.col("n") * 2).alias("seq"), F.col("transact_time").alias("event_time"), (F.col("n") * 10 + 1).alias("first_update_id"), (F.col("n") * 10 + 10).alias("final_update_id"), bids.alias("bids"), asks.alias("asks"))
+    snapshots = x.where("n % 500 = 1").select("symbol", "market", (F.col("n") * 2 - 1).alias("seq"), (F.col("n") * 10 + 5).alias("last_update_id"), bids.alias("bids"), asks.alias("asks"))
+    return orderbook.messages(updates, snapshots)
+
+
+@query()
+def order_book_replay(s, d):
+    x = orderbook.replay(book_messages(views.trades(s, d, per_venue=True)), 3600.0)
+    return x.select("symbol", ntz("captured_at"), "best_bid_price", "best_ask_price", "bid_quantity_5", "ask_quantity_5", "applied", "discarded", "resynchronized")
+
+
+@query(ORACLES["trades_to_candles"])
+def stream_trades_to_candles(s, d):
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    live = bars.trades_to_candles(views.trades_of(s.readStream.schema(schema).parquet(f"{d}/events.parquet*")), HOUR)
+    name = f"live_{uuid.uuid4().hex}"
+    q_ = live.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q_.awaitTermination()
+    return _bars(s.table(name))

@@ -11,8 +11,11 @@ HOUR = Timeframe("1h")
 
 
 def trades(spark: SparkSession, sf_dir: str, per_venue: bool = False) -> DataFrame:
+    return trades_of(spark.read.parquet(f"{sf_dir}/events.parquet"), per_venue)
+
+
+def trades_of(e: DataFrame, per_venue: bool = False) -> DataFrame:
     """One trade for each event; with ``per_venue`` the event type becomes the symbol."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ten = F.lit(10.0)
     return e.select(
         (F.col("event_type") if per_venue else F.lit("ALL/USDT")).alias("symbol"), F.lit("spot").alias("market"), F.col("event_id").alias("trade_id"),
