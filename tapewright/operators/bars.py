@@ -27,7 +27,7 @@ def trades_to_candles(trades: DataFrame, timeframe: Timeframe) -> DataFrame:
     quote = F.col("price") * F.col("quantity")
     taker = ~F.col("buyer_is_maker")
     return (
-        trades.groupBy("symbol", "market", F.window("transact_time", timeframe.interval)["start"].alias("open_time"))
+        trades.groupBy("symbol", "market", F.window("transact_time", timeframe.interval).alias("bar"))
         .agg(
             F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
             F.sum("quantity").alias("volume"), F.sum(quote).alias("quote_volume"),
@@ -35,7 +35,8 @@ def trades_to_candles(trades: DataFrame, timeframe: Timeframe) -> DataFrame:
             F.sum(F.when(taker, quote).otherwise(0.0)).alias("taker_buy_quote_volume"),
             F.sum(F.col("last_trade_id") - F.col("first_trade_id") + 1).alias("trade_count"),
         )
-        .withColumn("timeframe", F.lit(timeframe.value))
+        .withColumns({"open_time": F.col("bar.start"), "timeframe": F.lit(timeframe.value)})
+        .drop("bar")
     )
 
 

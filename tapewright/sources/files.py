@@ -81,7 +81,7 @@ def verify(content: bytes, checksum: str) -> None:
 
 def verified(files: DataFrame, checksums: DataFrame) -> DataFrame:
     """Binary files (``path, content``) whose checksum file (``path`` + .CHECKSUM) agrees."""
-    sums = checksums.select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("path"), F.lower(F.substring_index(F.trim(F.decode("content", F.lit("UTF-8"))), " ", 1)).alias("sha"))
+    sums = checksums.select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("path"), F.lower(F.substring_index(F.trim(F.decode("content", "UTF-8")), " ", 1)).alias("sha"))
     return files.join(sums, "path").where(F.sha2("content", 256) == F.col("sha")).drop("sha")
 
 

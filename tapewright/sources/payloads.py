@@ -44,18 +44,27 @@ def _levels(c: Column) -> Column:
 
 
 def _needed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Raises on a row that lacks one of the columns."""
+    """Raises on a message that lacks one of the columns; null frames are no messages.
+
+    Filters may run in any order, so the guard itself lets null frames pass.
+    """
     lacking = F.lit(False)
     for c in columns:
         lacking = lacking | F.col(c).isNull()
-    guard = F.when(lacking, F.raise_error(F.lit("a message lacks a field")).cast("boolean")).otherwise(F.lit(True))
+    guard = F.when(F.col("__frame") & lacking, F.raise_error(F.lit("a message lacks a field")).cast("boolean")).otherwise(F.col("__frame"))
     return df.where(guard)
 
 
+def of_stream(frames: DataFrame, name: str, value: str = "value") -> DataFrame:
+    """Frames of one stream of a combined connection; the others' text is never parsed further."""
+    own = F.when(stream_of(F.col(value)) == name, F.col(value))
+    return frames.withColumn(value, own).where(F.col(value).isNotNull())
+
+
 def agg_trades(frames: DataFrame, value: str = "value") -> DataFrame:
     """Trade events of frames; other columns of ``frames`` stay."""
     keep = [c for c in frames.columns if c != value]
-    x = frames.withColumn("__m", F.from_json(payload_of(F.col(value)), _TRADE, {"mode": "FAILFAST"})).select(*keep, "__m.*")
+    x = frames.withColumn("__m", F.from_json(payload_of(F.col(value)), _TRADE, {"mode": "FAILFAST"})).select(*keep, "__m.*", F.col(value).isNotNull().alias("__frame"))
     x = _needed(x, ["T", "a", "f", "l", "p", "q", "m"])
     return x.select(*keep, epoch_per_row("T").alias("transact_time"), F.col("a").alias("trade_id"), F.col("f").alias("first_trade_id"), F.col("l").alias("last_trade_id"), F.col("p").cast("double").alias("price"), F.col("q").cast("double").alias("quantity"), F.col("m").alias("buyer_is_maker"))
 
@@ -66,7 +75,7 @@ def depth_updates(frames: DataFrame, value: str = "value") -> DataFrame:
     p = payload_of(F.col(value))
     x = frames.select(
         *keep, F.get_json_object(p, "$.E").cast("long").alias("E"), F.get_json_object(p, "$.U").cast("long").alias("first_update_id"), F.get_json_object(p, "$.u").cast("long").alias("final_update_id"),
-        F.from_json(F.get_json_object(p, "$.b"), _LEVELS).alias("b"), F.from_json(F.get_json_object(p, "$.a"), _LEVELS).alias("a"),
+        F.from_json(F.get_json_object(p, "$.b"), _LEVELS).alias("b"), F.from_json(F.get_json_object(p, "$.a"), _LEVELS).alias("a"), F.col(value).isNotNull().alias("__frame"),
     )
     x = _needed(x, ["E", "first_update_id", "final_update_id", "b", "a"])
     return x.select(*keep, epoch_per_row("E").alias("event_time"), "first_update_id", "final_update_id", _levels(F.col("b")).alias("bids"), _levels(F.col("a")).alias("asks"))
@@ -74,6 +83,6 @@ def depth_updates(frames: DataFrame, value: str = "value") -> DataFrame:
 
 def snapshots(frames: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in frames.columns if c != value]
-    x = frames.withColumn("__m", F.from_json(F.col(value), _SNAPSHOT, {"mode": "FAILFAST"})).select(*keep, "__m.*")
+    x = frames.withColumn("__m", F.from_json(F.col(value), _SNAPSHOT, {"mode": "FAILFAST"})).select(*keep, "__m.*", F.col(value).isNotNull().alias("__frame"))
     x = _needed(x, ["lastUpdateId", "bids", "asks"])
     return x.select(*keep, F.col("lastUpdateId").alias("last_update_id"), _levels(F.col("bids")).alias("bids"), _levels(F.col("asks")).alias("asks"))

@@ -34,13 +34,13 @@ def frames(spark: SparkSession, path: str, files_per_trigger: int | None = None)
 
 def trade_stream(raw: DataFrame, listing: Listing) -> DataFrame:
     """Trades of a listing's combined stream."""
-    own = raw.where(payloads.stream_of(F.col("value")) == f"{listing.native_symbol.lower()}@{payloads.AGG_TRADE}")
+    own = payloads.of_stream(raw, f"{listing.native_symbol.lower()}@{payloads.AGG_TRADE}")
     return payloads.agg_trades(own).withColumns({"symbol": F.lit(listing.symbol), "market": F.lit(listing.market.value)})
 
 
 def update_stream(raw: DataFrame, listing: Listing) -> DataFrame:
     """Book updates of a listing's combined stream; their ids give the order."""
-    own = raw.where(payloads.stream_of(F.col("value")) == f"{listing.native_symbol.lower()}@{payloads.DEPTH_UPDATE}")
+    own = payloads.of_stream(raw, f"{listing.native_symbol.lower()}@{payloads.DEPTH_UPDATE}")
     return payloads.depth_updates(own).withColumns({"symbol": F.lit(listing.symbol), "market": F.lit(listing.market.value), "seq": F.col("final_update_id")})
 
 
