@@ -1,18 +1,22 @@
 """N-gram Jaccard self-join with a count-vector R-tree.
 
 Distinct word shingles are 64-bit hashes.  Documents with equal sets are one
-point.  Two different sets with similarity t or more share a shingle among the
-first n - ceil(t n) + 1 of each under any common order; the order here puts
-frequent shingles last (a counter sketch of fixed size over all documents), so
-blocks that share a prefix shingle stay small however common a passage is.
-Blocks that touch form a cluster.
-
-Within a cluster the shingles are hashed into groups and the counts of each group
-are a point.  The overlap of two sets is at most the sum of the coordinates'
-minima; an R-tree over the points prunes boxes and points by that bound, and what
-survives is verified on the sets.  Pairs that are already connected need no test:
-the result is classes, not pairs.  A large cluster is cut into tiles, and every
-pair of tiles is searched in a task of its own.
+point.  The shingles are hashed into groups and the counts of each group are the
+point's coordinates: the overlap of two sets is at most the sum of the
+coordinates' minima.
+
+Sets that may link meet in blocks.  Two different sets with similarity t or more
+share a shingle among the first n - ceil(t n) + 1 of each under any common order;
+the order here puts frequent shingles last (a counter sketch of fixed size over
+all documents), so the blocks that share a prefix shingle stay small however
+common a passage is.  Long sets would meet by chance, so they meet by whole groups
+instead: of more groups than two linked sets have different shingles, one at
+least is equal in both.  Each block's points are searched with an R-tree that prunes boxes and points by the bound;
+points that the bound connects form clusters.  Within a cluster the pairs that
+survive the bound are verified on the sets.  A set that is connected already is
+tested no more: the result is classes, not pairs, so thousands of near copies
+cost no square of their number.  A very large cluster is cut into tiles, and
+every pair of tiles is searched in a task of its own.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import WORD, written
 from .graph import components
 
-GROUPS = 32
+GROUPS = 64
 LEAF = 16
 #: Counters of the frequency sketch (as a power of 2) and the blocks that they are sent in.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Members of a tile; clusters of more than two tiles are cut.
-TILE = 1000
+#: Shingles of a tile's sets; clusters of more than two tiles are cut.
+TILE_SHINGLES = 4_000_000
 MEMO_WORDS = 500_000
+#: Pairs whose smaller set has so many shingles meet by whole groups; classes of sizes grow by half.
+LONG = 1024
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -77,18 +83,6 @@ class Shingles:
         return np.unique(h)
 
 
-def linked(overlap: int, n: int, m: int, percent: int) -> bool:
-    return 100 * overlap >= percent * (n + m - overlap)
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
-
-
 class CountTree:
     """R-tree over count vectors; boxes keep the upper corner and the least size."""
 
@@ -125,40 +119,62 @@ class CountTree:
         return (shared * (100 + percent) >= percent * (n + low)) & (100 * top >= percent * n) & (percent * low <= 100 * n)
 
 
-def connect(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the linked sets; with ``split``, of rows before it with rows from it on only."""
-    parent = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    groups = np.array([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32)
-    tree = CountTree(groups if split is None else groups[split:])
-    base, edges = split or 0, []
-    label = np.arange(len(sets))  # kept flat for the rows that a search returns
-    for i in range(len(sets) if split is None else split):
-        found = tree.search(groups[i], percent) + base
-        found = found[found > i] if split is None else found
-        own = find(i)
-        while len(found):
-            for x in found[label[found] != parent[label[found]]]:
-                label[x] = find(x)
-            found = found[label[found] != own]
-            if not len(found):
-                break
-            j, found = int(found[0]), found[1:]
-            if linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
-                other = find(j)
-                own, gone = min(own, other), max(own, other)
-                parent[gone] = own
-                label[gone] = own
-                edges.append((i, j))
+def _groups(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+
+
+def reach(points: np.ndarray, percent: int, test=None, split: int | None = None) -> list[tuple[int, int]]:
+    """Edges from the first row of each component to its other rows.
+
+    Two rows are neighbours if the bound allows a link and ``test(i, rows)``, where
+    given, confirms it.  With ``split``, rows before it have neighbours from it on
+    only.  A row that is reached leaves the search, so every later search is smaller.
+    """
+    m = len(points)
+    tree, sizes = (CountTree(points) if m > 4 * LEAF else None), points.sum(axis=1)
+    alive, left = np.ones(m, bool), m
+    side = None if split is None else np.arange(m) < split
+    edges: list[tuple[int, int]] = []
+    for seed in range(m):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        left -= 1
+        stack = [seed]
+        while stack and left:
+            i = stack.pop()
+            if tree is not None and left > m // 4:
+                found = tree.search(points[i], percent)
+                found = found[alive[found]]
+            else:
+                found = np.flatnonzero(alive)
+                found = found[CountTree._may(points[i], int(sizes[i]), points[found], sizes[found], sizes[found], percent)]
+            if side is not None:
+                found = found[side[found] != side[i]]
+            if test is not None and len(found):
+                found = found[test(i, found)]
+            alive[found] = False
+            left -= len(found)
+            stack += found.tolist()
+            edges += [(seed, int(j)) for j in found]
     return edges
 
 
+def connect(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the linked sets; see ``reach``."""
+    sizes = np.array([len(s) for s in sets])
+
+    def test(i: int, rows: np.ndarray) -> np.ndarray:
+        own = sets[i]
+        every = np.concatenate([sets[j] for j in rows])
+        at = np.searchsorted(own, every)
+        at[at == len(own)] = len(own) - 1
+        shared = np.add.reduceat((own[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]))
+        return 100 * shared >= percent * (sizes[i] + sizes[rows] - shared)
+
+    return reach(np.array([_groups(s) for s in sets], np.int32), percent, test, split)
+
+
 # --- passes over the documents -----------------------------------------------
 
 
@@ -172,22 +188,23 @@ def _describe(words: int, kind: str):
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 none = pa.nulls(1, b.column(0).type)
-                n, digests = [], []
+                n, digests, points = [], [], []
                 for text in b.column(1).to_pylist():
                     s = shingles(text)
                     n.append(len(s))
+                    points.append(_groups(s).astype("<i4").tobytes() if len(s) else None)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += np.uint32(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], NAMES)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], NAMES)
         if none is not None:
             for i, part in enumerate(counts.reshape(SKETCH_BLOCKS, -1)):
                 at = np.flatnonzero(part)
                 if len(at):
                     blob = at.astype("<u4").tobytes() + part[at].astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())], NAMES)
+                    yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())], NAMES)
 
-    NAMES = ["doc_id", "h", "n", "digest", "block", "counts"]
-    return run, f"doc_id {kind}, h long, n long, digest binary, block int, counts binary"
+    NAMES = ["doc_id", "h", "n", "digest", "point", "block", "counts"]
+    return run, f"doc_id {kind}, h long, n long, digest binary, point binary, block int, counts binary"
 
 
 def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
@@ -201,6 +218,43 @@ def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
 
 
+def _most_different(n: int, m: int, percent: int) -> int:
+    """Most shingles in which linked sets of n and m may differ."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def size_classes(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(class, its smallest and greatest size) of the pairs in which a set of n may be: by the smaller set's size."""
+    out, j, low = [], 0, LONG
+    while low <= n:
+        high = low * 3 // 2 - 1
+        if 100 * high >= percent * n:
+            out.append((j, low, high))
+        j, low = j + 1, high + 1
+    return out
+
+
+def group_keys(s: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Keys of a long set: a digest of each non-empty group, for each class of pairs.
+
+    Linked sets differ in at most D shingles, so in at most D of the groups.  A
+    set with more than D non-empty groups has an equal one in common with its
+    partner; one with fewer (too uneven a hash) also takes the class's own key.
+    """
+    n, out = len(s), []
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s + _A))])
+        for j, low, high in size_classes(n, percent):
+            k = (_most_different(high, 100 * high // percent, percent) + 1) * 28 // 25 + 2
+            ends = np.concatenate([[0], np.searchsorted(s, np.arange(1, k, dtype=np.uint64) * np.uint64(2**64 // k)), [n]])
+            full = np.flatnonzero(np.diff(ends))
+            place = _mix(np.uint64(j + 1) * _C + full.astype(np.uint64))
+            out.append(_mix(total[ends[full + 1]] - total[ends[full]] + place))
+            if len(full) <= min(_most_different(high, 100 * high // percent, percent), _most_different(n, max(n, 100 * n // percent), percent)):
+                out.append(_mix(np.array([j + 1], np.uint64) * _B))
+    return out
+
+
 def _prefixes(words: int, percent: int, sketch):
     def run(batches):
         shingles, counts = Shingles(words), np.frombuffer(sketch.value, np.uint32)
@@ -218,16 +272,47 @@ def _prefixes(words: int, percent: int, sketch):
                         continue
                     if len(seen) < 500_000:
                         seen.add(digest)
-                    k = n - -(-percent * n // 100) + 1
-                    rare = np.argsort(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]
-                    keys.append(s[rare])
-                    ids.append(np.full(k, int.from_bytes(digest[:8], "big", signed=True), np.int64))
+                    own = group_keys(s, percent) if n >= LONG else []
+                    if -(-percent * n // 100) < LONG:  # may link to a set that is not long
+                        k = n - -(-percent * n // 100) + 1
+                        own.append(s[np.argsort(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]])
+                    keys += own
+                    ids.append(np.full(sum(map(len, own)), int.from_bytes(digest[:8], "big", signed=True), np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
 
     return run
 
 
+def _block_edges(percent: int):
+    """Edges a, b of the rows (key, id, point) that share a key and that the bound connects; rows come sorted by key."""
+
+    def run(batches):
+        key, ids, points, out = None, [], [], []
+
+        def close():
+            if len(ids) > 1:
+                x = np.frombuffer(b"".join(points), "<i4").reshape(len(ids), GROUPS)
+                out.extend((ids[i], ids[j]) for i, j in reach(x, percent))
+
+        for batch in batches:
+            for k, i, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    close()
+                    key, ids, points = k, [], []
+                if not ids or ids[-1] != i:
+                    ids.append(i)
+                    points.append(p)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    return run
+
+
 def _tiles(words: int, percent: int):
     """Edges of linked sets for rows sorted by (cluster, i, j): digests as a, b."""
 
@@ -278,14 +363,17 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
 
     # the first 8 bytes name a set in blocks and clusters, where mistaking two only widens a cluster
     name = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    rows = described.where("block is null").select("doc_id", "h", "n", "digest", name.alias("id"))
+    rows = described.where("block is null").select("doc_id", "h", "n", "digest", "point", name.alias("id"))
     keys = src.select("text").mapInArrow(_prefixes(words, percent, sent), "key long, id long")
     of_key = W.partitionBy("key")
-    stars = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key)}).where("low <> high and id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    clusters = written(components(stars).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
-
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    tiles = F.when(F.col("size") > 2 * TILE, F.ceil(F.col("size") / TILE)).otherwise(1).cast("int")
+    shared = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key)}).where("low <> high").select("key", "id")
+    points = rows.where("n > 0").groupBy("id").agg(F.first("point").alias("point"), F.first("n").alias("n"))
+    blocks = shared.join(points.select("id", "point"), "id").select("key", "id", "point").repartition("key").sortWithinPartitions("key", "id")
+    near = blocks.mapInArrow(_block_edges(percent), "a long, b long")
+    clusters = written(components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
+
+    size = clusters.join(points.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size"))
+    tiles = F.when(F.col("size") > 2 * TILE_SHINGLES, F.ceil(F.col("size") / TILE_SHINGLES)).otherwise(1).cast("int")
     placed = clusters.join(size.select("cluster", tiles.alias("tiles")), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     one = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"))
     wanted = one.join(placed, "id").select(F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh"), "digest", "cluster", "tile", "tiles")
