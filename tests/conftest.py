@@ -2,15 +2,14 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime, timedelta, timezone
-
 import pytest
 from pyspark.sql import SparkSession
 
+from support import hours
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")]))
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -26,13 +25,6 @@ def spark(tmp_path_factory) -> SparkSession:
     s.stop()
 
 
-START = datetime(2024, 1, 1, tzinfo=timezone.utc)
-
-
-def hours(n: int) -> list[datetime]:
-    return [START + timedelta(hours=i) for i in range(n)]
-
-
 @pytest.fixture(scope="session")
 def make_candles(spark):
     """Hourly candles of one instrument from closes, with optional columns."""
@@ -48,24 +40,3 @@ def make_candles(spark):
         return spark.createDataFrame(rows, "symbol string, market string, timeframe string, open_time timestamp, open double, high double, low double, close double, volume double, trade_count long")
 
     return make
-
-
-def canonical(columns, rows):
-    """Rows with sorted columns, comparable between engines."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(repr(r[i]) for i in order) for r in rows)
-
-
-def assert_matches_duckdb(query, sql, spark, sf_dir):
-    import glob
-
-    import duckdb
-
-    con = duckdb.connect()
-    for p in glob.glob(f"{sf_dir}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    df = query(spark, sf_dir)
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    assert sorted(names) == sorted(df.columns)
-    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, found.fetchall())

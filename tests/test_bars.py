@@ -2,7 +2,7 @@ from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 
-from conftest import START
+from support import START
 from tapewright.model import Timeframe
 from tapewright.operators import merge, quality
 from tapewright.operators.align import as_of

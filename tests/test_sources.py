@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta, timezone
 
 import pytest
 
-from conftest import START
+from support import START
 from tapewright.model import Instrument, Listing, Market, SourceKind, Timeframe, TimeRange
 from tapewright.operators.bars import trades_to_candles
 from tapewright.plans import ingest as ing

@@ -248,7 +248,7 @@ def test_ic_and_buckets_equal_pandas(spark):
 
 
 def test_forward_return_skips_gaps(spark, make_candles):
-    from conftest import START
+    from support import START
     from datetime import timedelta
 
     x = make_candles([1, 2, 4], times=[START, START + timedelta(hours=1), START + timedelta(hours=9)])
