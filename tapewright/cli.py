@@ -17,7 +17,7 @@ from .operators import backtest as bt, profile, quality, research
 from .operators.bars import resample
 from .plans import ingest as ing, reports
 from .plans.features import FeaturePlan, MarketView
-from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace, assemble, compare, ranked_by_sharpe, search, search_summary, signals, strategy_curves, strategy_table
+from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace, assemble, beating_the_baseline, compare, ranked_by_sharpe, search, search_summary, signals, strategy_curves, strategy_table
 from .plans.yaml_specs import load_features, load_strategy, parse_pipeline
 from .session import build_session
 from .sources import files, payloads, rest
@@ -143,7 +143,7 @@ def compare_strategies(c: Context) -> str:
     perf = compare(c.view, specs, c.timeframe, CostModel(), c.a.periods_per_year)
     curves = strategy_curves(strategy_table(c.view, specs, c.timeframe), [assemble(s) for s in specs], CostModel())
     pairs = research.strategy_correlation(curves, [*KEYS, "open_time"])
-    return reports.table(ranked_by_sharpe(perf), "comparison") + "\n" + reports.table(pairs.orderBy(F.desc_nulls_last("correlation")), "correlations")
+    return reports.table(ranked_by_sharpe(perf), "comparison") + "\n" + reports.table(pairs.orderBy(F.desc_nulls_last("correlation")), "correlations") + "\n" + reports.table(beating_the_baseline(perf).select("strategy", "excess_return"), "better than holding")
 
 
 @command

@@ -107,6 +107,16 @@ def ranked_by_sharpe(performance: DataFrame) -> DataFrame:
     return performance.orderBy(F.desc_nulls_last("sharpe"), "strategy")
 
 
+def beating_the_baseline(performance: DataFrame) -> DataFrame:
+    """Strategies that earn more than holding."""
+    return performance.where((F.col("strategy") != "buy_and_hold") & (F.col("excess_return") > 0))
+
+
+def most_correlated(correlations: DataFrame) -> DataFrame:
+    """The pair with the highest defined correlation: at most one row."""
+    return correlations.where("correlation is not null").orderBy(F.desc("correlation"), "first", "second").limit(1)
+
+
 # --- search ------------------------------------------------------------------
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
+import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -79,6 +82,41 @@ def verify(content: bytes, checksum: str) -> None:
         raise ValueError("the archive's sha256 differs from its checksum file")
 
 
+class Downloader:
+    """Archive files into a local mirror, with the transport injected.
+
+    ``fetch(url)`` gives the content, or None where the archive has no such file.
+    A file is verified against its checksum file before it takes its name, so a
+    mirror never holds half a file; files that are there are not fetched again.
+    """
+
+    def __init__(self, root: str, fetch: Callable[[str], bytes | None], concurrency: int = 8):
+        self.root, self.fetch, self.concurrency = root, fetch, concurrency
+
+    def path(self, url: str) -> str:
+        return os.path.join(self.root, url.removeprefix(BASE_URL).lstrip("/"))
+
+    def one(self, url: str) -> str | None:
+        path = self.path(url)
+        if os.path.exists(path):
+            return path
+        checksum = self.fetch(checksum_url(url))
+        content = None if checksum is None else self.fetch(url)
+        if content is None:
+            return None
+        verify(content, checksum.decode())
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
+            f.write(content)
+        os.replace(f.name, path)
+        return path
+
+    def all(self, urls: Sequence[str]) -> list[str]:
+        """Paths of the files that exist, in the order of ``urls``."""
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            return [p for p in pool.map(self.one, urls) if p is not None]
+
+
 def verified(files: DataFrame, checksums: DataFrame) -> DataFrame:
     """Binary files (``path, content``) whose checksum file (``path`` + .CHECKSUM) agrees."""
     sums = checksums.select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("path"), F.lower(F.substring_index(F.trim(F.decode("content", "UTF-8")), " ", 1)).alias("sha"))

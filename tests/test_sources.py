@@ -54,6 +54,29 @@ def test_checksum():
         files.verify(b"abd", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad  x.zip")
 
 
+def test_downloader(tmp_path):
+    import hashlib
+
+    calls, have = [], {}
+    for url in ("a.zip", "b.zip"):
+        have[f"{files.BASE_URL}/{url}"] = url.encode()
+        have[f"{files.BASE_URL}/{url}.CHECKSUM"] = f"{hashlib.sha256(url.encode()).hexdigest()}  {url}".encode()
+    have[f"{files.BASE_URL}/b.zip"] = b"damaged"
+
+    def fetch(url):
+        calls.append(url)
+        return have.get(url)
+
+    d = files.Downloader(str(tmp_path), fetch)
+    url = f"{files.BASE_URL}/a.zip"
+    assert d.all([url, f"{files.BASE_URL}/none.zip"]) == [d.path(url)] and open(d.path(url), "rb").read() == b"a.zip"
+    n = len(calls)
+    assert d.all([url]) == [d.path(url)] and len(calls) == n
+    with pytest.raises(ValueError, match="sha256"):
+        d.one(f"{files.BASE_URL}/b.zip")
+    assert [p.name for p in tmp_path.iterdir()] == ["a.zip"]
+
+
 def test_verified_files(spark, tmp_path):
     import hashlib
 
