@@ -11,7 +11,9 @@ mention of a group then moves no score by itself.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -198,23 +200,22 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "
     scores as a text without any feature.  Rows and other columns stay; a column
     already named ``out`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        own = _scorer(sent)
+        own = _scorer(token, sent)
         return pd.Series([own(t) for t in texts], dtype="float64")
 
     return docs.withColumn(out, scored(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-_SCORERS: dict[int, object] = {}
+_SCORERS: dict[str, Callable[[str | None], float]] = {}
 
 
-def _scorer(sent):
-    """One scorer, with its memo, for each model that a worker has seen last."""
-    key = id(sent.value)
-    if key not in _SCORERS:
+def _scorer(token: str, sent) -> Callable[[str | None], float]:
+    """The scorer, with its memo, of the model that a worker has seen last."""
+    if token not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = sent.value.scorer()
-    return _SCORERS[key]
+        _SCORERS[token] = sent.value.scorer()
+    return _SCORERS[token]
