@@ -386,7 +386,8 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
 
     roots = components(edges).withColumnRenamed("node", "digest")
     joined = rows.join(roots, "digest", "left").withColumn("class", F.coalesce("root", "digest"))
-    least = joined.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # a written table, so that the join below stands alone in its stage and a hot class's rows can be split
+    least = written(joined.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
     return joined.join(least, "class", "left").select("doc_id", "h", "n", "class", "least")
 
 
