@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window as W, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 #: Columns that name one instrument; every window is partitioned by them.
 KEYS = ("symbol", "market", "timeframe")
@@ -43,3 +43,22 @@ def longest_run(flag: Column, w: WindowSpec) -> Column:
     """Length, at each row, of the run of true flags that ends there."""
     broken = F.max(F.when(~F.coalesce(flag, F.lit(False)), F.row_number().over(w))).over(w.rowsBetween(W.unboundedPreceding, 0))
     return F.row_number().over(w) - F.coalesce(broken, F.lit(0))
+
+
+def in_chunks(df: DataFrame, time: str, window_us: int, chunk_us: int = 86_400_000_000) -> DataFrame:
+    """``df`` with ``__us`` (microseconds), ``__chunk`` and ``__own``, for windows that look back over less than ``window_us``.
+
+    A row appears in its own chunk of time and, with ``__own`` false, in the
+    next one if a later row there looks back on it.  Windows partitioned by
+    ``__chunk`` spread one busy instrument over many tasks; keep the rows with
+    ``__own`` afterwards.
+    """
+    size = max(chunk_us, window_us)
+    x = df.withColumn("__us", F.unix_micros(F.col(time).cast("timestamp")))
+    first, last = F.expr(f"__us div {size}"), F.expr(f"(__us + {window_us - 1}) div {size}")
+    return x.withColumn("__first", first).withColumn("__chunk", F.explode(F.sequence("__first", last))).withColumn("__own", F.col("__chunk") == F.col("__first")).drop("__first")
+
+
+def looking_back(keys: Sequence[str], window_us: int) -> WindowSpec:
+    """(t - window, t] within a chunk."""
+    return W.partitionBy(*keys, "__chunk").orderBy("__us").rangeBetween(-(window_us - 1), 0)

@@ -135,3 +135,21 @@ def test_profile_equals_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": "s", "price": p, "quantity": v}))
     got = [r["volume"] for r in profile.histogram(df, ["k"], 40).orderBy("bucket").collect()]
     assert got == list(np.histogram(p, 40, weights=v)[0])
+
+
+def test_swing_equals_pandas_across_chunks(spark):
+    """Trailing windows and the as-of join, over several days with repeated times."""
+    rng = np.random.default_rng(8)
+    t0 = pd.Timestamp("2024-01-01", tz="UTC")
+    at = lambda n, end: t0 + pd.to_timedelta(np.sort(rng.integers(0, end, n)), unit="min")
+    trades = pd.DataFrame({"symbol": "s", "market": "spot", "transact_time": at(900, 4000), "trade_id": range(900), "quantity": rng.integers(1, 9, 900).astype(float), "buyer_is_maker": rng.random(900) < 0.5})
+    depth = pd.DataFrame({"symbol": "s", "market": "spot", "captured_at": np.unique(at(400, 4100)), "ask_quantity_20": 0.0})
+    depth["ask_quantity_20"] = rng.integers(1, 30, len(depth)).astype(float)
+    depth["bid_quantity_20"] = 1.0
+    got = fn.liquidity_swing(spark.createDataFrame(trades), spark.createDataFrame(depth), ExtremeSide.HIGH, 7200.0).toPandas().sort_values("captured_at")
+    volume = trades.assign(q=trades["quantity"].where(~trades["buyer_is_maker"], 0.0)).set_index("transact_time")["q"].rolling("7200s").sum().rename("v").reset_index()
+    book = depth.set_index("captured_at")["ask_quantity_20"]
+    loss = (book.rolling("7200s").max() - book).rename("loss").reset_index()
+    joined = pd.merge_asof(loss, volume, left_on="captured_at", right_on="transact_time")
+    want = (joined["v"] / joined["loss"].where(joined["loss"] > 0)).fillna(-1).tolist()
+    assert got["swing"].astype(float).fillna(-1).tolist() == pytest.approx(want)
