@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,16 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the folder that driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (unit tests on one machine) a local folder takes its
-    place, and it is then set for the rest of the session.
+    setting is absent (unit tests on one machine) one local folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tapewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tapewright-")
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
