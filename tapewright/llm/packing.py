@@ -115,32 +115,46 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> li
     bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     best = best_fit_decreasing(counts, capacity)
     best_bins = sum(m for _, m in best)
-    visited = 0
-    stack = [(dict(counts), [], 0, 0)]  # rest, patterns, bins, waste
-    while stack and best_bins > bound and visited < nodes:
-        rest, patterns, bins, waste = stack.pop()
-        visited += 1
-        if not rest:
-            if bins < best_bins:
-                best, best_bins = patterns, bins
+    # depth first, on one histogram that is changed and restored: memory grows with the depth alone
+    rest, chosen, bins, waste, visited = dict(counts), [], 0, 0, 0
+    levels = [iter(_children(rest, capacity))]
+    while levels and best_bins > bound and visited < nodes:
+        pattern = next(levels[-1], None)
+        if pattern is None:
+            levels.pop()
+            if chosen:
+                lengths, times = chosen.pop()
+                bins, waste = bins - times, waste - times * (capacity - sum(lengths))
+                for s in lengths:
+                    rest[s] = rest.get(s, 0) + times
             continue
-        if waste > (best_bins - 1) * capacity - total:
+        visited += 1
+        times = min(rest[s] // k for s, k in Counter(pattern).items())
+        lost = times * (capacity - sum(pattern))
+        if waste + lost > (best_bins - 1) * capacity - total:
             continue
-        largest = max(rest)
-        sizes = sorted(rest)
-        free = dict(rest)
-        free[largest] -= 1
-        children = []
-        for f in fillings([s for s in sizes if free[s]], free, capacity - largest, FILLINGS):
-            pattern = (largest, *f)
-            own = Counter(pattern)
-            times = min(rest[s] // k for s, k in own.items())
-            left = {s: n - times * own[s] for s, n in rest.items() if n > times * own[s]}
-            children.append((left, [*patterns, (pattern, times)], bins + times, waste + times * (capacity - sum(pattern))))
-        stack += reversed(children)
+        for s in pattern:
+            rest[s] -= times
+            if not rest[s]:
+                del rest[s]
+        chosen.append((pattern, times))
+        bins, waste = bins + times, waste + lost
+        if not rest and bins < best_bins:
+            best, best_bins = list(chosen), bins
+        levels.append(iter(_children(rest, capacity)))
     return best
 
 
+def _children(rest: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
+    """Patterns that complete a bin around the largest piece left."""
+    if not rest:
+        return []
+    largest = max(rest)
+    free = dict(rest)
+    free[largest] -= 1
+    return [(largest, *f) for f in fillings(sorted(s for s in free if free[s]), free, capacity - largest, FILLINGS)]
+
+
 def _layout(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: first ranks of its slots, their first sequence and their offset."""
     slots: dict[int, list[tuple[int, int, int]]] = {}
