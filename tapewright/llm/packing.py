@@ -4,7 +4,7 @@ Packing depends only on how many pieces there are of each length, and lengths
 run from 1 to the capacity: that histogram, whatever the corpus' size, is all
 the driver sees.  Best-fit decreasing gives the incumbent; where it misses the
 lower bound, a search completes the bin of the largest remaining piece with
-undominated fillings and prunes by waste.  The solution is a list of patterns
+undominated fillings, each any number of times, and prunes by waste.  The solution is a list of patterns
 with multiplicities; a piece finds its sequence from its length and its rank
 among the pieces of that length, which tasks count for themselves.
 """
@@ -14,6 +14,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bytebpe import ByteBpe
 from .common import written
 
-#: Nodes that the search may visit before the incumbent stands.
+#: Nodes that a sweep of the search may visit before the incumbent stands.
 SEARCH_NODES = 6_000
-#: Fillings that a node tries, best first.
+#: Fillings that a node of the quick sweep tries, best first.
 FILLINGS = 24
+#: So many steps of listing fillings count as a node.
+STEPS = 1_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -67,11 +71,56 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(lengths, bins) for groups in open_.values() for lengths, bins in groups]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``: least waste first, then fewest and largest pieces.
+def _by_waste(sizes: list[int], counts: dict[int, int], room: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room``, lazily: least waste first, then larger pieces first.
+
+    ``sizes`` ascend.  A filling is dominated if a free piece still fits, or could
+    take the place of a smaller one.  With ``after``, only fillings that come later
+    in this order.  Every ``STEPS`` steps that find none give a None.
+    """
+    sizes = sizes[: bisect_right(sizes, room)]
+    # sums[i]: bit t is set if pieces of the i smallest lengths add up to t
+    sums, mask = [1], (1 << room + 1) - 1
+    for s in sizes:
+        x, left, k = sums[-1], min(counts[s], room // s), 1
+        while left:
+            k = min(k, left)
+            x |= x << k * s & mask
+            left, k = left - k, 2 * k
+        sums.append(x)
+    first, steps = 0 if after is None else room - sum(after), 0
+    for waste in range(first, room + 1):
+        # (undecided lengths, sum to fill, pieces so far, smallest larger length with a free piece, equal to `after` so far)
+        stack = [(len(sizes), room - waste, (), None, after is not None and waste == first)]
+        while stack:
+            steps += 1
+            if steps % STEPS == 0:
+                yield None
+            undecided, left, chosen, larger, tight = stack.pop()
+            i = bisect_right(sizes, left, 0, undecided)
+            if i < undecided:
+                larger = sizes[i]
+            if not sums[i] >> left & 1 or (larger is not None and larger <= waste):
+                continue
+            if not i:
+                if not tight:
+                    yield chosen
+                continue
+            s = sizes[i - 1]
+            top = min(counts[s], left // s) if larger is None or larger - s > waste else 0
+            own = -1
+            if tight and after[len(chosen)] <= s:
+                own = after.count(s)
+                top = min(top, own)
+            for k in range(top + 1):
+                stack.append((i - 1, left - k * s, (*chosen, *(s,) * k), s if k < counts[s] else larger, k == own))
+
 
-    ``sizes`` ascend.  A filling is dominated if one of its pieces could be
-    swapped for a larger free piece that still fits.
+def _first_fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` among the first few that start with large pieces, least waste first.
+
+    They keep small pieces for later, which often gives a good incumbent; the
+    whole search does not depend on them.
     """
     out: list[tuple[int, ...]] = []
     steps = 0
@@ -105,54 +154,93 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) ->
     return kept
 
 
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
+    """The first ``most`` undominated ways to fill ``room``: least waste first, then larger pieces first."""
+    return list(islice((f for f in _by_waste(sizes, counts, room) if f is not None), most))
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: by the sum, and as no two pieces of over half the capacity share one."""
+    return max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+
+
 def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[Pattern]:
-    """Patterns that hold every piece, in as few bins as the search finds."""
+    """Patterns that hold every piece, in as few bins as the search finds.
+
+    A branch is a pattern of the largest piece left and how often it is taken in
+    all: largest first, then fewer down to 1.  Further bins of that piece have later
+    patterns, which waste no less; so every set of undominated bins is one path.
+    """
     counts = {s: n for s, n in counts.items() if n and s > 0}
     if not counts:
         return []
-    total = sum(s * n for s, n in counts.items())
-    # no two pieces of over half the capacity share a bin
-    bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    total, bound = sum(s * n for s, n in counts.items()), lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     best_bins = sum(m for _, m in best)
-    # depth first, on one histogram that is changed and restored: memory grows with the depth alone
-    rest, chosen, bins, waste, visited = dict(counts), [], 0, 0, 0
-    levels = [iter(_children(rest, capacity))]
-    while levels and best_bins > bound and visited < nodes:
-        pattern = next(levels[-1], None)
-        if pattern is None:
-            levels.pop()
-            if chosen:
-                lengths, times = chosen.pop()
-                bins, waste = bins - times, waste - times * (capacity - sum(lengths))
-                for s in lengths:
-                    rest[s] = rest.get(s, 0) + times
-            continue
-        visited += 1
-        times = min(rest[s] // k for s, k in Counter(pattern).items())
-        lost = times * (capacity - sum(pattern))
-        if waste + lost > (best_bins - 1) * capacity - total:
-            continue
-        for s in pattern:
-            rest[s] -= times
-            if not rest[s]:
-                del rest[s]
-        chosen.append((pattern, times))
-        bins, waste = bins + times, waste + lost
-        if not rest and bins < best_bins:
-            best, best_bins = list(chosen), bins
-        levels.append(iter(_children(rest, capacity)))
-    return best
 
-
-def _children(rest: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Patterns that complete a bin around the largest piece left."""
-    if not rest:
-        return []
-    largest = max(rest)
-    free = dict(rest)
-    free[largest] -= 1
-    return [(largest, *f) for f in fillings(sorted(s for s in free if free[s]), free, capacity - largest, FILLINGS)]
+    def branches(last: tuple[int, ...] | None) -> Iterator[Pattern | None]:
+        if not rest:
+            return
+        largest = max(rest)
+        bins_of = -(-rest[largest] // (capacity // largest))
+        free = {s: n - (s == largest) for s, n in rest.items() if s <= capacity - largest and n > (s == largest)}
+        after = last[1:] if last and last[0] == largest else None
+        for filling in _by_waste(sorted(free), free, capacity - largest, after):
+            if filling is None:
+                yield None
+                continue
+            pattern = (largest, *filling)
+            lost = capacity - sum(pattern)
+            # this bin and the later ones of this piece waste as much, each
+            if waste + bins_of * lost > (best_bins - 1) * capacity - total:
+                return
+            most = min(rest[s] // k for s, k in Counter(pattern).items())
+            # nothing fits beside a piece that stays alone
+            for times in range(most, 0 if filling else most - 1, -1):
+                if waste + max(times, bins_of) * lost <= (best_bins - 1) * capacity - total:
+                    yield pattern, times
+
+    def quick(last: tuple[int, ...] | None) -> Iterator[Pattern | None]:
+        if not rest:
+            return
+        largest = max(rest)
+        free = {s: n - (s == largest) for s, n in rest.items() if n > (s == largest)}
+        for filling in _first_fillings(sorted(free), free, capacity - largest, FILLINGS):
+            pattern = (largest, *filling)
+            times = min(rest[s] // k for s, k in Counter(pattern).items())
+            fits = waste + times * (capacity - sum(pattern)) <= (best_bins - 1) * capacity - total
+            yield (pattern, times) if fits else None
+
+    # the quick sweep takes few patterns, as often as it can; the whole one goes on from its incumbent
+    for sweep in (quick, branches):
+        # depth first, on one histogram that is changed and restored: memory grows with the depth alone
+        rest, chosen, bins, waste, visited = dict(counts), [], 0, 0, 0
+        levels = [sweep(None)]
+        while levels and best_bins > bound and visited < nodes:
+            try:
+                branch = next(levels[-1])
+            except StopIteration:
+                levels.pop()
+                if chosen:
+                    lengths, times = chosen.pop()
+                    bins, waste = bins - times, waste - times * (capacity - sum(lengths))
+                    for s in lengths:
+                        rest[s] = rest.get(s, 0) + times
+                continue
+            visited += 1
+            if branch is None:
+                continue
+            pattern, times = branch
+            for s in pattern:
+                rest[s] -= times
+                if not rest[s]:
+                    del rest[s]
+            chosen.append(branch)
+            bins, waste = bins + times, waste + times * (capacity - sum(pattern))
+            if not rest and bins < best_bins:
+                best, best_bins = list(chosen), bins
+            levels.append(sweep(pattern))
+    return best
 
 
 def _layout(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -91,3 +91,39 @@ def test_round_trip(make_docs):
             at += length
         assert at <= 64
     assert packing.pack_documents(make_docs([]), PATH).count() == 0
+
+
+def bins(counts, capacity):
+    return sum(b for _, b in packing.pack(counts, capacity))
+
+
+def test_patterns_are_also_taken_less_often_than_possible():
+    counts = {600: 2, 200: 4, 230: 2, 170: 2, 499: 1, 457: 1, 431: 1, 413: 1, 369: 1, 357: 1, 343: 1, 331: 1}
+    assert bins(counts, 1000) == packing.lower_bound(counts, 1000) == 6
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_repeated_lengths_are_optimal(seed):
+    r = random.Random(1000 + seed)
+    sizes = [r.randint(3, 30) for _ in range(5)]
+    items = [r.choice(sizes) for _ in range(r.randint(6, 13))]
+    assert bins(dict(Counter(items)), 45) == fewest(items, 45)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_undominated_filling_is_listed_by_waste(seed):
+    r = random.Random(seed)
+    counts = {r.randint(1, 14): r.randint(1, 3) for _ in range(6)}
+    sizes, room = sorted(counts), 24
+    want = {()}
+    for s in sizes:
+        want = {(s,) * k + f for f in want for k in range(counts[s] + 1) if k * s + sum(f) <= room}
+
+    def undominated(f):
+        free = [s for s in sizes if counts[s] > f.count(s)]
+        return all(s > room - sum(f) for s in free) and not any(x < s <= x + room - sum(f) for x in f for s in free)
+
+    want = sorted(filter(undominated, want), key=lambda f: (-sum(f), [-x for x in f]))
+    assert packing.fillings(sizes, counts, room, 10_000) == want
+    for i, f in enumerate(want):
+        assert list(packing._by_waste(sizes, counts, room, f)) == want[i + 1 :]
