@@ -2,12 +2,11 @@
 
 A text's bytes become an 8-bit mono wave file.  The file is cut where a rolling
 gear hash of the last 32 bytes has its top bits zero, so equal passages give equal
-chunks wherever they stand.  Writing makes packs, one row for each document: the
-ordered digests of its chunks and, for the chunks that this pack's task has not
-stored yet, their bytes.  A join of the digests finds one holder for every chunk
-over all packs.  Reading rebuilds each distinct media file once: from its own row
-where that holds all chunks, else from the ordered list joined with the holders;
-every chunk and every file is verified against its digest.
+chunks wherever they stand.  Writing lists the ordered digests of every file and
+counts them over the corpus: a chunk that is named once is stored in its file's
+row, all others are aggregated by digest into a table with one copy of each.
+Reading rebuilds each distinct media file once, from its ordered list and the
+stored chunks; every chunk and every file is verified against its digest.
 """
 
 from __future__ import annotations
@@ -15,21 +14,22 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import rows_of, written
 
 UNIT = 64
 RATE = 8000
 #: Chunks have at least LEAST and at most MOST bytes; between them one position in 2**BITS is a cut.
 LEAST, BITS, MOST = 1024, 12, 16_384
-#: Digests that a writing task remembers; beyond that it forgets them and may store a chunk again.
+#: Digests that a task remembers; beyond that it forgets them and may send a chunk to the aggregation again.
 REMEMBERED = 200_000
 
-#: A set of wanted digests of up to so many (32 bytes each) is broadcast.
+#: A set of repeated digests of up to so many (7 bytes of each) is broadcast.
 BROADCAST_DIGESTS = 500_000
 
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "big") for i in range(256)], np.uint32)
@@ -86,75 +86,120 @@ def feature(samples: bytes) -> str:
     return f"sum={int(x.sum())};squares={int((x * x).sum())};min={int(x.min())};max={int(x.max())};changes={int((x[1:] != x[:-1]).sum())}"
 
 
-PACK = "doc_id {kind}, n_bytes long, media_sha256 binary, digests array<binary>, stored array<binary>, complete boolean"
+class Packs(NamedTuple):
+    """The stored form: ``files`` with ordered digests and the chunks that no other place needs, ``chunks`` with all others."""
 
+    files: DataFrame
+    chunks: DataFrame
 
-def write_packs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the media of every row of ``docs`` in packs in the shared folder.
 
-    A null text counts as empty.  Null ids and repeated rows are kept as they
-    are; equal chunks are stored once for each task.  Other columns are not read.
+LIST = "doc_id {kind}, n_bytes long, media_sha256 binary, digests array<binary>"
+
+
+def _split(media: bytes) -> tuple[list[bytes], list[bytes]]:
+    """Chunks of ``media`` and their digests."""
+    ends = cuts(media)
+    parts = [media[a:b] for a, b in zip([0, *ends], ends)]
+    return parts, [hashlib.sha256(c).digest() for c in parts]
+
+
+def _key(digest: bytes) -> int:
+    """What ``_keys`` makes of a digest."""
+    return int.from_bytes(digest[:7], "big")
+
+
+def _keys(digest: str):
+    return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
+
+
+def write_packs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Packs:
+    """Store the media of every row of ``docs`` in the shared folder, each chunk once.
+
+    The digests go first: those that the corpus names once stay in their file's
+    row, the bytes of all others meet by digest and one copy is stored.  A null text
+    counts as empty.  Null ids and repeated rows are kept as they are.  Other
+    columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                sizes, shas, lists, stored, complete = [], [], [], [], []
-                for text in b.column(1).to_pylist():
-                    n, samples = payload_of(text)
-                    media = encode_wave(samples)
-                    own, parts, digests, start = {}, [], [], 0
-                    for end in cuts(media):
-                        chunk = media[start:end]
-                        digest = hashlib.sha256(chunk).digest()
-                        digests.append(digest)
-                        parts.append(None if digest in seen else chunk)
-                        own[digest] = own.get(digest, False) or digest not in seen
-                        seen.add(digest)
-                        start = end
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    sizes.append(n), shas.append(hashlib.sha256(media).digest()), lists.append(digests), stored.append(parts), complete.append(all(own.values()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(stored, pa.list_(pa.binary())), pa.array(complete, pa.bool_())], ["doc_id", "n_bytes", "media_sha256", "digests", "stored", "complete"])
-
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PACK.format(kind=kind)))
-
-
-def _held(packs: DataFrame) -> DataFrame:
+        for b in rows_of(batches, 256):
+            sizes, shas, lists = [], [], []
+            for text in b.column(1).to_pylist():
+                n, samples = payload_of(text)
+                media = encode_wave(samples)
+                sizes.append(n), shas.append(hashlib.sha256(media).digest()), lists.append(_split(media)[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_sha256", "digests"])
+
+    lists = written(src.mapInArrow(run, LIST.format(kind=kind)))
+    named = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(named.select(_keys("digest").alias("k")).distinct())
+    # without the set every chunk meets by digest; a key that a second digest has by chance only sends one chunk more there
+    known = shared.count() <= BROADCAST_DIGESTS
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(shared.toArrow().column(0).to_pylist()) if known else None)
+
+    def files(batches):
+        keys = sent.value
+        for b in rows_of(batches, 256):
+            sizes, shas, lists, own = [], [], [], []
+            for text in b.column(1).to_pylist():
+                n, samples = payload_of(text)
+                media = encode_wave(samples)
+                parts, digests = _split(media)
+                sizes.append(n), shas.append(hashlib.sha256(media).digest()), lists.append(digests)
+                own.append([None if keys is None or _key(d) in keys else c for c, d in zip(parts, digests)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_sha256", "digests", "stored"])
+
+    def common(batches):
+        keys, seen = sent.value, set()
+        for b in rows_of(batches, 256):
+            out = {}
+            for text in b.column(1).to_pylist():
+                for c, d in zip(*_split(encode_wave(payload_of(text)[1]))):
+                    if d not in seen and (keys is None or _key(d) in keys):
+                        seen.add(d)
+                        out[d] = c
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "bytes"])
+
+    met = src.mapInArrow(common, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    return Packs(written(src.mapInArrow(files, LIST.format(kind=kind) + ", stored array<binary>")), written(met))
+
+
+def _held(packs: Packs) -> DataFrame:
     """Every stored chunk: ``digest, bytes``."""
-    return packs.select(F.explode(F.arrays_zip("digests", "stored")).alias("c")).where("c.stored is not null").select(F.col("c.digests").alias("digest"), F.col("c.stored").alias("bytes"))
-
+    own = packs.files.select(F.explode(F.arrays_zip("digests", "stored")).alias("c")).where("c.stored is not null")
+    return own.select(F.col("c.digests").alias("digest"), F.col("c.stored").alias("bytes")).unionByName(packs.chunks)
 
-def chunk_index(packs: DataFrame) -> DataFrame:
-    """Per distinct chunk: ``digest, references, copies, bytes_long``; copies: how often packs store it.
 
-    Copies above 1 are what a compaction of the packs would free.
-    """
-    references = packs.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("references"))
+def chunk_index(packs: Packs) -> DataFrame:
+    """Per distinct chunk: ``digest, references, copies, bytes_long``; copies: how often the packs store it, always 1."""
+    references = packs.files.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("references"))
     copies = _held(packs).groupBy("digest").agg(F.count("*").alias("copies"), F.max(F.octet_length("bytes")).cast("long").alias("bytes_long"))
     return references.join(copies, "digest")
 
 
-def rebuild(packs: DataFrame) -> DataFrame:
+def rebuild(packs: Packs) -> DataFrame:
     """Per distinct media file: ``media_sha256`` and what ``_read_back`` computes.
 
-    Raises if a chunk is lost or a digest differs.
+    A file whose row holds all its chunks is rebuilt there: no other row has any of
+    them.  All others are ordered lists joined with the stored chunks.  Raises if a
+    chunk is lost or a digest differs.
     """
-    whole = packs.where("complete").select("media_sha256", "digests", "stored")
-    rest = packs.where("not complete").select("media_sha256", "digests").join(whole.select("media_sha256").distinct(), "media_sha256", "left_anti").dropDuplicates(["media_sha256"])
-    wanted = written(rest.select("media_sha256", F.posexplode("digests").alias("at", "digest")))
-    lost = written(wanted.select("digest").distinct())
-    # few chunks live in another file's row: a small set of digests goes to the packs, else the packs' chunks are shuffled
-    small = lost.count() <= BROADCAST_DIGESTS
-    holders = _held(packs).join(F.broadcast(lost) if small else lost, "digest", "left_semi").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    whole = ~F.exists("stored", lambda x: x.isNull())
+    files = packs.files.select("media_sha256", "digests", "stored")
+    parts = files.where(~whole)
+    lists = written(parts.select("media_sha256", "digests", F.transform("stored", lambda x: x.isNull()).alias("away")).groupBy("media_sha256").agg(F.first("digests").alias("digests"), F.first("away").alias("away")))
+    wanted = lists.select("media_sha256", F.posexplode(F.arrays_zip("digests", "away")).alias("at", "c")).where("c.away").select("media_sha256", "at", F.col("c.digests").alias("digest"))
+    # a file with a chunk of its own is no copy of another, so its row comes once
+    own = parts.select("media_sha256", F.posexplode(F.arrays_zip("digests", "stored")).alias("at", "c")).where("c.stored is not null").select("media_sha256", "at", F.col("c.digests").alias("digest"), F.col("c.stored").alias("bytes"))
+    found = wanted.join(packs.chunks, "digest", "left").select("media_sha256", "at", "digest", "bytes").unionByName(own)
     # the chunks of one file come together, never those of more
-    listed = wanted.join(holders, "digest", "left").groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "bytes"))).alias("c"))
+    listed = found.groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "bytes"))).alias("c"))
     joined = listed.select("media_sha256", F.transform("c", lambda x: x["digest"]).alias("digests"), F.transform("c", lambda x: x["bytes"]).alias("stored"))
-    found = _read_back(whole).unionByName(_read_back(joined))
-    return found.groupBy("media_sha256").agg(*[F.first(c).alias(c) for c in found.columns if c != "media_sha256"])
+    return _read_back(files.where(whole)).unionByName(_read_back(joined))
 
 
 def _read_back(media: DataFrame) -> DataFrame:
@@ -188,4 +233,4 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     packs = write_packs(docs, id_col=id_col, text_col=text_col)
     # a written table, so that the join below stands alone in its stage and a hot text's rows can be split
     found = written(rebuild(packs))
-    return packs.select("doc_id", "n_bytes", "media_sha256").join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
+    return packs.files.select("doc_id", "n_bytes", "media_sha256").join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")

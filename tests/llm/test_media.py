@@ -62,3 +62,22 @@ def test_shared_chunks_are_stored_once_for_each_task(make_docs):
     index = media.chunk_index(packs)
     s = index.agg({"references": "sum", "copies": "max"}).first()
     assert s["max(copies)"] == 1 and index.count() < s["sum(references)"] / 4
+
+
+def test_chunks_are_stored_once_over_all_tasks(make_docs, monkeypatch):
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefg ") for _ in range(60_000))
+    rows = [*ODD, *[(20 + i, str(i) + passage) for i in range(9)], *[(40 + i, "a hot text") for i in range(9)]]
+    for most in (media.BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(media, "BROADCAST_DIGESTS", most)
+        docs = make_docs(rows).repartition(5)
+        index = media.chunk_index(media.write_packs(docs)).collect()
+        want = {}
+        for _, t in rows:
+            m = media.encode_wave(media.payload_of(t)[1])
+            ends = media.cuts(m)
+            for a, b in zip([0, *ends], ends):
+                d = hashlib.sha256(m[a:b]).digest()
+                want[d] = want.get(d, 0) + 1
+        assert {bytes(x["digest"]): (x["references"], x["copies"]) for x in index} == {d: (n, 1) for d, n in want.items()}
+        assert sorted(map(tuple, media.media_column(docs).collect()), key=repr) == sorted(((i, *expected(t)) for i, t in rows), key=repr)
