@@ -411,15 +411,16 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
 def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one whose id names the class.
 
-    Rows without words all stay.  Rows that repeat the kept id count as one.  A
-    row with a null id stays only where no member of its class has an id, one row
+    Rows without words all stay.  Of rows of a class that share the kept id one
+    stays; rows of other classes with that id are their own classes' matter.  A row with a null id stays only where no member of its class has an id, one row
     for each such class.  Keeps the columns of ``docs``.
     """
     found = written(_classes(docs, words, percent, id_col, text_col).where("n > 0"))
-    named = found.where("doc_id = least").select(F.col("doc_id").alias(id_col)).distinct()
+    # one row of each class, by id and text: an id may stand in several classes
+    named = found.where("doc_id = least").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias(id_col), F.col("m.h").alias("__h"))
     unnamed = found.where("least is null").groupBy("class").agg(F.min("h").alias("__h")).select("__h").distinct()
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
     full = docs.where(~wordless)
-    kept = full.where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi").dropDuplicates([id_col])
+    kept = full.where(F.col(id_col).isNotNull()).withColumn("__h", F.xxhash64(text_col)).join(named, [id_col, "__h"], "left_semi").dropDuplicates([id_col, "__h"])
     rest = full.where(F.col(id_col).isNull()).withColumn("__h", F.xxhash64(text_col)).join(unnamed, "__h", "left_semi").dropDuplicates(["__h"])
     return kept.select(*docs.columns).unionByName(rest.select(*docs.columns)).unionByName(docs.where(wordless))

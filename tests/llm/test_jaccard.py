@@ -139,3 +139,11 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(101)} | {500: 500, 501: 500}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_in_two_classes_keeps_a_text_of_each(make_docs):
+    first, second, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    # id 2 has a text of its own and a copy of id 1's; id 3 has two unrelated texts
+    rows = [(1, first), (2, first), (2, second), (3, third), (3, "z " + first[::-1]), (3, third)]
+    got = jaccard.deduplicate(make_docs(rows), words=5, percent=80).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == sorted({(1, first), (2, second), (3, third), (3, "z " + first[::-1])})
