@@ -4,8 +4,8 @@ Packing depends only on how many pieces there are of each length, and lengths
 run from 1 to the capacity: that histogram, whatever the corpus' size, is all
 the driver sees.  Best-fit decreasing gives the incumbent; where it misses the
 lower bound, a search completes the bin of the largest remaining piece with
-undominated fillings, each any number of times, and prunes by waste.  The solution is a list of patterns
-with multiplicities; a piece finds its sequence from its length and its rank
+undominated fillings, each any number of times, and prunes by waste.  The solution
+is a list of patterns with multiplicities; a piece finds its sequence from its length and its rank
 among the pieces of that length, which tasks count for themselves.
 """
 
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bytebpe import ByteBpe
 from .common import written
 
-#: Nodes that a sweep of the search may visit before the incumbent stands.
-SEARCH_NODES = 6_000
-#: Fillings that a node of the quick sweep tries, best first.
-FILLINGS = 24
+#: Nodes that the whole search may visit before the incumbent stands.
+SEARCH_NODES = 1_000
+#: Counts of a task's pieces by length are broadcast up to so many rows (24 bytes each), else joined by shuffle.
+BROADCAST_COUNTS = 500_000
 #: So many steps of listing fillings count as a node.
 STEPS = 1_000
 
@@ -71,15 +71,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(lengths, bins) for groups in open_.values() for lengths, bins in groups]
 
 
-def _by_waste(sizes: list[int], counts: dict[int, int], room: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...] | None]:
-    """All undominated ways to fill ``room``, lazily: least waste first, then larger pieces first.
-
-    ``sizes`` ascend.  A filling is dominated if a free piece still fits, or could
-    take the place of a smaller one.  With ``after``, only fillings that come later
-    in this order.  Every ``STEPS`` steps that find none give a None.
-    """
-    sizes = sizes[: bisect_right(sizes, room)]
-    # sums[i]: bit t is set if pieces of the i smallest lengths add up to t
+def _sums(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Item i: bit t is set if pieces of the i smallest lengths add up to t."""
     sums, mask = [1], (1 << room + 1) - 1
     for s in sizes:
         x, left, k = sums[-1], min(counts[s], room // s), 1
@@ -88,6 +81,18 @@ def _by_waste(sizes: list[int], counts: dict[int, int], room: int, after: tuple[
             x |= x << k * s & mask
             left, k = left - k, 2 * k
         sums.append(x)
+    return sums
+
+
+def _by_waste(sizes: list[int], counts: dict[int, int], room: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room``, lazily: least waste first, then larger pieces first.
+
+    ``sizes`` ascend.  A filling is dominated if a free piece still fits, or could
+    take the place of a smaller one.  With ``after``, only fillings that come later
+    in this order.  Every ``STEPS`` steps that find none give a None.
+    """
+    sizes = sizes[: bisect_right(sizes, room)]
+    sums = _sums(sizes, counts, room)
     first, steps = 0 if after is None else room - sum(after), 0
     for waste in range(first, room + 1):
         # (undecided lengths, sum to fill, pieces so far, smallest larger length with a free piece, equal to `after` so far)
@@ -116,42 +121,25 @@ def _by_waste(sizes: list[int], counts: dict[int, int], room: int, after: tuple[
                 stack.append((i - 1, left - k * s, (*chosen, *(s,) * k), s if k < counts[s] else larger, k == own))
 
 
-def _first_fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` among the first few that start with large pieces, least waste first.
+def _within(sizes: list[int], counts: dict[int, int], room: int, tolerance: int) -> tuple[int, ...]:
+    """Of the fillings that waste at most ``tolerance`` (else, as little as can be) the one of the largest pieces.
 
-    They keep small pieces for later, which often gives a good incumbent; the
-    whole search does not depend on them.
+    Small pieces stay free for later bins, where they can still close gaps.
     """
-    out: list[tuple[int, ...]] = []
-    steps = 0
-
-    def grow(at: int, left: int, chosen: tuple[int, ...]):
-        nonlocal steps
-        steps += 1
-        if steps > 40 * most or len(out) >= 4 * most:
-            return
-        extended = False
-        for i in range(bisect_right(sizes, left, 0, at) - 1, -1, -1):
-            s = sizes[i]
-            if counts[s] > chosen.count(s):
-                extended = True
-                grow(i + 1, left - s, (*chosen, s))
-                if len(out) >= 4 * most or steps > 40 * most:
-                    break
-        if not extended:
-            out.append(chosen)
-
-    grow(len(sizes), room, ())
-    kept = []
-    for f in sorted(set(out), key=lambda f: (room - sum(f), len(f), tuple(-x for x in f))):
-        slack, own = room - sum(f), Counter(f)
-        free = [s for s in sizes if counts[s] > own[s]]
-        dominated = any((j := bisect_right(free, x + slack)) and free[j - 1] > x for x in own)
-        if not dominated:
-            kept.append(f)
-        if len(kept) >= most:
-            break
-    return kept
+    sizes = sizes[: bisect_right(sizes, room)]
+    sums = _sums(sizes, counts, room)
+    spare = room - min(sums[-1].bit_length() - 1, room - tolerance)
+    out: list[int] = []
+    left = room
+    for i in range(len(sizes), 0, -1):
+        s = sizes[i - 1]
+        k = min(counts[s], left // s)
+        # the smaller lengths must be able to end within the spare
+        while k and not sums[i - 1] >> max(0, left - k * s - spare) & (1 << min(left - k * s, spare) + 1) - 1:
+            k -= 1
+        out += [s] * k
+        left -= k * s
+    return tuple(out)
 
 
 def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
@@ -160,16 +148,33 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) ->
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: by the sum, and as no two pieces of over half the capacity share one."""
-    return max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    """Bins that any packing needs.
+
+    For every least length a: pieces over capacity - a stay alone among the pieces
+    of a and more, those over half the capacity each need a bin, and what the
+    others of at least a don't find room for beside the latter needs bins too.
+    """
+    sizes = sorted(counts)
+    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    alone = sum(n for s, n in counts.items() if 2 * s > capacity)
+    for a in [s for s in sizes if 2 * s <= capacity]:
+        room = sum(n * (capacity - s) for s, n in counts.items() if capacity < 2 * s <= 2 * (capacity - a))
+        small = sum(s * n for s, n in counts.items() if a <= s and 2 * s <= capacity)
+        best = max(best, alone + max(0, -(-(small - room) // capacity)))
+    return max(best, alone)
 
 
 def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[Pattern]:
     """Patterns that hold every piece, in as few bins as the search finds.
 
-    A branch is a pattern of the largest piece left and how often it is taken in
-    all: largest first, then fewer down to 1.  Further bins of that piece have later
-    patterns, which waste no less; so every set of undominated bins is one path.
+    Depth first over bins of the largest piece left; a branch is a pattern and how
+    often it is taken, and goes if its waste leaves no way to beat the incumbent.
+    The first dives only follow one branch of a bin, the largest pieces within a
+    tolerated waste, for doubling tolerances.  The whole search then takes every
+    undominated filling by waste, as often as possible first, then fewer down to 1:
+    further bins of that piece have later patterns, which waste no less, so every
+    set of undominated bins is one path.  It ends at the lower bound, when the
+    branches are exhausted, or after ``nodes`` nodes.
     """
     counts = {s: n for s, n in counts.items() if n and s > 0}
     if not counts:
@@ -178,7 +183,10 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> li
     best = best_fit_decreasing(counts, capacity)
     best_bins = sum(m for _, m in best)
 
-    def branches(last: tuple[int, ...] | None) -> Iterator[Pattern | None]:
+    def most_of(pattern: tuple[int, ...]) -> int:
+        return min(rest[s] // k for s, k in Counter(pattern).items())
+
+    def whole(last: tuple[int, ...] | None) -> Iterator[Pattern | None]:
         if not rest:
             return
         largest = max(rest)
@@ -194,29 +202,31 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> li
             # this bin and the later ones of this piece waste as much, each
             if waste + bins_of * lost > (best_bins - 1) * capacity - total:
                 return
-            most = min(rest[s] // k for s, k in Counter(pattern).items())
+            most = most_of(pattern)
             # nothing fits beside a piece that stays alone
             for times in range(most, 0 if filling else most - 1, -1):
                 if waste + max(times, bins_of) * lost <= (best_bins - 1) * capacity - total:
                     yield pattern, times
 
-    def quick(last: tuple[int, ...] | None) -> Iterator[Pattern | None]:
-        if not rest:
-            return
-        largest = max(rest)
-        free = {s: n - (s == largest) for s, n in rest.items() if n > (s == largest)}
-        for filling in _first_fillings(sorted(free), free, capacity - largest, FILLINGS):
-            pattern = (largest, *filling)
-            times = min(rest[s] // k for s, k in Counter(pattern).items())
-            fits = waste + times * (capacity - sum(pattern)) <= (best_bins - 1) * capacity - total
-            yield (pattern, times) if fits else None
+    def dive(tolerance: int):
+        def one(last: tuple[int, ...] | None) -> Iterator[Pattern]:
+            if not rest:
+                return
+            largest = max(rest)
+            free = {s: n - (s == largest) for s, n in rest.items() if s <= capacity - largest and n > (s == largest)}
+            pattern = (largest, *_within(sorted(free), free, capacity - largest, tolerance))
+            times = most_of(pattern)
+            if waste + times * (capacity - sum(pattern)) <= (best_bins - 1) * capacity - total:
+                yield pattern, times
+
+        return one
 
-    # the quick sweep takes few patterns, as often as it can; the whole one goes on from its incumbent
-    for sweep in (quick, branches):
+    dives = [0, *(1 << i for i in range(2, capacity.bit_length() - 1))]
+    for sweep in (*map(dive, dives), whole):
         # depth first, on one histogram that is changed and restored: memory grows with the depth alone
         rest, chosen, bins, waste, visited = dict(counts), [], 0, 0, 0
         levels = [sweep(None)]
-        while levels and best_bins > bound and visited < nodes:
+        while levels and best_bins > bound and (sweep is not whole or visited < nodes):
             try:
                 branch = next(levels[-1])
             except StopIteration:
@@ -307,7 +317,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
     layout = pieces.sparkSession.sparkContext.broadcast(_layout(pack(counts, capacity)))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = per.select("part", "length", before.alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
+    small = per.count() <= BROADCAST_COUNTS
+    ranked = pieces.join(F.broadcast(first) if small else first.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
     kind = ranked.schema["doc_id"].dataType.simpleString()
 
     def place(batches):

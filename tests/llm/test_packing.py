@@ -1,7 +1,6 @@
 import random
 import zlib
 from collections import Counter
-from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +12,10 @@ from tapewright.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def bins(counts, capacity):
+    return sum(b for _, b in packing.pack(counts, capacity))
+
+
 def fewest(items, capacity):
     """By trying all ways (small cases)."""
     best = len(items)
@@ -51,11 +54,40 @@ def test_small_cases_are_optimal(seed):
 
 def test_search_beats_best_fit():
     counts = {7: 2, 6: 2, 4: 2, 3: 2, 2: 2}
-    assert sum(b for _, b in packing.pack(counts, 11)) == 4
-    r = random.Random(4)
-    many = dict(Counter(min(1024, max(1, int(r.lognormvariate(5.5, 1)))) for _ in range(20_000)))
-    bins, greedy = (sum(b for _, b in p) for p in (packing.pack(many, 1024), packing.best_fit_decreasing(many, 1024)))
-    assert -(-sum(s * n for s, n in many.items()) // 1024) <= bins <= greedy
+    assert bins(counts, 11) == 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_beats_best_fit_on_thousands_of_pieces(seed):
+    r = random.Random(seed)
+    many = dict(Counter(r.randint(150, 700) for _ in range(5000)))
+    patterns = packing.pack(many, 1024)
+    back = Counter()
+    for lengths, n in patterns:
+        assert sum(lengths) <= 1024
+        for x in lengths:
+            back[x] += n
+    assert back == many
+    assert sum(n for _, n in patterns) < sum(n for _, n in packing.best_fit_decreasing(many, 1024))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_bound_is_one(seed):
+    r = random.Random(seed)
+    items = [r.randint(1, 12) for _ in range(r.randint(1, 10))]
+    assert packing.lower_bound(dict(Counter(items)), 15) <= fewest(items, 15)
+
+
+def test_wide_counts_are_joined_by_shuffle(make_docs, monkeypatch):
+    rows = [(i, "word " * (i % 40)) for i in range(120)]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    want = Counter(tuple(x[c] for c in columns) for x in packing.pack_documents(make_docs(rows), PATH, capacity=64).collect())
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    got = packing.pack_documents(make_docs(rows), PATH, capacity=64)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
+    assert Counter(tuple(x[c] for c in columns) for x in got) == want
+    assert len({(x["sequence_id"], x["offset"]) for x in got}) == len(got)
 
 
 def test_fillings_are_undominated():
@@ -63,7 +95,6 @@ def test_fillings_are_undominated():
     got = packing.fillings([2, 3, 5, 8], counts, 10, 20)
     assert (5, 5) in got and (8, 2) in got and got[0] in ((5, 5), (8, 2))
     assert (5, 3) not in got  # 3 could be a 5
-    assert combinations is not None
 
 
 def test_round_trip(make_docs):
@@ -93,10 +124,6 @@ def test_round_trip(make_docs):
     assert packing.pack_documents(make_docs([]), PATH).count() == 0
 
 
-def bins(counts, capacity):
-    return sum(b for _, b in packing.pack(counts, capacity))
-
-
 def test_patterns_are_also_taken_less_often_than_possible():
     counts = {600: 2, 200: 4, 230: 2, 170: 2, 499: 1, 457: 1, 431: 1, 413: 1, 369: 1, 357: 1, 343: 1, 331: 1}
     assert bins(counts, 1000) == packing.lower_bound(counts, 1000) == 6
