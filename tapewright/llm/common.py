@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,11 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (unit tests on one machine) one local folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a session with
+    a local master (tests on one machine) may do without: a local folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or _local_dir()).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @lru_cache(maxsize=1)
@@ -28,14 +31,46 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tapewright-")
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it back."""
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside, unless it keeps them, are deleted at the end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+
+    The table stays until its ``scratch`` ends; without one, or with ``keep``, until the folder is cleared.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: Iterable[str]) -> str:
+    """``name``, lengthened until no column in ``taken`` has it (in any case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

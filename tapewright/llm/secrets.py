@@ -1,16 +1,17 @@
 """Secret scans through a trigram index (DataFrame functions only).
 
 Each rule's regex is turned, on the driver, into a Boolean query over trigrams
-that any match must contain.  The index holds, for every document, its posting
-bits for the trigrams that some rule asks for (``postings`` lists them as
-trigram -> document rows); it lives beside the document, so intersecting the
-postings moves no text.  Only documents that satisfy a rule's query are verified
-with its regex; a rule without mandatory trigrams verifies every document.
+that any match must contain.  The inverted index lists, for each of the trigrams
+that some rule asks for, the documents that hold it; it is a written table.  The
+lists are intersected and united as the queries say, which gives the candidates of
+each rule.  Only candidates are verified with the rule's regex; a rule without
+mandatory trigrams verifies every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -18,9 +19,15 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh, written
+
 #: At most so many strings are told apart while a query is derived.
 EXACT_STRINGS = 48
 MARK = "[SECRET]"
+#: Candidates (a key and a few flags each) are broadcast up to so many, else joined by shuffle.
+BROADCAST_CANDIDATES = 500_000
+#: Items of a running total that are listed at once.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -141,7 +148,7 @@ def trigrams(query) -> set[str]:
 
 
 class TrigramIndex:
-    """Posting bits of the trigrams that ``rules`` ask for."""
+    """Inverted lists of the trigrams that ``rules`` ask for."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = tuple(rules)
@@ -150,18 +157,28 @@ class TrigramIndex:
         self.at = {t: divmod(i, 62) for i, t in enumerate(self.terms)}
         self.words = -(-len(self.terms) // 62)
 
-    def bits(self, text: Column) -> list[Column]:
-        low = F.lower(text)
-        out = []
-        for w in range(self.words):
-            own = [F.when(F.contains(low, F.lit(t)), F.lit(1 << self.at[t][1])).otherwise(F.lit(0)).cast("long") for t in self.terms if self.at[t][0] == w]
-            out.append(reduce(lambda a, b: a.bitwiseOR(b), own))
-        return out
+    def postings(self, docs: DataFrame, key: Column, text: Column) -> DataFrame:
+        """Rows ``trigram, doc`` of the terms in each lower-cased text, sorted by trigram within a task."""
+        src = docs.select(key.alias("doc"), F.lower(text).alias("low"))
+        own = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in self.terms]).cast("array<string>"))
+        return src.select(F.explode(own).alias("trigram"), "doc").sortWithinPartitions("trigram")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """Intersects and unites the lists: ``doc`` and, per rule with mandatory trigrams, whether its query holds.
+
+        A document's entries of all lists meet as bits, combined before they are shuffled.
+        """
+        def bit(w: int) -> Column:
+            own = F.create_map(*[F.lit(x) for t, (v, i) in self.at.items() if v == w for x in (t, 1 << i)])
+            return F.coalesce(F.element_at(own, F.col("trigram")), F.lit(0)).cast("long")
+
+        met = postings.groupBy("doc").agg(*[F.bit_or(bit(w)).alias(f"w{w}") for w in range(self.words)])
+        bits = [F.col(f"w{w}") for w in range(self.words)]
+        asked = [r.kind for r in self.rules if self.queries[r.kind] is not True]
+        found = met.select("doc", *[self.matches(self.queries[k], bits).alias(k) for k in asked])
+        return found.where(reduce(or_, [F.col(k) for k in asked]))
 
     def matches(self, query, bits: list[Column]) -> Column:
-        """Intersects and unites postings as the query says."""
-        if query is True:
-            return F.lit(True)
         if isinstance(query, str):
             query = ("and", (query,))
         if query[0] == "and" and all(isinstance(q, str) for q in query[1]):
@@ -172,55 +189,90 @@ class TrigramIndex:
             return reduce(and_, [bits[w].bitwiseAND(F.lit(m)) == F.lit(m) for w, m in masks.items()])
         return reduce(and_ if query[0] == "and" else or_, [self.matches(q, bits) for q in query[1]])
 
-    def postings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The inverted lists as rows ``trigram, doc_id``, for a stored index."""
-        low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-        src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("low", low)
-        return src.select(F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in self.terms]))).alias("trigram"), "doc_id")
 
+# --- verification ------------------------------------------------------------
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with a ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(x: str, merge: str) -> str:
+    """SQL: running totals of an array of ints, each with its own item; ``merge``: the total of ``a`` and ``b``.
+
+    In blocks: no step copies more than one block or one item of every block.
+    """
+
+    def totals(start: str, items: str) -> str:
+        step = merge.format(a="acc.now", b="item")
+        return f"aggregate({items}, named_struct('now', {start}, 'all', cast(array() AS array<int>)), (acc, item) -> named_struct('now', {step}, 'all', concat(acc.all, array({step}))), acc -> acc.all)"
 
-def _spans(rule: Rule, number: int, text: Column, candidate: Column) -> Column:
-    """Spans of one rule: array of (start, no, kind, end), ends exclusive.
+    blocks = f"transform(sequence(1, greatest(1, size(run)), {BLOCK}), at -> slice(run, at, {BLOCK}))"
+    block_ends = totals("0", f"transform(blocks, block -> aggregate(block, 0, (sofar, item) -> {merge.format(a='sofar', b='item')}))")
+    starts = _let("block_ends", block_ends, "concat(array(0), slice(block_ends, 1, size(block_ends) - 1))")
+    joined = f"flatten(zip_with(blocks, {starts}, (block, start) -> {totals('start', 'block')}))"
+    return _let("run", x, _let("blocks", blocks, joined))
+
+
+SPANS = "array<struct<start:int,no:int,kind:string,end:int,from:int,to:int>>"
+
+
+def _spans(rule: Rule, number: int, text: str, candidate: str) -> Column:
+    """Spans of one rule: array of (start, no, kind, end, from, to), ends exclusive; from and to are bytes.
 
     The pieces between the matches give the positions: ``split`` and
-    ``regexp_extract_all`` see the same leftmost, non-overlapping matches.
+    ``regexp_extract_all`` see the same leftmost, non-overlapping matches.  ``text``
+    and ``candidate`` are SQL.
     """
-    rx = F.lit(rule.regex)
-    gaps = F.zip_with(F.split(text, rule.regex, -1), F.regexp_extract_all(text, rx, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len")))
-    both = gaps
-    if rule.group:
-        both = F.zip_with(gaps, F.regexp_extract_all(text, rx, F.lit(rule.group)), lambda a, g: F.struct(a["gap"].alias("gap"), a["len"].alias("len"), F.length(g).alias("own")))
-    else:
-        both = F.transform(gaps, lambda a: F.struct(a["gap"].alias("gap"), a["len"].alias("len"), a["len"].alias("own")))
-    kind = "array<struct<start:int,no:int,kind:string,end:int>>"
-    none = F.array().cast(kind)
-
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        end = start + x["len"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("no"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(x["own"] >= rule.least, F.concat(acc["out"], F.array(span).cast(kind))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(both, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(candidate & text.rlike(rule.regex), found).otherwise(none)
-
-
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+    rx = "'" + rule.regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    sizes = f"zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0), (p, m) -> named_struct('gap', length(p), 'len', length(m), 'gap_b', octet_length(p), 'len_b', octet_length(m)))"
+    # the piece behind the last match has none
+    sizes = f"filter({sizes}, x -> x.len IS NOT NULL)"
+    own = f"transform(regexp_extract_all({text}, {rx}, {rule.group}), g -> length(g))"
+    ends = _running("transform(found, x -> x.gap + x.len)", "{a} + {b}")
+    to = _running("transform(found, x -> x.gap_b + x.len_b)", "{a} + {b}")
+    placed = f"zip_with(zip_with(found, {ends}, (x, e) -> named_struct('x', x, 'e', e)), zip_with({to}, {own}, (t, g) -> named_struct('t', t, 'g', g)), (l, r) -> named_struct('start', l.e - l.x.len, 'end', l.e, 'from', r.t - l.x.len_b, 'to', r.t, 'own', r.g))"
+    kept = f"transform(filter({placed}, s -> s.own >= {rule.least}), s -> named_struct('start', s.start, 'no', {number}, 'kind', '{rule.kind}', 'end', s.end, 'from', s.from, 'to', s.to))"
+    return F.expr(f"CASE WHEN {candidate} AND {text} RLIKE {rx} THEN cast({_let('found', sizes, kept)} AS {SPANS}) ELSE cast(array() AS {SPANS}) END")
+
+
+def _found(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, id_col: str, out: str) -> DataFrame:
+    """``docs`` with the column ``out`` of spans; see ``find_secrets``."""
+    index = TrigramIndex(rules)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    asked = [r.kind for r in index.rules if index.queries[r.kind] is not True]
+    names = {k: fresh(f"fits_{k}", docs.columns, [out]) for k in asked}
+    joined = docs
+    if asked:
+        # rows of equal id and text share an entry; a key that two texts have by chance only verifies one text more
+        key = F.xxhash64(*[c for c in (id_col, text_col) if c in docs.columns])
+        own = fresh("doc", docs.columns, [out], names.values())
+        postings = written(index.postings(docs, key, text))
+        fits = written(index.candidates(postings)).select(F.col("doc").alias(own), *[F.col(k).alias(n) for k, n in names.items()])
+        few = fits.count() <= BROADCAST_CANDIDATES
+        joined = docs.withColumn(own, key).join(F.broadcast(fits) if few else fits.hint("merge"), own, "left").drop(own)
+    whole = f"coalesce(`{text_col}`, '')"
+    parts = [_spans(r, i, whole, f"coalesce(`{names[r.kind]}`, false)" if r.kind in names else "true") for i, r in enumerate(index.rules)]
+    return joined.withColumn(out, F.array_sort(F.concat(*parts))).drop(*names.values())
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", id_col: str = "doc_id", spans_col: str = "secret_spans") -> DataFrame:
     """``docs`` with an array column of (start, no, kind, end) of every rule's matches.
 
     Positions are code points from 0, ends exclusive, sorted by start and then
     by the rules' order; matches of one rule don't overlap, those of different
-    rules may.  A null or empty text has no spans.  Rows and other columns stay
-    as they are; a column that is already named ``spans_col`` is replaced.
-    Nothing is shuffled and no row leaves the JVM.
+    rules may.  A null or empty text has no spans.  Null ids and repeated rows are
+    fine; rows and other columns stay as they are, an empty table gives an empty
+    result; a column that is already named ``spans_col`` is replaced.
+
+    The index (rows trigram, document) is written first; its lists are intersected
+    to the candidates of each rule, which the documents are joined with: by
+    broadcast up to ``BROADCAST_CANDIDATES`` candidates, else by shuffle.
+    No row leaves the JVM.
     """
-    index = TrigramIndex(rules)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [f"__posting_{i}" for i in range(index.words)]
-    out = docs.withColumns(dict(zip(names, index.bits(text)))) if names else docs
-    bits = [F.col(n) for n in names]
-    parts = [_spans(r, i, text, index.matches(index.queries[r.kind], bits)) for i, r in enumerate(index.rules)]
-    return out.withColumn(spans_col, F.array_sort(F.concat(*parts))).drop(*names)
+    found = _found(docs, rules, text_col, id_col, spans_col)
+    return found.withColumn(spans_col, F.expr(f"transform(`{spans_col}`, s -> named_struct('start', s.start, 'no', s.no, 'kind', s.kind, 'end', s.end))"))
 
 
 def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -233,18 +285,18 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every secret in the text replaced by ``[SECRET]``.
 
     Overlapping spans become one mark; texts without a secret, null ones
-    included, stay as they are.  Keeps the columns of ``docs``.
+    included, stay as they are.  Repeated rows and null ids are redacted alike.
+    Keeps the columns of ``docs``.
     """
-    found = find_secrets(docs, rules, text_col=text_col, spans_col="__spans")
-    text = F.col(text_col)
-
-    def step(acc, s):
-        fresh = F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    out = fresh("spans", docs.columns)
+    found = _found(docs, rules, text_col, id_col, out)
+    reached = _running(f"transform(`{out}`, s -> s.to)", "greatest({a}, {b})")
+    gaps = f"filter(zip_with(`{out}`, concat(array(0), slice(reached, 1, size(reached) - 1)), (s, at) -> named_struct('at', at, 'to', s.from)), g -> g.to >= g.at)"
+    pieces = f"transform({gaps}, g -> cast(substring(raw, g.at + 1, g.to - g.at) AS string))"
+    rest = "cast(substring(raw, element_at(reached, -1) + 1, octet_length(raw)) AS string)"
+    clean = _let("raw", f"cast(`{text_col}` AS binary)", _let("reached", reached, f"array_join(concat({pieces}, array({rest})), '{MARK}')"))
+    return found.withColumn(text_col, F.expr(f"CASE WHEN size(`{out}`) > 0 THEN {clean} ELSE `{text_col}` END")).select(*docs.columns)
