@@ -9,8 +9,8 @@
    edge is filled by a greedy choice of its documents.
 3. Splitting tree: the units (source, epoch, block) are dealt over the output
    shards by halving the range of shards again and again.  At each node the left
-   half's share of every source's quota is a multivariate-hypergeometric draw, so
-   shards hold exact numbers of units and no unit is drawn twice.
+   half's share of every source's quota is a multivariate-hypergeometric draw, exact
+   at every size, so shards hold exact numbers of units and no unit is drawn twice.
 4. A shard's units are disjoint slices of each source's permuted unit list; the
    local shuffle is the order of a hash within the shard.
 
@@ -21,19 +21,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import word_count, written
+from .common import fresh, word_count, written
 
-#: Draws of up to so many units are made one by one; larger ones follow the Gaussian limit, clipped to what is possible.
-EXACT_UNITS = 512
+#: A running sum within a source goes by buckets of about so many rows.
+BUCKET_ROWS = 65_536
 #: The table of sources is broadcast up to so many sources, else joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
-_TWO63 = float(2**63)
-
+#: Widths of the tree at which its nodes are dealt over tasks again.
+SPREAD_AT = tuple(2**i for i in range(4, 40, 5))
 
-def _uniform(*cols: Column) -> Column:
-    """In (0, 1), from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*cols), 1).cast("double") + 0.5) / F.lit(_TWO63)
+_TWO63 = float(2**63)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -60,13 +58,31 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return x.select("source", "no", "source_size", F.when(full, F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+def _before(df: DataFrame, bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before, within ``no``, in the order of bucket and ``order``.
+
+    Buckets are summed first, so that no task sorts a whole source.
+    """
+    x = df.withColumn("bucket", bucket)
+    per = x.groupBy("no", "bucket").agg(F.sum(value).alias("of_bucket"))
+    earlier = F.coalesce(F.sum("of_bucket").over(W.partitionBy("no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = per.select("no", "bucket", earlier.alias("of_earlier"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("no", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn(out, inside).join(firsts, ["no", "bucket"]).withColumn(out, (F.col(out) + F.col("of_earlier")).cast("long")).drop("bucket", "of_earlier")
+
+
+def _by_hash(h: Column, rows: int) -> Column:
+    """A bucket of about ``BUCKET_ROWS`` of ``rows`` rows, from a hash."""
+    return F.pmod(F.shiftrightunsigned(h, 16), F.lit(max(1, -(-rows // BUCKET_ROWS))).cast("long"))
+
+
 def _blocks(docs: DataFrame, sources: DataFrame, bounded: bool, seed: int) -> DataFrame:
     """Per block: ``no, block, words, epochs, gap``; gap: words that the edge block still gives."""
-    per = docs.where(F.col("size") > 0).groupBy("no", "block").agg(F.sum("size").alias("words"))
-    order = W.partitionBy("no").orderBy(F.xxhash64(F.lit(seed), "no", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
-    x = per.join(_small(sources.select("no", "source_size", "target"), bounded), "no")
+    per = written(docs.where(F.col("size") > 0).groupBy("no", "block").agg(F.sum("size").alias("words")))
+    h = F.xxhash64(F.lit(seed), "no", "block")
+    x = _before(per, _by_hash(h, per.count()), [h, F.col("block")], F.col("words"), "before")
+    x = x.join(_small(sources.select("no", "source_size", "target"), bounded), "no")
     x = x.withColumn("whole", F.floor(F.col("target") / F.col("source_size")).cast("int")).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    x = x.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
     inside = F.col("before") + F.col("words") <= F.col("rest")
     gap = F.when(~inside & (F.col("before") < F.col("rest")), F.col("rest") - F.col("before")).otherwise(0)
     return x.select("no", "block", "words", (F.col("whole") + inside.cast("int")).alias("epochs"), gap.alias("gap"))
@@ -103,47 +119,59 @@ def _edge_picks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return listed.select("no", "block", F.aggregate("all", start, step, finish).alias("picks"))
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Deal ``no, units`` over ``shards``: rows ``shard, no, units``.
+def _hypergeometric(all_: str, own: str, drawn: str, u: str) -> str:
+    """SQL: how many of ``drawn`` units, out of ``all_``, are among the ``own`` ones; ``u`` is uniform in (0, 1).
 
-    Every shard gets floor or ceiling of its even share of all units, and every
-    source's units add up to its quota.
+    The distribution's inverse, walked from its mode to both sides by the ratio of
+    neighbouring terms.  The walk is as long as the range, or 40 and 12 standard
+    deviations: what lies beyond is below the rounding of the sum.
     """
-    root = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("no", "units"))).alias("q"), F.sum("units").alias("all"))
-    nodes = root.where(F.col("all") > 0).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "q", "all")
-
-    def starts(at: Column) -> Column:
-        return F.floor(F.col("all") * at / F.lit(shards)).cast("long")
-
-    def draw(acc, s):
-        n, left, q = acc["n"], acc["left"], s["units"]
-        salt = [F.lit(seed), F.col("lo"), F.col("hi"), s["no"]]
+    up = "a.up * (h.own - h.mode - j + 1) * (h.drawn - h.mode - j + 1) / (1d * (h.mode + j) * (h.others - h.drawn + h.mode + j))"
+    down = "a.down * (h.mode - j + 1) * (h.others - h.drawn + h.mode - j + 1) / (1d * (h.own - h.mode + j) * (h.drawn - h.mode + j))"
+    step = f"transform(array(named_struct('up', {up}, 'down', {down})), t -> named_struct('up', t.up, 'down', t.down, 'sum', a.sum + t.up + t.down{{}}))[0]"
+    add = step.format("")
+    find = step.format(", 'x', CASE WHEN a.x IS NOT NULL THEN a.x WHEN h.goal < a.sum + t.up THEN h.mode + j WHEN h.goal < a.sum + t.up + t.down THEN h.mode - j END")
+    sum_ = f"CASE WHEN h.steps < 1 THEN 1d ELSE aggregate(sequence(1L, greatest(1L, h.steps)), named_struct('up', 1d, 'down', 1d, 'sum', 1d), (a, j) -> {add}, a -> a.sum) END"
+    walk = f"CASE WHEN h.steps < 1 OR h.goal < 1d THEN h.mode ELSE coalesce(aggregate(sequence(1L, greatest(1L, h.steps)), named_struct('up', 1d, 'down', 1d, 'sum', 1d, 'x', cast(NULL AS bigint)), (a, j) -> {find}, a -> a.x), h.mode) END"
+    fields = "'own', h.own, 'others', h.others, 'drawn', h.drawn"
+    given = f"named_struct('own', {own}, 'others', {all_} - {own}, 'drawn', {drawn})"
+    ranged = f"named_struct({fields}, 'low', greatest(0L, h.drawn - h.others), 'high', least(h.drawn, h.own), 'mode', cast(floor((h.drawn + 1d) * (h.own + 1d) / (h.own + h.others + 2d)) AS bigint), 'spread', sqrt(1d * h.drawn * h.own * h.others * greatest(0L, h.own + h.others - h.drawn)) / ((h.own + h.others) * sqrt(greatest(1d, h.own + h.others - 1d))))"
+    clipped = f"named_struct({fields}, 'mode', least(h.high, greatest(h.low, h.mode)), 'steps', least(h.high - h.low, cast(ceil(40 + 12 * h.spread) AS bigint)))"
+    aimed = f"named_struct({fields}, 'mode', h.mode, 'steps', h.steps, 'goal', {u} * {sum_})"
+    out = f"array({given})"
+    for body in (ranged, clipped, aimed, walk):
+        out = f"transform({out}, h -> {body})"
+    return f"{out}[0]"
 
-        def one(a, i):
-            goes = _uniform(*salt, i) * a["n"] < a["left"]
-            return F.struct((a["n"] - 1).alias("n"), (a["left"] - goes.cast("long")).alias("left"))
 
-        exact = F.aggregate(F.sequence(F.lit(1), F.greatest(q, F.lit(1)).cast("int")), F.struct(n.alias("n"), left.alias("left")), one, lambda a: left - a["left"])
-        mean = left.cast("double") * q / F.greatest(n, F.lit(1))
-        spread = F.sqrt(F.greatest(mean * (1 - q.cast("double") / F.greatest(n, F.lit(1))) * (n - left) / F.greatest(n - 1, F.lit(1)), F.lit(0.0)))
-        normal = F.sqrt(-2 * F.ln(_uniform(*salt, F.lit(-1)))) * F.cos(F.lit(6.283185307179586) * _uniform(*salt, F.lit(-2)))
-        large = F.greatest(F.lit(0).cast("long"), left - (n - q), F.least(left, q, F.round(mean + spread * normal).cast("long")))
-        x = F.when(q <= 0, F.lit(0).cast("long")).when(q <= EXACT_UNITS, exact).otherwise(large)
-        return F.struct((n - q).alias("n"), (left - x).alias("left"), F.concat(acc["out"], F.array(x)).alias("out"))
+def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Deal ``no, units`` over ``shards``: rows ``shard, no, units``.
 
+    Every shard gets floor or ceiling of its even share of all units, and every
+    source's units add up to its quota.  A node of the tree is a row: its range of
+    shards and the quotas of the sources that have units there.  Rows spread over
+    tasks as the tree widens.
+    """
+    root = quotas.where("units > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct("no", "units"))).alias("q"), F.coalesce(F.sum("units"), F.lit(0)).alias("total"))
+    nodes = root.where("total > 0").select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "q", "total")
+    u = f"(shiftrightunsigned(xxhash64({int(seed)}, lo, hi, s.no), 1) + 0.5d) / {_TWO63}d"
+    x = _hypergeometric("acc.n", "s.units", "acc.left", u)
+    # source by source: what the left half takes of this one, out of what it still has to take
+    step = f"transform(array({x}), x -> named_struct('n', acc.n - s.units, 'left', acc.left - x, 'out', concat(acc.out, array(x))))[0]"
+    start = f"cast(floor(total * {{}} / {int(shards)}) AS bigint)"
+    first = f"named_struct('n', {start.format('hi')} - {start.format('lo')}, 'left', {start.format('mid')} - {start.format('lo')}, 'out', cast(array() AS array<bigint>))"
+    got = F.expr(f"CASE WHEN hi - lo <= 1 THEN transform(q, s -> s.units) ELSE aggregate(q, {first}, (acc, s) -> {step}, acc -> acc.out) END")
+    children = F.expr("""array(named_struct('lo', lo, 'hi', mid, 'q', zip_with(q, got, (s, x) -> named_struct('no', s.no, 'units', x))),
+                              named_struct('lo', mid, 'hi', hi, 'q', zip_with(q, got, (s, x) -> named_struct('no', s.no, 'units', s.units - x))))""")
+    tasks = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = 1
     while width < shards:
+        nodes = nodes.withColumn("mid", F.expr("CASE WHEN hi - lo <= 1 THEN hi ELSE cast(floor((lo + hi) / 2) AS int) END")).withColumn("got", got)
+        nodes = nodes.select("total", F.explode(children).alias("c")).where("c.lo < c.hi").select("c.lo", "c.hi", F.expr("filter(c.q, s -> s.units > 0)").alias("q"), "total")
         width *= 2
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        leaf = F.col("hi") - F.col("lo") <= 1
-        own = F.struct((starts(F.col("hi")) - starts(F.col("lo"))).alias("n"), (starts(F.col("mid")) - starts(F.col("lo"))).alias("left"), F.array().cast("array<bigint>").alias("out"))
-        nodes = nodes.withColumn("mid", F.when(leaf, F.col("hi")).otherwise(mid))
-        nodes = nodes.withColumn("got", F.when(leaf, F.transform("q", lambda s: s["units"])).otherwise(F.aggregate("q", own, draw, lambda acc: acc["out"])))
-        to_left = F.zip_with("q", "got", lambda s, g: F.struct(s["no"].alias("no"), g.alias("units")))
-        to_right = F.zip_with("q", "got", lambda s, g: F.struct(s["no"].alias("no"), (s["units"] - g).alias("units")))
-        children = F.array(F.struct("lo", F.col("mid").alias("hi"), to_left.alias("q")), F.struct(F.col("mid").alias("lo"), "hi", to_right.alias("q")))
-        nodes = nodes.select("all", F.explode(children).alias("c")).where("c.lo < c.hi").select("c.lo", "c.hi", "c.q", "all")
-    return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("s")).select("shard", "s.no", "s.units").where("units > 0")
+        if width in SPREAD_AT:
+            nodes = nodes.repartition(min(width, tasks), "lo", "hi")
+    return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("s")).select("shard", "s.no", "s.units")
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 16_384, shard_units: int = 64, seed: int = 20_240, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -173,12 +201,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     shards = max(1, -(-total // shard_units))
     epoch = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     units = units.select("no", "block", "edge", "epochs", epoch.alias("epoch")).withColumn("partial", F.col("edge") & (F.col("epoch") == F.col("epochs")))
-    rank = F.row_number().over(W.partitionBy("no").orderBy(F.xxhash64(F.lit(seed + 1), "no", "epoch", "block"), "epoch", "block"))
-    units = units.withColumn("rank", rank.cast("long"))
+    h = F.xxhash64(F.lit(seed + 1), "no", "epoch", "block")
+    units = _before(units, _by_hash(h, total), [h, F.col("epoch"), F.col("block")], F.lit(1), "rank")
     quotas = units.groupBy("no").agg(F.count("*").alias("units"))
     split = written(split_quotas(quotas, shards, seed))
-    ends = F.sum("units").over(W.partitionBy("no").orderBy("shard"))
-    slices = split.withColumn("end", ends).select("no", "shard", F.explode(F.sequence(F.col("end") - F.col("units") + 1, F.col("end"))).alias("rank"))
+    first = _before(split, F.floor(F.col("shard") / BUCKET_ROWS), [F.col("shard")], F.col("units"), "first")
+    slices = first.select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("units") - 1)).alias("rank"))
     drawn = units.join(slices, ["no", "rank"]).groupBy("no", "block").agg(F.collect_list(F.struct("shard", "epoch", "partial")).alias("units"))
     plan = drawn.join(_edge_picks(dealt, blocks), ["no", "block"], "left")
     out = dealt.join(plan, ["no", "block"], "left")
@@ -195,6 +223,8 @@ def repeat_drawn(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col, seed = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("seed", 20_240)
     # rows of equal id and text are drawn alike, so one of them stands for all in the join
     plan = mix(docs, **options).where(F.size("draws") > 0).select("key", F.explode("draws").alias("d")).groupBy("key", "d").agg(F.lit(1).alias("one"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    out = keyed.join(plan, keyed["__key"] == plan["key"]).select(*[keyed[c] for c in docs.columns], F.col("d.shard").alias("__shard"), F.col("d.order").alias("__order"))
-    return out.repartition("__shard").sortWithinPartitions("__shard", "__order").select(*docs.columns)
+    own = fresh("key", docs.columns)
+    shard, order = fresh("shard", docs.columns), fresh("order", docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    found = plan.select(F.col("key").alias(own), F.col("d.shard").alias(shard), F.col("d.order").alias(order))
+    return keyed.join(found, own).repartition(shard).sortWithinPartitions(shard, order).select(*docs.columns)

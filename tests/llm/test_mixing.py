@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,10 +66,57 @@ def test_tree_keeps_quotas_and_capacities(spark, units, shards):
     assert [cap[s] for s in range(shards)] == [total * (s + 1) // shards - total * s // shards for s in range(shards)]
 
 
-def test_draws_follow_the_hypergeometric_mean(spark):
-    q = spark.createDataFrame([(1, 30), (2, 90)], "no int, units long")
-    left = [sum(r["units"] for r in mixing.split_quotas(q, 2, seed).where("shard = 0 and no = 1").collect()) for seed in range(12)]
-    assert 12 < sum(left) / len(left) < 18 and len(set(left)) > 1
+@pytest.mark.parametrize("own, others, drawn", [(30, 90, 60), (700, 900, 800), (5000, 200, 2600), (40, 60_000, 30_000), (3, 5, 8), (0, 9, 4), (6, 0, 4), (1, 1, 1)])
+def test_draws_follow_the_hypergeometric_law(spark, own, others, drawn):
+    """Chi-square over 4,000 draws against the exact probabilities, for quotas of every size."""
+    n = 4000
+    x = F.expr(mixing._hypergeometric("p.n", "p.k", "p.m", "(id + 0.5d) / 4000"))
+    df = spark.range(n).select("id", F.struct(F.lit(own + others).cast("long").alias("n"), F.lit(own).cast("long").alias("k"), F.lit(drawn).cast("long").alias("m")).alias("p"))
+    got = Counter(r["x"] for r in df.select(x.alias("x")).collect())
+    low, high = max(0, drawn - others), min(own, drawn)
+    assert min(got) >= low and max(got) <= high
+    total = math.comb(own + others, drawn)
+    want = {k: n * (math.comb(own, k) * math.comb(others, drawn - k) / total) for k in range(low, high + 1)}
+    # with evenly spaced numbers for the uniform ones each count is its probability, but for the last draw on either side
+    assert all(abs(got[k] - w) <= 2 for k, w in want.items())
+    assert sum((got[k] - w) ** 2 / w for k, w in want.items() if w > 1) < sum(w > 1 for w in want.values())
+
+
+def test_joint_draws_of_a_large_tree(spark):
+    """The first shard's share of a large source over many seeds: chi-square with real hashes."""
+    quotas = spark.createDataFrame([(1, 900), (2, 2100)], "no int, units long")
+    left = [next((r["units"] for r in mixing.split_quotas(quotas, 2, seed).where("shard = 0 and no = 1").collect()), 0) for seed in range(60)]
+    mean, spread = 450, math.sqrt(1500 * 0.3 * 0.7 * 1500 / 2999)
+    z = [(x - mean) / spread for x in left]
+    assert abs(sum(z) / math.sqrt(len(z))) < 3 and 30 < sum(x * x for x in z) < 95
+
+
+def test_the_tree_spreads_over_tasks(spark):
+    quotas = spark.createDataFrame([(1, 3000), (2, 5000), (3, 7)], "no int, units long")
+    split = mixing.split_quotas(quotas, 200, 1)
+    assert split.rdd.getNumPartitions() > 1
+    assert split.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_running_sums_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rows = [(i % 3, i, (i * 37) % 11) for i in range(100)]
+    df = spark.createDataFrame(rows, "no int, at int, v long")
+    got = {(r["no"], r["at"]): r["sum"] for r in mixing._before(df, F.floor(F.col("at") / 7), [F.col("at")], F.col("v"), "sum").collect()}
+    assert got == {(no, at): sum(v for n, a, v in rows if n == no and a < at) for no, at, _ in rows}
+
+
+def test_native(make_docs):
+    docs = make_docs(rows_of(5, ["a", "b", None]))
+    for df in (mixing.mix(docs), mixing.repeat_drawn(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+def test_columns_with_helper_names_stay(make_docs):
+    docs = make_docs(rows_of(6, ["a", "b"])).selectExpr("*", "1 AS key", "2 AS shard", "3 AS order")
+    got = mixing.repeat_drawn(docs, block_words=2000)
+    assert got.columns == docs.columns and {(r["key"], r["shard"], r["order"]) for r in got.collect()} == {(1, 2, 3)}
 
 
 def test_odd_rows(make_docs):
