@@ -11,6 +11,7 @@ the widest to the narrowest, and the url's path decides among those.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -56,6 +57,36 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.coalesce(head, F.lit(""))), F.coalesce(tail, F.lit(""))
 
 
+def precedence(r: Rule) -> tuple[int, int, bool]:
+    """Greater wins: the longer rule, of equal lengths the longer host, of equal rules ``allow``."""
+    return len(r.text), len(r.host), r.verdict == "allow"
+
+
+class Paths:
+    """The path prefixes of one host's rules, as nested intervals of sorted strings."""
+
+    def __init__(self, rules: list[Rule]):
+        best: dict[str, Rule] = {}
+        for r in rules:
+            if r.path not in best or precedence(r) > precedence(best[r.path]):
+                best[r.path] = r
+        self.paths = sorted(best)
+        self.rules = [best[p] for p in self.paths]
+        # for each path, the longest other path that it starts with: a stack over the sorted list
+        self.outer, stack = [], []
+        for i, p in enumerate(self.paths):
+            while stack and not p.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.outer.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def longest(self, path: str) -> Rule | None:
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        return self.rules[i] if i >= 0 else None
+
+
 class Sweep:
     """Judges urls that come in ascending order of host key."""
 
@@ -64,7 +95,7 @@ class Sweep:
         for r in rules:
             by_key.setdefault(host_key(r.host), []).append(r)
         self.keys = sorted(by_key)
-        self.rules = [sorted(by_key[k], key=lambda r: (-len(r.path), r.path, r.verdict)) for k in self.keys]
+        self.rules = [Paths(by_key[k]) for k in self.keys]
         self.at, self.active = 0, []
 
     def judge(self, key: str, path: str) -> Rule | None:
@@ -75,14 +106,8 @@ class Sweep:
             if key.startswith(self.keys[self.at]):
                 active.append((self.keys[self.at], self.rules[self.at]))
             self.at += 1
-        best = None
-        for _, rules in reversed(active):
-            for r in rules:
-                if path.startswith(r.path):
-                    if best is None or len(r.text) > len(best.text):
-                        best = r
-                    break
-        return best
+        found = [r for _, rules in active if (r := rules.longest(path)) is not None]
+        return max(found, key=precedence, default=None)
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -96,14 +121,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, default: str = "allow", i
     columns are not read.
 
     Rules go to the tasks in blocks of at most ``BLOCK_RULES``; each block is a
-    sweep over the sorted urls and the longest of the blocks' answers stays.
+    sweep over the sorted urls and the answer that wins by the same order stays, so
+    results don't depend on the blocks.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = split_url(F.col("u"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     key = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit("."))
-    out = urls.withColumn("k", key).sortWithinPartitions("k").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    out = urls.withColumn("k", key).sortWithinPartitions("k").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "won": F.lit(None).cast("array<int>")})
+    names = ["page_id", "host", "path", "k", "rule", "verdict", "won"]
     ordered = sorted(set(rules), key=lambda r: (host_key(r.host), r.path, r.verdict))
     for at in range(0, len(ordered), BLOCK_RULES):
         block = spark.sparkContext.broadcast([tuple(r) for r in ordered[at : at + BLOCK_RULES]])
@@ -111,12 +138,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, default: str = "allow", i
         def run(batches, block=block):
             sweep = Sweep([Rule(*r) for r in block.value])
             for b in batches:
-                rule, verdict = b.column(4).to_pylist(), b.column(5).to_pylist()
+                rule, verdict, won = (b.column(i).to_pylist() for i in (4, 5, 6))
                 for i, (k, p) in enumerate(zip(b.column(3).to_pylist(), b.column(2).to_pylist())):
                     r = sweep.judge(k, p)
-                    if r is not None and (rule[i] is None or len(r.text) > len(rule[i])):
-                        rule[i], verdict[i] = r.text, r.verdict
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "k", "rule", "verdict"])
+                    if r is not None and (won[i] is None or list(precedence(r)) > won[i]):
+                        rule[i], verdict[i], won[i] = r.text, r.verdict, list(map(int, precedence(r)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(won, pa.list_(pa.int32()))], names)
 
-        out = out.mapInArrow(run, f"page_id {kind}, host string, path string, k string, rule string, verdict string")
+        out = out.mapInArrow(run, f"page_id {kind}, host string, path string, k string, rule string, verdict string, won array<int>")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -16,7 +16,7 @@ def brute(url, rules, default="allow"):
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
         path = tail[: min([i for i in (tail.find(c) for c in "?#") if i >= 0], default=len(tail))]
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    best = max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
+    best = max(fits, key=lambda r: (len(r.text), len(r.host), r.verdict == "allow"), default=None)
     return host, path, best and best.text, best.verdict if best else default
 
 
@@ -40,9 +40,32 @@ def test_random_nested_rules(spark, monkeypatch):
     host = lambda: ".".join(r.choice(labels) for _ in range(r.randint(1, 4)))
     path = lambda: "/" + "/".join(r.choice("xyz") for _ in range(r.randint(0, 3)))
     rules = [u.Rule(r.choice(["allow", "block"]), host(), path()) for _ in range(60)]
-    rules = list({(x.host, x.path): x for x in rules}.values())
-    seen = set()
-    # equal lengths with equal hosts can't happen; keep one rule of each total length per chain for a definite answer
-    rules = [x for x in rules if (k := (len(x.text), len(x.host))) not in seen and not seen.add(k)]
-    monkeypatch.setattr(u, "BLOCK_RULES", 7)
-    check(spark, [f"http://{host()}{path()}" for _ in range(300)], rules)
+    for block in (7, 1, 1000):
+        monkeypatch.setattr(u, "BLOCK_RULES", block)
+        check(spark, [f"http://{host()}{path()}" for _ in range(150)], rules)
+
+
+def test_ties_do_not_depend_on_blocks(spark, monkeypatch):
+    rules = u.parse_rules(["block net/aaa", "allow a.net/a", "block a.net/a"])
+    urls = ["http://a.net/aaa", "http://b.net/aaa", "http://a.net/a"]
+    for block in (1, 2, 100):
+        monkeypatch.setattr(u, "BLOCK_RULES", block)
+        check(spark, urls, rules)
+
+
+def test_repeated_rows_and_long_urls(spark):
+    rules = u.parse_rules([*URL_RULES, "block " + "l." * 40 + "net/" + "p/" * 3000])
+    long = "http://" + "l." * 40 + "net/" + "p/" * 5000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "x" * 100_000), (None, None)], PAGE)
+    got = sorted((r["page_id"] or 0, r["verdict"], len(r["rule"] or "")) for r in u.judge_urls(df, rules).collect())
+    assert got == [(0, "allow", 0), (1, "block", 6084), (1, "block", 6084), (2, "allow", 0)]
+
+
+def test_paths_of_one_host():
+    r = random.Random(5)
+    rules = [u.Rule("block", "h", "/" + "".join(r.choice("ab") for _ in range(r.randint(0, 5)))) for _ in range(40)]
+    paths = u.Paths(rules)
+    for _ in range(300):
+        p = "/" + "".join(r.choice("abc") for _ in range(r.randint(0, 7)))
+        want = max((x for x in rules if p.startswith(x.path)), key=lambda x: len(x.path), default=None)
+        assert paths.longest(p) == want
