@@ -1,22 +1,27 @@
 """N-gram Jaccard self-join with a count-vector R-tree.
 
 Distinct word shingles are 64-bit hashes.  Documents with equal sets are one
-point.  The shingles are hashed into groups and the counts of each group are the
-point's coordinates: the overlap of two sets is at most the sum of the
-coordinates' minima.
-
-Sets that may link meet in blocks.  Two different sets with similarity t or more
-share a shingle among the first n - ceil(t n) + 1 of each under any common order;
-the order here puts frequent shingles last (a counter sketch of fixed size over
-all documents), so the blocks that share a prefix shingle stay small however
-common a passage is.  Long sets would meet by chance, so they meet by whole groups
-instead: of more groups than two linked sets have different shingles, one at
-least is equal in both.  Each block's points are searched with an R-tree that prunes boxes and points by the bound;
-points that the bound connects form clusters.  Within a cluster the pairs that
-survive the bound are verified on the sets.  A set that is connected already is
-tested no more: the result is classes, not pairs, so thousands of near copies
-cost no square of their number.  A very large cluster is cut into tiles, and
-every pair of tiles is searched in a task of its own.
+point.  The shingles are hashed into groups, about one or two to a group, and the
+counts of the groups are the point's coordinates: the overlap of two sets is at
+most the sum of the coordinates' minima.
+
+1. The top of the tree is a set of shuffle keys, so that it spreads over tasks.  A
+   node of it holds the points with a non-zero count in one leading coordinate (a
+   single shingle; the order puts frequent ones last, by a counter sketch of fixed
+   size): two sets whose first n - ceil(t n) + 1 shingles have none in common can't
+   reach the overlap.  Long sets, which would meet by chance, are dealt by whole
+   groups of coordinates: linked sets differ in fewer shingles than there are
+   groups, so one group at least is equal in both.
+2. Below, a task packs the points of its nodes into R-trees by node, size and
+   leading counts, and joins each tree with itself: pairs of boxes whose nodes, sizes
+   or summed minima of upper corners rule a link out go at once, then pairs of points
+   by their own minima, first of 64 coarse counts, then of all.
+3. Points that the bound connects form clusters.  Within a cluster the pairs that
+   survive are verified on the sets, found again through a tree of the cluster.  A
+   set that is connected already is tested no more: the result is classes, not pairs.
+
+A node or cluster of more than twice ``TILE_SETS`` points is cut into tiles, and every
+pair of tiles is searched in a task of its own.
 """
 
 from __future__ import annotations
@@ -28,15 +33,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh, rows_of, written
 from .graph import components
 
+#: Coarse coordinates of the boxes; points have as many finer ones as halve their size, at least.
 GROUPS = 64
 LEAF = 16
+#: Rows of nodes that a task packs into one tree, and pairs that it compares at once.
+TREE_ROWS, PAIRS = 2048, 1 << 16
 #: Counters of the frequency sketch (as a power of 2) and the blocks that they are sent in.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Shingles of a tile's sets; clusters of more than two tiles are cut.
-TILE_SHINGLES = 4_000_000
+#: Sets of a tile, and shingles of them; nodes and clusters of more than two tiles are cut.
+TILE_SETS, TILE_SHINGLES = 256, 4_000_000
 MEMO_WORDS = 500_000
 #: Pairs whose smaller set has so many shingles meet by whole groups; classes of sizes grow by half.
 LONG = 1024
@@ -84,95 +92,186 @@ class Shingles:
 
 
 class CountTree:
-    """R-tree over count vectors; boxes keep the upper corner and the least size."""
-
-    def __init__(self, points: np.ndarray):
-        order = np.lexsort((*(points[:, g] for g in range(3)), points.sum(axis=1)))
-        self.order, self.points = order, points[order]
-        self.sizes = self.points.sum(axis=1)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # upper corners, least and greatest size
-        high, low, top = self.points, self.sizes, self.sizes
-        while len(high) > LEAF:
-            starts = np.arange(0, len(high), LEAF)
-            high, low, top = np.maximum.reduceat(high, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(top, starts)
-            self.levels.append((high, low, top))
+    """R-tree over count vectors, packed by group, size and leading counts.
 
-    def search(self, point: np.ndarray, percent: int) -> np.ndarray:
-        """Rows whose bound lets them link to ``point``."""
-        n = int(point.sum())
-        at = None
-        for high, low, top in reversed(self.levels):
-            at = np.arange(len(high)) if at is None else self._below(at, len(high))
-            at = at[self._may(point, n, high[at], low[at], top[at], percent)]
-        at = np.arange(len(self.points)) if at is None else self._below(at, len(self.points))
-        return self.order[at[self._may(point, n, self.points[at], self.sizes[at], self.sizes[at], percent)]]
+    Boxes keep the upper corner and the ranges of size and group; only points of
+    one group are neighbours.  ``seen`` counts boxes (or pairs of them) that were
+    visited and pruned, and points that were compared and kept.
+    """
 
-    @staticmethod
-    def _below(at: np.ndarray, n: int) -> np.ndarray:
-        out = (at[:, None] * LEAF + np.arange(LEAF)[None, :]).ravel()
-        return out[out < n]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray | None = None, groups: np.ndarray | None = None):
+        sizes = points.sum(axis=1, dtype=np.int64) if sizes is None else sizes
+        groups = np.zeros(len(points), np.int64) if groups is None else groups
+        self.order = np.lexsort((*(points[:, g] for g in range(3)), sizes, groups))
+        points, sizes, groups = points[self.order], sizes[self.order], groups[self.order]
+        self.levels = [(points, sizes, sizes, groups, groups)]
+        while len(self.levels[-1][0]) > LEAF:
+            high, low, top, first, last = self.levels[-1]
+            starts = np.arange(0, len(high), LEAF)
+            self.levels.append((np.maximum.reduceat(high, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(top, starts), np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts)))
+        self.seen = dict.fromkeys(("visited", "pruned", "compared", "kept"), 0)
+
+    def _count(self, leaf: bool, before: int, after: int):
+        self.seen["compared" if leaf else "visited"] += before
+        self.seen["kept" if leaf else "pruned"] += after if leaf else before - after
+
+    def search(self, point: np.ndarray, n: int, percent: int) -> np.ndarray:
+        """Rows whose bound lets them link to ``point``, a set of ``n``."""
+        at = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            high, low, top, _, _ = self.levels[level]
+            if level < len(self.levels) - 1:
+                at = _children(at, len(high))
+            before = len(at)
+            at = at[(100 * top[at] >= percent * n) & (percent * low[at] <= 100 * n)]
+            at = at[np.minimum(point, high[at]).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (n + low[at])]
+            self._count(level == 0, before, len(at))
+        return self.order[at]
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows a, b of different points of one group whose bound lets them link."""
+        m = len(self.levels[-1][0])
+        a, b = np.triu_indices(m)
+        for level in range(len(self.levels) - 1, -1, -1):
+            found = []
+            if level < len(self.levels) - 1:
+                n = len(self.levels[level][0])
+                step = PAIRS // LEAF**2
+                blocks = ((_below(a[i : i + step], b[i : i + step], n)) for i in range(0, len(a), step))
+            else:
+                blocks = [(a, b)]
+            for x, y in blocks:
+                found.append(self._close(level, x, y, percent))
+            a, b = (np.concatenate(z) for z in zip(*found)) if found else (a[:0], b[:0])
+        return self.order[a], self.order[b]
+
+    def _close(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        high, low, top, first, last = self.levels[level]
+        before = len(a)
+        keep = (first[a] <= last[b]) & (first[b] <= last[a]) & (100 * top[a] >= percent * low[b]) & (100 * top[b] >= percent * low[a])
+        if level == 0:
+            keep &= a != b
+        a, b = a[keep], b[keep]
+        # overlap >= percent/(100+percent) of both sizes
+        keep = np.minimum(high[a], high[b]).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (low[a] + low[b])
+        self._count(level == 0, before, int(keep.sum()))
+        return a[keep], b[keep]
+
+
+def _children(at: np.ndarray, n: int) -> np.ndarray:
+    out = (at[:, None] * LEAF + np.arange(LEAF)[None, :]).ravel()
+    return out[out < n]
+
+
+def _below(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of children of pairs of boxes, each once."""
+    steps = np.arange(LEAF)
+    x = np.broadcast_to(a[:, None, None] * LEAF + steps[None, :, None], (len(a), LEAF, LEAF)).ravel()
+    y = np.broadcast_to(b[:, None, None] * LEAF + steps[None, None, :], (len(a), LEAF, LEAF)).ravel()
+    keep = (x < n) & (y < n) & (x <= y)
+    return x[keep], y[keep]
+
+
+def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of a set's shingles by ``groups`` (a power of 2) groups."""
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def point_of(s: np.ndarray) -> bytes:
+    """A set's counts as bytes: as many groups as leave one or two shingles to each, and no count above 255."""
+    groups = max(GROUPS, 1 << max(0, (len(s) - 1) // 2).bit_length())
+    while True:
+        counts = counts_of(s, groups)
+        if counts.max(initial=0) <= 255:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+
+
+def folded(points: list[bytes], groups: int) -> np.ndarray:
+    """Points as rows of ``groups`` counts: finer groups add up to coarser ones."""
+    out = np.zeros((len(points), groups), np.uint16)
+    lengths = np.array([len(p) for p in points])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        x = np.frombuffer(b"".join(points[i] for i in at), np.uint8).reshape(len(at), groups, n // groups)
+        out[at] = x.sum(axis=2, dtype=np.uint16)
+    return out
 
-    @staticmethod
-    def _may(point, n, high, low, top, percent):
-        shared = np.minimum(point, high).sum(axis=1)
-        # overlap >= percent/(100+percent) of both sizes; a size outside the ratio can't link
-        return (shared * (100 + percent) >= percent * (n + low)) & (100 * top >= percent * n) & (percent * low <= 100 * n)
 
+def fine_enough(points: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs pass the bound on the finest groups that both points have."""
+    lengths = np.array([len(p) for p in points])
+    groups, out = np.minimum(lengths[a], lengths[b]), np.ones(len(a), bool)
+    for g in np.unique(groups[groups > GROUPS]):
+        mine = np.flatnonzero(groups == g)
+        rows, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        x, left, right = folded([points[i] for i in rows], int(g)), at[: len(mine)], at[len(mine) :]
+        step = max(1, PAIRS * GROUPS // int(g))
+        for i in range(0, len(mine), step):
+            k = mine[i : i + step]
+            shared = np.minimum(x[left[i : i + step]], x[right[i : i + step]]).sum(axis=1, dtype=np.int64)
+            out[k] = shared * (100 + percent) >= percent * (sizes[a[k]] + sizes[b[k]])
+    return out
 
-def _groups(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least row of each component of the pairs to its other rows."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, a, least)
+        np.minimum.at(now, b, least)
+        np.minimum.at(now, root[a], least)
+        np.minimum.at(now, root[b], least)
+        now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    rows = np.flatnonzero(root != np.arange(n))
+    return root[rows], rows
 
-def reach(points: np.ndarray, percent: int, test=None, split: int | None = None) -> list[tuple[int, int]]:
-    """Edges from the first row of each component to its other rows.
 
-    Two rows are neighbours if the bound allows a link and ``test(i, rows)``, where
-    given, confirms it.  With ``split``, rows before it have neighbours from it on
-    only.  A row that is reached leaves the search, so every later search is smaller.
+def connect(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
+    """Edges from the first set of each class of linked sets to its other ones.
+
+    With ``split``, sets before it have neighbours from it on only.  A set that is
+    reached leaves the search, so every later search is smaller.
     """
-    m = len(points)
-    tree, sizes = (CountTree(points) if m > 4 * LEAF else None), points.sum(axis=1)
-    alive, left = np.ones(m, bool), m
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    groups = max(GROUPS, 1 << int(np.median(sizes) / 2).bit_length())
+    points = np.array([counts_of(s, groups) for s in sets], np.uint32)
+    tree = CountTree(points, sizes)
+    alive = np.ones(m, bool)
     side = None if split is None else np.arange(m) < split
     edges: list[tuple[int, int]] = []
     for seed in range(m):
         if not alive[seed]:
             continue
         alive[seed] = False
-        left -= 1
         stack = [seed]
-        while stack and left:
+        while stack:
             i = stack.pop()
-            if tree is not None and left > m // 4:
-                found = tree.search(points[i], percent)
-                found = found[alive[found]]
-            else:
-                found = np.flatnonzero(alive)
-                found = found[CountTree._may(points[i], int(sizes[i]), points[found], sizes[found], sizes[found], percent)]
+            found = tree.search(points[i], int(sizes[i]), percent)
+            found = found[alive[found]]
             if side is not None:
                 found = found[side[found] != side[i]]
-            if test is not None and len(found):
-                found = found[test(i, found)]
+            if len(found):
+                found = found[_linked(sets, sizes, i, found, percent)]
             alive[found] = False
-            left -= len(found)
             stack += found.tolist()
             edges += [(seed, int(j)) for j in found]
     return edges
 
 
-def connect(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the linked sets; see ``reach``."""
-    sizes = np.array([len(s) for s in sets])
-
-    def test(i: int, rows: np.ndarray) -> np.ndarray:
-        own = sets[i]
-        every = np.concatenate([sets[j] for j in rows])
-        at = np.searchsorted(own, every)
-        at[at == len(own)] = len(own) - 1
-        shared = np.add.reduceat((own[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]))
-        return 100 * shared >= percent * (sizes[i] + sizes[rows] - shared)
-
-    return reach(np.array([_groups(s) for s in sets], np.int32), percent, test, split)
+def _linked(sets: list[np.ndarray], sizes: np.ndarray, i: int, rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the rows' sets link to set i, by their shared shingles."""
+    own = sets[i]
+    every = np.concatenate([sets[j] for j in rows])
+    at = np.searchsorted(own, every)
+    at[at == len(own)] = len(own) - 1
+    shared = np.add.reduceat((own[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]))
+    return 100 * shared >= percent * (sizes[i] + sizes[rows] - shared)
 
 
 # --- passes over the documents -----------------------------------------------
@@ -192,7 +291,7 @@ def _describe(words: int, kind: str):
                 for text in b.column(1).to_pylist():
                     s = shingles(text)
                     n.append(len(s))
-                    points.append(_groups(s).astype("<i4").tobytes() if len(s) else None)
+                    points.append(point_of(s) if len(s) else None)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += np.uint32(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], NAMES)
@@ -284,31 +383,56 @@ def _prefixes(words: int, percent: int, sketch):
     return run
 
 
-def _block_edges(percent: int):
-    """Edges a, b of the rows (key, id, point) that share a key and that the bound connects; rows come sorted by key."""
+NODE = ["key", "i", "j", "tile", "n", "id", "point"]
 
-    def run(batches):
-        key, ids, points, out = None, [], [], []
 
-        def close():
-            if len(ids) > 1:
-                x = np.frombuffer(b"".join(points), "<i4").reshape(len(ids), GROUPS)
-                out.extend((ids[i], ids[j]) for i, j in reach(x, percent))
+def node_edges(rows: pa.Table, percent: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (ids) that connect what the bound lets link in each node; ``rows``: columns ``NODE``, sorted."""
+    key, i, j, tile, sizes, ids = (rows.column(c).to_numpy() for c in NODE[:6])
+    new = np.ones(len(ids), bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    fresh = new.copy()
+    fresh[1:] |= ids[1:] != ids[:-1]  # tasks may name a set again
+    group = np.cumsum(new)[fresh]
+    i, j, tile, sizes, ids = (x[fresh] for x in (i, j, tile, sizes, ids))
+    points = rows.column("point").filter(pa.array(fresh)).to_pylist()
+    tree = CountTree(folded(points, GROUPS), sizes.astype(np.int64), group)
+    a, b = tree.pairs(percent)
+    across = (i[a] == j[a]) | (tile[a] != tile[b])
+    a, b = a[across], b[across]
+    close = fine_enough(points, sizes, a, b, percent)
+    if seen is not None:
+        for k, v in {**tree.seen, "trees": 1, "pairs": int(close.sum())}.items():
+            seen[k] = seen.get(k, 0) + v
+    a, b = forest(len(ids), a[close], b[close])
+    return ids[a], ids[b]
 
-        for batch in batches:
-            for k, i, p in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    close()
-                    key, ids, points = k, [], []
-                if not ids or ids[-1] != i:
-                    ids.append(i)
-                    points.append(p)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+def _node_edges(percent: int):
+    """Edges a, b of rows sorted as ``NODE``: trees of whole nodes, about ``TREE_ROWS`` rows each."""
+
+    def edges(parts) -> pa.RecordBatch:
+        a, b = node_edges(pa.Table.from_batches(parts), percent)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        held, n, last = [], 0, None
+        for b in rows_of(batches, TREE_ROWS):
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(c).to_numpy() for c in range(3)])
+            ends = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            if n >= TREE_ROWS and last is not None:
+                # the node that is open ends where the next one begins
+                cut = 0 if (at[:, 0] != last).any() else int(ends[0]) if len(ends) else None
+                if cut is not None:
+                    yield edges([*held, b.slice(0, cut)])
+                    held, n, b = [], 0, b.slice(cut)
+            held.append(b)
+            n += b.num_rows
+            last = at[:, -1]
+        if n:
+            yield edges(held)
 
     return run
 
@@ -348,6 +472,18 @@ def _tiles(words: int, percent: int):
     return run
 
 
+def _tiles_of(n, most: int):
+    """Tiles of ``n``: 1 up to twice ``most``."""
+    return F.when(n > 2 * most, F.ceil(n / most)).otherwise(1).cast("int")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows with ``id`` and ``tiles``, once for each pair of tiles ``i, j`` that holds their own ``tile``."""
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    return df.withColumn("tile", tile).withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "tiles")
+
+
 def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: ``doc_id, h, n, class, least``; class: null without words, least: the class's smallest id."""
     spark = docs.sparkSession
@@ -366,21 +502,21 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     rows = described.where("block is null").select("doc_id", "h", "n", "digest", "point", name.alias("id"))
     keys = src.select("text").mapInArrow(_prefixes(words, percent, sent), "key long, id long")
     of_key = W.partitionBy("key")
-    shared = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key)}).where("low <> high").select("key", "id")
+    met = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key), "met": F.count("*").over(of_key)}).where("low <> high")
     points = rows.where("n > 0").groupBy("id").agg(F.first("point").alias("point"), F.first("n").alias("n"))
-    blocks = shared.join(points.select("id", "point"), "id").select("key", "id", "point").repartition("key").sortWithinPartitions("key", "id")
-    near = blocks.mapInArrow(_block_edges(percent), "a long, b long")
+    nodes = _dealt(met.withColumn("tiles", _tiles_of(F.col("met"), TILE_SETS)).select("key", "id", "tiles")).join(points, "id").select(*NODE)
+    nodes = nodes.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
+    near = nodes.mapInArrow(_node_edges(percent), "a long, b long")
     clusters = written(components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
 
-    size = clusters.join(points.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size"))
-    tiles = F.when(F.col("size") > 2 * TILE_SHINGLES, F.ceil(F.col("size") / TILE_SHINGLES)).otherwise(1).cast("int")
-    placed = clusters.join(size.select("cluster", tiles.alias("tiles")), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    size = clusters.join(points.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
+    tiles = F.greatest(_tiles_of(F.col("size"), TILE_SHINGLES), _tiles_of(F.col("sets"), TILE_SETS))
+    placed = clusters.join(size.select("cluster", tiles.alias("tiles")), "cluster")
     one = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"))
-    wanted = one.join(placed, "id").select(F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh"), "digest", "cluster", "tile", "tiles")
+    wanted = one.join(placed, "id").select(F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh"), "digest", "cluster", "id", "tiles")
     texts = src.withColumn("h", F.xxhash64("text"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w"]) & (texts["h"] == wanted["wh"])).select("cluster", "tile", "tiles", "digest", "text")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    dealt = texts.withColumn("p", F.explode(pairs)).select("cluster", "p.i", "p.j", "tile", "digest", "text")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w"]) & (texts["h"] == wanted["wh"])).select("cluster", "id", "tiles", "digest", "text")
+    dealt = _dealt(texts).select("cluster", "i", "j", "tile", "digest", "text")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     edges = dealt.mapInArrow(_tiles(words, percent), "a binary, b binary")
 
@@ -416,11 +552,12 @@ def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     for each such class.  Keeps the columns of ``docs``.
     """
     found = written(_classes(docs, words, percent, id_col, text_col).where("n > 0"))
+    h = fresh("h", docs.columns)
     # one row of each class, by id and text: an id may stand in several classes
-    named = found.where("doc_id = least").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias(id_col), F.col("m.h").alias("__h"))
-    unnamed = found.where("least is null").groupBy("class").agg(F.min("h").alias("__h")).select("__h").distinct()
+    named = found.where("doc_id = least").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias(id_col), F.col("m.h").alias(h))
+    unnamed = found.where("least is null").groupBy("class").agg(F.min("h").alias(h)).select(h).distinct()
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
     full = docs.where(~wordless)
-    kept = full.where(F.col(id_col).isNotNull()).withColumn("__h", F.xxhash64(text_col)).join(named, [id_col, "__h"], "left_semi").dropDuplicates([id_col, "__h"])
-    rest = full.where(F.col(id_col).isNull()).withColumn("__h", F.xxhash64(text_col)).join(unnamed, "__h", "left_semi").dropDuplicates(["__h"])
+    kept = full.where(F.col(id_col).isNotNull()).withColumn(h, F.xxhash64(text_col)).join(named, [id_col, h], "left_semi").dropDuplicates([id_col, h])
+    rest = full.where(F.col(id_col).isNull()).withColumn(h, F.xxhash64(text_col)).join(unnamed, h, "left_semi").dropDuplicates([h])
     return kept.select(*docs.columns).unionByName(rest.select(*docs.columns)).unionByName(docs.where(wordless))

@@ -1,11 +1,14 @@
+import os
 import random
 import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import ODD
+from support import SMALL
 from tapewright.llm import graph, jaccard
 
 
@@ -106,20 +109,107 @@ def test_tiles_connect_all(monkeypatch):
     assert len({find(i) for i in range(60)}) == want
 
 
-def test_tree_finds_what_a_scan_finds():
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_tree_finds_what_a_scan_finds(percent):
     rng = np.random.default_rng(2)
     points = rng.poisson(4, (500, jaccard.GROUPS)).astype(np.int32)
     points[250:] = points[:250] + rng.integers(0, 2, (250, jaccard.GROUPS))
-    tree = jaccard.CountTree(points)
+    groups = rng.integers(0, 5, 500)
+    groups[250:] = groups[:250]
     sizes = points.sum(axis=1)
+
+    def near(i, j):
+        shared = np.minimum(points[i], points[j]).sum()
+        return shared * (100 + percent) >= percent * (sizes[i] + sizes[j]) and 100 * sizes[j] >= percent * sizes[i] and percent * sizes[j] <= 100 * sizes[i]
+
+    tree = jaccard.CountTree(points)
     for i in range(0, 500, 37):
-        bound = np.minimum(points[i], points).sum(axis=1) * 190 >= 90 * (sizes[i] + sizes)
-        got = set(tree.search(points[i], 90).tolist())
-        assert set(np.flatnonzero(bound & (100 * sizes >= 90 * sizes[i]) & (90 * sizes <= 100 * sizes[i])).tolist()) == got
+        assert set(tree.search(points[i], int(sizes[i]), percent).tolist()) == {j for j in range(500) if near(i, j)}
+    tree = jaccard.CountTree(points, sizes, groups)
+    got = {frozenset(p) for p in zip(*(x.tolist() for x in tree.pairs(percent)))}
+    assert got == {frozenset((i, j)) for i, j in combinations(range(500), 2) if groups[i] == groups[j] and near(i, j)}
+    assert tree.seen["pruned"] > 0 and tree.seen["kept"] == len(got)
+
+
+def test_fine_counts_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(base, int(n), replace=False)) for n in rng.integers(1, 5000, 40)]
+    points, sizes = [jaccard.point_of(s) for s in sets], np.array([len(s) for s in sets])
+    assert all(sum(p) == n and len(p) >= n / 2 for p, n in zip(points, sizes))
+    a, b = np.array(list(combinations(range(40), 2))).T
+    for percent in (50, 80):
+        keep = jaccard.fine_enough(points, sizes, a, b, percent)
+        for i, j, k in zip(a, b, keep):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            assert k or 100 * shared < percent * (sizes[i] + sizes[j] - shared)
+    # a count that a byte can't hold takes finer groups
+    crowd = np.arange(1000, dtype=np.uint64) << np.uint64(40)
+    assert sum(jaccard.point_of(crowd)) == 1000
+
+
+def test_forest():
+    r = random.Random(3)
+    for n in (1, 5, 60):
+        a, b = (np.array([r.randrange(n) for _ in range(n // 2)], np.int64) for _ in "ab")
+        root, rows = jaccard.forest(n, a, b)
+        parent = list(range(n))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for x, y in zip(a, b):
+            parent[max(find(x), find(y))] = min(find(x), find(y))
+        assert dict(zip(rows.tolist(), root.tolist())) == {i: find(i) for i in range(n) if find(i) != i}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL.replace("0.001", "0.01")), reason="no test data")
+def test_candidates_come_from_trees(spark):
+    """What the trees visit, prune and keep on a whole table."""
+    docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet").toPandas()
+    shingles, rows = jaccard.Shingles(3), {}
+    for text in docs["text"]:
+        s = shingles(text)
+        if len(s):
+            rows[s.tobytes()] = s
+    sets = list(rows.values())
+    keys = [k for s in sets for k in s[: len(s) - -(-90 * len(s) // 100) + 1].view(np.int64)]
+    ids = [i for i, s in enumerate(sets) for _ in range(len(s) - -(-90 * len(s) // 100) + 1)]
+    table = pa.table({"key": keys, "i": [0] * len(ids), "j": [0] * len(ids), "tile": [0] * len(ids), "n": [len(sets[i]) for i in ids], "id": pa.array(ids, pa.int64()), "point": [jaccard.point_of(sets[i]) for i in ids]}).sort_by([("key", "ascending"), ("n", "ascending"), ("id", "ascending")])
+    seen = {}
+    a, b = [], []
+    for batch in table.to_batches(8192):
+        x, y = jaccard.node_edges(pa.Table.from_batches([batch]), 90, seen)
+        a, b = a + x.tolist(), b + y.tolist()
+    print(seen)
+    assert seen["trees"] > 4 and seen["visited"] > 1000 and seen["pruned"] > 0.5 * seen["visited"]
+    # few pairs are left to verify, and most of them link
+    assert 0 < seen["pairs"] <= seen["kept"] < 0.01 * seen["compared"]
+    linked = sum(100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - k) for i, j in set(zip(a, b)))
+    assert 0 < linked and linked >= 0.5 * len(set(zip(a, b)))
+
+
+def test_hot_nodes_and_clusters_are_cut(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_SETS", 10)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(120)] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    rows += corpus(13, 40)
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    for words, percent in ((3, 90), (5, 80)):
+        got = sorted(map(tuple, jaccard.classes(make_docs(rows), words=words, percent=percent).collect()), key=repr)
+        assert got == brute(rows, words, percent)
 
 
 def test_odd_rows(make_docs):
-    rows = [x for x in ODD if x[0] != 9]
+    rows = ODD
     got = sorted(map(tuple, jaccard.classes(make_docs(rows), words=3, percent=90).collect()), key=repr)
     assert got == brute(rows, 3, 90)
     assert jaccard.classes(make_docs([]), words=3, percent=90).count() == 0
