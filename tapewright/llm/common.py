@@ -50,16 +50,18 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written(df: DataFrame, compression: str = "zstd", keep: bool = False) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd", outer: bool = False, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
-    The table stays until its ``scratch`` ends; without one, or with ``keep``, until the folder is cleared.
+    The table stays until its ``scratch`` (with ``outer``, the one around it) ends;
+    without one, or with ``keep``, until the folder is cleared.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    lists = _SCRATCH[:-1] if outer else _SCRATCH
+    if lists and not keep:
+        lists[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

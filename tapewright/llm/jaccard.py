@@ -20,8 +20,8 @@ most the sum of the coordinates' minima.
    survive are verified on the sets, found again through a tree of the cluster.  A
    set that is connected already is tested no more: the result is classes, not pairs.
 
-A node or cluster of more than twice ``TILE_SETS`` points is cut into tiles, and every
-pair of tiles is searched in a task of its own.
+Large nodes and clusters are cut into tiles, and every pair of tiles is searched in a
+task of its own.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ LEAF = 16
 TREE_ROWS, PAIRS = 2048, 1 << 16
 #: Counters of the frequency sketch (as a power of 2) and the blocks that they are sent in.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Sets of a tile, and shingles of them; nodes and clusters of more than two tiles are cut.
-TILE_SETS, TILE_SHINGLES = 256, 4_000_000
+#: Points of a node's tile; nodes of more than two tiles are cut.
+TILE_SETS = 256
+#: Sets of a cluster's tile, as long as that makes few tiles, and shingles of them in any case.
+SPREAD_SETS, SPREAD_TILES, TILE_SHINGLES = 64, 32, 4_000_000
 MEMO_WORDS = 500_000
 #: Pairs whose smaller set has so many shingles meet by whole groups; classes of sizes grow by half.
 LONG = 1024
@@ -510,7 +512,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     clusters = written(components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
 
     size = clusters.join(points.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
-    tiles = F.greatest(_tiles_of(F.col("size"), TILE_SHINGLES), _tiles_of(F.col("sets"), TILE_SETS))
+    tiles = F.greatest(_tiles_of(F.col("size"), TILE_SHINGLES), F.least(_tiles_of(F.col("sets"), SPREAD_SETS), F.lit(SPREAD_TILES)))
     placed = clusters.join(size.select("cluster", tiles.alias("tiles")), "cluster")
     one = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"))
     wanted = one.join(placed, "id").select(F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh"), "digest", "cluster", "id", "tiles")

@@ -193,6 +193,7 @@ def test_candidates_come_from_trees(spark):
 
 def test_hot_nodes_and_clusters_are_cut(make_docs, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_SETS", 10)
+    monkeypatch.setattr(jaccard, "SPREAD_SETS", 12)
     r = random.Random(11)
     base = [f"w{i}" for i in range(120)]
     rows = []
