@@ -49,4 +49,116 @@ def test_odd_documents_pass_through(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(odd, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert {x["doc_id"] for x in pipeline.run(spark, str(tmp_path)).collect()} <= {None, 1, 2, 3, 4}
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    # nothing is toxic or long enough for a copy but the repeated row; size 0 comes with its block
+    assert {x["doc_id"] for x in got} <= {None, 1, 2, 3, 4} and {3, 4} <= {x["doc_id"] for x in got}
+    assert max(sum(x["doc_id"] == i and x["piece"] == 0 for x in got) for i in (3, 4)) <= 3
+
+
+def planted(seed=5):
+    """Clean, toxic, near-copied and secret-bearing documents of three sources, and labels of the first ones."""
+    r = random.Random(seed)
+    vocabulary = [f"word{i}" for i in range(500)]
+    rows, labels = [], []
+    for i in range(240):
+        words = [r.choice(vocabulary) for _ in range(r.randint(20, 200))]
+        toxic = i % 6 == 0
+        if toxic:
+            words[3:3] = ["vilething", "nastyword"]
+        elif i % 11 == 0:
+            words[5:5] = ["token=abcdefgh" + str(i)]
+        elif i % 7 == 0 and i > 20:
+            words = rows[i - 20][1].split(" ")
+            words[0] = "other"
+        rows.append((i, " ".join(words), "en", ("a", "b", None)[i % 3], 0))
+        if i < 200:
+            labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_run_against_plain_loops(spark, tmp_path):
+    """The whole pipeline: what is kept, redacted, drawn and packed, each by brute force."""
+    from collections import Counter
+
+    from test_jaccard import brute as classes_of
+    from test_mixing import water
+    from test_secrets import brute as secrets_of
+    from tokenizers import Tokenizer
+
+    from tapewright.llm import packing, toxicity
+    from tapewright.llm.queries import tokenizer
+
+    rows, labels = planted()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+
+    docs, table = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    score = toxicity.train(docs, table).scorer()
+    clean = [x for x in rows if score(x[1]) < 0.5]
+    assert {x[0] for x in clean} == {x[0] for x in rows if "vilething" not in x[1].split(" ")}
+    least = {i: c for i, _, c in classes_of([x[:2] for x in clean], 5, 80)}
+    unique = [x for x in clean if least[x[0]] == x[0]]
+    assert 10 < len(clean) - len(unique)
+    texts, source = {}, {}
+    for i, text, _, own, _ in unique:
+        out, at = [], 0
+        for start, _, _, end in secrets_of(text):
+            out += [text[at:start], secrets.MARK]
+            at = end
+        texts[i], source[i] = "".join(out) + text[at:], own
+    sizes = Counter()
+    for i, text in texts.items():
+        sizes[source[i]] += len(text.split())
+
+    drawn = Counter(x["doc_id"] for x in got if x["piece"] == 0)
+    assert set(drawn) <= set(texts) and max(drawn.values()) <= 3
+    taken = Counter()
+    for i, n in drawn.items():
+        taken[source[i]] += n * len(texts[i].split())
+    longest = max(len(t.split()) for t in texts.values())
+    for own, target in water(sizes).items():
+        assert abs(taken[own] - target) <= longest
+
+    library, want, lengths = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), Counter(), Counter()
+    for i, n in drawn.items():
+        size = len(library.encode(texts[i], add_special_tokens=False).ids) + 1
+        a, z, k = 0, size % 1024 or 1024, 0
+        while a < size:
+            want[i, k, a, z - a] += n
+            lengths[z - a] += n
+            a, z, k = z, z + 1024, k + 1
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"]) for x in got) == want
+    sequences = {}
+    for x in got:
+        sequences.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for pieces in sequences.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 1024
+    assert len(sequences) <= sum(n for _, n in packing.best_fit_decreasing(lengths, 1024))
+
+
+def test_run_leaves_only_the_last_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    from tapewright.llm import common
+
+    root = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{root}/{len(os.listdir(root)) if root.exists() else 0}-{random.random()}")
+    rows, labels = planted(6)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(os.listdir(root)) == 3  # the mix, its pieces and their counts
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tapewright.llm.common import shared_dir
+
+    conf = lambda value: SimpleNamespace(get=lambda key, default: value)
+    on = lambda master, value: SimpleNamespace(conf=conf(value), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(on("spark://host:7077", None))
+    assert shared_dir(on("spark://host:7077", "s3a://bucket/tables/")).startswith("s3a://bucket/tables/")
+    assert shared_dir(on("local[4]", None))
