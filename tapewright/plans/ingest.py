@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from ..model import Gap, Instrument, Listing, SourceKind, Timeframe, TimeRange
 from ..operators import quality
 from ..operators.bars import daily_close, trades_to_candles
 from ..operators.merge import merge_candles
-from ..sources.routing import route
+from ..sources.routing import Instruction, route
 from ..sources.store import CANDLE_TABLE, TRADE_TABLE, Store
 
 #: Loads candles of a period from one kind of source.
@@ -49,24 +50,54 @@ def _utc(t: datetime, like: datetime) -> datetime:
     return t if t.tzinfo else t.replace(tzinfo=like.tzinfo)
 
 
+def _spans(parts: Sequence[Instruction], timeframe: Timeframe) -> dict[SourceKind, list[TimeRange]]:
+    """What to load from each source: the parts' hull within each month, neighbouring months joined."""
+    months: dict[tuple[SourceKind, int, int], TimeRange] = {}
+    for part in parts:
+        at = part.period.start
+        while at < part.period.end:
+            following = datetime(at.year + at.month // 12, at.month % 12 + 1, 1, tzinfo=at.tzinfo)
+            end, key = min(part.period.end, following), (part.kind, at.year, at.month)
+            old = months.get(key)
+            months[key] = TimeRange(min(old.start, at), max(old.end, end)) if old else TimeRange(at, end)
+            at = end
+    out: dict[SourceKind, list[TimeRange]] = {}
+    for (kind, _, _), span in sorted(months.items(), key=lambda m: (m[0][0].value, m[1].start)):
+        own = out.setdefault(kind, [])
+        if own and own[-1].end == span.start:
+            own[-1] = TimeRange(own[-1].start, span.end)
+        else:
+            own.append(span)
+    return out
+
+
 def synchronize(spark: SparkSession, store: Store, instrument: Instrument, period: TimeRange, now: datetime, loaders: dict[SourceKind, Loader], reference: DataFrame | None = None, tolerance: float = 0.01) -> InstrumentReport:
-    """Fill one instrument's gaps; each gap is routed, loaded, sanitised and saved by itself."""
-    report, step = InstrumentReport(instrument), instrument.timeframe.step
+    """Fill one instrument's gaps.
+
+    The gaps are routed, and what each source is to give is loaded month by month as
+    one table, sanitised, cut to the missing bars and saved at once: the number of
+    jobs grows with the sources, not with the gaps.
+    """
+    report = InstrumentReport(instrument)
     closed = period.clamp_end(instrument.timeframe.floor(now))
     report.expected, report.before, gaps = find_gaps(spark, store, instrument, closed)
-    for gap in gaps:
-        span = TimeRange(_utc(gap.start, now), _utc(gap.end, now) + step)
-        for part in route(span, now):
-            loaded = quality.closed_only(loaders[part.kind](instrument, part.period), instrument.timeframe, now)
-            flagged = quality.flag(loaded, instrument.timeframe).cache()
+    parts = [part for gap in gaps for part in route(TimeRange(_utc(gap.start, now), _utc(gap.end, now) + instrument.timeframe.step), now)]
+    missing = quality.missing_bars(store.existing_open_times(instrument, closed), quality.expected_bars(spark, closed, instrument.timeframe)).cache()
+    try:
+        for kind, spans in _spans(parts, instrument.timeframe).items():
+            loaded = reduce(DataFrame.unionByName, [loaders[kind](instrument, span) for span in spans])
+            wanted = quality.closed_only(loaded, instrument.timeframe, now).join(missing.select("open_time"), "open_time", "left_semi")
+            flagged = quality.flag(wanted, instrument.timeframe).cache()
             try:
                 summary = quality.sanitation_summary(flagged).first().asDict()
                 for k, v in summary.items():
                     report.anomalies[k] = report.anomalies.get(k, 0) + (v or 0)
-                rows = quality.accepted(flagged).withColumn("source", F.lit(part.kind.value))
-                report.written[part.kind.value] = report.written.get(part.kind.value, 0) + store.save(CANDLE_TABLE, rows)
+                rows = quality.accepted(flagged).withColumn("source", F.lit(kind.value))
+                report.written[kind.value] = store.save(CANDLE_TABLE, rows)
             finally:
                 flagged.unpersist()
+    finally:
+        missing.unpersist()
     _, report.after, _ = find_gaps(spark, store, instrument, closed)
     if reference is not None:
         ours = daily_close(store.read(CANDLE_TABLE, instrument, closed))

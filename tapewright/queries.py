@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -19,6 +18,7 @@ from .plans.features import FeaturePlan, MarketView, trimmed
 from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace, compare, expanding_folds, search, walk_forward
 from .plans.yaml_specs import load_features, load_strategy
 from .sources.columns import epoch_to_timestamp
+from .session import workspace
 from .streaming import orderbook
 from .views import HOUR, SQL_DEPTH, SQL_TRADES, sql_candles
 
@@ -170,16 +170,24 @@ def sanitation_summary(s, d):
     return quality.sanitation_summary(quality.flag(_dirty(_candles(s, d)), HOUR))
 
 
-@query(f"""WITH {C}, o AS (SELECT open_time, CASE WHEN trade_count % 4 = 0 THEN close * 1.001 ELSE close END AS close, volume FROM candles WHERE trade_count % 6 <> 0),
-rb AS (SELECT * FROM candles WHERE trade_count % 10 <> 0), j AS (SELECT rb.open_time AS a, o.open_time AS b, abs(rb.close - o.close) / abs(o.close) AS diff FROM rb FULL OUTER JOIN o USING (open_time))
-SELECT 'close' AS name, {q("max(diff)", 9)} AS difference, max(diff) <= 1e-6 AS passed, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS common,
-  count(*) FILTER (a IS NULL) AS missing_in_rebuilt, count(*) FILTER (b IS NULL) AS missing_in_official FROM j
-UNION ALL SELECT 'volume', 0, true, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL), count(*) FILTER (a IS NULL), count(*) FILTER (b IS NULL) FROM j""")
+def _agreement_sql() -> str:
+    """Every compared column: the largest difference, and the bars that one side lacks."""
+    changed = {"close": "close * 1.001", "taker_buy_base_volume": "taker_buy_base_volume + 1", "trade_count": "trade_count + 2"}
+    official = ", ".join(f"CASE WHEN trade_count % 4 = 0 THEN {changed[c]} ELSE {c} END AS {c}" if c in changed else c for c in quality.AGREEMENT)
+    part = lambda c: f"CASE WHEN o.{c} = 0 THEN abs(rb.{c} - o.{c}) ELSE abs(rb.{c} - o.{c}) / abs(o.{c}) END"
+    counts = "count(*) FILTER (rb.open_time IS NOT NULL AND o.open_time IS NOT NULL) AS common, count(*) FILTER (rb.open_time IS NULL) AS missing_in_rebuilt, count(*) FILTER (o.open_time IS NULL) AS missing_in_official"
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS name, {q(f'max({part(c)})', 9)} AS difference, max({part(c)}) <= 1e-6 AS passed, {counts} FROM rb FULL OUTER JOIN o ON rb.open_time = o.open_time" for c in quality.AGREEMENT)
+    return f"WITH {C}, o AS (SELECT open_time, {official} FROM candles WHERE trade_count % 6 <> 0), rb AS (SELECT * FROM candles WHERE trade_count % 10 <> 0) {rows}"
+
+
+@query(_agreement_sql())
 def candle_agreement(s, d):
     c = _candles(s, d)
-    official = c.where("trade_count % 6 <> 0").withColumn("close", F.when(F.col("trade_count") % 4 == 0, F.col("close") * 1.001).otherwise(F.col("close")))
+    other = {"close": F.col("close") * 1.001, "taker_buy_base_volume": F.col("taker_buy_base_volume") + 1, "trade_count": F.col("trade_count") + 2}
+    fourth = F.col("trade_count") % 4 == 0
+    official = c.where("trade_count % 6 <> 0").withColumns({k: F.when(fourth, v).otherwise(F.col(k)) for k, v in other.items()})
     found = quality.agreement(c.where("trade_count % 10 <> 0"), official)
-    return found.where("name in ('close', 'volume')").withColumn("difference", r("difference", 9))
+    return found.withColumn("difference", r("difference", 9))
 
 
 @query(f"""WITH {C}, day AS (SELECT CAST(open_time AS DATE) AS day, last(close ORDER BY open_time) AS ours FROM candles GROUP BY ALL),
@@ -740,7 +748,8 @@ def order_book_replay(s, d):
 def stream_trades_to_candles(s, d):
     schema = s.read.parquet(f"{d}/events.parquet").schema
     live = bars.trades_to_candles(views.trades_of(s.readStream.schema(schema).parquet(f"{d}/events.parquet*")), HOUR)
-    name = f"live_{uuid.uuid4().hex}"
-    q_ = live.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q_.awaitTermination()
-    return _bars(s.table(name))
+    path = workspace(s)
+    # the last complete result replaces the table of the one before
+    writer = live.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/candles"))
+    writer.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _bars(s.read.schema(live.schema).parquet(f"{path}/candles"))

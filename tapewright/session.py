@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere; skewed joins split; the state store that arbitrary state needs.
@@ -23,3 +26,14 @@ def build_session(app: str = "tapewright", master: str | None = None, **settings
     for key, value in (DEFAULTS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder name where driver and executors can share tables: below ``spark.checkpoint.dir``.
+
+    Only a session with a local master may do without that setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='tapewright-')).rstrip('/')}/{uuid.uuid4().hex}"

@@ -139,8 +139,12 @@ def _lines(batches):
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``path, line`` of archive files, zipped or plain."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInArrow(_lines, "path string, line string")
+    return lines_of(spark.read.format("binaryFile").load(list(paths)))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """``path, line`` of ``path, content``; of a zip archive its first member."""
+    return files.select("path", "content").mapInArrow(_lines, "path string, line string")
 
 
 def _cells(lines: DataFrame, columns: Sequence[str]) -> DataFrame:

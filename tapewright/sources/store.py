@@ -8,7 +8,7 @@ Saves append what the table lacks; one writer at a time is assumed.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -46,6 +46,16 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none where there is no folder."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def migrate(self) -> list[str]:
         """Create what is missing; returns the names of the new tables."""
         new = [t for t in TABLES if not self._exists(f"{self.path(t)}/_SUCCESS")]
@@ -99,6 +109,27 @@ class Store:
         finally:
             rows.unpersist()
 
+    def compact(self, table: Table, before: date) -> int:
+        """Rewrite each day before ``before`` that lies in several files as one; returns the days rewritten.
+
+        Recording appends a small file to a day at every flush.  Days are rewritten in
+        one job, partition by partition.
+        """
+        df = self.read(table).withColumns({"date": F.to_date(table.time), "file": F.input_file_name()}).where(F.col("date") < F.lit(before))
+        many = df.groupBy("symbol", "market", "date").agg(F.countDistinct("file").alias("files")).where("files > 1").select("symbol", "market", "date").cache()
+        try:
+            n = many.count()
+            if n:
+                # the rows are read before the folders that hold them are replaced
+                rows = df.drop("file").join(many, ["symbol", "market", "date"], "left_semi").drop("date")
+                staged = f"{self.path(table)}_compacting"
+                rows.write.mode("overwrite").parquet(staged)
+                self._write(self.spark.read.schema(table.schema).parquet(staged), table, "overwrite", partitionOverwriteMode="dynamic")
+                self.delete(staged)
+            return n
+        finally:
+            many.unpersist()
+
     def existing_open_times(self, instrument: Instrument, period: TimeRange, table: Table = CANDLE_TABLE) -> DataFrame:
         return self.read(table, instrument, period).select("open_time")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +17,9 @@ from ..sources.store import DEPTH_TABLE, TRADE_TABLE, Store, Table
 from . import orderbook
 
 
+COUNTERS = ("applied", "discarded", "resynchronized")
+
+
 @dataclass(frozen=True)
 class RecordingRules:
     """How often to flush and to capture."""
@@ -53,21 +59,67 @@ def live_candles(trades: DataFrame, timeframe: Timeframe, lateness: str = "10 mi
     return trades_to_candles(once, timeframe)
 
 
-def save_stream(df: DataFrame, store: Store, table: Table, checkpoint: str, rules: RecordingRules = RecordingRules(), once: bool = False) -> StreamingQuery:
-    """Append micro-batches through the store's idempotent save: a replayed batch adds nothing."""
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.save(table, batch))
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{rules.flush_seconds} seconds")).start()
+class Flushes:
+    """Micro-batches held back until there are ``flush_rows`` rows or ``flush_seconds`` have passed.
+
+    Held batches are tables below ``folder``, named by batch, so a replayed batch
+    replaces itself; a flush saves them all at once and deletes them.  ``written``
+    counts new rows, ``latest`` holds the greatest counters that batches have shown.
+    """
+
+    def __init__(self, store: Store, table: Table, folder: str, rules: RecordingRules, clock: Callable[[], float] = time.monotonic):
+        self.store, self.table, self.folder, self.rules, self.clock = store, table, folder, rules, clock
+        self.held: dict[int, int] = {}
+        self.written, self.latest, self.since, self.lock = 0, dict.fromkeys(COUNTERS, 0), clock(), Lock()
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        path, counters = f"{self.folder}/{number}", [c for c in COUNTERS if c in batch.columns]
+        batch.write.mode("overwrite").parquet(path)
+        seen = batch.sparkSession.read.schema(batch.schema).parquet(path).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in counters]).first()
+        with self.lock:
+            self.held[number] = seen["n"]
+            self.latest.update({c: max(self.latest[c], seen[c] or 0) for c in counters})
+            due = sum(self.held.values()) >= self.rules.flush_rows or self.clock() - self.since >= self.rules.flush_seconds
+        if due:
+            self.flush()
+
+    def flush(self) -> None:
+        with self.lock:
+            paths = [f"{self.folder}/{n}" for n in sorted(self.held)]
+            if any(self.held.values()):
+                self.written += self.store.save(self.table, self.store.spark.read.parquet(*paths))
+            for path in paths:
+                self.store.delete(path)
+            self.held, self.since = {}, self.clock()
+
+
+def save_stream(df: DataFrame, store: Store, table: Table, checkpoint: str, rules: RecordingRules = RecordingRules(), once: bool = False) -> tuple[StreamingQuery, Flushes]:
+    """Append micro-batches through the store's idempotent save: a replayed batch adds nothing.
+
+    Batches that were held when a process died are flushed at the next start.
+    """
+    flushes = Flushes(store, table, f"{checkpoint}/held", rules)
+    flushes.held = {int(n): 1 for n in store.names(flushes.folder)}
+    flushes.flush()
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(flushes.take)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start(), flushes
 
 
 def record(spark: SparkSession, raw: DataFrame, snapshots: DataFrame, listing: Listing, store: Store, checkpoint: str, rules: RecordingRules = RecordingRules(), once: bool = False, timeout: float | None = None) -> dict[str, int]:
-    """Record trades and book summaries side by side; returns the rows written.
+    """Record trades and book summaries side by side; returns what this run has done.
 
-    ``snapshots`` is a stream of order-book snapshots with ``symbol, market, seq``.
+    ``trades`` and ``depth`` are the rows written; ``applied``, ``discarded`` and
+    ``resynchronized`` count updates as of the last summary.  Both consumers share one
+    ``timeout``; what is held at its end is flushed.  ``snapshots`` is a stream of
+    order-book snapshots with ``symbol, market, seq``.
     """
-    trades = save_stream(trade_stream(raw, listing), store, TRADE_TABLE, f"{checkpoint}/trades", rules, once)
     books = orderbook.stream(orderbook.messages(update_stream(raw, listing), snapshots), rules.capture_seconds)
-    depth = save_stream(books.drop("applied", "discarded", "resynchronized"), store, DEPTH_TABLE, f"{checkpoint}/depth", rules, once)
+    trades, trade_flushes = save_stream(trade_stream(raw, listing), store, TRADE_TABLE, f"{checkpoint}/trades", rules, once)
+    depth, depth_flushes = save_stream(books, store, DEPTH_TABLE, f"{checkpoint}/depth", rules, once)
+    end = None if timeout is None else time.monotonic() + timeout
     for q in (trades, depth):
-        q.awaitTermination() if once and timeout is None else q.awaitTermination(timeout)
+        q.awaitTermination() if end is None else q.awaitTermination(max(0.1, end - time.monotonic()))
+    for q, flushes in ((trades, trade_flushes), (depth, depth_flushes)):
         q.stop()
-    return {"trades": store.read(TRADE_TABLE, listing).count(), "depth": store.read(DEPTH_TABLE, listing).count()}
+        flushes.flush()
+    return {"trades": trade_flushes.written, "depth": depth_flushes.written, **depth_flushes.latest}
