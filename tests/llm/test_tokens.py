@@ -50,3 +50,18 @@ def test_byte_bpe_equals_the_library(monkeypatch):
     texts += ["".join(r.choice("abc  \n\t'sd19_.,;éß–\"") for _ in range(r.randrange(80))) for _ in range(2000)]
     for t in texts:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_settings_that_break_the_proof_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PATH, "rb") as f:
+        proto.ParseFromString(f.read())
+    tokens.check_settings(proto.SerializeToString())
+    for change in ("remove_extra_whitespaces", "precompiled_charsmap"):
+        other = sentencepiece_model_pb2.ModelProto()
+        other.CopyFrom(proto)
+        setattr(other.normalizer_spec, change, True if change.startswith("remove") else b"x")
+        with pytest.raises(ValueError, match="rewrites"):
+            tokens.check_settings(other.SerializeToString())
