@@ -7,6 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 
+#: Parts that the edges of one node are dealt to when they meet its minimum.
+PARTS = 8
+
+
+def _joined(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of their node u; a node with many edges spreads over tasks."""
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")
+    many = minima.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return edges.withColumn("part", part).join(many, ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns a, b); root: the smallest node of its component.
 
@@ -20,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of u now hang on the smallest node that u sees
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours hang on the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
+        moved = _joined(large, low)
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = written(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
