@@ -430,27 +430,37 @@ def volume_profile_trades(s, d):
     return h.select("bucket", r("low").alias("low"), r("high").alias("high"), r("volume").alias("volume"))
 
 
-@query(f"""WITH RECURSIVE {T}, {_hist_sql("SELECT price AS p, quantity AS v FROM trades", 50)}, t AS (SELECT sum(volume) AS total FROM h), p AS (SELECT bucket AS poc FROM h ORDER BY volume DESC, bucket LIMIT 1),
+def _area_sql(rows: str) -> str:
+    """One row: point_of_control, area_low, area_high, total of the rows' profile in 50 buckets."""
+    above, below = "(SELECT volume FROM h WHERE bucket = hi + 1)", "(SELECT volume FROM h WHERE bucket = lo - 1)"
+    return f"""WITH RECURSIVE {_hist_sql(rows, 50)}, t AS (SELECT sum(volume) AS total FROM h), p AS (SELECT bucket AS poc FROM h ORDER BY volume DESC, bucket LIMIT 1),
 g AS (SELECT poc AS lo, poc AS hi, (SELECT volume FROM h WHERE bucket = poc) AS held, 0 AS n FROM p
   UNION ALL SELECT CASE WHEN up THEN lo ELSE lo - 1 END, CASE WHEN up THEN hi + 1 ELSE hi END, held + CASE WHEN up THEN a ELSE b END, n + 1
-  FROM (SELECT g.*, (SELECT volume FROM h WHERE bucket = hi + 1) AS a, (SELECT volume FROM h WHERE bucket = lo - 1) AS b,
-     (SELECT volume FROM h WHERE bucket = hi + 1) IS NOT NULL AND ((SELECT volume FROM h WHERE bucket = lo - 1) IS NULL OR (SELECT volume FROM h WHERE bucket = hi + 1) >= (SELECT volume FROM h WHERE bucket = lo - 1)) AS up FROM g)
+  FROM (SELECT g.*, {above} AS a, {below} AS b, {above} IS NOT NULL AND ({below} IS NULL OR {above} >= {below}) AS up FROM g)
   WHERE held < 0.7::DOUBLE * (SELECT total FROM t) AND (a IS NOT NULL OR b IS NOT NULL)),
 f AS (SELECT * FROM g ORDER BY n DESC LIMIT 1)
-SELECT 'ALL/USDT' AS symbol, 'spot' AS market, {q("(SELECT centre FROM h JOIN p ON bucket = poc)")} AS point_of_control, {q("(SELECT low FROM h WHERE bucket = f.lo)")} AS area_low,
-  {q("(SELECT high FROM h WHERE bucket = f.hi)")} AS area_high, {q("(SELECT total FROM t)")} AS total FROM f""")
+SELECT (SELECT centre FROM h JOIN p ON bucket = poc) AS point_of_control, (SELECT low FROM h WHERE bucket = f.lo) AS area_low, (SELECT high FROM h WHERE bucket = f.hi) AS area_high, (SELECT total FROM t) AS total FROM f"""
+
+
+_EXACT_AREA = _area_sql("SELECT price AS p, quantity AS v FROM trades")
+
+
+@query(f"""WITH {T}, area AS ({_EXACT_AREA}) SELECT 'ALL/USDT' AS symbol, 'spot' AS market, {q("point_of_control")} AS point_of_control, {q("area_low")} AS area_low, {q("area_high")} AS area_high, {q("total")} AS total FROM area""")
 def volume_profile_poc_value_area(s, d):
     keys = ["symbol", "market"]
     a = profile.value_area(profile.histogram(_trades(s, d), keys, 50), keys)
     return a.select(*keys, *[r(c).alias(c) for c in ("point_of_control", "area_low", "area_high", "total")])
 
 
-@query()
+@query(f"""WITH {C}, a AS ({_EXACT_AREA}), b AS ({_area_sql("SELECT (high + low + close) / 3 AS p, volume AS v FROM candles")})
+SELECT 'ALL/USDT' AS symbol, 'spot' AS market, {q("(b.point_of_control - a.point_of_control) / a.point_of_control")} AS poc_difference,
+  {q("greatest(least(a.area_high, b.area_high) - greatest(a.area_low, b.area_low), 0) / (a.area_high - a.area_low)")} AS area_overlap FROM a, b""")
 def volume_profile_comparison(s, d):
     keys = ["symbol", "market"]
     exact = profile.value_area(profile.histogram(_trades(s, d), keys, 50), keys)
     bars_ = _candles(s, d).withColumn("price", fn.price(PriceSource.TYPICAL))
-    return profile.compare(exact, profile.value_area(profile.histogram(bars_, keys, 50, volume="volume"), keys), keys)
+    x = profile.compare(exact, profile.value_area(profile.histogram(bars_, keys, 50, volume="volume"), keys), keys)
+    return x.select(*keys, r("poc_difference").alias("poc_difference"), r("area_overlap").alias("area_overlap"))
 
 
 @query(f"""WITH {C}, x AS (SELECT open_time, close, {_TP} AS p, volume AS v FROM candles), j AS (SELECT a.open_time, a.close, b.p, b.v FROM x a JOIN x b ON b.open_time >= a.open_time - INTERVAL 2 DAY AND b.open_time < a.open_time),

@@ -22,6 +22,42 @@ def test_runs(spark, name):
     assert df.collect() and len(set(df.columns)) == len(df.columns)
 
 
+def test_book_replay_equals_a_loop(spark):
+    """The replay of order books, message by message, in plain Python."""
+    from datetime import timedelta
+
+    from tapewright import views
+    from tapewright.queries import book_messages
+
+    rows = book_messages(views.trades(spark, SMALL, per_venue=True)).collect()
+    want = []
+    for symbol in sorted({m["symbol"] for m in rows}):
+        book, last, exact, due, counts = {"bids": {}, "asks": {}}, None, False, None, [0, 0, 0]
+        for m in sorted((m for m in rows if m["symbol"] == symbol), key=lambda m: m["seq"]):
+            levels = {side: {x["price"]: x["quantity"] for x in m[side]} for side in book}
+            if m["kind"] == "snapshot":
+                book = {side: {p: n for p, n in levels[side].items() if n} for side in book}
+                last, exact = m["final_update_id"], False
+                continue
+            if last is None or m["final_update_id"] <= last:
+                counts[1] += 1
+                continue
+            if m["first_update_id"] > last + 1 or (exact and m["first_update_id"] != last + 1):
+                counts[2] += 1
+                last = None
+                continue
+            for side in book:
+                book[side] = {p: n for p, n in (book[side] | levels[side]).items() if n}
+            last, exact = m["final_update_id"], True
+            counts[0] += 1
+            if due is None or m["event_time"] >= due:
+                due = m["event_time"] + timedelta(hours=1)
+                bids, asks = sorted(book["bids"], reverse=True), sorted(book["asks"])
+                want.append((symbol, m["event_time"], bids[0] if bids else None, asks[0] if asks else None, sum(book["bids"][p] for p in bids[:5]), sum(book["asks"][p] for p in asks[:5]), *counts))
+    got = [tuple(x) for x in QUERIES["order_book_replay"](spark, SMALL).collect()]
+    assert len(want) > 20 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
