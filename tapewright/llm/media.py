@@ -31,6 +31,8 @@ REMEMBERED = 200_000
 
 #: A set of repeated digests of up to so many (7 bytes of each) is broadcast.
 BROADCAST_DIGESTS = 500_000
+#: Rows of one text that meet their result in one task, and how many texts may have more (their share grows with the table beyond).
+PART_ROWS, HOT_FILES = 256, 100_000
 
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "big") for i in range(256)], np.uint32)
 
@@ -231,6 +233,11 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ids and repeated rows stay; an empty table gives an empty result.
     """
     packs = write_packs(docs, id_col=id_col, text_col=text_col)
-    # a written table, so that the join below stands alone in its stage and a hot text's rows can be split
-    found = written(rebuild(packs))
-    return packs.files.select("doc_id", "n_bytes", "media_sha256").join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
+    files = packs.files.select("doc_id", "n_bytes", "media_sha256")
+    # the rows of a hot text meet its one result in parts; above this share of all rows there are at most HOT_FILES texts
+    most = max(PART_ROWS, files.count() // HOT_FILES)
+    named = files.groupBy("media_sha256").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = F.broadcast(written(named.select("media_sha256", F.ceil(F.col("n") / most).alias("parts"))))
+    dealt = files.join(hot, "media_sha256", "left").withColumn("part", F.monotonically_increasing_id() % F.coalesce("parts", F.lit(1))).drop("parts")
+    found = rebuild(packs).join(hot, "media_sha256", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(written(found), ["media_sha256", "part"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")

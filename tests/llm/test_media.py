@@ -81,3 +81,12 @@ def test_chunks_are_stored_once_over_all_tasks(make_docs, monkeypatch):
                 want[d] = want.get(d, 0) + 1
         assert {bytes(x["digest"]): (x["references"], x["copies"]) for x in index} == {d: (n, 1) for d, n in want.items()}
         assert sorted(map(tuple, media.media_column(docs).collect()), key=repr) == sorted(((i, *expected(t)) for i, t in rows), key=repr)
+
+
+def test_rows_of_a_hot_text_meet_in_parts(make_docs, monkeypatch):
+    monkeypatch.setattr(media, "PART_ROWS", 3)
+    rows = [(i, "the same text") for i in range(40)] + [(40, None), (41, ""), (None, "the same text"), (7, "the same text"), (42, "another")]
+    got = media.media_column(make_docs(rows)).collect()
+    assert sorted(map(str, (g.doc_id for g in got))) == sorted(str(i) for i, _ in rows)
+    by = {t: {tuple(g)[1:] for g in got for i, u in rows if i == g.doc_id and (u or "") == t} for t in ("the same text", "", "another")}
+    assert all(len(v) == 1 for v in by.values())
