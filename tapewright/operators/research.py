@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from ..functions.windows import KEYS, full, next_rows
-from ..model import BreakoutLabel, ExtremeSide
+from ..model import BreakoutLabel, ExtremeSide, TakerSide
 
 
 def forward_return(price: Column, horizon: int, w: WindowSpec, time: str | None = None, maximum_step_seconds: float | None = None) -> Column:
@@ -20,16 +20,49 @@ def forward_return(price: Column, horizon: int, w: WindowSpec, time: str | None
     return F.when(elapsed <= int(maximum_step_seconds * 1_000_000), r)
 
 
-def average_rank(c: str, keys: Sequence[str]) -> Column:
-    """Rank from 1, equal values sharing their mean rank."""
-    peers = F.count("*").over(W.partitionBy(*keys, c))
-    return F.rank().over(W.partitionBy(*keys).orderBy(c)) + (peers - 1) / 2.0
+#: Stretches of values in which counts are summed up side by side.
+STRETCHES = 64
+
+
+def _positions(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """Per distinct non-null value: ``keys, c, __n`` (rows with it), ``__before`` (rows below it), ``__total``.
+
+    Values are counted first, then split by approximate quantiles into stretches whose
+    sums are carried on, so that one instrument's values spread over many tasks.
+    """
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("__n"))
+    shares = [i / STRETCHES for i in range(1, STRETCHES)]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(c, shares, F.lit(1000)).alias("__edges"), F.sum("__n").alias("__total"))
+    placed = counts.join(edges, list(keys)).withColumn("__at", F.size(F.filter("__edges", lambda e: e < F.col(c)))).drop("__edges")
+    sums = placed.groupBy(*keys, "__at").agg(F.sum("__n").alias("__s"))
+    earlier = F.sum("__s").over(W.partitionBy(*keys).orderBy("__at").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(*keys, "__at", F.coalesce(earlier, F.lit(0)).alias("__start"))
+    within = F.sum("__n").over(W.partitionBy(*keys, "__at").orderBy(c).rowsBetween(W.unboundedPreceding, -1))
+    return placed.join(starts, [*keys, "__at"]).select(*keys, c, "__n", (F.col("__start") + F.coalesce(within, F.lit(0))).alias("__before"), "__total")
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], c: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``c`` from 1, equal values sharing their mean rank; rows without a value or key go."""
+    ranks = _positions(df, keys, c).select(*keys, c, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(name))
+    return df.join(ranks, [*keys, c])
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], c: str, shares: Sequence[float]) -> DataFrame:
+    """``keys, percentiles``: exact, interpolated between neighbours, one for each share; keys without a value have no row."""
+    x, below = _positions(df, keys, c), F.col("__before")
+    found = []
+    for share in shares:
+        at = (F.col("__total") - 1) * F.lit(float(share))
+        holds = lambda i: F.max(F.when((below <= i) & (i < below + F.col("__n")), F.col(c)))  # noqa: B023, E731
+        low, high, part = holds(F.floor(at)), holds(F.ceil(at)), F.max(at - F.floor(at))
+        found.append(F.when(low == high, low).otherwise((1 - part) * low + part * high))
+    return x.groupBy(*keys).agg(F.array(*found).alias("percentiles"))
 
 
 def information_coefficient(pairs: DataFrame, keys: Sequence[str], feature: str = "feature", forward: str = "forward") -> DataFrame:
     """``keys, samples, coefficient, t_statistic``: correlation of average ranks."""
     known = pairs.select(*keys, F.col(feature).alias("x"), F.col(forward).alias("y")).dropna(subset=["x", "y"])
-    ranked = known.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)})
+    ranked = average_ranks(average_ranks(known, keys, "x", "rx"), keys, "y", "ry")
     per = ranked.groupBy(*keys).agg(F.count("*").alias("samples"), F.corr("rx", "ry").alias("coefficient"))
     ic, n = F.col("coefficient"), F.col("samples")
     t = F.when((n > 2) & (F.abs(ic) < 1), ic * F.sqrt(n - 2.0) / F.sqrt(1 - ic * ic))
@@ -39,8 +72,7 @@ def information_coefficient(pairs: DataFrame, keys: Sequence[str], feature: str
 def quantile_buckets(pairs: DataFrame, keys: Sequence[str], buckets: int, feature: str = "feature", forward: str = "forward") -> DataFrame:
     """``keys, bucket, samples, mean_forward`` over buckets of even counts by value; equal edges merge."""
     known = pairs.select(*keys, F.col(feature).alias("x"), F.col(forward).alias("y")).dropna(subset=["x", "y"])
-    shares = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    edges = known.groupBy(*keys).agg(F.array_distinct(F.percentile("x", shares)).alias("edges"))
+    edges = percentiles(known, keys, "x", [i / buckets for i in range(buckets + 1)]).select(*keys, F.array_distinct("percentiles").alias("edges"))
     inner = F.filter("edges", lambda e: (e < F.col("x")) & (e > F.element_at("edges", 1)))
     placed = known.join(edges, list(keys)).withColumn("bucket", F.size(inner))
     return placed.groupBy(*keys, "bucket").agg(F.count("*").alias("samples"), F.avg("y").alias("mean_forward"))
@@ -79,17 +111,52 @@ def breakout_statistics(labelled: DataFrame, observations: Sequence[str]) -> Dat
     return x.withColumns({"difference": F.col("held_median") - F.col("failed_median"), "ratio": F.try_divide("held_median", "failed_median")})
 
 
+def spread() -> Column:
+    return F.col("best_ask_price") - F.col("best_bid_price")
+
+
+def mid() -> Column:
+    return (F.col("best_bid_price") + F.col("best_ask_price")) / 2
+
+
+def taker_side() -> Column:
+    """Who took: the seller where the buyer made the market."""
+    return F.when(F.col("buyer_is_maker"), TakerSide.SELL.value).otherwise(TakerSide.BUY.value)
+
+
 def slippage(depth: DataFrame, keys: Sequence[str] = ("symbol", "market")) -> DataFrame:
     """Half spread over mid: count, mean, median, 95th percentile; depth of the first five levels; hours covered."""
-    mid = (F.col("best_bid_price") + F.col("best_ask_price")) / 2
-    rate = F.try_divide((F.col("best_ask_price") - F.col("best_bid_price")) / 2, mid)
-    notional = F.greatest(F.col("bid_quantity_5"), F.lit(0.0)) * mid
-    x = depth.select(*keys, "captured_at", rate.alias("rate"), notional.alias("notional"))
+    notional = F.greatest(F.col("bid_quantity_5"), F.lit(0.0)) * mid()
+    x = depth.select(*keys, "captured_at", F.try_divide(spread() / 2, mid()).alias("rate"), notional.alias("notional"))
     span = F.unix_micros(F.max("captured_at").cast("timestamp")) - F.unix_micros(F.min("captured_at").cast("timestamp"))
-    return x.groupBy(*keys).agg(
-        F.count("rate").alias("samples"), (span / 3_600_000_000.0).alias("covered_hours"), F.avg("rate").alias("mean_rate"),
-        F.median("rate").alias("median_rate"), F.percentile("rate", F.lit(0.95)).alias("p95_rate"), F.median("notional").alias("median_notional"),
-    )
+    per = x.groupBy(*keys).agg(F.count("rate").alias("samples"), (span / 3_600_000_000.0).alias("covered_hours"), F.avg("rate").alias("mean_rate"))
+    rates = percentiles(x, keys, "rate", (0.5, 0.95)).select(*keys, F.col("percentiles")[0].alias("median_rate"), F.col("percentiles")[1].alias("p95_rate"))
+    notionals = percentiles(x, keys, "notional", (0.5,)).select(*keys, F.col("percentiles")[0].alias("median_notional"))
+    return per.join(rates, list(keys), "left").join(notionals, list(keys), "left")
+
+
+def activity_heatmap(candles: DataFrame, measure: str = "trade_count", keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """``keys, weekday`` (Monday is 0)``, hour, relative``: the mean of ``measure`` in each cell over its mean at all."""
+    overall = candles.groupBy(*keys).agg(F.avg(measure).alias("overall"))
+    cells = candles.groupBy(*keys, F.weekday(time).alias("weekday"), F.hour(time).alias("hour")).agg(F.avg(measure).alias("mean"))
+    return cells.join(overall, list(keys)).select(*keys, "weekday", "hour", F.try_divide("mean", "overall").alias("relative"))
+
+
+def turning_points(candles: DataFrame, bars: int = 6, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """``keys, flips, steepest``: changes of the closes' direction, and the bar that ends the steepest fall over ``bars``."""
+    w = W.partitionBy(*keys).orderBy(time)
+    close = F.col("close")
+    x = candles.select(*keys, time, F.signum(close - F.lag(close).over(w)).alias("g"), (F.try_divide(close, F.lag(close, bars).over(w)) - 1).alias("fall"))
+    x = x.withColumn("flip", F.coalesce(F.col("g") != F.lag("g").over(w), F.lit(False)))
+    return x.groupBy(*keys).agg(F.sum(F.col("flip").cast("long")).alias("flips"), F.min_by(time, "fall").alias("steepest"))
+
+
+def around(candles: DataFrame, points: DataFrame, point: str = "steepest", bars: int = 120, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """The candles within ``bars`` of each instrument's one ``point``, with ``offset`` from it."""
+    n = candles.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(time)))
+    marks = n.join(points.select(*keys, F.col(point).alias(time)), [*keys, time]).select(*keys, F.col("__n").alias("__at"))
+    x = n.join(marks, list(keys)).withColumn("offset", F.col("__n") - F.col("__at"))
+    return x.where(F.abs("offset") <= bars).drop("__n", "__at")
 
 
 def strategy_correlation(returns: DataFrame, bar: Sequence[str], strategy: str = "strategy", value: str = "returns") -> DataFrame:

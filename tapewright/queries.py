@@ -63,12 +63,12 @@ def _trades(s: SparkSession, d: str) -> DataFrame:
     return views.trades(s, d)
 
 
-def _depth(s: SparkSession, d: str) -> DataFrame:
-    return views.depth(views.trades(s, d))
+def _depth(s: SparkSession, d: str, per_venue: bool = False) -> DataFrame:
+    return views.depth(views.trades(s, d, per_venue))
 
 
-def _candles(s: SparkSession, d: str) -> DataFrame:
-    return views.candles(views.trades(s, d))
+def _candles(s: SparkSession, d: str, per_venue: bool = False) -> DataFrame:
+    return views.candles(views.trades(s, d, per_venue))
 
 
 BAR = ["open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume"]
@@ -224,13 +224,12 @@ def epoch_to_utc(s, d):
 
 @query(f"""WITH {T} SELECT CASE WHEN buyer_is_maker THEN 'sell' ELSE 'buy' END AS side, count(*) AS trades, {q("sum(quantity)")} AS quantity FROM trades GROUP BY ALL""")
 def taker_sides(s, d):
-    side = F.when(F.col("buyer_is_maker"), "sell").otherwise("buy").alias("side")
-    return _trades(s, d).groupBy(side).agg(F.count("*").alias("trades"), r(F.sum("quantity")).alias("quantity"))
+    return _trades(s, d).groupBy(research.taker_side().alias("side")).agg(F.count("*").alias("trades"), r(F.sum("quantity")).alias("quantity"))
 
 
 @query(f"""WITH {D} SELECT captured_at, {q("best_ask_price - best_bid_price")} AS spread, {q("(best_ask_price + best_bid_price) / 2")} AS mid FROM depth""")
 def depth_mid_spread(s, d):
-    return _depth(s, d).select(ntz("captured_at"), r(F.col("best_ask_price") - F.col("best_bid_price")).alias("spread"), r((F.col("best_ask_price") + F.col("best_bid_price")) / 2).alias("mid"))
+    return _depth(s, d).select(ntz("captured_at"), r(research.spread()).alias("spread"), r(research.mid()).alias("mid"))
 
 
 # --- indicators and features -------------------------------------------------
@@ -371,19 +370,20 @@ def feature_table_trimmed(s, d):
 @query(f"""WITH {C}, x AS (SELECT CAST(isodow(open_time) - 1 AS INTEGER) AS weekday, CAST(hour(open_time) AS INTEGER) AS hour, CAST(trade_count AS DOUBLE) AS n FROM candles)
 SELECT weekday, hour, {q("avg(n) / (SELECT avg(n) FROM x)")} AS relative FROM x GROUP BY weekday, hour""")
 def activity_heatmap(s, d):
-    c = _candles(s, d)
-    overall = c.groupBy(*KEYS).agg(F.avg("trade_count").alias("overall"))
-    cells = c.groupBy(*KEYS, F.weekday("open_time").alias("weekday"), F.hour("open_time").alias("hour")).agg(F.avg("trade_count").alias("mean"))
-    return cells.join(overall, list(KEYS)).select("weekday", "hour", r(F.col("mean") / F.col("overall")).alias("relative"))
+    return research.activity_heatmap(_candles(s, d)).select("weekday", "hour", r("relative").alias("relative"))
 
 
 @query(f"""WITH {C}, x AS (SELECT open_time, close, sign(close - lag(close) OVER w) AS g, close / lag(close, 6) OVER w - 1 AS drop6 FROM candles {W}), y AS (SELECT *, lag(g) OVER (ORDER BY open_time) AS pg FROM x)
 SELECT count(*) FILTER (g <> pg) AS flips, arg_min(open_time, drop6) AS steepest FROM y""")
 def direction_flips(s, d):
-    w = ordered()
-    x = _candles(s, d).select(*KEYS, "open_time", F.signum(F.col("close") - F.lag("close").over(w)).alias("g"), (F.col("close") / F.lag("close", 6).over(w) - 1).alias("drop"))
-    x = x.withColumn("flip", F.col("g") != F.lag("g").over(w))
-    return x.groupBy(*KEYS).agg(F.sum(F.coalesce(F.col("flip"), F.lit(False)).cast("long")).alias("flips"), F.min_by("open_time", "drop").alias("steepest")).select("flips", ntz("steepest"))
+    return research.turning_points(_candles(s, d)).select("flips", ntz("steepest"))
+
+
+@query(f"""WITH {C}, x AS (SELECT open_time, close, row_number() OVER w AS n, close / lag(close, 6) OVER w - 1 AS fall FROM candles {W}), p AS (SELECT arg_min(n, fall) AS lowest FROM x)
+SELECT open_time, {q("close")} AS close, CAST(n - lowest AS INTEGER) AS "offset" FROM x, p WHERE abs(n - lowest) <= 120""")
+def steepest_drop(s, d):
+    c = _candles(s, d)
+    return research.around(c, research.turning_points(c)).select(ntz("open_time"), r("close").alias("close"), "offset")
 
 
 @query(f"""WITH {C}, x AS (SELECT open_time, close > {_rolling_sql(8, "avg(close)", "close", "ROWS BETWEEN 7 PRECEDING AND CURRENT ROW")} AS up, row_number() OVER (ORDER BY open_time) AS n FROM candles),
@@ -487,9 +487,9 @@ def slippage_estimate(s, d):
 # --- research ----------------------------------------------------------------
 
 
-def _pairs(s, d) -> DataFrame:
+def _pairs(s, d, per_venue: bool = False) -> DataFrame:
     w = ordered()
-    x = _candles(s, d)
+    x = _candles(s, d, per_venue)
     feature = F.try_divide(F.col("taker_buy_base_volume"), F.col("volume"))
     return x.select(*KEYS, "open_time", r(feature).alias("feature"), research.forward_return(F.col("close"), 3, w, "open_time", 4 * 3600).alias("forward"))
 
@@ -558,9 +558,9 @@ def return_shuffle_invariants(s, d):
 # --- conditions, positions, backtests ----------------------------------------
 
 
-def _averages(s, d) -> DataFrame:
+def _averages(s, d, per_venue: bool = False) -> DataFrame:
     w = ordered()
-    return _candles(s, d).withColumns({"sma_3": sma(F.col("close"), 3, w), "sma_8": sma(F.col("close"), 8, w), "burst": F.when(F.col("trade_count") % 4 == 0, 1.0).otherwise(0.0)})
+    return _candles(s, d, per_venue).withColumns({"sma_3": sma(F.col("close"), 3, w), "sma_8": sma(F.col("close"), 8, w), "burst": F.when(F.col("trade_count") % 4 == 0, 1.0).otherwise(0.0)})
 
 
 _MA = f"""{C}, ma AS (SELECT *, {_rolling_sql(3, "avg(close)", "close", _LAST3)} AS sma_3, {_rolling_sql(8, "avg(close)", "close", "ROWS BETWEEN 7 PRECEDING AND CURRENT ROW")} AS sma_8 FROM candles)"""
@@ -592,8 +592,8 @@ def cond_crossover(s, d):
     return _conditions(s, d, golden=Crossover("sma_3", CrossDirection.UP, "sma_8"), death=Crossover("sma_3", CrossDirection.DOWN, "sma_8"))
 
 
-def _positions(s, d, holding: HoldingRules = HoldingRules()) -> DataFrame:
-    x = _averages(s, d)
+def _positions(s, d, holding: HoldingRules = HoldingRules(), per_venue: bool = False) -> DataFrame:
+    x = _averages(s, d, per_venue)
     golden, death = crosses(F.col("sma_3"), F.col("sma_8"), ordered())
     return bt.with_positions(x.withColumns({"entry": golden, "exit": death}), weight=1.0, warmup=1, holding=holding)
 
@@ -622,8 +622,8 @@ def positions_with_time_rules(s, d):
 COSTS = CostModel()
 
 
-def _curve(s, d) -> DataFrame:
-    return bt.equity_curve(_positions(s, d), COSTS)
+def _curve(s, d, per_venue: bool = False) -> DataFrame:
+    return bt.equity_curve(_positions(s, d, per_venue=per_venue), COSTS)
 
 
 _CURVE = f"""{_POS}, gr AS (SELECT *, position * coalesce(close / lag(close) OVER w - 1, 0) AS gross, abs(position - lag(position, 1, 0) OVER w) AS turnover FROM ps {W}),
@@ -712,6 +712,51 @@ def walk_forward_folds(s, d):
     return expanding_folds(_candles(s, d), 3).select(ntz("open_time"), "number", "fold")
 
 
+# --- several instruments -----------------------------------------------------
+
+
+def _each(sql: str) -> str:
+    """The same SQL with the event type as the symbol, and windows and ranks within it."""
+    sql = sql.replace("'ALL/USDT' AS symbol", "event_type AS symbol").replace("(PARTITION BY ", "(PARTITION BY symbol, ")
+    return sql.replace("(ORDER BY ", "(PARTITION BY symbol, market ORDER BY ")
+
+
+_EACH_FEATURES = {
+    "sma_3": _rolling_sql(3, "avg(close)", "close", _LAST3), "prior_high_20": _PRIOR_HIGH, "prior_low_20": _PRIOR_LOW,
+    # the logarithm, as quotients of short decimals lie exactly between two rounded values
+    "log_vwap_session": f"ln(sum({_TP} * volume) OVER {_SESSION} / sum(volume) OVER {_SESSION})", "activity_hour": _z_sql("CAST(trade_count AS DOUBLE)", _HOURS, f"count(*) OVER {_HOURS} > 1"),
+    "activity_rolling": _z_sql("CAST(trade_count AS DOUBLE)", _P20, f"count(*) OVER {_P20} = 20"), "forward_3": "lead(close, 3) OVER w / close - 1",
+}
+
+
+@query(_each(f"WITH {C} SELECT symbol, open_time, {', '.join(f'{q(e)} AS {n}' for n, e in _EACH_FEATURES.items())} FROM candles {W}"))
+def instruments_features(s, d):
+    w, n = ordered(), F.col("trade_count").cast("double")
+    x = _candles(s, d, True).withColumns({
+        "sma_3": sma(F.col("close"), 3, w), "prior_high_20": fn.prior_extreme(ExtremeSide.HIGH, 20, w), "prior_low_20": fn.prior_extreme(ExtremeSide.LOW, 20, w),
+        "log_vwap_session": F.ln(fn.vwap(fn.session_frame())), "activity_hour": fn.z_hour_of_day(n), "activity_rolling": fn.z_rolling(n, 20, w), "forward_3": research.forward_return(F.col("close"), 3, w),
+    })
+    return x.select("symbol", ntz("open_time"), *[r(c).alias(c) for c in _EACH_FEATURES])
+
+
+@query(_each(f"""WITH {_PAIRS.replace("SELECT open_time", "SELECT symbol, market, open_time")}, rk AS (SELECT symbol, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM k),
+c AS (SELECT symbol, count(*) AS samples, corr(rx, ry) AS ic FROM rk GROUP BY symbol) SELECT symbol, samples, {q("ic", 9)} AS coefficient FROM c"""))
+def instruments_ic(s, d):
+    return research.information_coefficient(_pairs(s, d, True), KEYS).select("symbol", "samples", r("coefficient", 9).alias("coefficient"))
+
+
+@query(_each(f"""WITH {D}, x AS (SELECT symbol, (best_ask_price - best_bid_price) / 2 / ((best_ask_price + best_bid_price) / 2) AS rate, greatest(bid_quantity_5, 0) * (best_ask_price + best_bid_price) / 2 AS notional FROM depth)
+SELECT symbol, count(rate) AS samples, {q("median(rate)", 9)} AS median_rate, {q("quantile_cont(rate, 0.95)", 9)} AS p95_rate, {q("median(notional)")} AS median_notional FROM x GROUP BY symbol"""))
+def instruments_slippage(s, d):
+    x = research.slippage(_depth(s, d, True))
+    return x.select("symbol", "samples", r("median_rate", 9).alias("median_rate"), r("p95_rate", 9).alias("p95_rate"), r("median_notional").alias("median_notional"))
+
+
+@query(_each(f"WITH {_CURVE} SELECT symbol, open_time, position, {q('ret', 9)} AS returns, {q('turnover')} AS turnover, {q('equity', 4)} AS equity FROM eq"))
+def instruments_equity(s, d):
+    return _curve(s, d, True).select("symbol", ntz("open_time"), "position", r("returns", 9).alias("returns"), r("turnover").alias("turnover"), r("equity", 4).alias("equity"))
+
+
 # --- whole runs --------------------------------------------------------------
 
 

@@ -1,23 +1,27 @@
 """Order books kept from snapshots and updates, and summarised at most once an interval.
 
 One processor serves both a stream (arbitrary state for each listing) and a
-replay of stored messages (a grouped map), so a replay equals the stream.
+replay of stored messages, so a replay equals the stream.  A replay is cut where a
+snapshot starts a book anew: those epochs run in parallel, and only what an epoch
+hands over (counters, the next capture) is carried from one to the next.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import SequenceDecision
 from ..sources.columns import LEVELS
 
 MESSAGE = "symbol string, market string, seq long, kind string, event_time timestamp, first_update_id long, final_update_id long, bids array<struct<price:double,quantity:double>>, asks array<struct<price:double,quantity:double>>"
+_COUNTERS = ("applied", "discarded", "resynchronized")
 _DEPTH = ", ".join(f"{s}_quantity_{n} double" for n in LEVELS for s in ("bid", "ask"))
 SUMMARY = f"symbol string, market string, captured_at timestamp, best_bid_price double, best_ask_price double, {_DEPTH}, applied long, discarded long, resynchronized long"
 
@@ -88,22 +92,52 @@ class Book:
         return out
 
 
-def process(book: Book, rows: pd.DataFrame, interval_us: int) -> list[tuple]:
-    """Feed messages in order of ``seq``; one summary for each interval of event time, on applied updates only."""
-    out = []
-    for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
+def _applied(book: Book, rows: pd.DataFrame) -> Iterator[tuple[Any, int]]:
+    """Feed messages in order of ``seq``, a snapshot before an update of the same ``seq``; each applied update and its time in microseconds."""
+    for r in rows.sort_values(["seq", "kind"], kind="stable").itertuples(index=False):
         if r.kind == "snapshot":
             book.restart(int(r.final_update_id), r.bids, r.asks)
-            continue
-        if book.update(int(r.first_update_id), int(r.final_update_id), r.bids, r.asks) != SequenceDecision.APPLY:
-            continue
-        now = int(pd.Timestamp(r.event_time).value // 1000)
+        elif book.update(int(r.first_update_id), int(r.final_update_id), r.bids, r.asks) == SequenceDecision.APPLY:
+            yield r, int(pd.Timestamp(r.event_time).value // 1000)
+
+
+def process(book: Book, rows: pd.DataFrame, interval_us: int) -> list[tuple]:
+    """One summary for each interval of event time, on applied updates only."""
+    out = []
+    for r, now in _applied(book, rows):
         if book.next_capture is None or now >= book.next_capture:
             out.append((r.event_time, *book.summary(), book.applied, book.discarded, book.resynchronized))
             book.next_capture = now + interval_us
     return out
 
 
+def handover(times: list[int], interval_us: int, most: int | None) -> tuple[list[int], list[int]]:
+    """What the next capture is after updates at ``times``, for every next capture of at most ``most`` before them.
+
+    Returns ``until, after``: with a next capture of at most ``until[i]`` (and more than
+    ``until[i - 1]``) it is ``after[i]`` in the end; beyond the last it stays as it is.
+    Without ``most`` there was no capture before.  In order of time ``most`` is within
+    an interval of the first update, so the lists are short.
+    """
+    ahead: list[tuple[int, int]] = []  # (-time, result) of the later updates that exceed all between, nearest last
+    for t in reversed(times):
+        n = bisect_left(ahead, (-(t + interval_us) + 1,))  # those at t + interval or later
+        result = ahead[n - 1][1] if n else t + interval_us
+        while ahead and -ahead[-1][0] <= t:
+            ahead.pop()
+        ahead.append((-t, result))
+    until, after = [], []
+    for t, result in reversed(ahead):
+        if after and after[-1] == result:
+            until[-1] = -t
+        else:
+            until.append(-t)
+            after.append(result)
+        if most is None or -t >= most:
+            break
+    return until, after
+
+
 def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in SUMMARY.split(", ")]
     return pd.DataFrame([(*key, *r) for r in rows], columns=names)
@@ -117,14 +151,63 @@ def messages(updates: DataFrame, snapshots: DataFrame) -> DataFrame:
     return u.select(columns).unionByName(s.select(columns))
 
 
-def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
-    """Summaries of stored messages, listing by listing."""
-    step = int(interval_seconds * 1_000_000)
+#: Messages whose snapshots are numbered in one task.
+_BLOCK = 65_536
+_LISTING = ["symbol", "market"]
+_EPOCH = "symbol string, market string, epoch long, applied long, discarded long, resynchronized long"
+
+
+def epochs(stored: DataFrame) -> DataFrame:
+    """``stored`` with ``epoch``: how many snapshots of the listing have come, its own included; in blocks of ``seq``."""
+    x = stored.withColumn("__block", F.floor(F.col("seq") / _BLOCK))
+    one = (F.col("kind") == "snapshot").cast("long")
+    blocks = x.groupBy(*_LISTING, "__block").agg(F.sum(one).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*_LISTING).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(one).over(W.partitionBy(*_LISTING, "__block").orderBy("seq"))  # by value: messages of one seq are of one epoch
+    placed = x.withColumn("__within", within).join(blocks.select(*_LISTING, "__block", before.alias("__before")), [*_LISTING, "__block"])
+    return placed.withColumn("epoch", F.col("__before") + F.col("__within")).drop("__block", "__before", "__within")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key, process(Book(), rows, step))
 
-    return stored.groupBy("symbol", "market").applyInPandas(run, SUMMARY)
+def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
+    """Summaries of stored messages, equal to those of one pass over each listing.
+
+    Three steps: every epoch's counters and ``handover``, from the ids and times alone;
+    one pass over the epochs of a listing for what each starts with; then the books.
+    ``seq`` and the listing are not null.
+    """
+    step = int(interval_seconds * 1_000_000)
+    key = [*_LISTING, "epoch"]
+    placed = epochs(stored)
+
+    def survey(k: tuple, rows: pd.DataFrame, reach: pd.DataFrame) -> pd.DataFrame:
+        book, none, latest = Book(), [()] * len(rows), reach.latest.iloc[0]
+        times = [t for _, t in _applied(book, rows.assign(bids=none, asks=none))]
+        until, after = handover(times, step, None if pd.isna(latest) else int(latest) + step)
+        return pd.DataFrame([(*k, book.applied, book.discarded, book.resynchronized, until, after)], columns=[*key, *_COUNTERS, "until", "after"])
+
+    def starts(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        capture, counts, out = None, [0, 0, 0], []
+        for r in rows.sort_values("epoch").itertuples(index=False):
+            out.append((*k, r.epoch, *counts, capture))
+            counts = [a + b for a, b in zip(counts, (r.applied, r.discarded, r.resynchronized))]
+            at = 0 if capture is None else bisect_left(r.until, capture)
+            if at < len(r.until):
+                capture = int(r.after[at])
+        return pd.DataFrame(out, columns=[*key, *_COUNTERS, "next_capture"]).astype({"next_capture": "Int64"})
+
+    def run(k: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        s = start.iloc[0]
+        capture = None if pd.isna(s.next_capture) else int(s.next_capture)
+        book = Book(next_capture=capture, applied=int(s.applied), discarded=int(s.discarded), resynchronized=int(s.resynchronized))
+        return _frame(k[:2], process(book, rows, step))
+
+    narrow = placed.select(*key, "seq", "kind", "event_time", "first_update_id", "final_update_id")
+    tops = narrow.groupBy(*key).agg(F.max(F.unix_micros("event_time")).alias("top"))
+    own = [f"of_{k}" for k in key]  # names of its own, as both sides of a cogroup stem from the same table
+    reach = tops.select(*[F.col(k).alias(o) for k, o in zip(key, own)], F.max("top").over(W.partitionBy(*_LISTING).orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)).alias("latest"))
+    surveyed = narrow.groupBy(*key).cogroup(reach.groupBy(*own)).applyInPandas(survey, f"{_EPOCH}, until array<long>, after array<long>")
+    begun = surveyed.groupBy(*_LISTING).applyInPandas(starts, f"{_EPOCH}, next_capture long")
+    return placed.groupBy(*key).cogroup(begun.groupBy(*key)).applyInPandas(run, SUMMARY)
 
 
 _STATE = "bid_prices array<double>, bid_quantities array<double>, ask_prices array<double>, ask_quantities array<double>, last_update_id long, syncing boolean, next_capture long, applied long, discarded long, resynchronized long"

@@ -4,6 +4,7 @@ import zipfile
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from support import START
 from tapewright.model import Instrument, Listing, Market, SourceKind, Timeframe, TimeRange
@@ -359,3 +360,47 @@ def test_cli(spark, make_candles, tmp_path, capsys):
 
 def test_listing_identity():
     assert Listing("eth/usdt", Market.USDM).native_symbol == "ETHUSDT"
+
+
+def test_handover_equals_each_capture():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        times = [r.randrange(60) for _ in range(r.randrange(12))]
+        times = sorted(times) if r.random() < 0.5 else times
+        step = r.randrange(1, 20)
+        most = r.randrange(70)
+        until, after = orderbook.handover(times, step, most)
+        assert until == sorted(until) and len(until) == len(after)
+        for start in range(most + 1):
+            due = start
+            for t in times:
+                due = t + step if t >= due else due
+            at = next((i for i, u in enumerate(until) if u >= start), None)
+            assert (start if at is None else after[at]) == due
+
+
+def test_replay_by_epochs_equals_one_pass(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(orderbook, "_BLOCK", 16)
+    r, rows = random.Random(8), []
+    for symbol in ("A", "B"):
+        last, now = 0, 0
+        for seq in range(400):
+            level = [(float(r.randrange(1, 30)), float(r.randrange(3)))]
+            if r.random() < 0.05:
+                rows.append((symbol, "spot", seq, "snapshot", None, None, last, level, [(40.0, 1.0)]))
+            now += r.randrange(0, 900_000)
+            first, last = last + 1 + (r.random() < 0.03), last + 3
+            rows.append((symbol, "spot", seq, "update", datetime.fromtimestamp(now / 1e6, timezone.utc), first, last, level, [(41.0, 2.0)]))
+    r.shuffle(rows)
+    stored = spark.createDataFrame(rows, orderbook.MESSAGE).repartition(4)
+    got = sorted(tuple(x) for x in orderbook.replay(stored).collect())
+    want = []
+    for symbol in ("A", "B"):
+        one = stored.where(F.col("symbol") == symbol).toPandas()
+        want += [(symbol, "spot", *x) for x in orderbook.process(orderbook.Book(), one, 1_000_000)]
+    assert orderbook.handover([5, 6, 90], 10, None) == ([5], [100])
+    assert len(got) > 50 and [x[3:] for x in got] == [tuple(x[3:]) for x in sorted(want)]
