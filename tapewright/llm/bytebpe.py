@@ -16,10 +16,11 @@ import numpy as np
 
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
-#: The pre-token pattern of the tokenizer file, for the characters of _PLAIN.
-_PRE_TOKEN = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: The pre-token pattern of the byte-level vocabularies, and the same for the characters of PLAIN.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRE_TOKEN = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 #: Characters whose class (letter, digit, space, other) is beyond doubt in any engine.
-_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e¡£§©«®°·»¿À-ſ–—‘-„•…€]*")
+PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e¡£§©«®°·»¿À-ſ–—‘-„•…€]*")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -59,9 +60,9 @@ class ByteBpe:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        tokens = _PRE_TOKEN.findall(text)
+        tokens = PRE_TOKEN.findall(text)
         memo = self.memo
         ids = list(map(memo.get, tokens))
         if None in ids:
