@@ -21,6 +21,8 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 from math import isqrt
 
 import numpy as np
@@ -30,11 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .common import rows_of
 
-#: Vectors of a block; bytes of vectors that a bucket aims at; components are clamped to this after flooring.
-BLOCK, BUCKET_BYTES, CLAMP = 1024, 128 << 20, 2**50
-#: Beyond this many bits a component's products leave 64-bit integers, and a block is computed with Python's.
-EXACT_BITS = 26
-LONGEST = 2**63 - 1
+#: Vectors of a block; components are clamped to this after flooring; the largest long.
+BLOCK, CLAMP, LONGEST = 1024, 2**50, 2**63 - 1
 
 
 @dataclass
@@ -86,20 +85,19 @@ def assign_near(x: np.ndarray, last: np.ndarray, centroids: np.ndarray, near: li
     return best, own, compared
 
 
-def _numbers(raw: bytes, width: int, dims: int) -> np.ndarray:
-    x = np.frombuffer(raw, f"<i{width}").astype(np.int64).reshape(-1, dims)
-    return x.astype(object) if width == 8 else x
-
-
 def _packed(q: np.ndarray) -> tuple[bytes, int]:
+    """Integers as bytes, and how many bytes one takes."""
     most = int(np.abs(q).max(initial=0))
-    width = 2 if most < 2**15 else 4 if most < 2**EXACT_BITS else 8
+    width = 2 if most < 2**15 else 4 if most < 2**31 else 8
     return q.astype(f"<i{width}").tobytes(), width
 
 
-def _centroid_array(centroids: list[list[int]], wide: bool) -> np.ndarray:
-    big = wide or max((abs(c) for row in centroids for c in row), default=0) >= 2**EXACT_BITS
-    return np.array(centroids, dtype=object if big else np.int64)
+def _exact(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as Python's integers where four times a squared distance could leave 64 bits."""
+    most = max(int(np.abs(a).max(initial=0)) for a in (x, c))
+    if 16 * x.shape[1] * most * most < 2**62:
+        return x, c
+    return x.astype(object), c.astype(object)
 
 
 def _to_blocks(dims: int, scale: int):
@@ -112,28 +110,27 @@ def _to_blocks(dims: int, scale: int):
             with np.errstate(over="ignore"):
                 q = np.clip(np.floor(x * scale), -CLAMP, CLAMP).astype(np.int64)
             raw, width = _packed(q)
-            yield pa.RecordBatch.from_arrays([pa.array([part * 2**33 + no], pa.int64()), pa.ListArray.from_arrays([0, len(x)], b.column(0)), pa.array([raw], pa.binary()), pa.array([width], pa.int32())], ["block", "ids", "raw", "width"])
+            yield pa.RecordBatch.from_arrays([pa.array([part * 2**33 + no], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), b.column(0)), pa.array([raw], pa.binary()), pa.array([width], pa.int32())], ["block", "ids", "raw", "width"])
             no += 1
 
     return run
 
 
+_FIELDS = ["block", "clusters", "distances", "numbers", "counts", "sums", "farthest", "inertias", "compared"]
 _ROUND = "block long, clusters binary, distances binary, numbers array<int>, counts array<long>, sums array<array<decimal(38,0)>>, farthest array<long>, inertias array<decimal(38,0)>, compared long"
 
 
-def _round(dims: int, shared, keep_distances: bool):
+def _round(dims: int, shared):
     """Blocks beside their last clusters -> clusters now and, by cluster, what came or went and the farthest member."""
     decimals = pa.decimal128(38)
 
     def run(batches: Iterator[pa.RecordBatch]):
         balls = shared.value
+        centroids = np.array(balls.centroids, np.int64)
         for b in batches:
             out = []
             for block, raw, width, last in zip(*(b.column(i).to_pylist() for i in range(4))):
-                x = _numbers(raw, width, dims)
-                c = _centroid_array(balls.centroids, width == 8)
-                if c.dtype == object:
-                    x = x.astype(object)
+                x, c = _exact(np.frombuffer(raw, f"<i{width}").astype(np.int64).reshape(-1, dims), centroids)
                 if last is None:
                     was, compared = None, len(x) * len(c)
                     now, own = assign_all(x, c)
@@ -146,37 +143,22 @@ def _round(dims: int, shared, keep_distances: bool):
                     came = moved[now[moved] == i]
                     went = moved[was[moved] == i] if was is not None else moved[:0]
                     mine = own[now == i]
-                    stats[i] = [len(came) - len(went), [int(s) for s in x[came].sum(0) - x[went].sum(0)], min(LONGEST, int(max(mine, default=0))), sum(map(int, mine))]
-                kept = np.minimum(own, LONGEST).astype("<i8").tobytes() if keep_distances else None
-                out.append((block, now.astype("<i4").tobytes(), kept, list(stats), *map(list, zip(*stats.values())), compared))
+                    stats[i] = [len(came) - len(went), [Decimal(int(s)) for s in x[came].sum(0) - x[went].sum(0)], _root_above(int(max(mine, default=0))), Decimal(sum(min(LONGEST, int(d)) for d in mine))]
+                out.append((block, now.astype("<i4").tobytes(), np.minimum(own, LONGEST).astype("<i8").tobytes(), list(stats), *map(list, zip(*stats.values())), compared))
             columns = list(zip(*out)) or [()] * 9
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(decimals)), pa.list_(pa.int64()), pa.list_(decimals), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(_decimal(v), k) for v, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _FIELDS])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], _FIELDS)
 
     return run
 
 
-_FIELDS = ["block", "clusters", "distances", "numbers", "counts", "sums", "farthest", "inertias", "compared"]
-
-
-def _decimal(values):
-    from decimal import Decimal
-
-    def turn(v):
-        if isinstance(v, list) and v and isinstance(v[0], list):
-            return [[Decimal(s) for s in row] for row in v]
-        return v
-
-    return [turn(v) for v in values]
-
-
 class _Tables:
     """Bucketed tables of one run; dropped when it ends."""
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.prefix, self.names = spark, buckets, f"ball_{uuid.uuid4().hex}", []
 
-    def save(self, df: DataFrame, keep: bool = False) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
         name = f"{self.prefix}_{len(self.names)}"
         df.write.bucketBy(self.buckets, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
         self.names.append(name)
@@ -188,7 +170,7 @@ class _Tables:
 
 
 def _totals(state: DataFrame, dims: int) -> tuple[dict[int, int], dict[int, list[int]], dict[int, int], dict[int, int]]:
-    """Counts, sums, squared radii and inertias by cluster; added up by cluster and component over all tasks."""
+    """Counts, sums, radii and inertias by cluster; added up by cluster and component over all tasks."""
     one = state.select(F.inline(F.arrays_zip("numbers", "counts", "sums", "farthest", "inertias")))
     by = one.groupBy("numbers").agg(F.sum("counts").alias("n"), F.max("farthest").alias("r"), F.sum("inertias").alias("inertia")).collect()
     parts = one.select("numbers", F.posexplode("sums").alias("at", "value")).groupBy("numbers", "at").agg(F.sum("value").alias("value")).collect()
@@ -239,7 +221,7 @@ def cluster(vectors: DataFrame, *, k: int = 8, rounds: int = 10, dims: int = 64,
         shared = spark.sparkContext.broadcast(balls)
         sides = stored.select("block", "raw", "width", F.lit(None).cast("binary").alias("clusters")) if state is None else stored.select("block", "raw", "width").join(state.select("block", "clusters"), "block")
         before = tables.names[1:]
-        state = tables.save(sides.select("block", "raw", "width", "clusters").mapInArrow(_round(dims, shared, keep_distances=True), _ROUND))
+        state = tables.save(sides.select("block", "raw", "width", "clusters").mapInArrow(_round(dims, shared), _ROUND))
         tables.drop(*before)
         came, moved, reach, inertia = _totals(state, dims)
         if comparisons is not None:
@@ -252,14 +234,12 @@ def cluster(vectors: DataFrame, *, k: int = 8, rounds: int = 10, dims: int = 64,
         new = [[s // counts[i] for s in sums[i]] if counts[i] else c for i, c in enumerate(centroids)]
         if new == centroids:
             break
-        radii = [_root_above(reach.get(i, 0)) + _root_above(sum((a - b) ** 2 for a, b in zip(centroids[i], new[i]))) for i in range(len(centroids))]
+        radii = [reach.get(i, 0) + _root_above(sum((a - b) ** 2 for a, b in zip(centroids[i], new[i]))) for i in range(len(centroids))]
         centroids = new
     return _result(stored, state, tables, centroids, inertia, schema)
 
 
 def _floor(x: float, scale: int) -> int:
-    from fractions import Fraction
-
     return int((Fraction(x) * scale).__floor__())
 
 
