@@ -793,7 +793,35 @@ def book_messages(t: DataFrame) -> DataFrame:
     return orderbook.messages(updates, snapshots)
 
 
-@query()
+_LEVELS_SQL = """SELECT {k}, 'bid' AS side, round(price) - 1 AS p, quantity - 1 AS q FROM {t} UNION SELECT {k}, 'bid', round(price) - 2, quantity FROM {t}
+  UNION SELECT {k}, 'ask', round(price) + 1, quantity - 1 FROM {t} UNION SELECT {k}, 'ask', round(price) + 2, quantity FROM {t}"""
+
+
+def book_sql(by: str, sums: tuple[int, ...]) -> str:
+    """CTEs behind ``levels`` (by, n, side, p, q) and ``captures`` (by, n): the books there and their summaries, as ``books``."""
+    total = ", ".join(f"coalesce(sum(q) FILTER (side = '{s}' AND place <= {n}), 0.0) AS {s}_quantity_{n}" for n in sums for s in ("bid", "ask"))
+    on = " AND ".join(f"v.{k} = c.{k}" for k in by.split(", ") if k) or "true"
+    keys = "".join(f"c.{k}, " for k in by.split(", ") if k)
+    lead = f"{by}, " if by else ""
+    return f"""spans AS (SELECT *, lead(n) OVER (PARTITION BY {lead}side, p ORDER BY n) AS until FROM levels),
+there AS (SELECT {keys}c.n, side, p, q, row_number() OVER (PARTITION BY {keys}c.n, side ORDER BY CASE side WHEN 'bid' THEN -p ELSE p END) AS place
+  FROM captures c LEFT JOIN spans v ON {on} AND v.n <= c.n AND (until IS NULL OR until > c.n) AND q > 0),
+books AS (SELECT {lead}n, max(p) FILTER (side = 'bid') AS best_bid_price, min(p) FILTER (side = 'ask') AS best_ask_price, {total} FROM there GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {T}, x AS (SELECT venue AS symbol, row_number() OVER (PARTITION BY venue ORDER BY transact_time, trade_id) AS n, transact_time AS t, price, quantity FROM trades),
+u AS (SELECT *, (n - 1) // 500 AS e, 10 * n + 1 AS first, 10 * n + 10 AS final, 10 * (500 * ((n - 1) // 500) + 1) + 5 AS l FROM x WHERE n % 777 <> 0),
+m AS (SELECT *, coalesce(max(final) OVER (PARTITION BY symbol, e ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l) AS before FROM u),
+j AS (SELECT *, final <= greatest(l, before) AS stale, CASE WHEN before > l THEN first = before + 1 ELSE first <= l + 1 END AS joins FROM m),
+w AS (SELECT *, coalesce(sum(CASE WHEN NOT stale AND NOT joins THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, e ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS broken FROM j),
+k AS (SELECT *, CASE WHEN broken OR stale THEN 'd' WHEN joins THEN 'a' ELSE 'r' END AS what FROM w),
+s AS (SELECT *, {", ".join(f"CAST(count(*) FILTER (what = '{c}') OVER (PARTITION BY symbol ORDER BY n) AS BIGINT) AS {name}" for c, name in (("a", "applied"), ("d", "discarded"), ("r", "resynchronized")))} FROM k),
+a AS (SELECT * FROM s WHERE what = 'a'),
+due AS (SELECT symbol, min(n) AS n FROM a GROUP BY symbol UNION ALL SELECT due.symbol, min(y.n) FROM due JOIN a p ON p.symbol = due.symbol AND p.n = due.n JOIN a y ON y.symbol = p.symbol AND y.t >= p.t + INTERVAL 1 HOUR GROUP BY due.symbol),
+captures AS (SELECT symbol, e, n FROM due JOIN a USING (symbol, n)),
+source AS (SELECT symbol, (n - 1) // 500 AS e, n, price, quantity FROM x WHERE n % 500 = 1 OR (symbol, n) IN (SELECT (symbol, n) FROM a)),
+levels AS ({_LEVELS_SQL.format(k="symbol, e, n", t="source")}), {book_sql("symbol, e", (5,))}
+SELECT symbol, t AS captured_at, best_bid_price, best_ask_price, bid_quantity_5, ask_quantity_5, applied, discarded, resynchronized FROM books JOIN a USING (symbol, e, n)""")
 def order_book_replay(s, d):
     x = orderbook.replay(book_messages(views.trades(s, d, per_venue=True)), 3600.0)
     return x.select("symbol", ntz("captured_at"), "best_bid_price", "best_ask_price", "bid_quantity_5", "ask_quantity_5", "applied", "discarded", "resynchronized")

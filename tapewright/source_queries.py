@@ -15,12 +15,12 @@ from .model import ConditionTree, Instrument, Listing, Market, SourceKind, Timef
 from .operators import merge, quality
 from .plans import ingest as filling
 from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace
-from .queries import BAR, BAR_SQL, D, HOUR, ORACLES, T, C, _bars, _candles, _expected, _trades, ntz, q, query, r, shipped
+from .queries import _LEVELS_SQL, BAR, BAR_SQL, D, HOUR, ORACLES, T, C, _bars, _candles, _expected, _trades, book_sql, ntz, q, query, r, shipped
 from .session import workspace
-from .sources import columns as cols, files, payloads
+from .sources import columns as cols, files, payloads, rest
 from .sources.routing import route
 from .sources.store import CANDLE_TABLE, CANDLES_1H, DEPTH_TABLE, TRADE_TABLE, Store, write_gaps, write_with_identity
-from .streaming import recorder
+from .streaming import keeper, live, recorder
 from .views import sql_candles
 
 ALL = Instrument("ALL/USDT", Market.SPOT, HOUR)
@@ -108,7 +108,7 @@ def source_routing(s, d):
 # --- messages ----------------------------------------------------------------
 
 
-def _trade_frames(t: DataFrame) -> DataFrame:
+def _trade_frames(t: DataFrame, *keep: str) -> DataFrame:
     """Frames of a combined stream: each trade, and a book update of the same id between them."""
     ms = F.floor(F.unix_micros("transact_time") / 1000)
     data = F.to_json(F.struct(F.lit("aggTrade").alias("e"), ms.alias("T"), F.col("trade_id").alias("a"), F.col("first_trade_id").alias("f"), F.col("last_trade_id").alias("l"), F.col("price").cast("string").alias("p"), F.col("quantity").cast("string").alias("q"), F.col("buyer_is_maker").alias("m")))
@@ -116,7 +116,7 @@ def _trade_frames(t: DataFrame) -> DataFrame:
     i = F.col("trade_id").cast("string")
     levels = F.concat(F.lit('"b":[["'), F.floor("price").cast("string"), F.lit('","'), (F.col("trade_id") % 5).cast("string"), F.lit('"]],"a":[]'))
     update = F.concat(F.lit('{"stream":"allusdt@depth@100ms","data":{"e":"depthUpdate","E":'), ms.cast("string"), F.lit(',"U":'), i, F.lit(',"u":'), (F.col("trade_id") + 1).cast("string"), F.lit(","), levels, F.lit("}}"))
-    return t.select(F.explode(F.array(trade, update, F.lit(None).cast("string"))).alias("value"))
+    return t.select(*keep, F.explode(F.array(trade, update, F.lit(None).cast("string"))).alias("value"))
 
 
 _MS_SQL = f"WITH {T} SELECT trade_id, date_trunc('millisecond', transact_time) AS transact_time, {q('price')} AS price, quantity, first_trade_id, last_trade_id, buyer_is_maker FROM trades"
@@ -156,6 +156,111 @@ def recorded_trades(s, d):
     return _plain_trades(store.read(TRADE_TABLE, ALL.listing))
 
 
+# --- feeds, requests and downloads ------------------------------------------
+
+
+def _feed(frames: DataFrame, path: str) -> dict[str, dict]:
+    """A finite feed of ``position, value`` that loses its connection every 3,000 frames and then repeats 20."""
+    frames.select("position", "value").orderBy("position").write.parquet(path)
+    return {"all": {"path": path, "drop_every": 3000, "repeats": 20}}
+
+
+@query(_MS_SQL)
+def live_trades(s, d):
+    """Trades as frames of a live feed with lost connections, through the journal of the live source."""
+    path, t = workspace(s), _trades(s, d)
+    frames = _trade_frames(t, "trade_id").where("value like '%aggTrade%'").withColumnRenamed("trade_id", "position")
+    raw = live.frames(s, "tapewright.streaming.live:recorded", _feed(frames, f"{path}/feed"), f"{path}/journal", drain=True, first_pause=0.01)
+    trades = recorder.trade_stream(raw, ALL.listing)
+    out = trades.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{path}/trades"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    return _plain_trades(s.read.schema(trades.schema).parquet(f"{path}/trades"))
+
+
+def _book_updates(t: DataFrame) -> DataFrame:
+    """An update of the book for each trade, in order of time; every third part of the way one is ``lost``."""
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.orderBy("transact_time", "trade_id")).cast("long")
+    x = t.withColumn("n", n).join(F.broadcast(t.agg(F.count("*").alias("total"))))
+    level = lambda p, v: F.array(p.cast("string"), v.cast("string"))
+    price = F.round("price")
+    return x.select(
+        "n", F.floor(F.unix_micros("transact_time") / 1000).alias("ms"), ((F.col("n") % F.greatest(F.floor(F.col("total") / 3), F.lit(2)) == 0) & (F.col("n") < F.col("total"))).alias("lost"),
+        F.array(level(price - 1, F.col("quantity") - 1), level(price - 2, F.col("quantity"))).alias("b"), F.array(level(price + 1, F.col("quantity") - 1), level(price + 2, F.col("quantity"))).alias("a"),
+    )
+
+
+@query(f"""WITH RECURSIVE {T}, x AS (SELECT row_number() OVER (ORDER BY transact_time, trade_id) AS n, epoch_us(transact_time) // 1000 AS ms, price, quantity, count(*) OVER () AS total FROM trades),
+l AS (SELECT *, (n % greatest(total // 3, 2) = 0 AND n < total) AS lost FROM x), g AS (SELECT *, coalesce(lag(lost) OVER (ORDER BY n), false) AS behind FROM l),
+s AS (SELECT *, CAST(count(*) FILTER (NOT lost AND NOT behind AND n > 1) OVER (ORDER BY n) AS BIGINT) AS applied, CAST(count(*) FILTER (NOT lost AND behind) OVER (ORDER BY n) AS BIGINT) AS resynchronized FROM g),
+a AS (SELECT * FROM s WHERE NOT lost AND NOT behind AND n > 1),
+due AS (SELECT min(n) AS n FROM a UNION ALL SELECT min(y.n) FROM due JOIN a p ON p.n = due.n JOIN a y ON y.ms >= p.ms + 3600000 HAVING min(y.n) IS NOT NULL),
+captures AS (SELECT n FROM due WHERE n IS NOT NULL), levels AS ({_LEVELS_SQL.format(k="n", t="x")}), {book_sql("", (5, 10, 20))}
+SELECT make_timestamp(ms * 1000) AS captured_at, best_bid_price, best_ask_price, {", ".join(f"{x}_quantity_{k}" for k in (5, 10, 20) for x in ("bid", "ask"))} FROM books JOIN a USING (n)""")
+def recorded_depth(s, d):
+    """A feed of book updates of which some are lost: the book asks for a snapshot at first and after each loss."""
+    path = workspace(s)
+    _book_updates(_trades(s, d)).write.parquet(f"{path}/updates")
+    updates = s.read.parquet(f"{path}/updates")
+    data = F.to_json(F.struct(F.lit("depthUpdate").alias("e"), F.col("ms").alias("E"), (F.col("n") * 10 + 1).alias("U"), (F.col("n") * 10 + 10).alias("u"), "b", "a"))
+    frames = updates.where("not lost").select(F.col("n").alias("position"), F.concat(F.lit('{"stream":"allusdt@depth@100ms","data":'), data, F.lit("}")).alias("value"))
+    raw = live.frames(s, "tapewright.streaming.live:recorded", _feed(frames, f"{path}/feed"), f"{path}/journal", drain=True, keep=True, first_pause=0.01)
+
+    def fetch(_, params):
+        """The book as of the last update that the request has seen: the last quantity of each price."""
+        seen = updates.where(F.col("n") * 10 + 10 <= params["after"])
+        sides = [seen.select("n", F.explode(c).alias("x")).groupBy(F.col("x")[0].alias("p")).agg(F.max_by(F.col("x")[1], "n").alias("q")).where("cast(q as double) > 0").collect() for c in ("b", "a")]
+        return {"lastUpdateId": params["after"], "bids": [[r["p"], r["q"]] for r in sides[0]], "asks": [[r["p"], r["q"]] for r in sides[1]]}, 50
+
+    store = Store(s, f"{path}/store")
+    store.migrate()
+    desk = keeper.SnapshotDesk(fetch, f"{path}/answers", guard=rest.SnapshotGuard(0))
+    recorder.record(s, raw, desk, ALL.listing, store, f"{path}/state", recorder.RecordingRules(capture_seconds=3600), once=True)
+    x = store.read(DEPTH_TABLE, ALL.listing)
+    return x.select(ntz("captured_at"), "best_bid_price", "best_ask_price", *[f"{side}_quantity_{k}" for k in (5, 10, 20) for side in ("bid", "ask")])
+
+
+@query(f"WITH {C} SELECT open_time, {q('open')} AS open, {q('high')} AS high, {q('low')} AS low, {q('close')} AS close, volume FROM candles")
+def requested_candles(s, d):
+    """Candles page by page from a server that many tasks ask under one budget."""
+    path, c = workspace(s), _candles(s, d)
+    rows = c.select((F.unix_micros("open_time") / 1000).cast("long").alias("epoch"), "open", "high", "low", "close", "volume")
+    rows.repartitionByRange(4, "epoch").write.parquet(path)
+    first, last = _span(c, "open_time")
+    x = rest.rest_candles(s, f"tapewright.sources.rest:stored_pages|{path}", ALL, TimeRange(first, last + timedelta(hours=1)), tasks=4)
+    return x.select(ntz("open_time"), *[r(k).alias(k) for k in ("open", "high", "low", "close")], "volume")
+
+
+@query(f"WITH {C} SELECT symbol, market, open_time, {BAR_SQL}, trade_count FROM candles")
+def mirrored_candles(s, d):
+    """Candles written as an archive with checksum files, mirrored in tasks, and read by the plan of their period."""
+    path, c = workspace(s), _candles(s, d)
+    first, last = _span(c, "open_time")
+    period = TimeRange(first, last + timedelta(hours=1))
+    ms = (F.unix_micros("open_time") / 1000).cast("long")
+    cells = [ms, *[F.col(k) for k in ("open", "high", "low", "close", "volume")], ms + 3_599_999, *[F.col(k) for k in ("quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume")], F.lit(0)]
+    name = F.concat(F.lit(files.kline_url(ALL, first.date(), False).rsplit("-1h-", 1)[0] + "-1h-"), F.date_format("open_time", "yyyy-MM-dd"), F.lit(".zip"))
+    days = _zipped(c.select(name.alias("path"), ms.alias("n"), F.concat_ws(",", *cells).alias("line")))
+    months = _zipped(c.select(F.concat(F.lit(files.kline_url(ALL, first.date(), True).rsplit("-1h-", 1)[0] + "-1h-"), F.date_format("open_time", "yyyy-MM"), F.lit(".zip")).alias("path"), ms.alias("n"), F.concat_ws(",", *cells).alias("line")))
+    days.unionByName(months).write.parquet(f"{path}/packed")  # a zip file holds the time of its making
+    both = s.read.parquet(f"{path}/packed")
+    sums = both.select(files.checksum_of(F.col("path")).alias("path"), F.concat(F.sha2("content", 256), F.lit("  archive.zip\n")).cast("binary").alias("content"))
+    origin, mirror = f"{path}/origin", f"{path}/mirror"
+    files.put_files(both.unionByName(sums), origin).count()
+
+    def fetch(url: str) -> bytes | None:
+        folder, root = files.open_folder(origin)
+        where = root + url.removeprefix(files.BASE_URL)
+        if folder.get_file_info(where).type == files.fs.FileType.NotFound:
+            return None
+        with folder.open_input_stream(where) as f:
+            return f.read()
+
+    files.Downloader(s, mirror, fetch).all(files.kline_files(ALL, period))
+    return _bars(cols.conform_candles(files.archive_candles(s, mirror, ALL, period)))
+
+
 # --- the store ---------------------------------------------------------------
 
 
@@ -228,6 +333,22 @@ def rollup_refresh(s, d):
     return store.read(CANDLES_1H).select(ntz("open_time"), "open", "high", "low", "close", "volume", "trade_count")
 
 
+@query(f"""WITH {T}, {sql_candles("m", "minute")}, left_over AS (SELECT * FROM m WHERE NOT (hour(open_time) % 5 = 0 OR day(open_time) % 7 = 3 OR trade_count % 4 = 0))
+SELECT date_trunc('hour', open_time) AS open_time, first(open ORDER BY open_time) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY open_time) AS close,
+  sum(volume) AS volume, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM left_over GROUP BY 1""")
+def rollup_invalidation(s, d):
+    """Minutes come and go: hours, whole days and single minutes are removed, and the roll-up follows the touched days."""
+    store, minutes = _store(s), views.candles(_trades(s, d), Timeframe("1m")).withColumn("timeframe", F.lit("1m"))
+    store.save(CANDLE_TABLE, minutes.where("minute(open_time) < 40"))
+    store.refresh_touched(HOUR)
+    store.save(CANDLE_TABLE, minutes)
+    store.refresh_touched(HOUR)
+    store.remove(CANDLE_TABLE, minutes.where("hour(open_time) % 5 = 0 or day(open_time) % 7 = 3"))
+    store.refresh_touched(HOUR)
+    store.remove(CANDLE_TABLE, minutes.where("trade_count % 4 = 0"))
+    return store.rolled_up(HOUR).select(ntz("open_time"), "open", "high", "low", "close", "volume", "trade_count")
+
+
 @query(f"WITH {C} SELECT 'BTC/USDT' AS instrument, open_time, {q('close')} AS close FROM candles")
 def parquet_sink(s, d):
     path = workspace(s)

@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import io
-import os
-import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import Instrument, Listing, Market, TimeRange
 from ..operators.merge import CANDLE_KEY, TRADE_KEY, keep_first
@@ -82,39 +81,102 @@ def verify(content: bytes, checksum: str) -> None:
         raise ValueError("the archive's sha256 differs from its checksum file")
 
 
+def open_folder(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that driver and executors share, and the path there."""
+    return fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+
+
+def commit_file(files: fs.FileSystem, path: str, content: bytes) -> None:
+    """Write a whole file under a name of its own, then give it its name: of several writers one file is left."""
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(own) as out:
+        out.write(content)
+    try:
+        files.move(own, path)
+    except OSError:
+        if files.get_file_info(path).type != fs.FileType.File:
+            raise
+        files.delete_file(own)  # another writer was first
+
+
+def put_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write ``path, content`` (paths as the archive's) below a shared folder, in tasks; gives the paths when it is read."""
+
+    def run(batches):
+        files, base = open_folder(root)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                commit_file(files, mirrored_path(base, path), content)
+            yield b.select(["path"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string")
+
+
+def checksum_of(path: Column) -> Column:
+    return F.concat(path, F.lit(".CHECKSUM"))
+
+
+_MIRRORED = "url string, path string, bytes long, status string"
+
+
+def mirrored_path(root: str, url: str) -> str:
+    return f"{root}/{url.removeprefix(BASE_URL).lstrip('/')}"
+
+
 class Downloader:
-    """Archive files into a local mirror, with the transport injected.
+    """Archive files into a shared mirror, fetched and verified in tasks, with the transport injected.
 
-    ``fetch(url)`` gives the content, or None where the archive has no such file.
-    A file is verified against its checksum file before it takes its name, so a
-    mirror never holds half a file; files that are there are not fetched again.
+    ``fetch(url)`` gives the content, or None where the archive has no such file; it goes
+    to the executors.  A file is verified against its checksum file before it takes its
+    name, so a mirror never holds half a file; files that are there are not fetched
+    again; a task that runs twice leaves one file.  Nothing passes the driver's disk.
     """
 
-    def __init__(self, root: str, fetch: Callable[[str], bytes | None], concurrency: int = 8):
-        self.root, self.fetch, self.concurrency = root, fetch, concurrency
+    def __init__(self, spark: SparkSession, root: str, fetch: Callable[[str], bytes | None], tasks: int = 8):
+        self.spark, self.root, self.fetch, self.tasks = spark, root.rstrip("/"), fetch, tasks
 
     def path(self, url: str) -> str:
-        return os.path.join(self.root, url.removeprefix(BASE_URL).lstrip("/"))
-
-    def one(self, url: str) -> str | None:
-        path = self.path(url)
-        if os.path.exists(path):
-            return path
-        checksum = self.fetch(checksum_url(url))
-        content = None if checksum is None else self.fetch(url)
-        if content is None:
-            return None
-        verify(content, checksum.decode())
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-            f.write(content)
-        os.replace(f.name, path)
-        return path
+        return mirrored_path(self.root, url)
+
+    def mirror(self, urls: DataFrame) -> DataFrame:
+        """Per distinct ``url``: ``path, bytes, status`` (fetched, there, absent or damaged); the work is done when it is read."""
+        root, fetch = self.root, self.fetch
+
+        def place(url: str) -> str:
+            return mirrored_path(root, url)
+
+        def run(batches):
+            files, base = open_folder(root)
+            for b in batches:
+                out = [(url, place(url), *_mirror_one(files, base + place(url)[len(root) :], url, fetch)) for url in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string()))], ["url", "path", "bytes", "status"]) if out else b.slice(0, 0)
+
+        return urls.select("url").where("url is not null").distinct().repartition(self.tasks, "url").mapInArrow(run, _MIRRORED)
 
     def all(self, urls: Sequence[str]) -> list[str]:
-        """Paths of the files that exist, in the order of ``urls``."""
-        with ThreadPoolExecutor(self.concurrency) as pool:
-            return [p for p in pool.map(self.one, urls) if p is not None]
+        """Mirror what a plan names; paths of the files that exist, in the order of ``urls``.  Damaged files raise, when all others are there."""
+        done = {r["url"]: r for r in self.mirror(self.spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+        damaged = sorted(u for u, r in done.items() if r["status"] == "damaged")
+        if damaged:
+            raise ValueError(f"the sha256 of {len(damaged)} files differs from their checksum files, as of {damaged[0]}")
+        return [done[u]["path"] for u in urls if done[u]["status"] != "absent"]
+
+
+def _mirror_one(files: fs.FileSystem, path: str, url: str, fetch: Callable[[str], bytes | None]) -> tuple[int | None, str]:
+    there = files.get_file_info(path)
+    if there.type == fs.FileType.File:
+        return there.size, "there"
+    checksum = fetch(checksum_url(url))
+    content = None if checksum is None else fetch(url)
+    if content is None:
+        return None, "absent"
+    try:
+        verify(content, checksum.decode())
+    except ValueError:
+        return len(content), "damaged"
+    commit_file(files, path, content)
+    return len(content), "fetched"
 
 
 def verified(files: DataFrame, checksums: DataFrame) -> DataFrame:

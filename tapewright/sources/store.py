@@ -2,11 +2,13 @@
 
 Tables are Parquet folders partitioned by symbol, market and UTC date, sorted by
 time within files (so row groups carry tight bounds) and compressed with zstd.
-Saves append what the table lacks; one writer at a time is assumed.
+Saves append what the table lacks; one writer at a time is assumed.  Saves and
+removals of one-minute candles note their days, so that a roll-up recomputes those alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -32,6 +34,7 @@ CANDLES_5M = Table("candles_5m", CANDLES, CANDLE_KEY, "open_time")
 CANDLES_1H = Table("candles_1h", CANDLES, CANDLE_KEY, "open_time")
 TRADE_TABLE = Table("agg_trades", TRADES, ("symbol", "market", "transact_time", "trade_id"), "transact_time", ("source",))
 DEPTH_TABLE = Table("order_book_depth", DEPTH, ("symbol", "market", "captured_at"), "captured_at")
+_DAY = ["symbol", "market", "date"]
 TABLES = (CANDLE_TABLE, CANDLES_5M, CANDLES_1H, TRADE_TABLE, DEPTH_TABLE)
 
 
@@ -73,8 +76,7 @@ class Store:
         names = [f.name for f in table.schema.fields]
         if not self._exists(self.path(table)):
             return self.spark.createDataFrame([], table.schema)
-        stored = T.StructType([*table.schema.fields, T.StructField("date", T.DateType())])
-        df = self.spark.read.schema(stored).parquet(self.path(table))
+        df = self.spark.read.schema(self._dated(table)).parquet(self.path(table))
         if listing is not None:
             df = df.where((F.col("symbol") == listing.symbol) & (F.col("market") == listing.market.value))
             if isinstance(listing, Instrument) and "timeframe" in names:
@@ -102,6 +104,8 @@ class Store:
             try:
                 n = fresh.count()
                 if n:
+                    if table is CANDLE_TABLE:  # first: a note too many costs a day's work, a note too few a wrong bar
+                        self._touch(fresh)
                     self._write(fresh, table, "append")
                 return n
             finally:
@@ -140,23 +144,131 @@ class Store:
         """The stored table that serves a timeframe."""
         return {"5m": CANDLES_5M, "1h": CANDLES_1H}.get(timeframe.value, CANDLE_TABLE)
 
+    def remove(self, table: Table, rows: DataFrame) -> int:
+        """Delete the stored rows with the keys of ``rows``; returns how many.  Their days are rewritten."""
+        keys = rows.select(*table.key).distinct().withColumn("date", F.to_date(table.time))
+        days = keys.select(*_DAY).distinct().cache()
+        try:
+            there = self._of_days(table, days)
+            kept = there.join(keys, [*table.key, "date"], "left_anti")
+            counts = there.agg(F.count("*")).first()[0], kept.agg(F.count("*")).first()[0]
+            if counts[0] > counts[1]:
+                if table is CANDLE_TABLE:
+                    self._touch(keys.join(there.select(*table.key), list(table.key), "left_semi"))
+                self._replace_days(table, kept.select(*[f.name for f in table.schema.fields]), days)
+            return counts[0] - counts[1]
+        finally:
+            days.unpersist()
+
+    def _of_days(self, table: Table, days: DataFrame) -> DataFrame:
+        """Stored rows of (symbol, market, date), with ``date``; the range of days is pruned, of few listings so are the others."""
+        span = days.agg(F.min("date"), F.max("date")).first()
+        if span[0] is None or not self._exists(self.path(table)):
+            return self.spark.createDataFrame([], self._dated(table))
+        df = self.spark.read.schema(self._dated(table)).parquet(self.path(table)).where(F.col("date").between(F.lit(span[0]), F.lit(span[1])))
+        symbols = [r[0] for r in days.select("symbol").distinct().limit(1001).collect()]
+        if len(symbols) <= 1000:
+            df = df.where(F.col("symbol").isin(symbols))
+        return df.join(days, _DAY, "left_semi")
+
+    @staticmethod
+    def _dated(table: Table) -> T.StructType:
+        return T.StructType([*table.schema.fields, T.StructField("date", T.DateType())])
+
+    def _replace_days(self, table: Table, rows: DataFrame, days: DataFrame) -> int:
+        """Make ``rows`` all that the table has of ``days``; a day without rows goes.  Returns the rows."""
+        staged, listed = f"{self.path(table)}_staged", f"{self.path(table)}_days"
+        # both are read before the folders that they may stem from are replaced
+        rows.write.mode("overwrite").parquet(staged)
+        days.write.mode("overwrite").parquet(listed)
+        rows, days = self.spark.read.schema(rows.schema).parquet(staged), self.spark.read.schema(days.schema).parquet(listed)
+        n = rows.count()
+        if n:
+            self._write(conform(rows, table.schema), table, "overwrite", partitionOverwriteMode="dynamic")
+        empty = days.join(rows.select("symbol", "market", F.to_date(table.time).alias("date")).distinct(), _DAY, "left_anti")
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for r in empty.toLocalIterator():  # folders are the driver's to delete; one day after another
+            self.delete(f"{self.path(table)}/symbol={escape(r['symbol'])}/market={escape(r['market'])}/date={r['date']}")
+        self.delete(staged)
+        self.delete(listed)
+        return n
+
+    # --- roll-ups ---------------------------------------------------------
+
+    def _notes(self, timeframe: str) -> str:
+        return f"{self.root}/touched/{timeframe}"
+
+    def _touch(self, candles: DataFrame) -> None:
+        """Note for each roll-up the days whose one-minute candles change."""
+        days = candles.where("timeframe = '1m'").select("symbol", "market", F.to_date("open_time").alias("date")).distinct().cache()
+        try:
+            for timeframe in REFRESH_POLICY:
+                days.coalesce(1).write.mode("append").parquet(f"{self._notes(timeframe)}/{uuid.uuid4().hex}")
+        finally:
+            days.unpersist()
+
+    def touched(self, timeframe: Timeframe) -> DataFrame:
+        """``symbol, market, date`` whose roll-up is behind the stored candles."""
+        return self._noted(timeframe, self.names(self._notes(timeframe.value))).distinct()
+
+    def _noted(self, timeframe: Timeframe, names: list[str]) -> DataFrame:
+        whole = [f"{self._notes(timeframe.value)}/{n}" for n in names if self._exists(f"{self._notes(timeframe.value)}/{n}/_SUCCESS")]
+        schema = "symbol string, market string, date date"
+        return self.spark.read.schema(schema).parquet(*whole) if whole else self.spark.createDataFrame([], schema)
+
+    def refresh_touched(self, timeframe: Timeframe, period: TimeRange | None = None) -> int:
+        """Bring a roll-up up to date: recompute the days that saves and removals have touched since the last time, and no others.
+
+        Bars whose minutes are gone go too.  With ``period`` only its days are done, the
+        others stay noted.  Returns the days recomputed.  What is noted meanwhile is left for the next time.
+        """
+        table = self._roll_up(timeframe)
+        names = self.names(self._notes(timeframe.value))
+        noted = self._noted(timeframe, names).distinct().cache()
+        try:
+            inside = F.lit(True) if period is None else F.col("date").between(F.lit(period.start.date()), F.lit((period.end - timedelta(microseconds=1)).date()))
+            days = noted.where(inside)
+            n = days.count()
+            if n:
+                self._replace_days(table, self._rolled(self._of_days(CANDLE_TABLE, days), timeframe, table), days)
+            later = noted.where(~inside)
+            if period is not None and later.count():
+                later.coalesce(1).write.parquet(f"{self._notes(timeframe.value)}/{uuid.uuid4().hex}")
+            for name in names:
+                self.delete(f"{self._notes(timeframe.value)}/{name}")
+            return n
+        finally:
+            noted.unpersist()
+
     def refresh(self, timeframe: Timeframe, period: TimeRange) -> int:
-        """Recompute a roll-up of the 1m candles for a period.
+        """Recompute a roll-up of the 1m candles for a period, touched or not; returns its bars.
 
         Whole days are rewritten, since a day is the unit of the layout.
         """
+        table = self._roll_up(timeframe)
+        whole = TimeRange(Timeframe("1d").floor(period.start), Timeframe("1d").ceil(period.end))
+        minutes = self.read(CANDLE_TABLE, period=whole)
+        day = lambda df: df.select("symbol", "market", F.to_date("open_time").alias("date"))
+        days = day(minutes).unionByName(day(self.read(table, period=whole))).distinct()
+        return self._replace_days(table, self._rolled(minutes, timeframe, table), days)
+
+    def rolled_up(self, timeframe: Timeframe, listing: Listing | Instrument | None = None, period: TimeRange | None = None) -> DataFrame:
+        """A roll-up as it would be if it were up to date: stored bars of the days that nothing has touched, the others computed."""
+        table = self._roll_up(timeframe)
+        behind = self.touched(timeframe)
+        stored, minutes = (self.read(t, listing, period).withColumn("date", F.to_date("open_time")) for t in (table, CANDLE_TABLE))
+        fresh = self._rolled(minutes.join(behind, _DAY, "left_semi"), timeframe, table)
+        return stored.join(behind, _DAY, "left_anti").drop("date").unionByName(fresh)
+
+    @staticmethod
+    def _rolled(minutes: DataFrame, timeframe: Timeframe, table: Table) -> DataFrame:
+        return conform(continuous_aggregate(minutes, timeframe), table.schema)
+
+    def _roll_up(self, timeframe: Timeframe) -> Table:
         table = self.candle_table(timeframe)
         if table is CANDLE_TABLE:
             raise ValueError(f"{timeframe} is no roll-up")
-        days = TimeRange(Timeframe("1d").floor(period.start), Timeframe("1d").ceil(period.end))
-        rolled = conform(continuous_aggregate(self.read(CANDLE_TABLE, period=days), timeframe), table.schema).cache()
-        try:
-            n = rolled.count()
-            if n:
-                self._write(rolled, table, "overwrite", partitionOverwriteMode="dynamic")
-            return n
-        finally:
-            rolled.unpersist()
+        return table
 
 
 # How far back the roll-ups are refreshed, how close to now, and how often (seconds).

@@ -1,7 +1,7 @@
 """Order books kept from snapshots and updates, and summarised at most once an interval.
 
-One processor serves both a stream (arbitrary state for each listing) and a
-replay of stored messages, so a replay equals the stream.  A replay is cut where a
+The same book serves a stream (``keeper``) and a replay of stored messages, so a
+replay equals the stream.  A replay is cut where a
 snapshot starts a book anew: those epochs run in parallel, and only what an epoch
 hands over (counters, the next capture) is carried from one to the next.
 """
@@ -15,7 +15,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import SequenceDecision
 from ..sources.columns import LEVELS
@@ -61,7 +60,9 @@ class Book:
                 side[price] = quantity
 
     def restart(self, last_update_id: int, bids: Iterable[Any], asks: Iterable[Any]) -> None:
-        self.bids, self.asks, self.last_update_id, self.syncing = {}, {}, last_update_id, True
+        self.bids.clear()
+        self.asks.clear()
+        self.last_update_id, self.syncing = last_update_id, True
         self._set(self.bids, bids)
         self._set(self.asks, asks)
 
@@ -143,12 +144,18 @@ def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
 
+_COLUMNS = ["symbol", "market", "seq", "kind", "event_time", "first_update_id", "final_update_id", "bids", "asks"]
+
+
+def updates_only(updates: DataFrame) -> DataFrame:
+    """Updates as input; they need ``symbol, market, seq``."""
+    return updates.withColumn("kind", F.lit("update")).select(_COLUMNS)
+
+
 def messages(updates: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Updates and snapshots as one input; both need ``symbol, market, seq``."""
-    u = updates.withColumn("kind", F.lit("update"))
     s = snapshots.withColumns({"kind": F.lit("snapshot"), "event_time": F.lit(None).cast("timestamp"), "first_update_id": F.lit(None).cast("long"), "final_update_id": F.col("last_update_id")})
-    columns = ["symbol", "market", "seq", "kind", "event_time", "first_update_id", "final_update_id", "bids", "asks"]
-    return u.select(columns).unionByName(s.select(columns))
+    return updates_only(updates).unionByName(s.select(_COLUMNS))
 
 
 #: Messages whose snapshots are numbered in one task.
@@ -208,30 +215,3 @@ def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
     surveyed = narrow.groupBy(*key).cogroup(reach.groupBy(*own)).applyInPandas(survey, f"{_EPOCH}, until array<long>, after array<long>")
     begun = surveyed.groupBy(*_LISTING).applyInPandas(starts, f"{_EPOCH}, next_capture long")
     return placed.groupBy(*key).cogroup(begun.groupBy(*key)).applyInPandas(run, SUMMARY)
-
-
-_STATE = "bid_prices array<double>, bid_quantities array<double>, ask_prices array<double>, ask_quantities array<double>, last_update_id long, syncing boolean, next_capture long, applied long, discarded long, resynchronized long"
-
-
-def _load(state: GroupState) -> Book:
-    if not state.exists:
-        return Book()
-    bp, bq, ap, aq, last, syncing, capture, applied, discarded, resynchronized = state.get
-    return Book(dict(zip(bp, bq)), dict(zip(ap, aq)), last, syncing, capture, applied, discarded, resynchronized)
-
-
-def stream(live: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
-    """Summaries of a stream of messages; the book is the state of its listing.
-
-    Messages of a micro-batch are fed in order of ``seq``; a message that comes
-    in a later batch than its follower shows as a gap and waits for a snapshot.
-    """
-    step = int(interval_seconds * 1_000_000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book = _load(state)
-        out = process(book, pd.concat(list(batches)), step)
-        state.update((list(book.bids), list(book.bids.values()), list(book.asks), list(book.asks.values()), book.last_update_id, book.syncing, book.next_capture, book.applied, book.discarded, book.resynchronized))
-        yield _frame(key, out)
-
-    return live.groupBy("symbol", "market").applyInPandasWithState(run, SUMMARY, _STATE, "append", GroupStateTimeout.NoTimeout)

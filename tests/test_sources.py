@@ -55,27 +55,51 @@ def test_checksum():
         files.verify(b"abd", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad  x.zip")
 
 
-def test_downloader(tmp_path):
+def test_downloader(spark, tmp_path):
     import hashlib
 
-    calls, have = [], {}
+    origin, root = tmp_path / "origin", tmp_path / "mirror"
     for url in ("a.zip", "b.zip"):
-        have[f"{files.BASE_URL}/{url}"] = url.encode()
-        have[f"{files.BASE_URL}/{url}.CHECKSUM"] = f"{hashlib.sha256(url.encode()).hexdigest()}  {url}".encode()
-    have[f"{files.BASE_URL}/b.zip"] = b"damaged"
-
-    def fetch(url):
-        calls.append(url)
-        return have.get(url)
-
-    d = files.Downloader(str(tmp_path), fetch)
-    url = f"{files.BASE_URL}/a.zip"
-    assert d.all([url, f"{files.BASE_URL}/none.zip"]) == [d.path(url)] and open(d.path(url), "rb").read() == b"a.zip"
-    n = len(calls)
-    assert d.all([url]) == [d.path(url)] and len(calls) == n
+        for name, content in ((url, url.encode()), (f"{url}.CHECKSUM", f"{hashlib.sha256(url.encode()).hexdigest()}  {url}".encode())):
+            files.commit_file(*files.open_folder(str(origin / "x" / name)), content)
+    (origin / "x" / "b.zip").write_bytes(b"damaged")
+    (tmp_path / "calls").mkdir()
+
+    def fetch(url, folder=str(tmp_path)):
+        import os
+        import uuid
+
+        open(f"{folder}/calls/{uuid.uuid4().hex}", "w").close()
+        path = url.replace(files.BASE_URL, f"{folder}/origin")
+        return open(path, "rb").read() if os.path.exists(path) else None
+
+    d, calls = files.Downloader(spark, str(root), fetch, tasks=3), lambda: len(list((tmp_path / "calls").iterdir()))
+    urls = [f"{files.BASE_URL}/x/{n}.zip" for n in "nab"]
+    assert d.all(urls[:2] * 2) == [d.path(urls[1])] * 2 and (root / "x" / "a.zip").read_bytes() == b"a.zip" and calls() == 3
+    assert d.all(urls[1:2]) == [d.path(urls[1])] and calls() == 3
     with pytest.raises(ValueError, match="sha256"):
-        d.one(f"{files.BASE_URL}/b.zip")
-    assert [p.name for p in tmp_path.iterdir()] == ["a.zip"]
+        d.all(urls)
+    assert {r["url"][-5]: (r["bytes"], r["status"]) for r in d.mirror(spark.createDataFrame([(u,) for u in [*urls, None]], "url string")).collect()} == {"n": (None, "absent"), "a": (5, "there"), "b": (7, "damaged")}
+    assert [p.name for p in (root / "x").iterdir()] == ["a.zip"] and d.all([]) == []
+    again = files.Downloader(spark, f"file://{root}", fetch)
+    assert again.all(urls[1:2]) == [f"file://{root}/x/a.zip"]
+
+
+def test_racing_writers_leave_one_file(tmp_path):
+    from threading import Barrier, Thread
+
+    start = Barrier(8)
+
+    def write(i):
+        start.wait()
+        for _ in range(20):
+            files.commit_file(*files.open_folder(str(tmp_path / "y" / "one.zip")), bytes([i]) * 100_000)
+
+    threads = [Thread(target=write, args=(i,)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    (only,) = (tmp_path / "y").iterdir()
+    assert only.name == "one.zip" and len(set(only.read_bytes())) == 1 and only.stat().st_size == 100_000
 
 
 def test_verified_files(spark, tmp_path):
@@ -166,6 +190,57 @@ def test_rate_limit():
     assert slept[times:] == [1.5] and [rest.snapshot_weight(d) for d in (100, 500, 1000, 5000)] == [5, 25, 50, 250]
 
 
+class Clock:
+    """A task's own time: sleeping moves it, and so does a request."""
+
+    def __init__(self, at):
+        self.at = at
+
+    def sleep(self, seconds):
+        assert seconds > 0
+        self.at += seconds
+
+
+@pytest.mark.parametrize("tasks, weight, budget", [(1, 2, 1200), (7, 2, 1200), (64, 2, 1200), (600, 2, 1200), (1500, 2, 1200), (13, 250, 1200), (3, 7, 20), (5, 20, 20)])
+def test_one_budget_over_all_tasks(tasks, weight, budget):
+    """What tasks send that know nothing of each other, with failures and slow answers, and some run twice."""
+    import random
+    from collections import Counter
+
+    r, seen, done = random.Random(tasks), Counter(), 0
+    for n, lease in enumerate(rest.leases(tasks, weight, budget)):
+        clock = Clock(1_700_000_000 + r.random() * 50)
+
+        def fetch(path, params, clock=clock):
+            seen[int(clock.at // 60)] += weight
+            clock.at += r.random() * 3
+            if r.random() < 0.2:
+                raise OSError
+            return "page", 0
+
+        for attempt in range(2 if n % 5 == 0 else 1):  # the second attempt starts in the minute in which the first was lost
+            limit = rest.LeasedLimit(lease, weight, anew=attempt > 0, sleep=clock.sleep, now=lambda clock=clock: clock.at, attempts=50, base=0.01)
+            for _ in range(r.randrange(3, 12)):
+                done += limit.call(fetch, "klines", {}) == "page"
+    assert max(seen.values()) <= budget and done >= 3 * tasks
+    if tasks < 3:
+        assert len(seen) <= 4  # and it doesn't idle
+
+
+def test_budget_that_pays_nothing():
+    with pytest.raises(ValueError):
+        rest.leases(3, 30, 20)
+    assert {(x.share, x.cycle) for x in rest.leases(8, 2, 1200)} == {(150, 1)} and [x.turn for x in rest.leases(4, 10, 20)] == [0, 1, 0, 1]
+
+
+def test_pages_are_dealt_with_their_leases():
+    reader = rest._KlineReader({"start": "0", "end": str(3_600_000 * 9_500), "interval": "1h", "tasks": "4"})
+    parts = reader.partitions()
+    assert [(p.start // 3_600_000, p.end // 3_600_000) for p in parts] == [(0, 3000), (3000, 6000), (6000, 9000), (9000, 9500)]
+    assert sum(p.lease.share for p in parts) <= rest.WEIGHT_LIMIT
+    assert len(rest._KlineReader({"start": "5", "end": "5", "interval": "1h"}).partitions()) == 1
+
+
 def test_reference_closes(spark):
     ms = int(START.timestamp() * 1000)
     got = rest.reference_closes(spark, {"prices": [[ms, 1.0], [ms + 1000, 2.0], [ms + 86_400_000, 3.0]]}).orderBy("day").collect()
@@ -206,6 +281,70 @@ def test_rollup_refresh(spark, tmp_path):
     assert [(r["open"], r["close"], r["trade_count"]) for r in got] == [(1.0, 60.5, 120), (61.0, 120.5, 120)]
 
 
+MINUTES = "symbol string, market string, timeframe string, open_time timestamp, open double, high double, low double, close double, volume double, trade_count long"
+
+
+def minutes(spark, spans, price=1.0, symbol="BTC/USDT"):
+    """One-minute candles from START, by spans of minutes."""
+    rows = [(symbol, "spot", "1m", START + timedelta(minutes=i), price + i, price + i + 1, price + i - 1, price + i, 1.0, 2) for a, b in spans for i in range(a, b)]
+    return spark.createDataFrame(rows, MINUTES)
+
+
+def test_touched_days_alone_are_rolled_up(spark, tmp_path):
+    store, hour, day = Store(spark, str(tmp_path / "s")), Timeframe("1h"), 1440
+    store.migrate()
+    table = store.candle_table(hour)
+    bars = lambda df: sorted(map(repr, df.collect()))
+    from tapewright.operators.bars import continuous_aggregate
+
+    def agrees():
+        want = bars(columns.conform(continuous_aggregate(store.read(CANDLE_TABLE), hour), table.schema))
+        return bars(store.read(table)) == want
+
+    def stamps():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "s" / table.name).rglob("*.parquet")}
+
+    store.save(CANDLE_TABLE, minutes(spark, [(0, 90), (day, day + 30), (5 * day, 5 * day + 200)]).unionByName(minutes(spark, [(0, 10)], symbol="ETH/USDT")))
+    assert store.touched(hour).count() == 4 and store.touched(Timeframe("5m")).count() == 4
+    assert bars(store.rolled_up(hour)) != [] and store.read(table).count() == 0  # computed where nothing is stored yet
+    assert store.refresh_touched(hour) == 4 and agrees() and store.refresh_touched(hour) == 0
+    before = stamps()
+
+    # one day changes: no other file is written again
+    assert store.save(CANDLE_TABLE, minutes(spark, [(day, day + 70)])) == 40
+    assert not agrees() and bars(store.rolled_up(hour)) == bars(columns.conform(continuous_aggregate(store.read(CANDLE_TABLE), hour), table.schema))
+    assert store.refresh_touched(hour) == 1 and agrees()
+    changed = {p for p in stamps() if p not in before}
+    assert changed and all("date=2024-01-02" in p for p in changed) and len(set(before) - set(stamps())) == 1
+
+    # minutes go: some of a day's bars, and a whole day
+    assert store.remove(CANDLE_TABLE, minutes(spark, [(0, 60), (5 * day, 6 * day)])) == 260
+    assert store.remove(CANDLE_TABLE, minutes(spark, [(0, 60)])) == 0
+    assert store.read(CANDLE_TABLE).count() == 110 and not agrees()
+    assert store.refresh_touched(hour, TimeRange(START, START + timedelta(days=1))) == 1 and not agrees()  # the other day stays noted
+    assert [r["date"].isoformat() for r in store.touched(hour).collect()] == ["2024-01-06"]
+    assert store.refresh_touched(hour) == 1 and agrees() and store.touched(hour).count() == 0
+    assert store.touched(Timeframe("5m")).count() == 4  # each roll-up has its own notes
+    assert store.refresh_touched(Timeframe("5m")) == 4
+
+    # candles of other timeframes touch nothing; a full refresh removes what is gone as well
+    store.save(CANDLE_TABLE, minutes(spark, [(7 * day, 7 * day + 5)]).withColumn("timeframe", F.lit("1h")))
+    assert store.touched(hour).count() == 0
+    store.remove(CANDLE_TABLE, minutes(spark, [(day, 2 * day)]))
+    store.refresh(hour, TimeRange(START, START + timedelta(days=9)))
+    assert agrees()
+    with pytest.raises(ValueError):
+        store.refresh_touched(Timeframe("1d"))
+
+
+def test_half_written_notes_count_for_nothing(spark, tmp_path):
+    store, hour = Store(spark, str(tmp_path / "s")), Timeframe("1h")
+    store.migrate()
+    store.save(CANDLE_TABLE, minutes(spark, [(0, 5)]))
+    (tmp_path / "s" / "touched" / "1h" / "half" / "_temporary").mkdir(parents=True)
+    assert store.touched(hour).count() == 1 and store.refresh_touched(hour) == 1 and store.touched(hour).count() == 0
+
+
 def test_ingest_fills_gaps_and_isolates_failures(spark, make_candles, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.migrate()
