@@ -39,6 +39,52 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Up to so many rows a frame is looked through for each row; wider ones are put together from two running extremes.
+NARROW = 32
+
+
+def with_extremes(df: DataFrame, columns: dict[str, tuple[str, str, int]], *, ahead: bool = False, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """``df`` with extremes of the n rows before the current one (``ahead``: after it); ``columns``: name -> (column, max or min, n).
+
+    Null unless all n rows are there with a value.  Rows are cut into blocks of n: n
+    neighbouring rows are the end of one block and the beginning of the next, so their
+    extreme is that of a running one from the block's end and one from its start.  The
+    cost of a row doesn't grow with n, and all of it needs one shuffle by instrument.
+    """
+    w = W.partitionBy(*keys).orderBy(F.desc(time) if ahead else time)
+    narrow = {}
+    for name, (c, kind, n) in columns.items():
+        if n <= NARROW:
+            narrow[name] = full(n, (F.max if kind == "max" else F.min)(c), F.col(c), prior_rows(w, n))
+    df = df.withColumns(narrow) if narrow else df
+    wide = {name: spec for name, spec in columns.items() if name not in narrow}
+    if not wide:
+        return df
+    own = {n: unused(f"block_{n}", df) for n in {n for _, _, n in wide.values()}}
+    place = F.row_number().over(w) - 1
+    kept, x = df.columns, df.withColumns({b: F.floor(place / n) for n, b in own.items()})
+    parts, out = {}, {}
+    for i, (name, (c, kind, n)) in enumerate(wide.items()):
+        extreme, block = F.max if kind == "max" else F.min, W.partitionBy(*keys, own[n])
+        start, end, known = (unused(f"{k}_{i}", df) for k in ("from_start", "from_end", "known"))
+        so_far = (W.unboundedPreceding, 0)
+        parts[start] = extreme(c).over(block.orderBy(F.desc(time) if ahead else time).rowsBetween(*so_far))
+        parts[end] = extreme(c).over(block.orderBy(time if ahead else F.desc(time)).rowsBetween(*so_far))
+        parts[known] = F.count(c).over(w.rowsBetween(*so_far))
+        whole = F.lag(known, 1).over(w) - F.coalesce(F.lag(known, n + 1).over(w), F.lit(0)) == n
+        both = (F.greatest if kind == "max" else F.least)(F.lag(start, 1).over(w), F.lag(end, n).over(w))
+        out[name] = F.when(whole, both)
+    return x.withColumns(parts).withColumns(out).select(*[c for c in kept if c not in out], *out)
+
+
 def longest_run(flag: Column, w: WindowSpec) -> Column:
     """Length, at each row, of the run of true flags that ends there."""
     broken = F.max(F.when(~F.coalesce(flag, F.lit(False)), F.row_number().over(w))).over(w.rowsBetween(W.unboundedPreceding, 0))

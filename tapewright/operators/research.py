@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from ..functions.windows import KEYS, full, next_rows
+from ..functions.permutation import partner
+from ..functions.windows import KEYS, unused, with_extremes
 from ..model import BreakoutLabel, ExtremeSide, TakerSide
 
 
@@ -84,10 +85,8 @@ def breakout_labels(candles: DataFrame, side: ExtremeSide, level: str, event: st
     A breakout failed if the price came back through the broken level within the
     next ``horizon`` bars.
     """
-    w = W.partitionBy(*keys).orderBy(time)
-    ahead = next_rows(w, horizon)
-    high, low = full(horizon, F.max("high"), F.col("high"), ahead), full(horizon, F.min("low"), F.col("low"), ahead)
-    x = candles.withColumns({"__high": high, "__low": low}).where(F.coalesce(F.col(event), F.lit(False)) & F.col("__high").isNotNull() & F.col("__low").isNotNull())
+    x = with_extremes(candles, {"__high": ("high", "max", horizon), "__low": ("low", "min", horizon)}, ahead=True, keys=keys, time=time)
+    x = x.where(F.coalesce(F.col(event), F.lit(False)) & F.col("__high").isNotNull() & F.col("__low").isNotNull())
     up = side == ExtremeSide.HIGH
     failed = F.col("__low") < F.col(level) if up else F.col("__high") > F.col(level)
     good = F.col("__high") - F.col(level) if up else F.col(level) - F.col("__low")
@@ -192,17 +191,21 @@ def expected_maximum_sharpe_column(trials: Column, observations: Column, periods
 
 
 def shuffle_returns(candles: DataFrame, seed: int, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
-    """Candles whose log returns are permuted by a seeded hash and accumulated anew.
+    """Candles whose log returns are permuted and accumulated anew.
 
-    Open, high and low scale with the close; volumes stay.  First and last close
-    stay up to rounding.
+    A seeded Feistel network gives each return its new place, so nothing is sorted
+    again and the rows of one instrument meet their new places in many tasks.  Open,
+    high and low scale with the close; volumes stay.  First and last close stay up to
+    rounding.  Helper columns take names that ``candles`` lacks.
     """
-    w = W.partitionBy(*keys).orderBy(time)
-    x = candles.withColumns({"__n": F.row_number().over(w), "__r": F.ln(F.try_divide(F.col("close"), F.lag("close").over(w)))})
-    dealt = x.where("__n > 1").select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), time), time)) + 1).alias("__n"), F.col("__r").alias("__s"))
-    y = x.join(dealt, [*keys, "__n"], "left")
+    place, back, dealt_back, many, close = (unused(c, candles) for c in ("place", "back", "dealt", "bars", "rebuilt"))
+    w, own = W.partitionBy(*keys).orderBy(time), W.partitionBy(*keys)
+    x = candles.withColumns({place: F.row_number().over(w).cast("long"), many: F.count("*").over(own), back: F.ln(F.try_divide(F.col("close"), F.lag("close").over(w)))})
+    to = partner(F.col(place) - 2, F.col(many) - 1, F.lit(seed), *[F.col(k) for k in keys])
+    dealt = x.where(F.col(place) > 1).select(*keys, (to + 2).alias(place), F.col(back).alias(dealt_back))
+    y = x.join(dealt, [*keys, place], "left")
     first = F.first("close").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rebuilt = first * F.exp(F.coalesce(F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
-    y = y.withColumn("__c", rebuilt).withColumn("__f", F.col("__c") / F.col("close"))
-    scaled = {c: F.col(c) * F.col("__f") for c in ("open", "high", "low")}
-    return y.withColumns(scaled).withColumn("close", F.col("__c")).select(*candles.columns)
+    rebuilt = first * F.exp(F.coalesce(F.sum(dealt_back).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
+    y = y.withColumn(close, rebuilt)
+    scaled = {c: F.col(c) * (F.col(close) / F.col("close")) for c in ("open", "high", "low")}
+    return y.withColumns(scaled).withColumn("close", F.col(close)).select(*candles.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 
 from ..functions import features as fn
 from ..functions.indicators import PointOfControl, Recursive, gains, rsi, sma, true_range, with_recursive
-from ..functions.windows import KEYS, last_rows, ordered
+from ..functions.windows import KEYS, last_rows, ordered, with_extremes
 from ..model import TIMEFRAME_SECONDS, ActivityBaseline, ActivityMeasure, DepthAggregation, ExtremeSide, FeatureSpec, MarketInput, PriceSource, Timeframe, VWAPMode
 from .parameters import Parameters
 
@@ -28,7 +28,8 @@ class Feature:
     """One column.
 
     ``prepare`` columns come first, then the ``recursive`` ones in one kernel
-    pass, then ``column``.  ``aligned`` gives a per-bar table to join instead.
+    pass and the ``extremes`` of earlier bars, then ``column``.  ``aligned`` gives a
+    per-bar table to join instead.
     """
 
     name: str
@@ -36,6 +37,7 @@ class Feature:
     column: Callable[[WindowSpec], Column] | None = None
     prepare: Callable[[WindowSpec], dict[str, Column]] | None = None
     recursive: tuple[Recursive | PointOfControl, ...] = ()
+    extremes: tuple[tuple[str, str, str, int], ...] = ()
     aligned: Callable[[MarketView, int], DataFrame] | None = None
     inputs: frozenset[MarketInput] = frozenset([MarketInput.CANDLES])
 
@@ -93,14 +95,21 @@ def _activity(p: Parameters) -> Feature:
     return Feature(f"activity_{measure}_{baseline}_{n}", n, value, lambda w: {raw: fn.activity(measure, w)})
 
 
+def _prior(side: ExtremeSide, n: int) -> tuple[str, str, str, int]:
+    """Name, column, kind and bars of an extreme that features share."""
+    return f"__prior_{side}_{n}", side.value, "max" if side == ExtremeSide.HIGH else "min", n
+
+
 def _prior_extreme(p: Parameters) -> Feature:
     side, n = p.choice("side", ExtremeSide, "high"), p.integer("window", 20, least=1)
-    return Feature(f"prior_{side}_{n}", n, lambda w: fn.prior_extreme(side, n, w))
+    level = _prior(side, n)
+    return Feature(f"prior_{side}_{n}", n, lambda w: F.col(level[0]), extremes=(level,))
 
 
 def _breakout(p: Parameters) -> Feature:
     side, n = p.choice("side", ExtremeSide, "high"), p.integer("window", 20, least=1)
-    return Feature(f"breakout_{side}_{n}", n, lambda w: fn.broken(side, fn.prior_extreme(side, n, w)).cast("double"))
+    level = _prior(side, n)
+    return Feature(f"breakout_{side}_{n}", n, lambda w: fn.broken(side, F.col(level[0])).cast("double"), extremes=(level,))
 
 
 def _distance_to_poc(p: Parameters) -> Feature:
@@ -185,6 +194,8 @@ class FeaturePlan:
             prepared |= f.prepare(w) if f.prepare else {}
         df = df.withColumns(prepared) if prepared else df
         df = with_recursive(df, list(dict.fromkeys(r for f in self.features for r in f.recursive)))
+        extremes = {name: spec for f in self.features for name, *spec in f.extremes}
+        df = with_extremes(df, extremes) if extremes else df
         final = {f.name: f.column(w) for f in self.features if f.column}
         df = df.withColumns(final) if final else df
         for f in self.features:

@@ -153,3 +153,78 @@ def test_swing_equals_pandas_across_chunks(spark):
     joined = pd.merge_asof(loss, volume, left_on="captured_at", right_on="transact_time")
     want = (joined["v"] / joined["loss"].where(joined["loss"] > 0)).fillna(-1).tolist()
     assert got["swing"].astype(float).fillna(-1).tolist() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+@pytest.mark.parametrize("n", [1, 5, 33, 40, 1000])
+def test_extremes_of_wide_windows(spark, make_candles, n, ahead):
+    """Equal to looking through each window, with holes, several instruments and a column named like a helper."""
+    import random
+
+    from tapewright.functions.windows import with_extremes
+
+    r = random.Random(n)
+    both = {s: [None if r.random() < 0.01 else float(r.randrange(50)) for _ in range(rows)] for s, rows in (("A", 300), ("B", 41), ("C", 1))}
+    df = make_candles([1.0] * 300, symbol="A", high=both["A"]).unionByName(make_candles([1.0] * 41, symbol="B", high=both["B"])).unionByName(make_candles([1.0], symbol="C", high=both["C"])).repartition(3)
+    x = with_extremes(df.withColumn(f"BLOCK_{n}", F.lit("kept")), {"most": ("high", "max", n), "least": ("high", "min", n)}, ahead=ahead)
+    assert {row[f"BLOCK_{n}"] for row in x.select(f"BLOCK_{n}").collect()} == {"kept"}
+    for symbol, h in both.items():
+        got = [tuple(row) for row in x.where(F.col("symbol") == symbol).orderBy("open_time").select("most", "least").collect()]
+        frames = [h[i + 1 : i + 1 + n] if ahead else h[max(0, i - n) : i] for i in range(len(h))]
+        assert got == [(max(f), min(f)) if len(f) == n and None not in f else (None, None) for f in frames]
+
+
+def test_wide_windows_shuffle_once(make_candles):
+    from tapewright.functions.windows import with_extremes
+
+    plan = with_extremes(make_candles([1.0] * 9), {"most": ("high", "max", 500), "least": ("low", "min", 500)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_permutations_are_bijections():
+    from tapewright.functions.permutation import permuted
+
+    for n in [*range(1, 400), *range(400, 10_001, 61)]:
+        full_ = np.full(n, n)
+        assert (np.sort(permuted(np.arange(n), full_, np.full(n, 7))) == np.arange(n)).all()
+    a, b = (permuted(np.arange(5_000), np.full(5_000, 5_000), np.full(5_000, s)) for s in (1, 2))
+    assert (a == b).mean() < 0.01 and (a == np.arange(5_000)).mean() < 0.01 and abs(np.corrcoef(a, np.arange(5_000))[0, 1]) < 0.05
+
+
+def scalar_permuted(place, n, seed):
+    """The same network in Python's integers, one place at a time."""
+    mask, a = 2**64 - 1, math.isqrt(n - 1) + 1 if n > 1 else 1
+    b = -(-n // a)
+    while True:
+        left, right = divmod(place, b)
+        for r in range(6):
+            half = right if r % 2 == 0 else left
+            h = (seed & mask) ^ ((half * 0x9E3779B97F4A7C15 + r + 1) & mask)
+            for shift in (30, 27, 31):
+                h = ((h ^ (h >> shift)) * 0xBF58476D1CE4E5B9) & mask
+            h ^= h >> 32
+            if r % 2:
+                right = (right + h % b) % b
+            else:
+                left = (left + h % a) % a
+        place = left * b + right
+        if place < n:
+            return place
+
+
+def test_shuffled_returns_equal_a_loop(spark, make_candles):
+    from tapewright.operators.research import shuffle_returns
+
+    closes = {s: [100 + 7 * math.sin(i * k) for i in range(n)] for s, k, n in (("A", 1.3, 90), ("B", 0.7, 2), ("C", 1.0, 1))}
+    df = make_candles(closes["A"], symbol="A").unionByName(make_candles(closes["B"], symbol="B")).unionByName(make_candles(closes["C"], symbol="C")).repartition(3)
+    got = shuffle_returns(df.selectExpr("*", "'kept' AS place"), 11)
+    assert got.columns == [*df.columns, "place"]
+    seeds = {r["symbol"]: r["h"] for r in df.select("symbol", F.xxhash64(F.lit(11), "symbol", "market", "timeframe").alias("h")).distinct().collect()}
+    for symbol, x in closes.items():
+        returns, dealt = [math.log(b / a) for a, b in zip(x, x[1:])], {}
+        for i, v in enumerate(returns):
+            dealt[scalar_permuted(i, len(returns), seeds[symbol])] = v
+        want = [x[0] * math.exp(sum(dealt[j] for j in range(i))) for i in range(len(x))]
+        rows = got.where(F.col("symbol") == symbol).orderBy("open_time").collect()
+        assert [r["close"] for r in rows] == pytest.approx(want) and {r["place"] for r in rows} == {"kept"}
+        assert sorted(dealt) == list(range(len(returns)))
