@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F, types as T
 
+from ..functions.scans import DAY_US, Holding, with_held
 from ..functions.windows import KEYS, longest_run
 from ..model import CostModel, HoldingRules
 
@@ -36,13 +37,18 @@ def resolve(entries: np.ndarray, exits: np.ndarray, holding: HoldingRules, first
     return held
 
 
-def with_positions(df: DataFrame, *, weight: float, warmup: int, holding: HoldingRules = HoldingRules(), delay: int = 1, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+def with_positions(df: DataFrame, *, weight: float, warmup: int, holding: HoldingRules = HoldingRules(), delay: int = 1, keys: Sequence[str] = KEYS, time: str = "open_time", chunk_days: int | None = None) -> DataFrame:
     """``df`` (Boolean columns ``entry`` with filters applied, and ``exit``) with ``position``.
 
     Without time rules a bar is held if the latest of its signals so far is an
     entry: one window.  With a longest holding or a cooldown the future depends
-    on where a trade opened, and a kernel walks from trade to trade.
+    on where a trade opened, and a kernel walks from trade to trade.  With
+    ``chunk_days`` no task holds more than so many days of bars: each chunk says
+    what it does to every state of the rules, and those moves are chained.
     """
+    if chunk_days is not None:
+        rules = Holding(holding.maximum_holding_bars, holding.cooldown_bars or 0, delay, warmup + delay)
+        return with_held(df, "position", weight, rules, chunk_us=chunk_days * DAY_US, keys=keys, time=time)
     w = W.partitionBy(*keys).orderBy(time)
     first = warmup + delay
     x = df.withColumns({"__in": delayed(F.col("entry"), delay, w), "__out": delayed(F.col("exit"), delay, w), "__n": F.row_number().over(w) - 1})

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import Gap, Instrument, Listing, SourceKind, Timeframe, TimeRange
+from ..model import Instrument, Listing, SourceKind, Timeframe, TimeRange
 from ..operators import quality
 from ..operators.bars import daily_close, trades_to_candles
 from ..operators.merge import merge_candles
-from ..sources.routing import Instruction, route
+from ..sources.routing import route_table
 from ..sources.store import CANDLE_TABLE, TRADE_TABLE, Store
 
 #: Loads candles of a period from one kind of source.
@@ -37,33 +37,28 @@ class InstrumentReport:
         return self.failure is None and self.failed_checks == 0
 
 
-def find_gaps(spark: SparkSession, store: Store, instrument: Instrument, period: TimeRange) -> tuple[int, int, list[Gap]]:
-    """Bars expected and present, and the gaps; only the gaps' bounds reach the driver."""
-    expected = quality.expected_bars(spark, period, instrument.timeframe)
-    there = store.existing_open_times(instrument, period)
-    counts = quality.completeness(there, expected).first()
-    rows = quality.gaps(quality.missing_bars(there, expected), instrument.timeframe).orderBy("gap_start").collect() if counts["missing"] else []
-    return counts["expected"], counts["actual"], [Gap(r["gap_start"], r["gap_end"], r["missing"]) for r in rows]
+def counted(spark: SparkSession, store: Store, instrument: Instrument, period: TimeRange) -> tuple[int, int]:
+    """Bars expected and present."""
+    counts = quality.completeness(store.existing_open_times(instrument, period), quality.expected_bars(spark, period, instrument.timeframe)).first()
+    return counts["expected"], counts["actual"]
 
 
-def _utc(t: datetime, like: datetime) -> datetime:
-    return t if t.tzinfo else t.replace(tzinfo=like.tzinfo)
+def spans(missing: DataFrame, timeframe: Timeframe, now: datetime) -> dict[SourceKind, list[TimeRange]]:
+    """What to load from each source: gaps are routed as rows and their hull taken within each month, neighbouring months joined.
 
-
-def _spans(parts: Sequence[Instruction], timeframe: Timeframe) -> dict[SourceKind, list[TimeRange]]:
-    """What to load from each source: the parts' hull within each month, neighbouring months joined."""
-    months: dict[tuple[SourceKind, int, int], TimeRange] = {}
-    for part in parts:
-        at = part.period.start
-        while at < part.period.end:
-            following = datetime(at.year + at.month // 12, at.month % 12 + 1, 1, tzinfo=at.tzinfo)
-            end, key = min(part.period.end, following), (part.kind, at.year, at.month)
-            old = months.get(key)
-            months[key] = TimeRange(min(old.start, at), max(old.end, end)) if old else TimeRange(at, end)
-            at = end
+    The driver sees two rows a month at most, however many gaps there are.
+    """
+    gaps = quality.gaps(missing, timeframe)
+    parts = route_table(gaps.select(F.col("gap_start").alias("start"), (F.col("gap_end") + F.expr(f"INTERVAL {timeframe.interval}")).alias("end")), now)
+    month = F.trunc("start", "month")
+    months = F.sequence(month, F.trunc(F.col("end") - F.expr("INTERVAL 1 MICROSECOND"), "month"), F.expr("INTERVAL 1 MONTH"))
+    x = parts.withColumn("month", F.explode(months))
+    begin, following = F.col("month").cast("timestamp"), F.add_months("month", 1).cast("timestamp")
+    hulls = x.groupBy("source", "month").agg(F.min(F.unix_micros(F.greatest("start", begin))).alias("a"), F.max(F.unix_micros(F.least("end", following))).alias("b"))
     out: dict[SourceKind, list[TimeRange]] = {}
-    for (kind, _, _), span in sorted(months.items(), key=lambda m: (m[0][0].value, m[1].start)):
-        own = out.setdefault(kind, [])
+    for r in hulls.orderBy("source", "month").collect():
+        span = TimeRange(*(datetime.fromtimestamp(r[c] / 1e6, timezone.utc) for c in "ab"))
+        own = out.setdefault(SourceKind(r["source"]), [])
         if own and own[-1].end == span.start:
             own[-1] = TimeRange(own[-1].start, span.end)
         else:
@@ -80,12 +75,11 @@ def synchronize(spark: SparkSession, store: Store, instrument: Instrument, perio
     """
     report = InstrumentReport(instrument)
     closed = period.clamp_end(instrument.timeframe.floor(now))
-    report.expected, report.before, gaps = find_gaps(spark, store, instrument, closed)
-    parts = [part for gap in gaps for part in route(TimeRange(_utc(gap.start, now), _utc(gap.end, now) + instrument.timeframe.step), now)]
+    report.expected, report.before = counted(spark, store, instrument, closed)
     missing = quality.missing_bars(store.existing_open_times(instrument, closed), quality.expected_bars(spark, closed, instrument.timeframe)).cache()
     try:
-        for kind, spans in _spans(parts, instrument.timeframe).items():
-            loaded = reduce(DataFrame.unionByName, [loaders[kind](instrument, span) for span in spans])
+        for kind, periods in spans(missing, instrument.timeframe, now).items():
+            loaded = reduce(DataFrame.unionByName, [loaders[kind](instrument, span) for span in periods])
             wanted = quality.closed_only(loaded, instrument.timeframe, now).join(missing.select("open_time"), "open_time", "left_semi")
             flagged = quality.flag(wanted, instrument.timeframe).cache()
             try:
@@ -98,7 +92,7 @@ def synchronize(spark: SparkSession, store: Store, instrument: Instrument, perio
                 flagged.unpersist()
     finally:
         missing.unpersist()
-    _, report.after, _ = find_gaps(spark, store, instrument, closed)
+    _, report.after = counted(spark, store, instrument, closed)
     if reference is not None:
         ours = daily_close(store.read(CANDLE_TABLE, instrument, closed))
         report.failed_checks = quality.price_cross_check(ours, reference, tolerance).where("not passed").count()

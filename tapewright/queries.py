@@ -276,6 +276,20 @@ def wilder_rsi(s, d):
     return x.select(ntz("open_time"), r(rsi(F.col("g"), F.col("l"))).alias("rsi_14"))
 
 
+@query(ORACLES["ema_12"])
+def ema_12_in_chunks(s, d):
+    """As a scan over chunks of three days."""
+    x = with_recursive(_candles(s, d), [Recursive("ema_12", "ema", "close", 12)], chunk_days=3)
+    return x.select(ntz("open_time"), r("ema_12").alias("ema_12"))
+
+
+@query(ORACLES["wilder_rsi"])
+def wilder_rsi_in_chunks(s, d):
+    up, down = gains(F.col("close"), ordered())
+    x = with_recursive(_candles(s, d).withColumns({"up": up, "down": down}), [Recursive("g", "wilder", "up", 14), Recursive("l", "wilder", "down", 14)], chunk_days=2)
+    return x.select(ntz("open_time"), r(rsi(F.col("g"), F.col("l"))).alias("rsi_14"))
+
+
 _TR = "greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w))"
 
 
@@ -476,6 +490,13 @@ def distance_to_poc(s, d):
     return x.select(ntz("open_time"), r(F.try_divide(F.col("close") - F.col("poc"), F.col("poc"))).alias("distance_to_poc_2d"))
 
 
+@query(ORACLES["distance_to_poc"])
+def distance_to_poc_in_chunks(s, d):
+    x = _candles(s, d).withColumn("typical", fn.price(PriceSource.TYPICAL))
+    x = with_recursive(x, [PointOfControl("poc", "typical", 2, 20)], chunk_days=4)
+    return x.select(ntz("open_time"), r(F.try_divide(F.col("close") - F.col("poc"), F.col("poc"))).alias("distance_to_poc_2d"))
+
+
 @query(f"""WITH {D}, x AS (SELECT captured_at, (best_ask_price - best_bid_price) / 2 / ((best_ask_price + best_bid_price) / 2) AS rate, greatest(bid_quantity_5, 0) * (best_ask_price + best_bid_price) / 2 AS notional FROM depth)
 SELECT count(rate) AS samples, {q("(epoch_us(max(captured_at)) - epoch_us(min(captured_at))) / 3600000000.0::DOUBLE")} AS covered_hours, {q("avg(rate)", 9)} AS mean_rate, {q("median(rate)", 9)} AS median_rate,
   {q("quantile_cont(rate, 0.95)", 9)} AS p95_rate, {q("median(notional)")} AS median_notional FROM x""")
@@ -541,10 +562,18 @@ def breakout_statistics(s, d):
     return x.select("observable", "events", "held", r("held_median").alias("held_median"), r("failed_median").alias("failed_median"))
 
 
-@query(f"""WITH n(trials) AS (VALUES (1), (8), (44), (500)) SELECT trials, {q("CASE WHEN trials = 1 THEN 0 ELSE sqrt(2 * ln(trials)) * sqrt(8760.0::DOUBLE / 500) END")} AS expected_maximum_sharpe FROM n""")
+@query(f"""WITH {T}, v AS (SELECT venue AS symbol, date_trunc('hour', transact_time) AS open_time, last(price ORDER BY transact_time, trade_id) AS close FROM trades GROUP BY 1, 2),
+x AS (SELECT symbol, hour(open_time) AS h, close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS r FROM v), b AS (SELECT symbol, count(*) AS observations FROM v GROUP BY symbol),
+t AS (SELECT symbol, h, CASE WHEN count(r) > 1 AND stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(8760.0::DOUBLE) END AS s FROM x GROUP BY symbol, h),
+m AS (SELECT symbol, count(s) AS trials, max(s) AS best FROM t GROUP BY symbol)
+SELECT symbol, trials, observations, {q("best", 4)} AS best, {q("CASE WHEN trials <= 1 THEN 0 ELSE sqrt(2 * ln(trials)) * sqrt(8760.0::DOUBLE / observations) END")} AS expected_maximum_sharpe FROM m JOIN b USING (symbol)""")
 def trial_deflation(s, d):
-    n = s.createDataFrame([(1,), (8,), (44,), (500,)], "trials int")
-    return n.select("trials", r(research.expected_maximum_sharpe_column(F.col("trials"), F.lit(500), 8760.0)).alias("expected_maximum_sharpe"))
+    """Each hour of the day as a trial: the best one's ratio against what so many worthless ones would show by luck."""
+    c = _candles(s, d, per_venue=True)
+    x = c.select("symbol", F.hour("open_time").alias("h"), (F.try_divide(F.col("close"), F.lag("close").over(ordered())) - 1).alias("r"))
+    trials = x.groupBy("symbol", "h").agg(bt.sharpe(F.col("r"), 8760.0).alias("s")).groupBy("symbol").agg(F.count("s").alias("trials"), F.max("s").alias("best"))
+    y = trials.join(c.groupBy("symbol").agg(F.count("*").alias("observations")), "symbol")
+    return y.select("symbol", "trials", "observations", r("best", 4).alias("best"), r(research.expected_maximum_sharpe_column(F.col("trials"), F.col("observations"), 8760.0)).alias("expected_maximum_sharpe"))
 
 
 @query(f"""WITH {C}, x AS (SELECT ln(close / lag(close) OVER w) AS r FROM candles {W}) SELECT (SELECT count(*) FROM candles) AS bars, {q("(SELECT first(close ORDER BY open_time) FROM candles)")} AS first_close,
@@ -592,10 +621,10 @@ def cond_crossover(s, d):
     return _conditions(s, d, golden=Crossover("sma_3", CrossDirection.UP, "sma_8"), death=Crossover("sma_3", CrossDirection.DOWN, "sma_8"))
 
 
-def _positions(s, d, holding: HoldingRules = HoldingRules(), per_venue: bool = False) -> DataFrame:
+def _positions(s, d, holding: HoldingRules = HoldingRules(), per_venue: bool = False, chunk_days: int | None = None) -> DataFrame:
     x = _averages(s, d, per_venue)
     golden, death = crosses(F.col("sma_3"), F.col("sma_8"), ordered())
-    return bt.with_positions(x.withColumns({"entry": golden, "exit": death}), weight=1.0, warmup=1, holding=holding)
+    return bt.with_positions(x.withColumns({"entry": golden, "exit": death}), weight=1.0, warmup=1, holding=holding, chunk_days=chunk_days)
 
 
 _POS = f"""{_X}, dl AS (SELECT *, lag(golden, 1, false) OVER w AND i >= 2 AS en, lag(death, 1, false) OVER w AS ex FROM xo {W}),
@@ -619,6 +648,12 @@ def positions_with_time_rules(s, d):
     return _positions(s, d, HoldingRules(6, 3)).select(ntz("open_time"), "position")
 
 
+@query(ORACLES["positions_with_time_rules"])
+def positions_in_chunks(s, d):
+    """The same rules, each chunk of a day as a map between states."""
+    return _positions(s, d, HoldingRules(6, 3), chunk_days=1).select(ntz("open_time"), "position")
+
+
 COSTS = CostModel()
 
 

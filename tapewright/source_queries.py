@@ -18,7 +18,7 @@ from .plans.strategy import ConditionAxis, FeatureAxis, Increasing, SearchSpace
 from .queries import _LEVELS_SQL, BAR, BAR_SQL, D, HOUR, ORACLES, T, C, _bars, _candles, _expected, _trades, book_sql, ntz, q, query, r, shipped
 from .session import workspace
 from .sources import columns as cols, files, payloads, rest
-from .sources.routing import route
+from .sources.routing import route_table
 from .sources.store import CANDLE_TABLE, CANDLES_1H, DEPTH_TABLE, TRADE_TABLE, Store, write_gaps, write_with_identity
 from .streaming import keeper, live, recorder
 from .views import sql_candles
@@ -82,27 +82,40 @@ def archive_agg_trades(s, d):
     return _plain_trades(cols.conform_trades(merge.keep_first(parsed, merge.TRADE_KEY, F.col("transact_time"))))
 
 
-_PLAN = (datetime(2024, 1, 15, tzinfo=timezone.utc), datetime(2024, 4, 10, 12, tzinfo=timezone.utc))
-
-
-@query(f"""WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-15', DATE '2024-04-10', INTERVAL 1 DAY)) AS DATE) AS day),
-k AS (SELECT DISTINCT CASE WHEN month(day) IN (2, 3) THEN 'monthly' ELSE 'daily' END AS period, CASE WHEN month(day) IN (2, 3) THEN strftime(day, '%Y-%m') ELSE strftime(day, '%Y-%m-%d') END AS stamp FROM days)
-SELECT 'klines' AS kind, '{files.BASE_URL}/futures/um/' || period || '/klines/BTCUSDT/1h/BTCUSDT-1h-' || stamp || '.zip' AS url FROM k
-UNION ALL SELECT 'aggTrades', '{files.BASE_URL}/spot/daily/aggTrades/BTCUSDT/BTCUSDT-aggTrades-' || strftime(day, '%Y-%m-%d') || '.zip' FROM days""")
+@query(f"""WITH {T}, p AS (SELECT venue AS symbol, date_trunc('hour', min(transact_time)) AS a, date_trunc('hour', max(transact_time)) + INTERVAL 60 DAY AS b FROM trades GROUP BY venue),
+days AS (SELECT symbol, a, b, CAST(unnest(generate_series(CAST(a AS DATE), CAST(b - INTERVAL 1 MICROSECOND AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM p),
+m AS (SELECT *, date_trunc('month', day) >= CAST(a AS DATE) AND date_trunc('month', day) + INTERVAL 1 MONTH - INTERVAL 1 DAY < CAST(b AS DATE) AS whole FROM days),
+k AS (SELECT DISTINCT symbol, CASE WHEN whole THEN 'monthly' ELSE 'daily' END AS period, CASE WHEN whole THEN strftime(day, '%Y-%m') ELSE strftime(day, '%Y-%m-%d') END AS stamp FROM m)
+SELECT symbol, 'klines' AS kind, '{files.BASE_URL}/futures/um/' || period || '/klines/' || upper(symbol) || '/1h/' || upper(symbol) || '-1h-' || stamp || '.zip' AS url FROM k
+UNION ALL SELECT symbol, 'aggTrades', '{files.BASE_URL}/spot/daily/aggTrades/' || upper(symbol) || '/' || upper(symbol) || '-aggTrades-' || strftime(day, '%Y-%m-%d') || '.zip' FROM days""")
 def archive_plan(s, d):
-    period = TimeRange(*_PLAN)
-    rows = [("klines", u) for u in files.kline_files(Instrument("BTC/USDT", Market.USDM, HOUR), period)] + [("aggTrades", u) for u in files.agg_trade_files(Listing("BTC/USDT", Market.SPOT), period)]
-    return s.createDataFrame(rows, "kind string, url string")
-
-
-@query("""SELECT * FROM (VALUES ('archive', 'archive', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-05 00:00:00'), ('both', 'archive', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-08 00:00:00'),
-  ('both', 'rest', TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-10 06:00:00'), ('short', 'rest', TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-04 00:00:00'),
-  ('new', 'rest', TIMESTAMP '2024-01-09 00:00:00', TIMESTAMP '2024-01-10 00:00:00')) t(period, source, first, last)""")
+    """The files of each symbol's period, from its first trade to 60 days after its last one."""
+    c = views.candles(_venues(s, d))
+    rows = []
+    for p in c.groupBy("symbol").agg(F.min(F.unix_micros("open_time")), F.max(F.unix_micros("open_time"))).collect():  # a row a listing
+        first, last = (datetime.fromtimestamp(x / 1e6, timezone.utc) for x in p[1:])
+        period = TimeRange(first, last + timedelta(days=60))
+        rows += [(p[0], "klines", u) for u in files.kline_files(Instrument(p[0], Market.USDM, HOUR), period)] + [(p[0], "aggTrades", u) for u in files.agg_trade_files(Listing(p[0], Market.SPOT), period)]
+    return s.createDataFrame(rows, "symbol string, kind string, url string")
+
+
+@query(f"""WITH {T}, c AS (SELECT DISTINCT venue AS symbol, date_trunc('hour', transact_time) AS open_time FROM trades), h AS (SELECT * FROM c WHERE day(open_time) NOT IN (5, 6, 7, 8, 27, 28, 29)),
+p AS (SELECT min(open_time) AS a, max(open_time) AS b, date_trunc('day', max(open_time)) - INTERVAL 2 DAY AS cutoff FROM c),
+e AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS open_time FROM (SELECT DISTINCT symbol FROM c), p), m AS (SELECT * FROM e ANTI JOIN h USING (symbol, open_time)),
+i AS (SELECT *, epoch(open_time) - 3600 * row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS island FROM m),
+g AS (SELECT symbol, min(open_time) AS first, max(open_time) + INTERVAL 1 HOUR AS last FROM i GROUP BY symbol, island),
+l AS (SELECT g.*, cutoff, last - first >= INTERVAL 48 HOUR AND first < cutoff AS long FROM g, p)
+SELECT symbol, 'archive' AS source, first, least(last, cutoff) AS last FROM l WHERE long
+UNION ALL SELECT symbol, 'rest', CASE WHEN long THEN greatest(first, cutoff) ELSE first END, last FROM l WHERE NOT long OR last > cutoff""")
 def source_routing(s, d):
-    at = lambda day, hour=0: datetime(2024, 1, day, hour, tzinfo=timezone.utc)
-    periods = {"archive": (at(1), at(5)), "both": (at(1), at(10, 6)), "short": (at(3), at(4)), "new": (at(9), at(10)), "empty": (at(2), at(2))}
-    rows = [(name, str(part.kind.value), part.period.start, part.period.end) for name, p in periods.items() for part in route(TimeRange(*p), at(10, 7))]
-    return s.createDataFrame(rows, "period string, source string, first timestamp, last timestamp").select("period", "source", ntz("first"), ntz("last"))
+    """Where the missing bars of each symbol are to come from: its gaps, with two stretches of days lost, routed as rows."""
+    c = views.candles(_venues(s, d))
+    first, last = _span(c, "open_time")
+    expected = c.select(*KEYS).distinct().select(*KEYS, F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 HOUR"))).alias("open_time"))
+    there = c.where(~F.dayofmonth("open_time").isin(5, 6, 7, 8, 27, 28, 29))
+    gaps = quality.gaps(expected.join(there.select(*KEYS, "open_time"), [*KEYS, "open_time"], "left_anti"), HOUR, KEYS)
+    x = route_table(gaps.select("symbol", F.col("gap_start").alias("first"), (F.col("gap_end") + F.expr("INTERVAL 1 HOUR")).alias("last")), last, "first", "last")
+    return x.select("symbol", "source", ntz("first"), ntz("last"))
 
 
 # --- messages ----------------------------------------------------------------
@@ -409,12 +422,11 @@ def ingest_fills_gaps(s, d):
     return store.read(CANDLE_TABLE, ALL, TimeRange(first, last)).select(ntz("open_time"), r("close").alias("close"), "source")
 
 
-SPACE = SearchSpace(shipped()[0], (FeatureAxis(0, "period", (8, 12, 21)), FeatureAxis(1, "period", (12, 21, 55)), ConditionAxis(ConditionTree.FILTERS, "value", (60, 70))), (Increasing(0, 1),))
-
-
-@query("""WITH fast(a) AS (VALUES (8), (12), (21)), slow(b) AS (VALUES (12), (21), (55)), limits(v) AS (VALUES (60), (70))
+@query(f"""WITH {C}, fast(a) AS (VALUES (8), (12), (21)), slow(b) AS (VALUES (12), (21), (55)), limits AS (SELECT DISTINCT CAST(floor(close / 5) * 5 AS BIGINT) AS v FROM candles)
 SELECT 'trend_ema_rsi__period' || a || '_period' || b || '_value' || v AS name, 'ema_' || a AS fast, 'ema_' || b AS slow, CAST(v AS DOUBLE) AS allowed FROM fast, slow, limits WHERE a < b""")
 def search_space(s, d):
-    """All combinations of the axes that the constraint allows, as the conditions name them."""
-    rows = [(x.name, x.entry.parameters["fast"], x.entry.parameters["slow"], float(x.filters.children[0].parameters["value"])) for x in SPACE.expand()]
+    """All combinations of the axes that the constraint allows, as the conditions name them; the last axis holds the levels that closes reach."""
+    levels = [x[0] for x in _candles(s, d).select((F.floor(F.col("close") / 5) * 5).cast("long")).distinct().collect()]
+    space = SearchSpace(shipped()[0], (FeatureAxis(0, "period", (8, 12, 21)), FeatureAxis(1, "period", (12, 21, 55)), ConditionAxis(ConditionTree.FILTERS, "value", tuple(sorted(levels)))), (Increasing(0, 1),))
+    rows = [(x.name, x.entry.parameters["fast"], x.entry.parameters["slow"], float(x.filters.children[0].parameters["value"])) for x in space.expand()]
     return s.createDataFrame(rows, "name string, fast string, slow string, allowed double")

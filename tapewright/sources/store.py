@@ -202,7 +202,7 @@ class Store:
         """Note for each roll-up the days whose one-minute candles change."""
         days = candles.where("timeframe = '1m'").select("symbol", "market", F.to_date("open_time").alias("date")).distinct().cache()
         try:
-            for timeframe in REFRESH_POLICY:
+            for timeframe in REFRESH_POLICY if days.take(1) else ():
                 days.coalesce(1).write.mode("append").parquet(f"{self._notes(timeframe)}/{uuid.uuid4().hex}")
         finally:
             days.unpersist()

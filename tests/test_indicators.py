@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import features as fn
-from tapewright.functions.indicators import PointOfControl, Recursive, crosses, exponential, fullest, gains, rsi, sma, wilder, with_recursive
+from tapewright.functions.indicators import PointOfControl, Recursive, crosses, exponential, fullest, fullest_of_windows, gains, rsi, sma, wilder, with_recursive
 from tapewright.functions.windows import ordered
 from tapewright.model import ActivityMeasure, ExtremeSide, PriceSource
 from tapewright.operators import profile
@@ -228,3 +228,35 @@ def test_shuffled_returns_equal_a_loop(spark, make_candles):
         rows = got.where(F.col("symbol") == symbol).orderBy("open_time").collect()
         assert [r["close"] for r in rows] == pytest.approx(want) and {r["place"] for r in rows} == {"kept"}
         assert sorted(dealt) == list(range(len(returns)))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_points_of_control_by_a_wavelet_matrix(whole):
+    """Equal to a histogram of each window: ties, flat windows, one price, one row, empty windows."""
+    r = np.random.default_rng(1)
+    for _ in range(120):
+        n, buckets = int(r.integers(1, 90)), int(r.integers(1, 25))
+        p = np.round(r.uniform(95, 105, n), int(r.integers(0, 3)))
+        v = r.integers(0, 4, n).astype(float) if whole else r.integers(0, 4, n) / 10
+        a, b = np.sort(r.integers(0, n + 1, (2, 60)), axis=0)
+        got = fullest_of_windows(p, v, a, b, buckets)
+        for i, (x, y) in enumerate(zip(a, b)):
+            assert np.isnan(got[i]) if x == y else got[i] == fullest(p[x:y], v[x:y], buckets)
+
+
+def test_long_windows_cost_no_more():
+    import time
+
+    r, n = np.random.default_rng(2), 100_000
+    p, v, at = r.uniform(90, 110, n), r.integers(1, 50, n).astype(float), np.arange(20_000, n, 16)
+    took = {}
+    for days in (5, 50, 5, 50):
+        began = time.monotonic()
+        fullest_of_windows(p, v, at - days * 288, at, 50)
+        took[days] = min(took.get(days, 1e9), time.monotonic() - began)
+    assert took[50] < 2 * took[5], took
+
+
+def test_bars_without_a_price_take_no_part(make_candles):
+    x = with_recursive(make_candles([1.0, None, 2.0, 2.0, None, 5.0]), [PointOfControl("p", "close", 1, 4)])
+    assert values(x, "p") == [None, 1.0, 1.0, 1.125, 1.875, 1.875]

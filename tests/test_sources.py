@@ -256,6 +256,30 @@ def test_routing():
     assert kinds(utc(2024, 1, 1), utc(2024, 1, 1)) == []
 
 
+def test_routed_rows_equal_routed_ranges(spark):
+    import random
+
+    r, now, periods = random.Random(2), utc(2024, 3, 10, 5), []
+    for i in range(200):
+        a = utc(2024, 1, 1) + timedelta(hours=r.randrange(1900))
+        periods.append((i, a, a + timedelta(hours=r.choice([0, 1, 30, 47, 48, 49, 200, 2000]))))
+    from tapewright.sources.routing import route_table
+
+    rows = route_table(spark.createDataFrame(periods, "id int, start timestamp, end timestamp"), now).collect()
+    want = [(i, part.kind.value, part.period.start, part.period.end) for i, a, b in periods for part in route(TimeRange(a, b), now)]
+    assert sorted((x["id"], x["source"], x["start"].replace(tzinfo=timezone.utc), x["end"].replace(tzinfo=timezone.utc)) for x in rows) == sorted(want)
+
+
+def test_spans_by_month(spark):
+    """Many gaps give a row a month and source; neighbouring months join."""
+    now, hour = utc(2024, 6, 1), Timeframe("1h")
+    times = [utc(2024, 1, 10) + timedelta(hours=h) for h in range(60)] + [utc(2024, 1, 20, h) for h in range(0, 24, 2)] + [utc(2024, 2, 28) + timedelta(hours=h) for h in range(80)] + [utc(2024, 5, 31, 22)]
+    got = ing.spans(spark.createDataFrame([(t,) for t in times], "open_time timestamp"), hour, now)
+    assert got[SourceKind.ARCHIVE] == [TimeRange(utc(2024, 1, 10), utc(2024, 1, 12, 12)), TimeRange(utc(2024, 2, 28), utc(2024, 3, 2, 8))]
+    assert got[SourceKind.REST] == [TimeRange(utc(2024, 1, 20), utc(2024, 1, 20, 23)), TimeRange(utc(2024, 5, 31, 22), utc(2024, 5, 31, 23))]
+    assert ing.spans(spark.createDataFrame([], "open_time timestamp"), hour, now) == {}
+
+
 def test_store_is_idempotent(spark, make_candles, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert set(store.migrate()) == {"candles", "candles_5m", "candles_1h", "agg_trades", "order_book_depth"} and store.migrate() == []
