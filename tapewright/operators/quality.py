@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.windows import ordered
+from ..functions.windows import KEYS, ordered, unused
 from ..model import TIMEFRAME_SECONDS, Timeframe, TimeRange
 
 # The largest believable change of the close from bar to bar.
@@ -37,11 +38,29 @@ def gaps(missing: DataFrame, timeframe: Timeframe, keys: tuple[str, ...] = ()) -
     return per.drop("island")
 
 
-def completeness(existing: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: ``expected, actual, missing, coverage``."""
-    there = existing.select("open_time").distinct().withColumn("there", F.lit(1))
-    x = expected.join(there, "open_time", "left").agg(F.count("*").alias("expected"), F.coalesce(F.sum("there"), F.lit(0)).alias("actual"))
-    return x.select("expected", "actual", (F.col("expected") - F.col("actual")).alias("missing"), F.try_divide(F.col("actual"), F.col("expected")).alias("coverage"))
+def completeness(existing: DataFrame, expected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of ``keys``): ``expected, actual, missing, coverage``."""
+    on = [*keys, "open_time"]
+    there = existing.select(*on).distinct().withColumn("there", F.lit(1))
+    x = expected.join(there, on, "left").groupBy(*keys).agg(F.count("*").alias("expected"), F.coalesce(F.sum("there"), F.lit(0)).alias("actual"))
+    return x.select(*keys, "expected", "actual", (F.col("expected") - F.col("actual")).alias("missing"), F.try_divide(F.col("actual"), F.col("expected")).alias("coverage"))
+
+
+def on_grid(df: DataFrame, timeframe: Timeframe, keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:
+    """``df``, but reading it fails where an instrument lacks a bar between its first and last: a window of n rows would span more than n bars."""
+    step = TIMEFRAME_SECONDS[timeframe.value] * 1_000_000
+    at, before = F.unix_micros(F.col(time).cast("timestamp")), F.lag(F.unix_micros(F.col(time).cast("timestamp"))).over(W.partitionBy(*keys).orderBy(time))
+    wrong = before.isNotNull() & (at - before != step)
+    message = F.concat(F.lit(f"the grid of {timeframe} has a hole before "), F.col(time).cast("string"))
+    checked, names = unused("checked", df), df.columns
+    return df.withColumn(checked, F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(True)).where(checked).select(*names)
+
+
+def availability(df: DataFrame, names: Sequence[str], keys: Sequence[str] = (), time: str = "open_time") -> DataFrame:
+    """``keys, feature, known, last``: the share of bars on which each feature is known, and its last known value."""
+    last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col(time))).cast("double")
+    one = df.groupBy(*keys).agg(*[F.struct(F.lit(n).alias("feature"), F.avg(F.col(n).isNotNull().cast("double")).alias("known"), last(n).alias("last")).alias(f"f_{i}") for i, n in enumerate(names)])
+    return one.select(*keys, F.inline(F.array(*[f"f_{i}" for i in range(len(names))])))
 
 
 def jump_cap(timeframe: str) -> float:
@@ -79,17 +98,17 @@ def anomalies(flagged: DataFrame) -> DataFrame:
     return flagged.where(" or ".join(FLAGS))
 
 
-def sanitation_summary(flagged: DataFrame) -> DataFrame:
-    """One row: how many bars carry each flag, and how many are accepted and rejected."""
+def sanitation_summary(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of ``keys``): how many bars carry each flag, and how many are accepted and rejected."""
     fatal = F.col(FATAL[0]) | F.col(FATAL[1])
-    return flagged.agg(*[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS], F.sum((~fatal).cast("long")).alias("accepted"), F.sum(fatal.cast("long")).alias("rejected"))
+    return flagged.groupBy(*keys).agg(*[F.sum(F.col(f).cast("long")).alias(f) for f in FLAGS], F.sum((~fatal).cast("long")).alias("accepted"), F.sum(fatal.cast("long")).alias("rejected"))
 
 
 AGREEMENT = ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume", "trade_count")
 
 
-def agreement(rebuilt: DataFrame, official: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """One row for each column: largest relative difference over common bars, and the bars that one side lacks.
+def agreement(rebuilt: DataFrame, official: DataFrame, tolerance: float = 1e-6, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each column (and each of ``keys``, among symbol and market): largest relative difference over common bars, and the bars that one side lacks.
 
     The difference is absolute where the official value is 0.  A single full
     outer join gives the counts and the differences.
@@ -102,14 +121,14 @@ def agreement(rebuilt: DataFrame, official: DataFrame, tolerance: float = 1e-6)
         d = F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
         return F.max(F.when(F.col(f"b_{c}") == 0, d).otherwise(d / F.abs(F.nullif(F.col(f"b_{c}"), F.lit(0.0)))))
 
-    one = a.join(b, on, "full_outer").agg(
+    one = a.join(b, on, "full_outer").groupBy(*keys).agg(
         F.sum((F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).cast("long")).alias("common"),
         F.sum(F.col("in_a").isNull().cast("long")).alias("missing_in_rebuilt"), F.sum(F.col("in_b").isNull().cast("long")).alias("missing_in_official"),
         *[difference(c).alias(c) for c in AGREEMENT],
     )
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(0.0)).alias("difference")) for c in AGREEMENT]))
-    out = one.select("common", "missing_in_rebuilt", "missing_in_official", rows.alias("r"))
-    return out.select("r.name", "r.difference", (F.col("r.difference") <= tolerance).alias("passed"), "common", "missing_in_rebuilt", "missing_in_official")
+    out = one.select(*keys, "common", "missing_in_rebuilt", "missing_in_official", rows.alias("r"))
+    return out.select(*keys, "r.name", "r.difference", (F.col("r.difference") <= tolerance).alias("passed"), "common", "missing_in_rebuilt", "missing_in_official")
 
 
 def price_cross_check(ours: DataFrame, reference: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -97,16 +97,16 @@ def breakout_labels(candles: DataFrame, side: ExtremeSide, level: str, event: st
     }).drop("__high", "__low")
 
 
-def breakout_statistics(labelled: DataFrame, observations: Sequence[str]) -> DataFrame:
-    """``observable, events, held, held_median, failed_median`` for the excursions and the observables."""
+def breakout_statistics(labelled: DataFrame, observations: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, observable, events, held, held_median, failed_median`` for the excursions and the observables."""
     held = F.col("label") == BreakoutLabel.HELD.value
     names = ["favourable_excursion", "adverse_excursion", *observations]
-    one = labelled.agg(
+    one = labelled.groupBy(*keys).agg(
         F.count("*").alias("events"), F.sum(held.cast("long")).alias("held"),
         *[F.median(F.when(held, F.col(c))).alias(f"h_{c}") for c in names], *[F.median(F.when(~held, F.col(c))).alias(f"f_{c}") for c in names],
     )
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("observable"), F.col(f"h_{c}").alias("held_median"), F.col(f"f_{c}").alias("failed_median")) for c in names]))
-    x = one.select("events", "held", rows.alias("r")).select("r.observable", "events", "held", "r.held_median", "r.failed_median")
+    x = one.select(*keys, "events", "held", rows.alias("r")).select(*keys, "r.observable", "events", "held", "r.held_median", "r.failed_median")
     return x.withColumns({"difference": F.col("held_median") - F.col("failed_median"), "ratio": F.try_divide("held_median", "failed_median")})
 
 
@@ -129,9 +129,13 @@ def slippage(depth: DataFrame, keys: Sequence[str] = ("symbol", "market")) -> Da
     x = depth.select(*keys, "captured_at", F.try_divide(spread() / 2, mid()).alias("rate"), notional.alias("notional"))
     span = F.unix_micros(F.max("captured_at").cast("timestamp")) - F.unix_micros(F.min("captured_at").cast("timestamp"))
     per = x.groupBy(*keys).agg(F.count("rate").alias("samples"), (span / 3_600_000_000.0).alias("covered_hours"), F.avg("rate").alias("mean_rate"))
-    rates = percentiles(x, keys, "rate", (0.5, 0.95)).select(*keys, F.col("percentiles")[0].alias("median_rate"), F.col("percentiles")[1].alias("p95_rate"))
-    notionals = percentiles(x, keys, "notional", (0.5,)).select(*keys, F.col("percentiles")[0].alias("median_notional"))
-    return per.join(rates, list(keys), "left").join(notionals, list(keys), "left")
+    # both columns as rows of one table: one pass ranks them
+    what = unused("of", depth)
+    stacked = x.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias(what), F.col(c).alias("value")) for c in ("rate", "notional")])))
+    found = percentiles(stacked, [*keys, what], "value", (0.5, 0.95))
+    at = lambda c, i: F.max(F.when(F.col(what) == c, F.col("percentiles")[i]))
+    shares = found.groupBy(*keys).agg(at("rate", 0).alias("median_rate"), at("rate", 1).alias("p95_rate"), at("notional", 0).alias("median_notional"))
+    return per.join(shares, list(keys), "left")
 
 
 def activity_heatmap(candles: DataFrame, measure: str = "trade_count", keys: Sequence[str] = KEYS, time: str = "open_time") -> DataFrame:

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import views
-from .functions.windows import KEYS
+from .functions.indicators import sma
+from .functions.windows import KEYS, ordered
 from .model import ConditionTree, Instrument, Listing, Market, SourceKind, Timeframe, TimeRange
 from .operators import merge, quality
 from .plans import ingest as filling
@@ -386,6 +387,25 @@ def completeness(s, d):
     return x.select("expected", "actual", "missing", r("coverage").alias("coverage"))
 
 
+_VENUES = f"{T}, v AS (SELECT venue AS symbol, date_trunc('hour', transact_time) AS open_time, last(price ORDER BY transact_time, trade_id) AS close, CAST(sum(last_trade_id - first_trade_id + 1) AS BIGINT) AS trade_count FROM trades GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_VENUES}, e AS (SELECT symbol, unnest(generate_series(min(open_time), max(open_time), INTERVAL 1 HOUR)) AS open_time FROM v GROUP BY symbol), x AS (SELECT symbol, count(*) AS expected, count(v.open_time) AS actual FROM e LEFT JOIN v USING (symbol, open_time) GROUP BY symbol)
+SELECT symbol, expected, actual, expected - actual AS missing, {q("actual / CAST(expected AS DOUBLE)")} AS coverage FROM x""")
+def completeness_by_instrument(s, d):
+    c = views.candles(_venues(s, d))
+    return quality.completeness(c, _expected(c), KEYS).select("symbol", "expected", "actual", "missing", r("coverage").alias("coverage"))
+
+
+@query(f"""WITH {_VENUES}, f AS (SELECT symbol, open_time, CASE WHEN trade_count % 2 = 1 THEN close END AS odd, avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS n FROM v),
+g AS (SELECT symbol, open_time, odd, CASE WHEN n >= 3 THEN m END AS sma_3 FROM f)
+SELECT symbol, 'odd' AS feature, {q("avg(CASE WHEN odd IS NULL THEN 0 ELSE 1 END)")} AS known, {q("arg_max(odd, open_time)")} AS last FROM g GROUP BY symbol
+UNION ALL SELECT symbol, 'sma_3', {q("avg(CASE WHEN sma_3 IS NULL THEN 0 ELSE 1 END)")}, {q("arg_max(sma_3, open_time)")} FROM g GROUP BY symbol""")
+def feature_availability(s, d):
+    x = views.candles(_venues(s, d)).withColumns({"odd": F.when(F.col("trade_count") % 2 == 1, F.col("close")), "sma_3": sma(F.col("close"), 3, ordered())})
+    return quality.availability(x, ["odd", "sma_3"], KEYS).select("symbol", "feature", r("known").alias("known"), r("last").alias("last"))
+
+
 @query(f"WITH {C} SELECT open_time, {q('close')} AS close FROM candles WHERE open_time <= (SELECT max(open_time) FROM candles) - INTERVAL 2 HOUR")
 def closed_candles(s, d):
     c = _candles(s, d)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from support import SMALL
 from tapewright import views
-from tapewright.functions.windows import KEYS
-from tapewright.model import Timeframe
+from tapewright.functions import features as fn
+from tapewright.functions.windows import KEYS, ordered
+from tapewright.model import ExtremeSide, Timeframe
 from tapewright.operators import backtest as bt, quality, research
 from tapewright.plans.features import FeaturePlan, MarketView
 from tapewright.plans.strategy import compare
@@ -36,11 +37,23 @@ def rounded(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+def labelled(t):
+    level = fn.prior_extreme(ExtremeSide.HIGH, 5, ordered())
+    x = views.candles(t).withColumn("level", level)
+    return research.breakout_labels(x.withColumn("event", fn.broken(ExtremeSide.HIGH, F.col("level"))), ExtremeSide.HIGH, "level", "event", 4)
+
+
 CASES = {
     "features": lambda t: FeaturePlan.of(load_features(SHIPPED / "features.yaml")).table(MarketView(views.candles(t), t, views.depth(t)), HOUR, trim=False),
     "trimmed": lambda t: FeaturePlan.of(load_features(SHIPPED / "features.yaml")).table(MarketView(views.candles(t)), Timeframe("1h")),
     "compare": lambda t: compare(MarketView(views.candles(t), t, views.depth(t)), shipped(), HOUR, COSTS),
     "flags": lambda t: quality.flag(views.candles(t), HOUR),
+    "sanitation": lambda t: quality.sanitation_summary(quality.flag(views.candles(t), HOUR), KEYS),
+    "completeness": lambda t: quality.completeness(views.candles(t).where("trade_count % 3 <> 0"), views.candles(t), KEYS),
+    "agreement": lambda t: quality.agreement(views.candles(t), views.candles(t).where("trade_count % 5 <> 0").withColumn("close", F.col("close") * 1.01), 1e-6, ["symbol", "market"]),
+    "breakouts": lambda t: research.breakout_statistics(labelled(t), ["volume"], KEYS),
+    "availability": lambda t: quality.availability(views.candles(t).withColumn("odd", F.when(F.col("trade_count") % 2 == 1, F.col("close"))), ["odd", "volume"], KEYS),
+    "slippage": lambda t: research.slippage(views.depth(t)),
     "turning_points": lambda t: research.turning_points(views.candles(t)),
     "heatmap": lambda t: research.activity_heatmap(views.candles(t)),
     "around": lambda t: research.around(views.candles(t), research.turning_points(views.candles(t)), bars=9),
@@ -74,3 +87,18 @@ def test_ranks_and_percentiles_equal_sorting(spark):
             line = [known[int(i)] + (i - int(i)) * (known[min(int(i) + 1, len(known) - 1)] - known[int(i)]) for i in at]
             assert cut[k] == pytest.approx(line)
     assert research.percentiles(df.where("false"), ["k"], "v", shares).count() == 0
+
+
+def test_holes_in_a_declared_grid_fail(make_candles):
+    from support import hours
+    from tapewright.functions.indicators import sma
+
+    whole, times = make_candles([1.0, 2.0, 3.0, 4.0, 5.0]), hours(5)
+    holed = make_candles([1.0, 2.0, 4.0, 5.0], symbol="ETH/USDT", times=[t for t in times if t != times[2]])
+    mean = lambda df: df.select("symbol", "open_time", sma(F.col("close"), 3, ordered()).alias("m"))
+    assert [x.m for x in mean(quality.on_grid(whole.withColumn("checked", F.lit(1)), HOUR)).orderBy("open_time").collect()] == [None, None, 2.0, 3.0, 4.0]
+    with pytest.raises(Exception, match="has a hole before 2024-01-01 03"):
+        mean(quality.on_grid(whole.unionByName(holed), HOUR)).collect()
+    assert [x.m for x in mean(holed).orderBy("open_time").collect()][2] == pytest.approx((1 + 2 + 4) / 3)  # undeclared, it widens silently
+    with pytest.raises(Exception, match="has a hole"):
+        quality.on_grid(whole, Timeframe("15m")).collect()
