@@ -810,7 +810,25 @@ def shipped_features(s, d):
     return x.select(ntz("open_time"), *[r(n).alias(n) for n in plan.names])
 
 
-@query()
+@query(f"""WITH RECURSIVE {C}, n AS (SELECT open_time, close, row_number() OVER w - 1 AS i, greatest(close - lag(close) OVER w, 0) AS u, greatest(lag(close) OVER w - close, 0) AS d FROM candles {W}),
+p(period) AS (VALUES (8), (12), (21), (26), (34), (55)),
+e AS (SELECT period, CAST(period - 1 AS BIGINT) AS i, avg(close) AS y FROM p JOIN n ON n.i < period GROUP BY period
+  UNION ALL SELECT period, n.i, (1 - 2.0::DOUBLE / (period + 1)) * e.y + 2.0::DOUBLE / (period + 1) * n.close FROM e JOIN n ON n.i = e.i + 1),
+f AS (SELECT CAST(14 AS BIGINT) AS i, (SELECT avg(u) FROM n WHERE i BETWEEN 1 AND 14) AS g, (SELECT avg(d) FROM n WHERE i BETWEEN 1 AND 14) AS l
+  UNION ALL SELECT n.i, g * 13.0::DOUBLE / 14 + n.u / 14, l * 13.0::DOUBLE / 14 + n.d / 14 FROM f JOIN n ON n.i = f.i + 1),
+x AS (SELECT i, close, CASE WHEN g + l = 0 THEN 50 ELSE 100 * g / (g + l) END AS rsi FROM n JOIN f USING (i) WHERE i >= 54),
+fo AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY i) <= floor(count(*) OVER () * 0.7::DOUBLE) THEN 'in' ELSE 'out' END AS fold FROM x),
+t AS (SELECT row_number() OVER (ORDER BY a, b, v) - 1 AS trial, 'trend_ema_rsi__period' || a || '_period' || b || '_value' || v AS strategy, a, b, v
+  FROM (VALUES (8), (12), (21)) fast(a), (VALUES (21), (26), (34), (55)) slow(b), (VALUES (60), (65), (70), (75)) allowed(v) WHERE a < b),
+g AS (SELECT trial, strategy, fold, fo.i, close, rsi > v AS hot, fe.y > se.y AS above FROM t, fo JOIN e fe ON fe.i = fo.i AND fe.period = a JOIN e se ON se.i = fo.i AND se.period = b),
+c AS (SELECT *, row_number() OVER k - 1 AS n, above AND NOT lag(above, 1, false) OVER k AND row_number() OVER k > 1 AND NOT hot AS entry, NOT above AND lag(above, 1, false) OVER k AS leave FROM g WINDOW k AS (PARTITION BY trial, fold ORDER BY i)),
+dl AS (SELECT *, lag(entry, 1, false) OVER k AND n >= 2 AS en, lag(leave, 1, false) OVER k AS ex FROM c WINDOW k AS (PARTITION BY trial, fold ORDER BY i)),
+po AS (SELECT *, CAST(coalesce(last_value(CASE WHEN en OR ex THEN en END IGNORE NULLS) OVER k, false) AS DOUBLE) AS position FROM dl WINDOW k AS (PARTITION BY trial, fold ORDER BY i ROWS UNBOUNDED PRECEDING)),
+gr AS (SELECT *, position * coalesce(close / lag(close) OVER k - 1, 0) AS gross, abs(position - lag(position, 1, 0) OVER k) AS turnover, position <> 0 AND lag(position, 1, 0) OVER k = 0 AS starts FROM po WINDOW k AS (PARTITION BY trial, fold ORDER BY i)),
+s AS (SELECT trial, strategy, fold, CASE WHEN count(*) > 1 AND stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(8760.0::DOUBLE) END AS sharpe, product(1 + ret) - 1 AS total, CAST(sum(starts::INT) AS BIGINT) AS trades
+  FROM (SELECT *, (1 - turnover * 0.0015::DOUBLE) * (1 + gross) - 1 AS ret FROM gr) GROUP BY trial, strategy, fold),
+w AS (SELECT trial, strategy, max(trades) FILTER (fold = 'in') AS trades, max(sharpe) FILTER (fold = 'in') AS a, max(total) FILTER (fold = 'in') AS b, max(sharpe) FILTER (fold = 'out') AS c, max(total) FILTER (fold = 'out') AS d FROM s GROUP BY trial, strategy)
+SELECT CAST(trial AS INTEGER) AS trial, strategy, trades, {q("a", 4)} AS in_sharpe, {q("b")} AS in_return, {q("c", 4)} AS out_sharpe, {q("d")} AS out_return FROM w""")
 def search_trials(s, d):
     space = SearchSpace(shipped()[0], (FeatureAxis(0, "period", (8, 12, 21)), FeatureAxis(1, "period", (21, 26, 34, 55)), ConditionAxis(ConditionTree.FILTERS, "value", (60, 65, 70, 75))), (Increasing(0, 1),))
     x = search(MarketView(_candles(s, d)), space, HOUR, COSTS)

@@ -148,11 +148,11 @@ def json_book_updates(s, d):
     return x.select("first_update_id", "final_update_id", ntz("event_time"), best["price"].alias("price"), best["quantity"].alias("quantity"), F.size("asks").alias("asks"))
 
 
-@query(f"""WITH {T} SELECT trade_id AS last_update_id, floor(price) AS best_bid, floor(price) + 2 AS best_ask, 1.0::DOUBLE AS quantity FROM trades WHERE trade_id % 10 = 0""")
+@query(f"""WITH {T} SELECT trade_id AS last_update_id, floor(price) AS best_bid, floor(price) + 2 AS best_ask, 1.0::DOUBLE AS quantity FROM trades""")
 def json_snapshots(s, d):
     price = F.floor("price")
     level = lambda p: F.array(F.array(p.cast("string"), F.lit("1.0")))
-    frames = _trades(s, d).where("trade_id % 10 = 0").select(F.to_json(F.struct(F.col("trade_id").alias("lastUpdateId"), level(price).alias("bids"), level(price + 2).alias("asks"))).alias("value"))
+    frames = _trades(s, d).select(F.to_json(F.struct(F.col("trade_id").alias("lastUpdateId"), level(price).alias("bids"), level(price + 2).alias("asks"))).alias("value"))
     x = payloads.snapshots(frames)
     return x.select("last_update_id", F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"), F.col("bids")[0]["quantity"].alias("quantity"))
 

@@ -38,6 +38,10 @@ _DAY = ["symbol", "market", "date"]
 TABLES = (CANDLE_TABLE, CANDLES_5M, CANDLES_1H, TRADE_TABLE, DEPTH_TABLE)
 
 
+# The age in days from which a table's days are compacted.
+COMPACT_AFTER = {"candles": 30}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -82,7 +86,7 @@ class Store:
             if isinstance(listing, Instrument) and "timeframe" in names:
                 df = df.where(F.col("timeframe") == listing.timeframe.value)
         if period is not None:
-            df = df.where((F.col("date") >= F.lit(period.start.date())) & (F.col("date") <= F.lit(period.end.date())))
+            df = df.where((F.col("date") >= F.lit(period.start.date())) & (F.col("date") <= F.lit((period.end - timedelta(microseconds=1)).date())))
             df = df.where((F.col(table.time) >= F.lit(period.start)) & (F.col(table.time) < F.lit(period.end)))
         return df.select(*names)
 
@@ -134,6 +138,11 @@ class Store:
         finally:
             many.unpersist()
 
+    def compact_aged(self, now: datetime) -> dict[str, int]:
+        """Compact the days that are older than their table's policy says; returns the days rewritten by table."""
+        by_name = {t.name: t for t in TABLES}
+        return {name: self.compact(by_name[name], (now - timedelta(days=age)).date()) for name, age in COMPACT_AFTER.items()}
+
     def existing_open_times(self, instrument: Instrument, period: TimeRange, table: Table = CANDLE_TABLE) -> DataFrame:
         return self.read(table, instrument, period).select("open_time")
 

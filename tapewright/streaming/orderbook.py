@@ -8,12 +8,14 @@ hands over (counters, the next capture) is carried from one to the next.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..model import SequenceDecision
@@ -96,10 +98,17 @@ class Book:
 def _applied(book: Book, rows: pd.DataFrame) -> Iterator[tuple[Any, int]]:
     """Feed messages in order of ``seq``, a snapshot before an update of the same ``seq``; each applied update and its time in microseconds."""
     for r in rows.sort_values(["seq", "kind"], kind="stable").itertuples(index=False):
-        if r.kind == "snapshot":
-            book.restart(int(r.final_update_id), r.bids, r.asks)
-        elif book.update(int(r.first_update_id), int(r.final_update_id), r.bids, r.asks) == SequenceDecision.APPLY:
-            yield r, int(pd.Timestamp(r.event_time).value // 1000)
+        at = None if pd.isna(r.event_time) else int(pd.Timestamp(r.event_time).value // 1000)
+        if feed(book, r.kind, r.first_update_id, r.final_update_id, r.bids, r.asks):
+            yield r, at
+
+
+def feed(book: Book, kind: str, first: Any, final: Any, bids: Iterable[Any], asks: Iterable[Any]) -> bool:
+    """Give a book one message; whether it was an update that it applied."""
+    if kind == "snapshot":
+        book.restart(int(final), bids, asks)
+        return False
+    return book.update(int(first), int(final), bids, asks) == SequenceDecision.APPLY
 
 
 def process(book: Book, rows: pd.DataFrame, interval_us: int) -> list[tuple]:
@@ -112,7 +121,7 @@ def process(book: Book, rows: pd.DataFrame, interval_us: int) -> list[tuple]:
     return out
 
 
-def handover(times: list[int], interval_us: int, most: int | None) -> tuple[list[int], list[int]]:
+def handover(times: Sequence[int], interval_us: int, most: int | None) -> tuple[list[int], list[int]]:
     """What the next capture is after updates at ``times``, for every next capture of at most ``most`` before them.
 
     Returns ``until, after``: with a next capture of at most ``until[i]`` (and more than
@@ -139,11 +148,6 @@ def handover(times: list[int], interval_us: int, most: int | None) -> tuple[list
     return until, after
 
 
-def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in SUMMARY.split(", ")]
-    return pd.DataFrame([(*key, *r) for r in rows], columns=names)
-
-
 _COLUMNS = ["symbol", "market", "seq", "kind", "event_time", "first_update_id", "final_update_id", "bids", "asks"]
 
 
@@ -175,23 +179,86 @@ def epochs(stored: DataFrame) -> DataFrame:
     return placed.withColumn("epoch", F.col("__before") + F.col("__within")).drop("__block", "__before", "__within")
 
 
+_MESSAGES = ["kind", "event_time", "first_update_id", "final_update_id"]
+
+
+def _epochs_of(batches: Iterable[pa.RecordBatch], more: int) -> Iterator[tuple[tuple, tuple | None, tuple]]:
+    """Rows in order as (epoch's key, what the epoch has to start with where it begins, message); times in microseconds."""
+    last = None
+    for b in batches:
+        columns = [c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in b.columns]
+        for symbol, market, epoch, *rest in zip(*(c.to_pylist() for c in columns)):
+            key = (symbol, market, epoch)
+            yield key, tuple(rest[:more]) if key != last else None, tuple(rest[more:])
+            last = key
+
+
+def _survey(step: int):
+    """Per epoch its counters and its ``handover``, from ids and times alone; an epoch's times are all that is kept."""
+
+    def made(key: tuple, book: Book, times: array, latest: int | None) -> tuple:
+        until, after = handover(times, step, None if latest is None else latest + step)
+        return (*key, book.applied, book.discarded, book.resynchronized, until, after)
+
+    def run(batches):
+        book, key, times, latest, done = Book(), None, array("q"), None, []
+        for now, begun, (kind, at, first, final) in _epochs_of(batches, 1):
+            if begun is not None:
+                done += [made(key, book, times, latest)] if key else []
+                book, key, times, latest = Book(), now, array("q"), begun[0]
+            if feed(book, kind, first, final, (), ()):
+                times.append(at)
+            if len(done) >= _ROWS:
+                yield _arrow(done, _SURVEYED)
+                done = []
+        yield _arrow(done + ([made(key, book, times, latest)] if key else []), _SURVEYED)
+
+    return run
+
+
+def _summaries(step: int):
+    """Summaries of epochs one after another: the open book is all that is kept."""
+
+    def run(batches):
+        book, done = Book(), []
+        for (symbol, market, _), begun, (kind, at, first, final, bids, asks) in _epochs_of(batches, 4):
+            if begun is not None:
+                applied, discarded, resynchronized, capture = begun
+                book = Book(next_capture=capture, applied=applied, discarded=discarded, resynchronized=resynchronized)
+            if feed(book, kind, first, final, bids, asks) and (book.next_capture is None or at >= book.next_capture):
+                done.append((symbol, market, at, *book.summary(), book.applied, book.discarded, book.resynchronized))
+                book.next_capture = at + step
+            if len(done) >= _ROWS:
+                yield _arrow(done, _SUMMARIZED)
+                done = []
+        yield _arrow(done, _SUMMARIZED)
+
+    return run
+
+
+_ROWS = 10_000
+_LONGS = pa.list_(pa.int64())
+_SURVEYED = pa.schema([("symbol", pa.string()), ("market", pa.string()), *[(c, pa.int64()) for c in ("epoch", *_COUNTERS)], ("until", _LONGS), ("after", _LONGS)])
+_SUMMARIZED = pa.schema([("symbol", pa.string()), ("market", pa.string()), ("captured_at", pa.timestamp("us", tz="UTC")), *[(c.split()[0], pa.int64() if c.endswith("long") else pa.float64()) for c in SUMMARY.split(", ")[3:]]])
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
     """Summaries of stored messages, equal to those of one pass over each listing.
 
     Three steps: every epoch's counters and ``handover``, from the ids and times alone;
     one pass over the epochs of a listing for what each starts with; then the books.
-    ``seq`` and the listing are not null.
+    Rows stream through in sorted order, so an epoch needs no more memory than its
+    book, and in the first step its times.  ``seq`` and the listing are not null.
     """
     step = int(interval_seconds * 1_000_000)
     key = [*_LISTING, "epoch"]
     placed = epochs(stored)
 
-    def survey(k: tuple, rows: pd.DataFrame, reach: pd.DataFrame) -> pd.DataFrame:
-        book, none, latest = Book(), [()] * len(rows), reach.latest.iloc[0]
-        times = [t for _, t in _applied(book, rows.assign(bids=none, asks=none))]
-        until, after = handover(times, step, None if pd.isna(latest) else int(latest) + step)
-        return pd.DataFrame([(*k, book.applied, book.discarded, book.resynchronized, until, after)], columns=[*key, *_COUNTERS, "until", "after"])
-
     def starts(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         capture, counts, out = None, [0, 0, 0], []
         for r in rows.sort_values("epoch").itertuples(index=False):
@@ -202,16 +269,13 @@ def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
                 capture = int(r.after[at])
         return pd.DataFrame(out, columns=[*key, *_COUNTERS, "next_capture"]).astype({"next_capture": "Int64"})
 
-    def run(k: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        s = start.iloc[0]
-        capture = None if pd.isna(s.next_capture) else int(s.next_capture)
-        book = Book(next_capture=capture, applied=int(s.applied), discarded=int(s.discarded), resynchronized=int(s.resynchronized))
-        return _frame(k[:2], process(book, rows, step))
+    def in_order(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df.repartition(*key).sortWithinPartitions(*key, "seq", "kind").select(*key, *columns)
 
-    narrow = placed.select(*key, "seq", "kind", "event_time", "first_update_id", "final_update_id")
+    narrow = placed.select(*key, "seq", *_MESSAGES)
     tops = narrow.groupBy(*key).agg(F.max(F.unix_micros("event_time")).alias("top"))
-    own = [f"of_{k}" for k in key]  # names of its own, as both sides of a cogroup stem from the same table
-    reach = tops.select(*[F.col(k).alias(o) for k, o in zip(key, own)], F.max("top").over(W.partitionBy(*_LISTING).orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)).alias("latest"))
-    surveyed = narrow.groupBy(*key).cogroup(reach.groupBy(*own)).applyInPandas(survey, f"{_EPOCH}, until array<long>, after array<long>")
+    reach = tops.select(*key, F.max("top").over(W.partitionBy(*_LISTING).orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)).alias("latest"))
+    surveyed = in_order(narrow.join(reach, key), ["latest", *_MESSAGES]).mapInArrow(_survey(step), f"{_EPOCH}, until array<long>, after array<long>")
     begun = surveyed.groupBy(*_LISTING).applyInPandas(starts, f"{_EPOCH}, next_capture long")
-    return placed.groupBy(*key).cogroup(begun.groupBy(*key)).applyInPandas(run, SUMMARY)
+    begins = [*_COUNTERS, "next_capture"]
+    return in_order(placed.join(begun, key), [*begins, *_MESSAGES, "bids", "asks"]).mapInArrow(_summaries(step), SUMMARY)

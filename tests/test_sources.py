@@ -487,6 +487,34 @@ def test_compaction_of_closed_days(spark, make_candles, tmp_path):
     assert sorted(r[1] for r in files) == [1, 1, 3] and store.compact(CANDLE_TABLE, START.date() + timedelta(days=2)) == 0
 
 
+def test_compaction_by_age(spark, make_candles, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.migrate()
+    rows = make_candles([100.0 + i for i in range(60)]).selectExpr("*", "'rest' AS source")
+    for part in range(2):
+        store.save(CANDLE_TABLE, rows.where(f"hour(open_time) % 2 = {part}"))
+    want = sorted(map(repr, store.read(CANDLE_TABLE).collect()))
+    assert store.compact_aged(START + timedelta(days=30)) == {"candles": 0}
+    assert store.compact_aged(START + timedelta(days=31)) == {"candles": 1} and store.compact_aged(START + timedelta(days=31)) == {"candles": 0}
+    assert sorted(map(repr, store.read(CANDLE_TABLE).collect())) == want
+
+
+def test_reads_are_pruned_by_listing_and_day(spark, tmp_path):
+    """A read of one listing and day opens that day's files alone, and the latest trade id those of its listing."""
+    store, t = Store(spark, str(tmp_path / "s")), "symbol string, market string, trade_id long, transact_time timestamp, price double, quantity double, first_trade_id long, last_trade_id long, buyer_is_maker boolean"
+    store.migrate()
+    rows = [(s, "spot", i, START + timedelta(hours=i), 1.0, 1.0, i, i, True) for s in ("BTC/USDT", "ETH/USDT") for i in range(96)]
+    store.save(TRADE_TABLE, spark.createDataFrame(rows, t))
+    day = TimeRange(START + timedelta(days=1), START + timedelta(days=2))
+    for df, partitions in ((store.read(TRADE_TABLE, BTC.listing, day), 1), (store.read(TRADE_TABLE, BTC.listing), 4), (store.read(TRADE_TABLE), 8)):
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan.metrics().apply("numPartitions").value() == partitions
+    assert store.latest_trade_id(BTC.listing) == 95
+    plan = store.read(TRADE_TABLE, BTC.listing, day).select("trade_id", "price")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "ReadSchema: struct<trade_id:bigint,transact_time:timestamp,price:double>" in plan and "GreaterThanOrEqual(transact_time" in plan
+
+
 def test_live_candles(spark, tmp_path):
     ms = int(START.timestamp() * 1000)
     (tmp_path / "a").mkdir()
