@@ -20,8 +20,12 @@ most the sum of the coordinates' minima.
    survive are verified on the sets, found again through a tree of the cluster.  A
    set that is connected already is tested no more: the result is classes, not pairs.
 
-Large nodes and clusters are cut into tiles, and every pair of tiles is searched in a
-task of its own.
+Large nodes and clusters are cut into tiles in two steps, so that near copies leave before
+pairs of tiles are made.  First each row is sent to one tile, which is searched alone.  In a
+node, what a tile connects goes on as one box, its points' upper corner and range of
+sizes, and boxes of different tiles are connected by the same bound.  In a cluster, a few
+sets go to every tile, so that the tiles' classes meet there; only sets outside the
+cluster's largest class are then taken to the tiles of all others.
 """
 
 from __future__ import annotations
@@ -45,8 +49,12 @@ TREE_ROWS, PAIRS = 2048, 1 << 16
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 #: Points of a node's tile; nodes of more than two tiles are cut.
 TILE_SETS = 256
-#: Sets of a cluster's tile, as long as that makes few tiles, and shingles of them in any case.
-SPREAD_SETS, SPREAD_TILES, TILE_SHINGLES = 64, 32, 4_000_000
+#: Boxes of a node's tile, as long as that makes few tiles, then more boxes and bytes of them.
+SPREAD_BOXES, TILE_BOXES, TILE_BYTES = 6, 4096, 1 << 26
+#: Sets and shingles of a cluster's tile, and sets of the cluster that go to every tile.
+SPREAD_SETS, TILE_SHINGLES, PIVOTS = 64, 4_000_000, 8
+#: Most tiles that ``SPREAD_SETS`` makes of a cluster's largest class and of the rest, when they meet.
+SPREAD_CLASS, SPREAD_REST = 32, 4
 MEMO_WORDS = 500_000
 #: Pairs whose smaller set has so many shingles meet by whole groups; classes of sizes grow by half.
 LONG = 1024
@@ -98,15 +106,17 @@ class CountTree:
 
     Boxes keep the upper corner and the ranges of size and group; only points of
     one group are neighbours.  ``seen`` counts boxes (or pairs of them) that were
-    visited and pruned, and points that were compared and kept.
+    visited and pruned, and points that were compared and kept.  With ``tops``, the
+    points are boxes of sets, from ``sizes`` to ``tops`` shingles each.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray | None = None, groups: np.ndarray | None = None):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray | None = None, groups: np.ndarray | None = None, tops: np.ndarray | None = None):
         sizes = points.sum(axis=1, dtype=np.int64) if sizes is None else sizes
         groups = np.zeros(len(points), np.int64) if groups is None else groups
+        tops = sizes if tops is None else tops
         self.order = np.lexsort((*(points[:, g] for g in range(3)), sizes, groups))
-        points, sizes, groups = points[self.order], sizes[self.order], groups[self.order]
-        self.levels = [(points, sizes, sizes, groups, groups)]
+        points, sizes, groups, tops = points[self.order], sizes[self.order], groups[self.order], tops[self.order]
+        self.levels = [(points, sizes, tops, groups, groups)]
         while len(self.levels[-1][0]) > LEAF:
             high, low, top, first, last = self.levels[-1]
             starts = np.arange(0, len(high), LEAF)
@@ -189,25 +199,42 @@ def point_of(s: np.ndarray) -> bytes:
         groups *= 2
 
 
-def folded(points: list[bytes], groups: int) -> np.ndarray:
+#: Counts of a set and of a box as they are stored.
+POINT, BOX = np.dtype("u1"), np.dtype("<u2")
+
+
+def folded(points: list[bytes], groups: int, unit: np.dtype = POINT) -> np.ndarray:
     """Points as rows of ``groups`` counts: finer groups add up to coarser ones."""
-    out = np.zeros((len(points), groups), np.uint16)
-    lengths = np.array([len(p) for p in points])
+    lengths = np.array([len(p) // unit.itemsize for p in points])
+    short = int(lengths.max(initial=0)) // groups * np.iinfo(unit).max < 1 << 16
+    out = np.zeros((len(points), groups), np.uint16 if short else np.uint32)
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        x = np.frombuffer(b"".join(points[i] for i in at), np.uint8).reshape(len(at), groups, n // groups)
-        out[at] = x.sum(axis=2, dtype=np.uint16)
+        x = np.frombuffer(b"".join(points[i] for i in at), unit).reshape(len(at), groups, n // groups)
+        out[at] = x.sum(axis=2, dtype=out.dtype)
     return out
 
 
-def fine_enough(points: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def boxes(points: list[bytes], sizes: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """(root, smallest size, greatest size, upper corner) of the rows of each root."""
+    order = np.argsort(root, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        own = [points[i] for i in rows]
+        corner = folded(own, min(map(len, own))).max(axis=0)
+        # a count that the corner can't hold: boxes of single points are whole as well, as the edges connect them
+        parts = [(rows, corner)] if corner.max() <= np.iinfo(BOX).max else [([i], np.frombuffer(points[i], POINT)) for i in rows]
+        for part, high in parts:
+            yield int(part[0]), int(sizes[part].min()), int(sizes[part].max()), high.astype(BOX).tobytes()
+
+
+def fine_enough(points: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, unit: np.dtype = POINT) -> np.ndarray:
     """Which of the pairs pass the bound on the finest groups that both points have."""
-    lengths = np.array([len(p) for p in points])
+    lengths = np.array([len(p) // unit.itemsize for p in points])
     groups, out = np.minimum(lengths[a], lengths[b]), np.ones(len(a), bool)
     for g in np.unique(groups[groups > GROUPS]):
         mine = np.flatnonzero(groups == g)
         rows, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
-        x, left, right = folded([points[i] for i in rows], int(g)), at[: len(mine)], at[len(mine) :]
+        x, left, right = folded([points[i] for i in rows], int(g), unit), at[: len(mine)], at[len(mine) :]
         step = max(1, PAIRS * GROUPS // int(g))
         for i in range(0, len(mine), step):
             k = mine[i : i + step]
@@ -385,37 +412,53 @@ def _prefixes(words: int, percent: int, sketch):
     return run
 
 
-NODE = ["key", "i", "j", "tile", "n", "id", "point"]
+NODE = ["key", "i", "j", "tile", "n", "id", "point", "top", "cut"]
 
 
-def node_edges(rows: pa.Table, percent: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (ids) that connect what the bound lets link in each node; ``rows``: columns ``NODE``, sorted."""
+def _connected(rows: pa.Table, percent: int, unit: np.dtype, seen: dict | None = None):
+    """Distinct rows of nodes (key, id, size, point, cut) and edges of them that connect what the bound lets link."""
     key, i, j, tile, sizes, ids = (rows.column(c).to_numpy() for c in NODE[:6])
     new = np.ones(len(ids), bool)
     new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     fresh = new.copy()
     fresh[1:] |= ids[1:] != ids[:-1]  # tasks may name a set again
     group = np.cumsum(new)[fresh]
-    i, j, tile, sizes, ids = (x[fresh] for x in (i, j, tile, sizes, ids))
+    key, i, j, tile, sizes, ids = (x[fresh] for x in (key, i, j, tile, sizes, ids))
     points = rows.column("point").filter(pa.array(fresh)).to_pylist()
-    tree = CountTree(folded(points, GROUPS), sizes.astype(np.int64), group)
+    tops, cut = (rows.column(c).to_numpy(zero_copy_only=False)[fresh] if c in rows.column_names else default for c, default in (("top", sizes), ("cut", np.zeros(len(ids), bool))))
+    tree = CountTree(folded(points, GROUPS, unit), sizes.astype(np.int64), group, tops.astype(np.int64))
     a, b = tree.pairs(percent)
     across = (i[a] == j[a]) | (tile[a] != tile[b])
     a, b = a[across], b[across]
-    close = fine_enough(points, sizes, a, b, percent)
+    close = fine_enough(points, sizes, a, b, percent, unit)
     if seen is not None:
         for k, v in {**tree.seen, "trees": 1, "pairs": int(close.sum())}.items():
             seen[k] = seen.get(k, 0) + v
-    a, b = forest(len(ids), a[close], b[close])
+    return (key, ids, sizes, points, cut), forest(len(ids), a[close], b[close])
+
+
+def node_edges(rows: pa.Table, percent: int, seen: dict | None = None, unit: np.dtype = POINT) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (ids) that connect what the bound lets link in each node; ``rows``: columns ``NODE``, sorted."""
+    (_, ids, *_), (a, b) = _connected(rows, percent, unit, seen)
     return ids[a], ids[b]
 
 
-def _node_edges(percent: int):
-    """Edges a, b of rows sorted as ``NODE``: trees of whole nodes, about ``TREE_ROWS`` rows each."""
+def _node_edges(percent: int, unit: np.dtype = POINT):
+    """Edges a, b of rows sorted as ``NODE``, and boxes of nodes that are cut: trees of whole nodes, about ``TREE_ROWS`` rows each."""
 
-    def edges(parts) -> pa.RecordBatch:
-        a, b = node_edges(pa.Table.from_batches(parts), percent)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def edges(parts) -> Iterator[pa.RecordBatch]:
+        (key, ids, sizes, points, cut), (a, b) = _connected(pa.Table.from_batches(parts), percent, unit)
+        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *none], EDGE)
+        if cut.any():
+            root = np.arange(len(ids))
+            root[b] = a
+            own = np.flatnonzero(cut)
+            found = list(boxes([points[i] for i in own], sizes[own], root[own]))
+            for at in range(0, len(found), 1024):
+                first, low, top, corner = zip(*found[at : at + 1024])
+                row = own[list(first)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[row]), pa.array(key[row]), pa.array(low, pa.int64()), pa.array(top, pa.int64()), pa.array(corner, pa.binary())], EDGE)
 
     def run(batches):
         held, n, last = [], 0, None
@@ -428,15 +471,40 @@ def _node_edges(percent: int):
                 # the node that is open ends where the next one begins
                 cut = 0 if (at[:, 0] != last).any() else int(ends[0]) if len(ends) else None
                 if cut is not None:
-                    yield edges([*held, b.slice(0, cut)])
+                    yield from edges([*held, b.slice(0, cut)])
                     held, n, b = [], 0, b.slice(cut)
             held.append(b)
             n += b.num_rows
             last = at[:, -1]
         if n:
-            yield edges(held)
+            yield from edges(held)
 
-    return run
+    EDGE = ["a", "b", "key", "n", "top", "point"]
+    return run, "a long, b long, key long, n long, top long, point binary"
+
+
+def _near(met: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect what the bound lets link; ``met``: key, id and the number ``met`` of the key's rows."""
+    cut = F.col("met") > 2 * TILE_SETS
+    tile = F.when(cut, F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / TILE_SETS))).otherwise(0).cast("int")
+    nodes = met.select("key", "id", cut.alias("cut"), tile.alias("tile")).join(points, "id").withColumns({"i": F.col("tile"), "j": F.col("tile"), "top": F.col("n")})
+    run, schema = _node_edges(percent)
+    first = written(_in_order(nodes).mapInArrow(run, schema))
+    corners = first.where("key is not null").select("key", F.col("a").alias("id"), "n", "top", "point")
+    run, schema = _node_edges(percent, BOX)
+    second = _in_order(_boxes_dealt(corners)).mapInArrow(run, schema)
+    return first.where("key is null").select("a", "b").unionByName(second.select("a", "b"))
+
+
+def _boxes_dealt(corners: DataFrame) -> DataFrame:
+    """Boxes (key, id, n, top, point) of different tiles, once for each pair of tiles of boxes."""
+    per = corners.groupBy("key").agg(F.count("*").alias("boxes"), F.sum(F.length("point")).alias("bytes")).where("boxes > 1")
+    tiles = F.greatest(F.least(_tiles_of(F.col("boxes"), TILE_SETS), F.lit(SPREAD_BOXES)), _tiles_of(F.col("boxes"), TILE_BOXES), _tiles_of(F.col("bytes"), TILE_BYTES))
+    return _dealt(corners.join(per.select("key", tiles.alias("tiles")), "key")).withColumn("cut", F.lit(False))
+
+
+def _in_order(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*NODE).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
 
 
 def _tiles(words: int, percent: int):
@@ -486,6 +554,53 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.withColumn("tile", tile).withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "tiles")
 
 
+def _alone(placed: DataFrame) -> DataFrame:
+    """Rows of clusters with ``tiles``, each in its own tile; pivots in all."""
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))
+    return placed.withColumn("i", F.explode(every)).withColumns({"j": F.col("i"), "tile": F.col("i")})
+
+
+def _rest_dealt(placed: DataFrame) -> DataFrame:
+    """Rows (cluster, digest, id, n, class) of clusters of several classes, for each pair of tiles that isn't within the largest class."""
+    kinds = placed.groupBy("cluster", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    per = kinds.groupBy("cluster").agg(F.max(F.struct("sets", "size", "class")).alias("big"), F.count("*").alias("kinds"), F.sum("sets").alias("sets"), F.sum("size").alias("size")).where("kinds > 1")
+
+    def tiles(sets, size, most: int):
+        return F.greatest(_tiles_of(size, TILE_SHINGLES), F.least(_tiles_of(sets, SPREAD_SETS), F.lit(most)))
+
+    large = tiles(F.col("big.sets"), F.col("big.size"), SPREAD_CLASS)
+    rest = tiles(F.col("sets") - F.col("big.sets"), F.col("size") - F.col("big.size"), SPREAD_REST)
+    of = placed.join(per.select("cluster", F.col("big.class").alias("big"), large.alias("large"), rest.alias("rest")), "cluster")
+    inside, h = F.col("class") == F.col("big"), F.xxhash64("id")
+    tile = F.when(inside, F.col("rest") + F.pmod(h, F.col("large"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    partners = F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1)
+    pairs = F.transform(partners, lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    return of.withColumn("tile", tile).withColumn("p", F.explode(pairs)).select("cluster", "digest", "w", "wh", "p.i", "p.j", "tile")
+
+
+def _roots(src: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, root``: digests of linked sets of each cluster and their class."""
+    pivots = F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(PIVOTS)))
+    of = sets.join(clusters, "id")
+    per = of.groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), pivots.alias("pivots"))
+    tiles = F.greatest(_tiles_of(F.col("size"), TILE_SHINGLES), _tiles_of(F.col("sets"), SPREAD_SETS))
+    placed = written(of.join(per.select("cluster", tiles.alias("tiles"), "pivots"), "cluster").withColumn("pivot", F.array_contains("pivots", F.col("id"))).drop("pivots"))
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        texts = src.withColumn("h", F.xxhash64("text"))
+        texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["w"]) & (texts["h"] == dealt["wh"])).select("cluster", "i", "j", "tile", "digest", "text")
+        return texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_tiles(words, percent), "a binary, b binary")
+
+    found = components(linked(_alone(placed)))
+    # clusters in tiles: what the tiles and their pivots leave in several classes
+    cut = placed.where("tiles > 1").drop("tiles", "pivot").join(found, F.col("digest") == F.col("node"), "left").withColumn("class", F.coalesce("root", "digest"))
+    rest = written(_rest_dealt(written(cut.drop("node", "root"))))
+    if rest.isEmpty():
+        return found
+    return components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(linked(rest)))
+
+
 def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: ``doc_id, h, n, class, least``; class: null without words, least: the class's smallest id."""
     spark = docs.sparkSession
@@ -506,23 +621,9 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     of_key = W.partitionBy("key")
     met = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key), "met": F.count("*").over(of_key)}).where("low <> high")
     points = rows.where("n > 0").groupBy("id").agg(F.first("point").alias("point"), F.first("n").alias("n"))
-    nodes = _dealt(met.withColumn("tiles", _tiles_of(F.col("met"), TILE_SETS)).select("key", "id", "tiles")).join(points, "id").select(*NODE)
-    nodes = nodes.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
-    near = nodes.mapInArrow(_node_edges(percent), "a long, b long")
-    clusters = written(components(near).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
-
-    size = clusters.join(points.select("id", "n"), "id").groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("sets"))
-    tiles = F.greatest(_tiles_of(F.col("size"), TILE_SHINGLES), F.least(_tiles_of(F.col("sets"), SPREAD_SETS), F.lit(SPREAD_TILES)))
-    placed = clusters.join(size.select("cluster", tiles.alias("tiles")), "cluster")
-    one = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"))
-    wanted = one.join(placed, "id").select(F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh"), "digest", "cluster", "id", "tiles")
-    texts = src.withColumn("h", F.xxhash64("text"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w"]) & (texts["h"] == wanted["wh"])).select("cluster", "id", "tiles", "digest", "text")
-    dealt = _dealt(texts).select("cluster", "i", "j", "tile", "digest", "text")
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    edges = dealt.mapInArrow(_tiles(words, percent), "a binary, b binary")
-
-    roots = components(edges).withColumnRenamed("node", "digest")
+    clusters = written(components(_near(met, points, percent)).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
+    sets = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"), F.first("n").alias("n"))
+    roots = _roots(src, sets.select("digest", "id", "n", F.col("x.doc_id").alias("w"), F.col("x.h").alias("wh")), clusters, words, percent).withColumnRenamed("node", "digest")
     joined = rows.join(roots, "digest", "left").withColumn("class", F.coalesce("root", "digest"))
     # a written table, so that the join below stands alone in its stage and a hot class's rows can be split
     least = written(joined.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))

@@ -209,6 +209,75 @@ def test_hot_nodes_and_clusters_are_cut(make_docs, monkeypatch):
         assert got == brute(rows, words, percent)
 
 
+def _classes_of(edges):
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for x, y in edges:
+        parent[find(x)] = find(y)
+    groups = {}
+    for i in list(parent):
+        groups.setdefault(find(i), set()).add(i)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("copies, most", [(0, 7), (3600, 2)])
+def test_a_hot_node_sends_few_rows(spark, copies, most):
+    """4,000 sets of one node: every row goes to one tile, then boxes to few; what is connected is what one tree connects."""
+    rng, percent = np.random.default_rng(8), 90
+    base = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    near = [np.unique(np.where(rng.random(100) < 0.015, rng.integers(0, 2**64, 100, dtype=np.uint64), base)) for _ in range(copies)]
+    sets = near + [np.unique(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in rng.integers(60, 120, 4000 - copies)]
+    sets[-300:] = [np.append(x[:-1], x[-1] + np.uint64(1)) for x in sets[-600:-300]]  # pairs in different tiles, most of them
+    points = spark.createDataFrame([(i, jaccard.point_of(s), len(s)) for i, s in enumerate(sets)], "id long, point binary, n long").repartition(4)
+    met = points.selectExpr("7L AS key", "id", "4000L AS met")
+    got = _classes_of(jaccard._near(met, points, percent).collect())
+    table = pa.table({"key": [7] * 4000, "i": [0] * 4000, "j": [0] * 4000, "tile": [0] * 4000, "n": list(map(len, sets)), "id": range(4000), "point": list(map(jaccard.point_of, sets))})
+    want = _classes_of(zip(*(x.tolist() for x in jaccard.node_edges(table, percent))))
+    # boxes may connect more, never less
+    assert all(any(w <= g for g in got) for w in want) and len(want) > 100
+    nodes = met.selectExpr("key", "id", "true AS cut", "cast(pmod(xxhash64(id), 16) AS int) AS tile").join(points, "id").selectExpr("*", "tile AS i", "tile AS j", "n AS top")
+    run, schema = jaccard._node_edges(percent)
+    corners = jaccard._in_order(nodes).mapInArrow(run, schema).where("key is not null").selectExpr("key", "a AS id", "n", "top", "point")
+    assert 4000 + jaccard._boxes_dealt(corners).count() <= most * 4000
+
+
+def test_boxes_hold_their_points():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in rng.integers(1, 3000, 60)]
+    points, sizes, root = [jaccard.point_of(s) for s in sets], np.array(list(map(len, sets))), np.arange(60) // 7 * 7
+    found = {first: (low, top, corner) for first, low, top, corner in jaccard.boxes(points, sizes, root)}
+    assert set(found) == set(root.tolist())
+    for i, s in enumerate(sets):
+        low, top, corner = found[int(root[i])]
+        high = np.frombuffer(corner, jaccard.BOX)
+        assert low <= len(s) <= top and (jaccard.counts_of(s, len(high)) <= high).all()
+    # counts above two bytes: points of their own
+    long, short = np.full(1 << 15, 255, np.uint8).tobytes(), bytes([1] * 64)
+    assert [(f, low) for f, low, *_ in jaccard.boxes([long, short], np.array([255 << 15, 64]), np.zeros(2, int))] == [(0, 255 << 15), (1, 64)]
+    # coarse counts of very long sets don't wrap around
+    assert jaccard.folded([long], 64)[0, 0] == 255 * 512
+
+
+def test_what_tiles_leave_meets_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPREAD_SETS", 5)
+    kinds = {(c, d): d if d < rest else 1000 for c, rest in ((1, 0), (2, 3), (3, 40)) for d in range(100)}
+    placed = spark.createDataFrame([(c, d, d, 10, k, d, d) for (c, d), k in kinds.items()], "cluster long, digest long, id long, n long, class long, w long, wh long")
+    rows = jaccard._rest_dealt(placed).collect()
+    assert {r["cluster"] for r in rows} == {2, 3}
+    met = {}
+    for r in rows:
+        met.setdefault((r["cluster"], r["i"], r["j"]), []).append((r["digest"], r["tile"]))
+    pairs = {(c, a, b) for (c, i, j), own in met.items() for (a, t), (b, u) in combinations(sorted(own), 2) if i == j or t != u}
+    assert {(c, a, b) for c in (2, 3) for a, b in combinations(range(100), 2) if kinds[c, a] != kinds[c, b]} <= pairs
+    # a few sets beside a large class: each of its rows is sent once
+    assert sum(r["cluster"] == 2 and kinds[2, r["digest"]] == 1000 for r in rows) == 97
+
+
 def test_odd_rows(make_docs):
     rows = ODD
     got = sorted(map(tuple, jaccard.classes(make_docs(rows), words=3, percent=90).collect()), key=repr)
