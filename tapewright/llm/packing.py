@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bytebpe import ByteBpe
 from .common import written
 
-#: Nodes that the whole search may visit before the incumbent stands.
+#: Nodes that the whole search may visit before the incumbent stands, unless a caller says otherwise.
 SEARCH_NODES = 1_000
 #: Counts of a task's pieces by length are broadcast up to so many rows (24 bytes each), else joined by shuffle.
 BROADCAST_COUNTS = 500_000
@@ -164,7 +164,7 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(best, alone)
 
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[Pattern]:
+def pack(counts: dict[int, int], capacity: int, nodes: int | None = SEARCH_NODES) -> list[Pattern]:
     """Patterns that hold every piece, in as few bins as the search finds.
 
     Depth first over bins of the largest piece left; a branch is a pattern and how
@@ -174,7 +174,8 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> li
     undominated filling by waste, as often as possible first, then fewer down to 1:
     further bins of that piece have later patterns, which waste no less, so every
     set of undominated bins is one path.  It ends at the lower bound, when the
-    branches are exhausted, or after ``nodes`` nodes.
+    branches are exhausted, or after ``nodes`` nodes; with None it has no limit and
+    the result is optimal.
     """
     counts = {s: n for s, n in counts.items() if n and s > 0}
     if not counts:
@@ -226,7 +227,7 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> li
         # depth first, on one histogram that is changed and restored: memory grows with the depth alone
         rest, chosen, bins, waste, visited = dict(counts), [], 0, 0, 0
         levels = [sweep(None)]
-        while levels and best_bins > bound and (sweep is not whole or visited < nodes):
+        while levels and best_bins > bound and (sweep is not whole or nodes is None or visited < nodes):
             try:
                 branch = next(levels[-1])
             except StopIteration:
@@ -302,19 +303,20 @@ def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: i
     return src.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, nodes: int | None = SEARCH_NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id``
     alone.  Only documents over ``capacity`` are cut, the first piece being the
     shorter one.  Null ids stay null and repeated rows are packed as often as they
     come; an empty table gives an empty result; other columns are not read.
-    Sequences are gapless from offset 0 and hold at most ``capacity`` ids.
+    Sequences are gapless from offset 0 and hold at most ``capacity`` ids.  ``nodes``
+    bounds the search (None: until the fewest sequences are proven).
     """
     pieces = written(cut(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col))
     per = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    layout = pieces.sparkSession.sparkContext.broadcast(_layout(pack(counts, capacity)))
+    layout = pieces.sparkSession.sparkContext.broadcast(_layout(pack(counts, capacity, nodes)))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = per.select("part", "length", before.alias("first"))
     small = per.count() <= BROADCAST_COUNTS

@@ -52,6 +52,22 @@ def test_small_cases_are_optimal(seed):
     assert back == Counter(items) and sum(b for _, b in patterns) == fewest(items, 15)
 
 
+def test_search_without_a_limit_is_optimal():
+    """Where the dives miss the bound, brute force and the whole search agree, and the search wins at times."""
+    won = missed = 0
+    for seed in range(12_000):
+        r = random.Random(seed)
+        capacity = r.randint(20, 60)
+        items = [r.randint(2, capacity * 2 // 3) for _ in range(r.randint(8, 11))]
+        counts = dict(Counter(items))
+        dives = sum(n for _, n in packing.pack(counts, capacity, 0))
+        if dives > packing.lower_bound(counts, capacity):
+            found = sum(n for _, n in packing.pack(counts, capacity, None))
+            assert found == fewest(items, capacity)
+            missed, won = missed + 1, won + (found < dives)
+    assert won >= 5 and missed > 20
+
+
 def test_search_beats_best_fit():
     counts = {7: 2, 6: 2, 4: 2, 3: 2, 2: 2}
     assert bins(counts, 11) == 4
