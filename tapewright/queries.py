@@ -836,8 +836,12 @@ def search_trials(s, d):
 
 
 def book_messages(t: DataFrame) -> DataFrame:
-    """Updates made from trades, a snapshot every 500 and a lost update every 777."""
-    n = F.row_number().over(Window.partitionBy("symbol", "market").orderBy("transact_time", "trade_id")).cast("long")
+    """Updates made from trades, a snapshot every 500 and a lost update every 777.
+
+    Trades count in the order of time and id, repeated ids by price and quantity: all that an update shows.
+    """
+    total = [F.asc_nulls_last(c) for c in ("transact_time", "trade_id", "price", "quantity")]
+    n = F.row_number().over(Window.partitionBy("symbol", "market").orderBy(*total)).cast("long")
     x = t.withColumn("n", n)
     level = lambda p, v: F.struct(p.alias("price"), v.alias("quantity"))
     bids, asks = F.array(level(F.round("price") - 1, F.col("quantity") - 1), level(F.round("price") - 2, F.col("quantity"))), F.array(level(F.round("price") + 1, F.col("quantity") - 1), level(F.round("price") + 2, F.col("quantity")))
@@ -862,7 +866,7 @@ there AS (SELECT {keys}c.n, side, p, q, row_number() OVER (PARTITION BY {keys}c.
 books AS (SELECT {lead}n, max(p) FILTER (side = 'bid') AS best_bid_price, min(p) FILTER (side = 'ask') AS best_ask_price, {total} FROM there GROUP BY ALL)"""
 
 
-@query(f"""WITH RECURSIVE {T}, x AS (SELECT venue AS symbol, row_number() OVER (PARTITION BY venue ORDER BY transact_time, trade_id) AS n, transact_time AS t, price, quantity FROM trades),
+@query(f"""WITH RECURSIVE {T}, x AS (SELECT venue AS symbol, row_number() OVER (PARTITION BY venue ORDER BY transact_time, trade_id, price, quantity) AS n, transact_time AS t, price, quantity FROM trades),
 u AS (SELECT *, (n - 1) // 500 AS e, 10 * n + 1 AS first, 10 * n + 10 AS final, 10 * (500 * ((n - 1) // 500) + 1) + 5 AS l FROM x WHERE n % 777 <> 0),
 m AS (SELECT *, coalesce(max(final) OVER (PARTITION BY symbol, e ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l) AS before FROM u),
 j AS (SELECT *, final <= greatest(l, before) AS stale, CASE WHEN before > l THEN first = before + 1 ELSE first <= l + 1 END AS joins FROM m),

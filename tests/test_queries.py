@@ -58,6 +58,15 @@ def test_book_replay_equals_a_loop(spark):
     assert len(want) > 20 and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_book_replay_of_repeated_ids_equals_sql(spark, tmp_path):
+    """Trades that share time and id, but not their quantity, count in one order on both sides."""
+    import duckdb
+
+    rows = f"SELECT event_id, ts, user_id + i AS user_id, event_type, value, props FROM '{SMALL}/events.parquet', (VALUES (4), (0), (6), (2)) t(i) ORDER BY hash(event_id, i)"
+    duckdb.connect().execute(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert_matches_duckdb(QUERIES["order_book_replay"], ORACLES["order_book_replay"], spark, str(tmp_path))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
