@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 
 from ..model import ActivityMeasure, DepthAggregation, ExtremeSide, PriceSource
 from ..operators.align import as_of
-from .windows import KEYS, full, in_chunks, looking_back, prior_rows
+from .windows import KEYS, full, prior_rows, with_trailing
 
 
 def price(source: PriceSource) -> Column:
@@ -114,13 +114,12 @@ def liquidity_swing(trades: DataFrame, depth: DataFrame, side: ExtremeSide, wind
     """
     micros = int(window_seconds * 1_000_000)
     keys = ("symbol", "market")
-    back = looking_back(keys, micros)
     quantity = F.col("ask_quantity_20" if side == ExtremeSide.HIGH else "bid_quantity_20")
     wanted = ~F.col("buyer_is_maker") if side == ExtremeSide.HIGH else F.col("buyer_is_maker")
-    taken = in_chunks(trades.select(*keys, F.col("transact_time").alias("t"), F.col("trade_id").alias("id"), F.when(wanted, F.col("quantity")).otherwise(0.0).alias("q")), "t", micros)
-    marks = taken.withColumn("volume", F.sum("q").over(back)).where("__own").select(*keys, "t", "id", "volume")
-    book = in_chunks(depth.select(*keys, F.col("captured_at").alias("t"), quantity.alias("q")), "t", micros)
-    samples = book.withColumn("loss", F.max("q").over(back) - F.col("q")).where("__own").select(*keys, "t", "loss")
+    taken = trades.select(*keys, F.col("transact_time").alias("t"), F.col("trade_id").alias("id"), F.when(wanted, F.col("quantity")).otherwise(0.0).alias("q"))
+    marks = with_trailing(taken, {"volume": ("q", "sum")}, micros, keys=keys, time="t").select(*keys, "t", "id", "volume")
+    book = with_trailing(depth.select(*keys, F.col("captured_at").alias("t"), quantity.alias("q")), {"most": ("q", "max")}, micros, keys=keys, time="t")
+    samples = book.select(*keys, "t", (F.col("most") - F.col("q")).alias("loss"))
     joined = as_of(samples, marks, "t", keys, ["volume"], tiebreak="id")
     return joined.select(*keys, F.col("t").alias("captured_at"), F.when(F.col("loss") > 0, F.col("volume") / F.col("loss")).alias("swing"))
 

@@ -91,20 +91,34 @@ def longest_run(flag: Column, w: WindowSpec) -> Column:
     return F.row_number().over(w) - F.coalesce(broken, F.lit(0))
 
 
-def in_chunks(df: DataFrame, time: str, window_us: int, chunk_us: int = 86_400_000_000) -> DataFrame:
-    """``df`` with ``__us`` (microseconds), ``__chunk`` and ``__own``, for windows that look back over less than ``window_us``.
-
-    A row appears in its own chunk of time and, with ``__own`` false, in the
-    next one if a later row there looks back on it.  Windows partitioned by
-    ``__chunk`` spread one busy instrument over many tasks; keep the rows with
-    ``__own`` afterwards.
+def with_trailing(df: DataFrame, columns: dict[str, tuple[str, str]], window_us: int, *, keys: Sequence[str], time: str) -> DataFrame:
+    """``df`` with sums and extremes of the rows in (t - window, t], ties at t included; ``columns``: name -> (column, sum, max or min).
+
+    Time is cut into blocks as long as the window, so a row's window is its own block up
+    to the row and what is left of the block before.  The first is a running value from
+    the block's start, the second one from its end: each row comes again as a mark, at
+    the time at which it leaves the window, with the value of the later rows of its
+    block.  So a row's cost doesn't grow with the rows in its window, and the blocks of
+    a busy instrument spread over tasks.  Rows without a time are left out.
     """
-    size = max(chunk_us, window_us)
-    x = df.withColumn("__us", F.unix_micros(F.col(time).cast("timestamp")))
-    first, last = F.expr(f"__us div {size}"), F.expr(f"(__us + {window_us - 1}) div {size}")
-    return x.withColumn("__first", first).withColumn("__chunk", F.explode(F.sequence("__first", last))).withColumn("__own", F.col("__chunk") == F.col("__first")).drop("__first")
-
-
-def looking_back(keys: Sequence[str], window_us: int) -> WindowSpec:
-    """(t - window, t] within a chunk."""
-    return W.partitionBy(*keys, "__chunk").orderBy("__us").rangeBetween(-(window_us - 1), 0)
+    value = {"sum": F.sum, "max": F.max, "min": F.min}
+    us, start = F.unix_micros(F.col(time).cast("timestamp")), F.col("__us") - F.pmod("__us", F.lit(window_us))
+    x = df.select(*keys, F.struct(*df.columns).alias("__row"), us.alias("__us"), *[F.col(c).alias(f"__{n}") for n, (c, _) in columns.items()])
+    x = x.where("__us is not null").withColumn("__block", start)
+    block = W.partitionBy(*keys, "__block")
+    held = lambda over: F.struct(*[value[kind](f"__{n}").over(over).alias(n) for n, (_, kind) in columns.items()])
+    x = x.withColumn("__here", held(block.orderBy("__us").rangeBetween(W.unboundedPreceding, 0))).withColumn("__later", held(block.orderBy(F.desc("__us")).rangeBetween(W.unboundedPreceding, -1)))
+    whole = x.groupBy(*keys, "__block").agg(F.struct(*[value[kind](f"__{n}").alias(n) for n, (_, kind) in columns.items()]).alias("__left"))
+    after = F.col("__block") + window_us
+    marks = x.select(*keys, after.alias("__block"), (F.col("__us") + window_us).alias("__us"), F.col("__later").alias("__left"))
+    marks = marks.unionByName(whole.select(*keys, after.alias("__block"), (after - 1).alias("__us"), "__left"))
+    nothing = lambda c: F.lit(None).cast(x.schema[c].dataType)
+    line = marks.select("*", F.lit(0).alias("__tag"), nothing("__row").alias("__row"), nothing("__here").alias("__here"))
+    line = line.unionByName(x.select(*keys, "__block", "__us", nothing("__later").alias("__left"), F.lit(1).alias("__tag"), "__row", "__here"))
+    left = F.last("__left", ignorenulls=True).over(block.orderBy("__us", "__tag").rowsBetween(W.unboundedPreceding, 0))
+
+    def both(name: str, kind: str) -> Column:
+        a, b = F.col(f"__here.{name}"), F.col(f"__left.{name}")
+        return {"sum": F.coalesce(a + b, a, b), "max": F.greatest(a, b), "min": F.least(a, b)}[kind].alias(name)
+
+    return line.withColumn("__left", left).where("__tag = 1").select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in columns], *[both(n, kind) for n, (_, kind) in columns.items()])

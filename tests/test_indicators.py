@@ -155,6 +155,34 @@ def test_swing_equals_pandas_across_chunks(spark):
     assert got["swing"].astype(float).fillna(-1).tolist() == pytest.approx(want)
 
 
+def test_trailing_windows_equal_a_loop(spark):
+    """Ties, holes, rows without a time, times before 1970 and on the edge of a window, two instruments."""
+    from tapewright.functions.windows import with_trailing
+
+    r, w = random.Random(4), 50
+    rows = [(k, i, r.randrange(-300, 300) if r.random() < 0.97 else None, None if r.random() < 0.1 else float(r.randrange(20))) for k in "ab" for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, i int, us long, v double").select("k", "i", F.timestamp_micros("us").alias("at"), "v")
+    got = with_trailing(df, {"total": ("v", "sum"), "most": ("v", "max"), "least": ("v", "min")}, w, keys=["k"], time="at")
+    assert got.columns == ["k", "i", "at", "v", "total", "most", "least"]
+    want = {}
+    for k, i, us, _ in rows:
+        if us is not None:
+            inside = [v for kk, _, u, v in rows if kk == k and u is not None and us - w < u <= us and v is not None]
+            want[k, i] = (sum(inside), max(inside), min(inside)) if inside else (None, None, None)
+    assert {(x["k"], x["i"]): tuple(x)[4:] for x in got.collect()} == want
+
+
+def test_trailing_windows_keep_no_sliding_frame(spark):
+    """A sliding frame looks at every row of a window for each row; running frames look once."""
+    import re
+
+    trades = spark.createDataFrame([], "symbol string, market string, transact_time timestamp, trade_id long, quantity double, buyer_is_maker boolean")
+    depth = spark.createDataFrame([], "symbol string, market string, captured_at timestamp, ask_quantity_20 double, bid_quantity_20 double")
+    plan = fn.liquidity_swing(trades, depth, ExtremeSide.HIGH, 3600.0)._jdf.queryExecution().analyzed().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+),", plan)
+    assert len(frames) >= 6 and all("unboundedpreceding" in start for _, start in frames)
+
+
 @pytest.mark.parametrize("ahead", [False, True])
 @pytest.mark.parametrize("n", [1, 5, 33, 40, 1000])
 def test_extremes_of_wide_windows(spark, make_candles, n, ahead):
