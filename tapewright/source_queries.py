@@ -175,7 +175,7 @@ def recorded_trades(s, d):
 
 def _feed(frames: DataFrame, path: str) -> dict[str, dict]:
     """A finite feed of ``position, value`` that loses its connection every 3,000 frames and then repeats 20."""
-    frames.select("position", "value").orderBy("position").write.parquet(path)
+    frames.select("position", "value").orderBy("position").write.option("parquet.block.size", 1 << 20).parquet(path)  # small row groups, as each connection begins within one
     return {"all": {"path": path, "drop_every": 3000, "repeats": 20}}
 
 

@@ -18,12 +18,14 @@ from __future__ import annotations
 import json
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from queue import Empty, Full, Queue
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +93,13 @@ class Journal:
         with self.fs.open_input_file(self._file(first, count)) as f:
             return pq.read_table(f)
 
+    @classmethod
+    def reading(cls, path: str) -> "Journal":
+        """To read known files alone: the folder is not listed."""
+        self = cls.__new__(cls)
+        self.fs, self.root = open_folder(path)
+        return self
+
     def forget(self, before: int) -> None:
         """Delete files whose frames all lie before an offset; the last file stays, as it tells where to resume."""
         for first, count in self.segments()[:-1]:
@@ -103,7 +112,7 @@ class Feed:
 
     def __init__(self, transport: Transport, options: dict[str, Any], journal: Journal, *, queue: int = 1024, segment: int = 5000, seal_seconds: float = 0.2, backoff: Backoff | None = None):
         self.transport, self.options, self.journal, self.segment, self.seal, self.backoff = transport, options, journal, segment, seal_seconds, backoff or Backoff()
-        self.queue: Queue = Queue(queue)
+        self.queue, self.limit, self.turn = deque(), queue, threading.Condition()
         self.after, self.finished, self.stopping, self.error, self.connections = journal.last, False, threading.Event(), None, 0
         self.listener = threading.Thread(target=self._listen, daemon=True)
         self.writer = threading.Thread(target=self._write, daemon=True)
@@ -114,11 +123,25 @@ class Feed:
         return self
 
     def _put(self, frame: tuple) -> None:
-        while not self.stopping.is_set():
-            try:
-                return self.queue.put(frame, timeout=_TICK)
-            except Full:
-                continue
+        """Into the queue, as soon as it has room; the writer is woken where it was empty."""
+        if len(self.queue) >= self.limit:
+            with self.turn:
+                while len(self.queue) >= self.limit and not self.stopping.is_set():
+                    self.turn.wait(_TICK)
+        self.queue.append(frame)
+        if len(self.queue) == 1:
+            with self.turn:
+                self.turn.notify_all()
+
+    def _take(self, most: int) -> list[tuple]:
+        """Up to so many frames at once; none after a tick without any."""
+        if not self.queue:
+            with self.turn:
+                self.turn.wait_for(lambda: self.queue or self.finished, _TICK)
+        frames = [self.queue.popleft() for _ in range(min(most, len(self.queue)))]
+        with self.turn:
+            self.turn.notify_all()
+        return frames
 
     def _listen(self) -> None:
         try:
@@ -150,15 +173,14 @@ class Feed:
 
     def _write(self) -> None:
         try:
-            while not (self.stopping.is_set() or (self.finished and self.queue.empty())):
+            while not (self.stopping.is_set() or (self.finished and not self.queue)):
                 frames, until = [], None
                 while len(frames) < self.segment and (until is None or time.monotonic() < until):
-                    try:
-                        frames.append(self.queue.get(timeout=_TICK))
-                        until = until or time.monotonic() + self.seal
-                    except Empty:
-                        if frames or self.finished or self.stopping.is_set():
-                            break
+                    came = self._take(self.segment - len(frames))
+                    frames += came
+                    until = until or (time.monotonic() + self.seal if came else None)
+                    if not came and (frames or self.finished or self.stopping.is_set()):
+                        break
                 if frames:
                     self.journal.append(frames)
         except Exception as e:  # noqa: BLE001
@@ -178,9 +200,15 @@ class Feed:
         self.stopping.set()
 
 
+#: Frames that one task reads, in whole journal files.
+_TASK = 100_000
+
+
 class _Segment(InputPartition):
-    def __init__(self, feed: str, path: str, first: int, count: int, start: int, end: int):
-        self.feed, self.path, self.first, self.count, self.start, self.end = feed, path, first, count, start, end
+    """Neighbouring journal files, as (first, count), of which the frames from start up to end count."""
+
+    def __init__(self, feed: str, path: str, files: list[tuple[int, int]], start: int, end: int):
+        self.feed, self.path, self.files, self.start, self.end = feed, path, files, start, end
 
 
 class _LiveReader(DataSourceStreamReader):
@@ -218,22 +246,29 @@ class _LiveReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict):
         out = []
         for name, until in end.items():
-            since, covered = start.get(name, 0), start.get(name, 0)
+            covered, task = start.get(name, 0), None
             for first, count in Journal(self._path(name)).segments():
-                a, b = max(first, since), min(first + count, until)
-                if a < b:
-                    out.append(_Segment(name, self._path(name), first, count, a, b))
-                    covered = b
+                b = min(first + count, until)
+                if first > covered and b > covered:
+                    break  # a hole
+                if b > covered:  # what a second listener has journaled too counts once
+                    if task is None or task.end - task.start >= _TASK:
+                        task = _Segment(name, self._path(name), [], covered, covered)
+                        out.append(task)
+                    task.files.append((first, count))
+                    task.end = covered = b
             if covered < until:
                 raise ValueError(f"the journal of {name} lacks frames {covered} to {until}")
         return out
 
     def read(self, partition):
-        p = partition
-        table = Journal(p.path).read(p.first, p.count).slice(p.start - p.first, p.end - p.start)
-        n = table.num_rows
-        named = pa.table([pa.array([p.feed] * n, pa.string()), pa.array(range(p.start, p.end), pa.int64()), *table.columns], ["feed", "frame", *_SEGMENT.names])
-        yield from named.to_batches()
+        p, journal, at = partition, Journal.reading(partition.path), partition.start
+        for first, count in p.files:
+            until = min(first + count, p.end)
+            table, n = journal.read(first, count).slice(at - first, until - at), until - at
+            named = pa.table([pa.array([p.feed] * n, pa.string()), pa.array(range(at, until), pa.int64()), *table.columns], ["feed", "frame", *_SEGMENT.names])
+            yield from named.to_batches()
+            at = until
 
     def commit(self, end: dict) -> None:
         if self.o.get("keep", "false").lower() != "true":
@@ -291,24 +326,38 @@ def websocket(options: dict[str, Any], after: int | None) -> Iterator[tuple[int
         raise OSError(str(e)) from e
 
 
+@lru_cache(maxsize=4096)
+def _ends(folder: str, file: str, changed: int | None) -> tuple[int | None, ...]:
+    """The greatest position of each row group of a file, as its footer tells; None where it doesn't."""
+    with open_folder(folder)[0].open_input_file(file) as f:
+        groups = pq.ParquetFile(f).metadata
+    column = groups.schema.names.index("position")
+    told = [groups.row_group(i).column(column).statistics for i in range(groups.num_row_groups)]
+    return tuple(s.max if s is not None and s.has_min_max else None for s in told)
+
+
 def recorded(options: dict[str, Any], after: int | None) -> Iterator[tuple[int | None, str]]:
     """A finite feed from Parquet files with ``position, value``, in order of their names and rows.
 
     With ``drop_every`` a connection is lost after so many frames, and after a
-    reconnection the last ``repeats`` frames come again, as some feeds do.
+    reconnection the last ``repeats`` frames come again, as some feeds do.  A
+    reconnection reads the row groups from its position on, not those before.
     """
     files, path = open_folder(options["path"])
-    names = sorted(f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+    found = sorted((f.path, f.mtime_ns) for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
     drop, repeats = int(options.get("drop_every", 0)), int(options.get("repeats", 0))
 
     def listen():
         sent, since = 0, None if after is None else after - repeats
-        for name in names:
+        for name, changed in found:
+            groups = [i for i, end in enumerate(_ends(options["path"], name, changed)) if since is None or end is None or end > since]
+            if not groups:
+                continue
             with files.open_input_file(name) as f:
-                for batch in pq.ParquetFile(f).iter_batches(columns=["position", "value"]):
+                for batch in pq.ParquetFile(f).iter_batches(columns=["position", "value"], row_groups=groups, batch_size=4096):
+                    if since is not None:
+                        batch = batch.filter(pc.greater(batch.column(0), since))
                     for position, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        if since is not None and position <= since:
-                            continue
                         yield position, value
                         sent += 1
                         if drop and sent == drop:

@@ -124,6 +124,41 @@ def test_lost_journal_is_an_error(tmp_path):
         reader.partitions({"a": 0}, {"a": 5})
 
 
+def test_a_reconnection_reads_on_from_its_place(tmp_path, monkeypatch):
+    """Rows read over all connections grow with the feed, not with its square."""
+    n, read = 4_000, []
+    for at in range(0, n, 100):
+        pq.write_table(pa.table({"position": pa.array(range(at, at + 100), pa.int64()), "value": ["x"] * 100}), tmp_path / f"{at:05d}.parquet", row_group_size=50)
+
+    class Counting(pq.ParquetFile):
+        def iter_batches(self, *args, **options):
+            for b in super().iter_batches(*args, **options):
+                read.append(b.num_rows)
+                yield b
+
+    monkeypatch.setattr(live.pq, "ParquetFile", Counting)
+    feed = live.Feed(live.recorded, {"path": str(tmp_path), "drop_every": 50, "repeats": 5}, live.Journal(str(tmp_path / "j")), backoff=live.Backoff(0, 0)).start()
+    feed.drained()
+    journal = live.Journal(str(tmp_path / "j"))
+    assert feed.end() == n and feed.connections > 80 and [p for s in journal.segments() for p in journal.read(*s).column("position").to_pylist()] == list(range(n))
+    assert sum(read) < feed.connections * 250
+
+
+def test_tasks_read_many_journal_files_and_none_twice(tmp_path, monkeypatch):
+    j = live.Journal(str(tmp_path / "a"))
+    for i in range(6):
+        j.append([(10 * i + k, START, str(10 * i + k)) for k in range(10)])
+    other = live.Journal(str(tmp_path / "a"))  # a second listener that cuts elsewhere
+    other.end = 15
+    other.append([(k, START, str(k)) for k in range(15, 40)])
+    monkeypatch.setattr(live, "_TASK", 20)
+    reader = live._LiveReader({"feeds": '{"a": {}}', "journal": str(tmp_path)})
+    parts = reader.partitions({"a": 3}, {"a": 57})
+    monkeypatch.setattr(live.Journal, "segments", None)  # tasks don't list the folder
+    got = [v for p in parts for b in reader.read(p) for v in zip(b.column("frame").to_pylist(), b.column("value").to_pylist())]
+    assert got == [(i, str(i)) for i in range(3, 57)] and len(parts) <= 3
+
+
 # --- books -----------------------------------------------------------------
 
 
