@@ -157,16 +157,22 @@ def json_snapshots(s, d):
     return x.select("last_update_id", F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"), F.col("bids")[0]["quantity"].alias("quantity"))
 
 
+#: A micro-batch of recorded frames is at most so many files of so many frames: a listing's book takes a batch's updates in one task.
+_FILE_FRAMES, _BATCH_FILES = 100_000, 8
+
+
 @query(_MS_SQL)
 def recorded_trades(s, d):
     """Frames in a folder, recorded by the streaming recorder and read back from the store."""
     path = workspace(s)
-    _trade_frames(_trades(s, d)).where("value is not null").write.text(f"{path}/frames")
+    # in order of time, so that a batch touches few days; a batch is a few files of bounded size, whatever the feed's length
+    in_time = _trades(s, d).repartitionByRange("transact_time").sortWithinPartitions("transact_time", "trade_id")
+    _trade_frames(in_time).where("value is not null").write.option("maxRecordsPerFile", _FILE_FRAMES).text(f"{path}/frames")
     s.createDataFrame([('{"lastUpdateId":0,"bids":[],"asks":[]}',)], "value string").write.text(f"{path}/snapshots")
     shots = payloads.snapshots(recorder.frames(s, f"{path}/snapshots")).select(F.lit(ALL.symbol).alias("symbol"), F.lit("spot").alias("market"), F.col("last_update_id").alias("seq"), "last_update_id", "bids", "asks")
     store = Store(s, f"{path}/store")
     store.migrate()
-    recorder.record(s, recorder.frames(s, f"{path}/frames"), shots, ALL.listing, store, f"{path}/state", once=True)
+    recorder.record(s, recorder.frames(s, f"{path}/frames", files_per_trigger=_BATCH_FILES), shots, ALL.listing, store, f"{path}/state", once=True)
     return _plain_trades(store.read(TRADE_TABLE, ALL.listing))
 
 

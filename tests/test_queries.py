@@ -67,6 +67,16 @@ def test_book_replay_of_repeated_ids_equals_sql(spark, tmp_path):
     assert_matches_duckdb(QUERIES["order_book_replay"], ORACLES["order_book_replay"], spark, str(tmp_path))
 
 
+def test_recorded_frames_come_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """A book takes a micro-batch in one task, so a longer feed means more batches, not larger ones."""
+    monkeypatch.setattr(source_queries, "workspace", lambda _: str(tmp_path / "w"))
+    monkeypatch.setattr(source_queries, "_FILE_FRAMES", 100, raising=False)
+    monkeypatch.setattr(source_queries, "_BATCH_FILES", 5, raising=False)
+    assert_matches_duckdb(QUERIES["recorded_trades"], ORACLES["recorded_trades"], spark, SMALL)
+    for consumer in ("depth", "trades"):
+        assert len([n for n in os.listdir(tmp_path / "w" / "state" / consumer / "offsets") if n.isdigit()]) >= 4
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
