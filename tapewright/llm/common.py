@@ -32,6 +32,7 @@ def _local_dir() -> str:
 
 
 _SCRATCH: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -54,11 +55,17 @@ def written(df: DataFrame, compression: str = "zstd", outer: bool = False, keep:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
     The table stays until its ``scratch`` (with ``outer``, the one around it) ends;
-    without one, or with ``keep``, until the folder is cleared.
+    without one, or with ``keep``, until the folder is cleared.  Shuffle files that
+    the write needed go as it ends, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     lists = _SCRATCH[:-1] if outer else _SCRATCH
     if lists and not keep:
         lists[-1].append(path)
@@ -91,3 +98,23 @@ def rows_of(batches: Iterator, size: int) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+#: Bits of the bitmap that ``among`` sends out, 32,768 to a row of it.
+MARK_BITS = 1 << 25
+
+
+def among(df: DataFrame, h: str, marked: DataFrame, mark: str) -> DataFrame:
+    """Rows of ``df`` whose hash ``h`` may be one of ``mark`` in ``marked``, before anything is shuffled.
+
+    A bitmap of at most 4 MB is broadcast, whatever the tables; it lets all marked
+    rows through, and of a million marks 3 % of the others.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(MARK_BITS)).cast("long")
+    row, bits = fresh("row", df.columns), fresh("bits", df.columns)
+    at = marked.select(place(mark).alias("at"))
+    bitmap = at.groupBy(F.bitmap_bucket_number("at").alias(row)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bits))
+    bit = F.bitmap_bit_position(place(h))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn(row, F.bitmap_bucket_number(place(h))).join(F.broadcast(bitmap), row)
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*df.columns)

@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with a count-vector R-tree.
 
 Distinct word shingles are 64-bit hashes.  Documents with equal sets are one
-point.  The shingles are hashed into groups, about one or two to a group, and the
-counts of the groups are the point's coordinates: the overlap of two sets is at
+point.  The shingles are hashed into groups, 64 of them or four to eight shingles to a
+group, and the counts of the groups are the point's coordinates: the overlap of two sets is at
 most the sum of the coordinates' minima.
 
 1. The top of the tree is a set of shuffle keys, so that it spreads over tasks.  A
@@ -31,17 +31,18 @@ cluster's largest class are then taken to the tiles of all others.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD, fresh, rows_of, written
+from .common import WORD, among, fresh, rows_of, written
 from .graph import components
 
-#: Coarse coordinates of the boxes; points have as many finer ones as halve their size, at least.
-GROUPS = 64
+#: Coarse coordinates of the boxes; points that are sent have finer ones from so many shingles a coordinate on.
+GROUPS, CROWD = 64, 8
 LEAF = 16
 #: Rows of nodes that a task packs into one tree, and pairs that it compares at once.
 TREE_ROWS, PAIRS = 2048, 1 << 16
@@ -189,9 +190,9 @@ def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
-def point_of(s: np.ndarray) -> bytes:
-    """A set's counts as bytes: as many groups as leave one or two shingles to each, and no count above 255."""
-    groups = max(GROUPS, 1 << max(0, (len(s) - 1) // 2).bit_length())
+def point_of(s: np.ndarray, crowd: int = 2) -> bytes:
+    """A set's counts as bytes: as many groups as leave at most ``crowd`` shingles to each on average, and no count above 255."""
+    groups = max(GROUPS, 1 << max(0, (len(s) - 1) // crowd).bit_length())
     while True:
         counts = counts_of(s, groups)
         if counts.max(initial=0) <= 255:
@@ -306,6 +307,15 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, i: int, rows: np.ndarray,
 # --- passes over the documents -----------------------------------------------
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters compressed byte by byte: most are small, so all but the lowest bytes are zeros."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _describe(words: int, kind: str):
     """Rows of documents (block null) and, at the end of a task, rows of its sketch."""
 
@@ -320,15 +330,14 @@ def _describe(words: int, kind: str):
                 for text in b.column(1).to_pylist():
                     s = shingles(text)
                     n.append(len(s))
-                    points.append(point_of(s) if len(s) else None)
+                    points.append(point_of(s, CROWD) if len(s) else None)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += np.uint32(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], NAMES)
         if none is not None:
             for i, part in enumerate(counts.reshape(SKETCH_BLOCKS, -1)):
-                at = np.flatnonzero(part)
-                if len(at):
-                    blob = at.astype("<u4").tobytes() + part[at].astype("<u4").tobytes()
+                if part.any():
+                    blob = _packed(part)
                     yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())], NAMES)
 
     NAMES = ["doc_id", "h", "n", "digest", "point", "block", "counts"]
@@ -339,9 +348,8 @@ def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(blob, "<u4")
             own = sums.setdefault(block, np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint32))
-            own[x[: len(x) // 2]] += x[len(x) // 2 :]
+            own += _unpacked(blob)
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
 
@@ -588,7 +596,7 @@ def _roots(src: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, per
     placed = written(of.join(per.select("cluster", tiles.alias("tiles"), "pivots"), "cluster").withColumn("pivot", F.array_contains("pivots", F.col("id"))).drop("pivots"))
 
     def linked(dealt: DataFrame) -> DataFrame:
-        texts = src.withColumn("h", F.xxhash64("text"))
+        texts = among(src.withColumn("h", F.xxhash64("text")), "h", dealt, "wh")  # few texts are in clusters: the others stay where they are
         texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["w"]) & (texts["h"] == dealt["wh"])).select("cluster", "i", "j", "tile", "digest", "text")
         return texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_tiles(words, percent), "a binary, b binary")
 
@@ -619,7 +627,8 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     rows = described.where("block is null").select("doc_id", "h", "n", "digest", "point", name.alias("id"))
     keys = src.select("text").mapInArrow(_prefixes(words, percent, sent), "key long, id long")
     of_key = W.partitionBy("key")
-    met = keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key), "met": F.count("*").over(of_key)}).where("low <> high")
+    # a written table: the keys' shuffle, most of which meets nothing, is over before points are sent
+    met = written(keys.withColumns({"low": F.min("id").over(of_key), "high": F.max("id").over(of_key), "met": F.count("*").over(of_key)}).where("low <> high").select("key", "id", "met"))
     points = rows.where("n > 0").groupBy("id").agg(F.first("point").alias("point"), F.first("n").alias("n"))
     clusters = written(components(_near(met, points, percent)).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
     sets = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("id").alias("id"), F.first("n").alias("n"))

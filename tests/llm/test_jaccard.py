@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -8,8 +9,9 @@ import pyarrow as pa
 import pytest
 
 from llm_cases import ODD
+from pyspark.sql import functions as F
 from support import SMALL
-from tapewright.llm import graph, jaccard
+from tapewright.llm import common, graph, jaccard
 
 
 def sets_of(rows, words):
@@ -307,3 +309,34 @@ def test_an_id_in_two_classes_keeps_a_text_of_each(make_docs):
     rows = [(1, first), (2, first), (2, second), (3, third), (3, "z " + first[::-1]), (3, third)]
     got = jaccard.deduplicate(make_docs(rows), words=5, percent=80).collect()
     assert sorted((x["doc_id"], x["text"]) for x in got) == sorted({(1, first), (2, second), (3, third), (3, "z " + first[::-1])})
+
+
+def test_what_is_sent_stays_small(spark):
+    """Points take a byte for several shingles, sketches little more than a byte a counter, and unmarked texts stay."""
+    r = np.random.default_rng(4)
+    for n in (1, 64, 500, 513, 3_000, 20_000):
+        own = np.unique(r.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        point = jaccard.point_of(own, jaccard.CROWD)
+        assert sum(point) == len(own) and len(point) <= max(64, n // 4 + 1)
+    for counts in (np.zeros(512, np.uint32), r.poisson(2, 32_768).astype(np.uint32), np.arange(512, dtype=np.uint32) * 7_000_000):
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+    assert len(jaccard._packed(r.poisson(2, 32_768).astype(np.uint32))) < 32_768
+    df = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    marked = df.where("id % 100 = 3").select(F.col("h").alias("mark"))
+    got = {x[0] for x in common.among(df, "h", marked, "mark").select("id").collect()}
+    assert set(range(3, 20_000, 100)) <= got and len(got) < 230
+    assert common.among(df, "h", marked.where("false"), "mark").count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """Before, they stayed until the driver collected its garbage."""
+    before = spark.conf.get(common._CLEANUP, None)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.rsplit("/", 1)[-1] for x in blocks.getAllFiles().mkString("|").split("|") if "shuffle_" in x}
+    there = files()
+    t = common.written(spark.range(5_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= there:
+            break
+        time.sleep(0.1)
+    assert files() <= there and t.count() == 7 and spark.conf.get(common._CLEANUP, None) == before
