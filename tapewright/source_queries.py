@@ -197,12 +197,26 @@ def live_trades(s, d):
     return _plain_trades(s.read.schema(trades.schema).parquet(f"{path}/trades"))
 
 
-def _book_updates(t: DataFrame) -> DataFrame:
-    """An update of the book for each trade, in order of time; every third part of the way one is ``lost``."""
+#: Frames of a micro-batch of a live feed, which are packed where they are read and reach a book in one task.
+_BATCH_FRAMES = 500_000
+
+
+def _numbered(t: DataFrame, path: str) -> DataFrame:
+    """Trades with ``n`` in order of time and their ``total``: numbered within ranges of time, which are written at ``path``."""
     from pyspark.sql import Window as W
 
-    n = F.row_number().over(W.orderBy("transact_time", "trade_id")).cast("long")
-    x = t.withColumn("n", n).join(F.broadcast(t.agg(F.count("*").alias("total"))))
+    order = ["transact_time", "trade_id"]
+    t.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = t.sparkSession.read.parquet(path)
+    per = ranged.groupBy("part").agg(F.count("*").alias("rows"))  # a row a task
+    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = per.select("part", before.alias("before"), F.sum("rows").over(W.partitionBy()).alias("total"))
+    n = F.row_number().over(W.partitionBy("part").orderBy(*order)) + F.col("before")
+    return ranged.join(F.broadcast(firsts), "part").withColumn("n", n.cast("long")).drop("part", "before")
+
+
+def _book_updates(x: DataFrame) -> DataFrame:
+    """An update of the book for each numbered trade; every third part of the way one is ``lost``."""
     level = lambda p, v: F.array(p.cast("string"), v.cast("string"))
     price = F.round("price")
     return x.select(
@@ -221,11 +235,11 @@ SELECT make_timestamp(ms * 1000) AS captured_at, best_bid_price, best_ask_price,
 def recorded_depth(s, d):
     """A feed of book updates of which some are lost: the book asks for a snapshot at first and after each loss."""
     path = workspace(s)
-    _book_updates(_trades(s, d)).write.parquet(f"{path}/updates")
+    _book_updates(_numbered(_trades(s, d), f"{path}/ranged")).write.parquet(f"{path}/updates")
     updates = s.read.parquet(f"{path}/updates")
     data = F.to_json(F.struct(F.lit("depthUpdate").alias("e"), F.col("ms").alias("E"), (F.col("n") * 10 + 1).alias("U"), (F.col("n") * 10 + 10).alias("u"), "b", "a"))
     frames = updates.where("not lost").select(F.col("n").alias("position"), F.concat(F.lit('{"stream":"allusdt@depth@100ms","data":'), data, F.lit("}")).alias("value"))
-    raw = live.frames(s, "tapewright.streaming.live:recorded", _feed(frames, f"{path}/feed"), f"{path}/journal", drain=True, keep=True, first_pause=0.01)
+    raw = live.frames(s, "tapewright.streaming.live:recorded", _feed(frames, f"{path}/feed"), f"{path}/journal", drain=True, keep=True, first_pause=0.01, most=_BATCH_FRAMES)
 
     def fetch(_, params):
         """The book as of the last update that the request has seen: the last quantity of each price."""

@@ -8,16 +8,20 @@ emits a request, ``SnapshotDesk`` answers it at the rate that the exchange allow
 and the answer comes back as input.  Updates that arrive meanwhile wait in the
 state and are then decided against the new book, as they would be by a loop that
 stops for the snapshot.  A request without an answer is sent again by a timer.
+
+Updates reach the state in blocks of Arrow, made where they are read.  Of a run of
+updates that join, only the last quantity of each price between two summaries is set.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -31,7 +35,11 @@ from .orderbook import SUMMARY, Book
 OUTPUT = f"{SUMMARY}, kind string, request long, after_id long"
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 _HEAD = "last_update_id long, syncing boolean, next_capture long, applied long, discarded long, resynchronized long, request long, asking boolean, after_id long"
-_WAITING = "seq long, event_time long, first_update_id long, final_update_id long, levels string"
+_WAITING = "block binary"
+_BLOCK = ["seq", "event_time", "first_update_id", "final_update_id", "bids", "asks"]
+_PACKED = f"symbol string, market string, kind string, seq long, final_update_id long, bids {payloads.LEVELS}, asks {payloads.LEVELS}, request long, block binary"
+#: Updates of a block that waits.
+_BLOCK_ROWS = 10_000
 
 
 class StoredSide:
@@ -122,6 +130,110 @@ def advance(book: Book, desk: Desk, rows: list, interval_us: int, on_demand: boo
     return out, waiting
 
 
+class Updates:
+    """Updates in order, as columns of ids and times and flat levels."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks()
+        at = self.table.column("event_time").cast(pa.timestamp("us", tz="UTC")).cast(pa.int64()).fill_null(np.iinfo(np.int64).min)
+        self.at, self.first, self.final, self.seq = at.to_numpy(), *(self.table.column(c).to_numpy() for c in ("first_update_id", "final_update_id", "seq"))
+        self.sides = [self._flat(c) for c in ("bids", "asks")]
+        joins = (self.first[1:] == self.final[:-1] + 1) & (self.final[1:] > self.final[:-1])
+        self.breaks = np.append(np.flatnonzero(~joins) + 1, len(self))
+
+    def _flat(self, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = pa.concat_arrays(self.table.column(column).chunks) if len(self) else pa.array([], self.table.schema.field(column).type)
+        return lists.offsets.to_numpy(), lists.values.field("price").to_numpy(zero_copy_only=False), lists.values.field("quantity").to_numpy(zero_copy_only=False)
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+    def message(self, i: int) -> tuple:
+        bids, asks = ([{"price": float(p), "quantity": float(q)} for p, q in zip(price[o[i] : o[i + 1]], quantity[o[i] : o[i + 1]])] for o, price, quantity in self.sides)
+        return int(self.seq[i]), "update", int(self.at[i]), int(self.first[i]), int(self.final[i]), bids, asks, None
+
+    def set(self, book: Book, i: int, end: int) -> None:
+        """What updates ``i`` up to ``end`` leave at each price."""
+        for side, (o, price, quantity) in zip((book.bids, book.asks), self.sides):
+            for p, q in dict(zip(price[o[i] : o[end]].tolist(), quantity[o[i] : o[end]].tolist())).items():
+                side.pop(p, None) if q == 0 else side.__setitem__(p, q)
+
+    def apply_run(self, book: Book, i: int, interval_us: int) -> tuple[list[tuple], int]:
+        """From update ``i``, which joins, to the next one that doesn't: summaries and that one."""
+        end = int(self.breaks[np.searchsorted(self.breaks, i, side="right")])
+        latest, out, done = np.maximum.accumulate(self.at[i:end]), [], i
+        while done < end:
+            # what lies before is earlier than the next capture, so that the running maximum finds it
+            due = done if book.next_capture is None else i + int(np.searchsorted(latest, book.next_capture))
+            until = min(due + 1, end)
+            self.set(book, done, until)
+            book.applied += until - done
+            if due < end:
+                at = int(self.at[due])
+                out.append((at, *book.summary(), book.applied, book.discarded, book.resynchronized))
+                book.next_capture = at + interval_us
+            done = until
+        book.last_update_id, book.syncing = int(self.final[end - 1]), False
+        return out, end
+
+
+def advance_all(book: Book, desk: Desk, items: Iterable[tuple | Updates], interval_us: int, on_demand: bool) -> tuple[list[tuple], list[pa.Table]]:
+    """As ``advance`` for messages of which updates come as ``Updates``: runs that join go at once, the others one by one."""
+    out, waiting = [], []
+    for m in items:
+        if not isinstance(m, Updates):
+            if m[1] == "snapshot":
+                book.discarded += sum(w.num_rows for w in waiting)
+                waiting = []
+            out += advance(book, desk, [m], interval_us, on_demand)[0]
+            continue
+        i, n = 0, len(m)
+        while i < n and not desk.asking:
+            local = book.last_update_id
+            if local is not None and m.first[i] == local + 1 and m.final[i] > local:
+                made, i = m.apply_run(book, i, interval_us)
+            elif local is None and not on_demand:
+                book.discarded, made, i = book.discarded + n - i, [], n
+            else:
+                made, waits = advance(book, desk, [m.message(i)], interval_us, on_demand)
+                i += not waits
+            out += made
+        if i < n:
+            waiting.append(m.table.slice(i))
+    return out, waiting
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Updates of each listing and batch as one block; other messages as they are."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        update = pa.array([k == "update" for k in t.column("kind").to_pylist()], pa.bool_())
+        others, mine = t.filter(pa.array([not u for u in update.to_pylist()], pa.bool_())), t.filter(update)
+        out = [(*r, None) for r in zip(*(others.column(c).to_pylist() for c in _NAMED[:-1]))]
+        listings = np.array([f"{a}\0{m}" for a, m in zip(mine.column("symbol").to_pylist(), mine.column("market").to_pylist())], object)
+        for listing in dict.fromkeys(listings):
+            rows = mine.filter(pa.array(listings == listing))
+            out.append((rows.column("symbol")[0].as_py(), rows.column("market")[0].as_py(), "update", None, None, None, None, None, _block(rows.select(_BLOCK))))
+        columns = list(zip(*out)) or [()] * len(_NAMED)
+        levels = b.schema.field("bids").type
+        kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [levels] * 2 + [pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMED)
+
+
+_NAMED = ["symbol", "market", "kind", "seq", "final_update_id", "bids", "asks", "request", "block"]
+
+
+def _block(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
 def _levels(x: Any) -> list[dict]:
     return [{"price": float(v["price"]), "quantity": float(v["quantity"])} for v in x] if x is not None else []
 
@@ -143,31 +255,43 @@ class BookKeeper(StatefulProcessor):
             book.last_update_id, book.syncing, book.next_capture, book.applied, book.discarded, book.resynchronized, desk.request, desk.asking, desk.after_id = self.head.get()
         return book, desk
 
-    def _new_rows(self, frames: Iterator[pd.DataFrame]) -> list:
-        rows = []
+    def _new_items(self, frames: Iterator[pd.DataFrame]) -> tuple[list[tuple], list[tuple | Updates]]:
+        """Answers, and in order of ``seq`` what else has come, snapshots first."""
+        others, blocks = [], []
         for f in frames:
             for r in f.itertuples(index=False):
-                at = None if pd.isna(r.event_time) else int(pd.Timestamp(r.event_time).value // 1000)
-                first, request = (None if pd.isna(v) else int(v) for v in (r.first_update_id, r.request))
-                rows.append((int(r.seq), r.kind, at, first, int(r.final_update_id), _levels(r.bids), _levels(r.asks), request))
-        return sorted(rows, key=lambda m: (m[1] != "answer", m[0], m[1]))  # answers first: what waits is older than what comes
+                if r.kind == "update":
+                    blocks.append(_rows(r.block))
+                else:
+                    others.append((int(r.seq), r.kind, None, None, int(r.final_update_id), _levels(r.bids), _levels(r.asks), None if pd.isna(r.request) else int(r.request)))
+        others.sort(key=lambda m: m[0])
+        answers, items, at = [m for m in others if m[1] == "answer"], [], 0
+        updates = pa.concat_tables(blocks).sort_by("seq") if blocks else None
+        for m in others:
+            if m[1] != "answer":
+                until = int(np.searchsorted(updates.column("seq").to_numpy(), m[0])) if blocks else 0
+                items += [Updates(updates.slice(at, until - at))] if until > at else []
+                items, at = [*items, m], until
+        return answers, [*items, Updates(updates.slice(at))] if blocks and at < updates.num_rows else items
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         book, desk = self._load()
-        new = self._new_rows(rows)
-        answers = [m for m in new if m[1] == "answer"]
-        waited = [(s, "update", at, first, final, *json.loads(levels), None) for s, at, first, final, levels in self.waiting.get()] if desk.asking else []
-        was_asking = desk.asking
-        out, waiting = advance(book, desk, [*answers, *waited, *new[len(answers) :]], self.interval_us, self.on_demand)
+        answers, new = self._new_items(rows)
+        was_asking, answered = desk.asking, any(m[7] == desk.request for m in answers) or any(not isinstance(m, Updates) for m in new)
+        waited = []
+        if was_asking and answered:  # without an answer they go on waiting where they are
+            blocks = [_rows(b) for (b,) in self.waiting.get()]
+            waited = [Updates(pa.concat_tables(blocks))] if blocks else []
+        out, waiting = advance_all(book, desk, [*answers, *waited, *new], self.interval_us, self.on_demand)
         book.bids.flush()
         book.asks.flush()
         self.head.update((book.last_update_id, book.syncing, book.next_capture, book.applied, book.discarded, book.resynchronized, desk.request, desk.asking, desk.after_id))
-        if waiting:
-            kept = [(s, at, first, final, json.dumps([bids, asks])) for s, _, at, first, final, bids, asks, _ in waiting]
-            if not was_asking or desk.asked:
-                self.waiting.put(kept)
-            elif kept[len(waited) :]:  # still without an answer: the others are there already
-                self.waiting.appendList(kept[len(waited) :])
+        kept = [(_block(w.slice(i, _BLOCK_ROWS)),) for w in waiting for i in range(0, w.num_rows, _BLOCK_ROWS)]
+        if was_asking and not answered:
+            if kept:
+                self.waiting.appendList(kept)
+        elif kept:
+            self.waiting.put(kept)
         elif was_asking:
             self.waiting.clear()
         if desk.asked and self.retry_ms:
@@ -205,7 +329,7 @@ def stream(live: DataFrame, interval_seconds: float = 1.0, *, on_demand: bool =
     full = live if "request" in live.columns else live.withColumn("request", F.lit(None).cast("long"))
     names = ["symbol", "market", "seq", "kind", "event_time", "first_update_id", "final_update_id", "bids", "asks", "request"]
     keeper = BookKeeper(int(interval_seconds * 1_000_000), on_demand, int(retry_seconds * 1000) if on_demand else 0)
-    return full.select(names).groupBy("symbol", "market").transformWithStateInPandas(keeper, OUTPUT, "append", "processingTime" if on_demand else "none")
+    return full.select(names).mapInArrow(_packed, _PACKED).groupBy("symbol", "market").transformWithStateInPandas(keeper, OUTPUT, "append", "processingTime" if on_demand else "none")
 
 
 class SnapshotDesk:

@@ -191,6 +191,11 @@ class Feed:
         self.listener.join()
         self.writer.join()
 
+    def reached(self, offset: int) -> None:
+        """Wait until so many frames are journaled, or for the end of a finite feed."""
+        while self.journal.end < offset and self.writer.is_alive():
+            time.sleep(_TICK)
+
     def end(self) -> int:
         if self.error:
             raise self.error
@@ -215,29 +220,38 @@ class _LiveReader(DataSourceStreamReader):
     """Plans on the driver beside the feeds; reads journal files in tasks."""
 
     def __init__(self, options: dict[str, str]):
-        self.o, self.feeds = options, None
+        self.o, self.feeds, self.at = options, None, None
         self.names = json.loads(options["feeds"])
 
     def __getstate__(self):
-        return {"o": self.o, "feeds": None, "names": self.names}
+        return {"o": self.o, "feeds": None, "names": self.names, "at": None}
 
     def _path(self, name: str) -> str:
         return f"{self.o['journal'].rstrip('/')}/{name}"
 
     def _listening(self) -> dict[str, Feed]:
         if self.feeds is None:
+            opened = {name: Journal(self._path(name)).end for name in self.names}  # no batch has reached further
             transport, number = load_fetcher(self.o["transport"]), lambda k, d: float(self.o.get(k, d))
             self.feeds = {
                 name: Feed(transport, options, Journal(self._path(name)), queue=int(number("queue", 1024)), segment=int(number("segment", 5000)), seal_seconds=number("seal_seconds", 0.2), backoff=Backoff(number("first_pause", 1), number("longest_pause", 30))).start()
                 for name, options in self.names.items()
             }
+            self.at = opened
         return self.feeds
 
     def initialOffset(self) -> dict:
         return dict.fromkeys(self.names, 0)
 
     def latestOffset(self) -> dict:
-        feeds = self._listening()
+        """At most ``most`` frames of each feed beyond the last batch, at first beyond what the journal held when it was opened."""
+        feeds, most = self._listening(), int(self.o.get("most", 0))
+        if most:
+            if self.o.get("drain", "false").lower() == "true":
+                for name, feed in feeds.items():
+                    feed.reached(self.at.get(name, 0) + most)
+            self.at = {name: min(feed.end(), self.at.get(name, 0) + most) for name, feed in feeds.items()}
+            return self.at
         if self.o.get("drain", "false").lower() == "true":
             for feed in feeds.values():
                 feed.drained()
@@ -300,7 +314,8 @@ def frames(spark: SparkSession, transport: str, feeds: dict[str, dict[str, Any]]
     ``journal`` is a folder that driver and executors share.  Further options: ``queue``
     (frames held in memory for each feed), ``segment`` and ``seal_seconds`` (when a journal
     file is closed), ``first_pause`` and ``longest_pause`` (seconds between attempts to
-    connect), ``drain`` (each batch waits for the end of finite feeds), ``keep`` (journal
+    connect), ``drain`` (each batch waits for the end of finite feeds, or with ``most`` for so
+    many frames), ``most`` (frames of a feed in a batch, else all that there are), ``keep`` (journal
     files stay when their frames are done).
     """
     spark.dataSource.register(LiveFrames)

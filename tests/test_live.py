@@ -369,6 +369,45 @@ def test_answers_count_once_and_requests_are_sent_again():
     assert registered == [1_500] and again[["kind", "request", "after_id"]].values.tolist() == [["request", 3, 42]]
 
 
+def _blocks(rows):
+    level = pa.list_(pa.struct([("price", pa.float64()), ("quantity", pa.float64())]))
+    kinds = [pa.int64(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.int64(), level, level]
+    columns = zip(*((r[0], r[2], r[3], r[4], r[5], r[6]) for r in rows))
+    return pa.table([pa.array(c, pa.int64()).cast(k) if pa.types.is_timestamp(k) else pa.array(c, k) for c, k in zip(columns, kinds)], names=keeper._BLOCK)
+
+
+@pytest.mark.parametrize("on_demand", [True, False])
+def test_runs_of_updates_equal_one_by_one(on_demand):
+    """Blocks of updates with breaks, repeats, snapshots and answers, against the plain loop."""
+    r = random.Random(5)
+    levels = lambda: [{"price": float(r.randrange(8)), "quantity": float(r.randrange(3))} for _ in range(r.randrange(3))]
+    for _ in range(60):
+        plain, packed, desks, last, waiting, kept = orderbook.Book(), orderbook.Book(), (keeper.Desk(), keeper.Desk()), 0, [], []
+        for _ in range(6):
+            rows = []
+            for _ in range(r.randrange(1, 30)):
+                first = last + 1 + (r.random() < 0.05) - (r.random() < 0.05)
+                last = first + r.randrange(3)
+                rows.append((last, "update", r.randrange(100), first, last, levels(), levels(), None))
+            other = [(last, "snapshot", None, None, last, levels(), levels(), None)] if r.random() < 0.3 else []
+            answers = [(0, "answer", None, None, desks[0].after_id, levels(), levels(), desks[0].request)] if desks[0].asking and r.random() < 0.7 else []
+            out, waiting = keeper.advance(plain, desks[0], [*answers, *waiting, *other, *rows], 20, on_demand)
+            got, kept = keeper.advance_all(packed, desks[1], [*answers, *map(keeper.Updates, kept), *other, keeper.Updates(_blocks(rows))], 20, on_demand)
+            assert got == out and packed == plain and desks[0] == desks[1]
+            assert [i for t in kept for i in t.column("final_update_id").to_pylist()] == [m[4] for m in waiting]
+
+
+def test_a_batch_takes_a_bounded_number_of_frames(spark, tmp_path):
+    path, sizes = feed_files(tmp_path / "in", [f"frame {i}" for i in range(230)]), []
+    raw = live.frames(spark, "tapewright.streaming.live:recorded", {"a": {"path": path, "drop_every": 60}}, str(tmp_path / "journal"), drain=True, keep=True, most=100, **QUICK)
+    q = raw.writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda b, _: sizes.append(b.count())).start()
+    end = time.monotonic() + 60
+    while sum(sizes) < 230 and time.monotonic() < end:
+        time.sleep(0.1)
+    q.stop()
+    assert sizes == [100, 100, 30]
+
+
 # --- what a crash leaves ---------------------------------------------------
 
 
