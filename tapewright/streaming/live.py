@@ -315,7 +315,8 @@ def frames(spark: SparkSession, transport: str, feeds: dict[str, dict[str, Any]]
     (frames held in memory for each feed), ``segment`` and ``seal_seconds`` (when a journal
     file is closed), ``first_pause`` and ``longest_pause`` (seconds between attempts to
     connect), ``drain`` (each batch waits for the end of finite feeds, or with ``most`` for so
-    many frames), ``most`` (frames of a feed in a batch, else all that there are), ``keep`` (journal
+    many frames), ``most`` (frames of a feed in a batch, else all that there are;
+    not with ``availableNow``, which may end after the first batch), ``keep`` (journal
     files stay when their frames are done).
     """
     spark.dataSource.register(LiveFrames)
