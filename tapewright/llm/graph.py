@@ -23,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round rewires neighbours to the smallest node in sight; the number of
     rounds grows with the logarithm of the longest chain.  Minima combine before
-    they are shuffled, and every round is a written table, so no lineage grows.
+    they are shuffled, and every star is a written table, so no lineage grows: the
+    small star reads the large one three times, each of which would plan it again
+    in the driver.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
@@ -31,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of u now hang on the smallest node that u sees
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(_joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: u and its smaller neighbours hang on the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = _joined(large, low)

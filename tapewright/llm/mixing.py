@@ -28,7 +28,7 @@ BUCKET_ROWS = 65_536
 #: The table of sources is broadcast up to so many sources, else joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
-#: Widths of the tree at which its nodes are dealt over tasks again.
+#: Widths of the tree at which its nodes are dealt over tasks again, as a written table: no plan has more than five levels.
 SPREAD_AT = tuple(2**i for i in range(4, 40, 5))
 
 _TWO63 = float(2**63)
@@ -170,7 +170,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         nodes = nodes.select("total", F.explode(children).alias("c")).where("c.lo < c.hi").select("c.lo", "c.hi", F.expr("filter(c.q, s -> s.units > 0)").alias("q"), "total")
         width *= 2
         if width in SPREAD_AT:
-            nodes = nodes.repartition(min(width, tasks), "lo", "hi")
+            nodes = written(nodes.repartition(min(width, tasks), "lo", "hi"))
     return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("s")).select("shard", "s.no", "s.units")
 
 
@@ -197,18 +197,19 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     blocks = written(_blocks(dealt, sources, bounded, seed))
     units = blocks.select("no", "block", F.col("gap") > 0, "epochs").toDF("no", "block", "edge", "epochs")
     units = units.withColumn("n", F.col("epochs") + F.col("edge").cast("int")).where("n > 0")
-    total = units.agg(F.sum("n")).first()[0] or 0
+    quotas = written(units.groupBy("no").agg(F.sum("n").alias("units")))
+    total = quotas.agg(F.sum("units")).first()[0] or 0
     shards = max(1, -(-total // shard_units))
     epoch = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     units = units.select("no", "block", "edge", "epochs", epoch.alias("epoch")).withColumn("partial", F.col("edge") & (F.col("epoch") == F.col("epochs")))
     h = F.xxhash64(F.lit(seed + 1), "no", "epoch", "block")
     units = _before(units, _by_hash(h, total), [h, F.col("epoch"), F.col("block")], F.lit(1), "rank")
-    quotas = units.groupBy("no").agg(F.count("*").alias("units"))
     split = written(split_quotas(quotas, shards, seed))
     first = _before(split, F.floor(F.col("shard") / BUCKET_ROWS), [F.col("shard")], F.col("units"), "first")
     slices = first.select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("units") - 1)).alias("rank"))
-    drawn = units.join(slices, ["no", "rank"]).groupBy("no", "block").agg(F.collect_list(F.struct("shard", "epoch", "partial")).alias("units"))
-    plan = drawn.join(_edge_picks(dealt, blocks), ["no", "block"], "left")
+    # written, like the picks: a row for each block, planned by themselves and not with every reader of the mix
+    drawn = written(units.join(slices, ["no", "rank"]).groupBy("no", "block").agg(F.collect_list(F.struct("shard", "epoch", "partial")).alias("units")))
+    plan = drawn.join(written(_edge_picks(dealt, blocks)), ["no", "block"], "left")
     out = dealt.join(plan, ["no", "block"], "left")
     taken = F.filter(F.coalesce("units", F.array().cast("array<struct<shard:int,epoch:int,partial:boolean>>")), lambda x: ~x["partial"] | F.array_contains(F.coalesce("picks", F.array().cast("array<bigint>")), F.col("key")))
     draws = F.array_sort(F.transform(taken, lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), x["shard"], x["epoch"], F.col("key")).alias("order"), x["epoch"].alias("epoch"))))
@@ -226,5 +227,5 @@ def repeat_drawn(docs: DataFrame, **options) -> DataFrame:
     own = fresh("key", docs.columns)
     shard, order = fresh("shard", docs.columns), fresh("order", docs.columns)
     keyed = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    found = plan.select(F.col("key").alias(own), F.col("d.shard").alias(shard), F.col("d.order").alias(order))
+    found = written(plan.select(F.col("key").alias(own), F.col("d.shard").alias(shard), F.col("d.order").alias(order)))
     return keyed.join(found, own).repartition(shard).sortWithinPartitions(shard, order).select(*docs.columns)

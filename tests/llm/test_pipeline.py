@@ -162,3 +162,35 @@ def test_a_cluster_needs_a_shared_folder(spark):
         shared_dir(on("spark://host:7077", None))
     assert shared_dir(on("spark://host:7077", "s3a://bucket/tables/")).startswith("s3a://bucket/tables/")
     assert shared_dir(on("local[4]", None))
+
+
+def test_no_plan_grows_with_rounds_or_levels(spark, make_docs, monkeypatch):
+    """What the driver plans at once: few reads a star of the components, few levels of the tree, few reads a table of the mix."""
+    from tapewright.llm import graph
+
+    plans = []
+
+    def noted(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        plans.append((text.count("Relation ["), text.count("Generate ")))
+        return df
+
+    def noting(module):
+        write = module.written
+        monkeypatch.setattr(module, "written", lambda df, *a, **b: write(noted(df), *a, **b))
+
+    noting(graph), noting(mixing)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").repartition(2)
+    assert {r["root"] for r in graph.components(chain).collect()} == {0}
+    assert max(reads for reads, _ in plans) <= 4  # before: 12
+    plans.clear()
+    quotas = spark.createDataFrame([(1, 300), (2, 340)], "no int, units long")
+    split = noted(mixing.split_quotas(quotas, 64, 5)).collect()
+    assert sum(r["units"] for r in split) == 640 and max(levels for _, levels in plans) <= 5  # before: 7
+    plans.clear()
+    rows = [(i, "some words " * (i % 7 + 1), "abc"[i % 3]) for i in range(60)]
+    docs = graph.written(make_docs(rows, extra=False))
+    plans.clear()
+    assert noted(mixing.repeat_drawn(docs, block_words=40)).count() > 0
+    assert max(reads for reads, _ in plans) <= 7
+    assert plans[-1][0] == 2  # texts meet a written table of draws
