@@ -270,7 +270,8 @@ def replay(stored: DataFrame, interval_seconds: float = 1.0) -> DataFrame:
         return pd.DataFrame(out, columns=[*key, *_COUNTERS, "next_capture"]).astype({"next_capture": "Int64"})
 
     def in_order(df: DataFrame, columns: list[str]) -> DataFrame:
-        return df.repartition(*key).sortWithinPartitions(*key, "seq", "kind").select(*key, *columns)
+        # by a hash: a shuffle by the keys of the join before it is left out, and the join, once it is broadcast, no longer keeps an epoch in one task
+        return df.repartition(F.hash(*key)).sortWithinPartitions(*key, "seq", "kind").select(*key, *columns)
 
     narrow = placed.select(*key, "seq", *_MESSAGES)
     tops = narrow.groupBy(*key).agg(F.max(F.unix_micros("event_time")).alias("top"))

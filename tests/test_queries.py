@@ -67,6 +67,18 @@ def test_book_replay_of_repeated_ids_equals_sql(spark, tmp_path):
     assert_matches_duckdb(QUERIES["order_book_replay"], ORACLES["order_book_replay"], spark, str(tmp_path))
 
 
+def test_book_replay_shuffles_epochs_after_its_joins(spark):
+    """A join may turn into a broadcast that keeps no epoch in one task: the shuffle behind it must not be left out for the join's own."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # joins as they are planned for larger tables
+    try:
+        plan = QUERIES["order_book_replay"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("REPARTITION_BY_COL") == 2  # before the survey and before the books
+
+
 def test_recorded_frames_come_in_bounded_batches(spark, tmp_path, monkeypatch):
     """A book takes a micro-batch in one task, so a longer feed means more batches, not larger ones."""
     monkeypatch.setattr(source_queries, "workspace", lambda _: str(tmp_path / "w"))
