@@ -159,6 +159,8 @@ def json_snapshots(s, d):
 
 #: A micro-batch of recorded frames is at most so many files of so many frames: a listing's book takes a batch's updates in one task.
 _FILE_FRAMES, _BATCH_FILES = 100_000, 8
+#: Frames of a live feed in a micro-batch of its book.
+_BOOK_FRAMES = 500_000
 
 
 @query(_MS_SQL)
@@ -235,7 +237,9 @@ def recorded_depth(s, d):
     updates = s.read.parquet(f"{path}/updates")
     data = F.to_json(F.struct(F.lit("depthUpdate").alias("e"), F.col("ms").alias("E"), (F.col("n") * 10 + 1).alias("U"), (F.col("n") * 10 + 10).alias("u"), "b", "a"))
     frames = updates.where("not lost").select(F.col("n").alias("position"), F.concat(F.lit('{"stream":"allusdt@depth@100ms","data":'), data, F.lit("}")).alias("value"))
-    raw = live.frames(s, "tapewright.streaming.live:recorded", _feed(frames, f"{path}/feed"), f"{path}/journal", drain=True, keep=True, first_pause=0.01)
+    feed = _feed(frames, f"{path}/feed")
+    # the books take a long feed in bounded batches; trades have no state, and their trigger wants all frames at once
+    whole, bounded = (live.frames(s, "tapewright.streaming.live:recorded", feed, f"{path}/journal", drain=True, keep=True, first_pause=0.01, most=most) for most in (0, _BOOK_FRAMES))
 
     def fetch(_, params):
         """The book as of the last update that the request has seen: the last quantity of each price."""
@@ -246,7 +250,7 @@ def recorded_depth(s, d):
     store = Store(s, f"{path}/store")
     store.migrate()
     desk = keeper.SnapshotDesk(fetch, f"{path}/answers", guard=rest.SnapshotGuard(0))
-    recorder.record(s, raw, desk, ALL.listing, store, f"{path}/state", recorder.RecordingRules(capture_seconds=3600), once=True)
+    recorder.record(s, whole, desk, ALL.listing, store, f"{path}/state", recorder.RecordingRules(capture_seconds=3600), once=True, raw_updates=bounded)
     x = store.read(DEPTH_TABLE, ALL.listing)
     return x.select(ntz("captured_at"), "best_bid_price", "best_ask_price", *[f"{side}_quantity_{k}" for k in (5, 10, 20) for side in ("bid", "ask")])
 

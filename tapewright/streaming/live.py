@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
@@ -81,12 +82,18 @@ class Journal:
         return sorted(tuple(map(int, n.removesuffix(".parquet").split("-"))) for n in names)
 
     def append(self, frames: list[tuple[int | None, datetime, str]]) -> None:
-        """Write a file under another name first: a reader never sees half of one."""
+        """Write a file under a name of its own first: a reader never sees half of one, also where two listeners journal the same frames."""
         done = self._file(self.end, len(frames))
         table = pa.table([list(c) for c in zip(*frames)], schema=_SEGMENT)
-        with self.fs.open_output_stream(f"{done}.writing") as out:
+        own = f"{done}.{uuid.uuid4().hex}.writing"
+        with self.fs.open_output_stream(own) as out:
             pq.write_table(table, out, compression="zstd")
-        self.fs.move(f"{done}.writing", done)
+        try:
+            self.fs.move(own, done)
+        except OSError:  # some file systems don't replace a file
+            if self.fs.get_file_info(done).type != fs.FileType.File:
+                raise
+            self.fs.delete_file(own)
         self.end += len(frames)
 
     def read(self, first: int, count: int) -> pa.Table:
@@ -185,6 +192,7 @@ class Feed:
                     self.journal.append(frames)
         except Exception as e:  # noqa: BLE001
             self.error = e
+            self.stopping.set()  # the listener doesn't wait for room any more
 
     def drained(self) -> None:
         """Wait for the end of a finite feed and its journal."""

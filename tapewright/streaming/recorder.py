@@ -157,16 +157,17 @@ def _settled(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def record(spark: SparkSession, raw: DataFrame, snapshots: DataFrame | keeper.SnapshotDesk, listing: Listing, store: Store, checkpoint: str, rules: RecordingRules = RecordingRules(), once: bool = False, timeout: float | None = None) -> dict[str, int]:
+def record(spark: SparkSession, raw: DataFrame, snapshots: DataFrame | keeper.SnapshotDesk, listing: Listing, store: Store, checkpoint: str, rules: RecordingRules = RecordingRules(), once: bool = False, timeout: float | None = None, raw_updates: DataFrame | None = None) -> dict[str, int]:
     """Record trades and book summaries side by side; returns what this run has done.
 
     ``trades`` and ``depth`` are the rows written; ``applied``, ``discarded`` and
     ``resynchronized`` count updates as of the last summary.  Both consumers share one
     ``timeout``; when one fails or time is up both end, and what is held is flushed.  ``snapshots`` is a
     desk that fetches them when a book asks, or a stream of snapshots with
-    ``symbol, market, seq`` that come by themselves.
+    ``symbol, market, seq`` that come by themselves.  ``raw_updates`` are the same frames
+    for the books, say in batches of another size; else ``raw`` serves both.
     """
-    updates = update_stream(raw, listing)
+    updates = update_stream(raw if raw_updates is None else raw_updates, listing)
     if isinstance(snapshots, keeper.SnapshotDesk):
         depth, depth_flushes = save_books(updates, snapshots, store, f"{checkpoint}/depth", rules)
     else:

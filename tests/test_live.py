@@ -144,6 +144,40 @@ def test_a_reconnection_reads_on_from_its_place(tmp_path, monkeypatch):
     assert sum(read) < feed.connections * 250
 
 
+def test_two_listeners_may_write_the_same_file_at_once(tmp_path, monkeypatch):
+    mine, other = live.Journal(str(tmp_path / "a")), live.Journal(str(tmp_path / "a"))
+    frames, write, turns = [(i, START, f"{i}") for i in range(100)], pq.write_table, []
+
+    def interrupted(table, out, **options):
+        turns.append(1)
+        if len(turns) == 1:
+            other.append(frames)  # between the opening of the first file and its end
+        write(table, out, **options)
+
+    monkeypatch.setattr(live.pq, "write_table", interrupted)
+    mine.append(frames)
+    assert mine.segments() == [(0, 100)] and mine.read(0, 100).column("position").to_pylist() == list(range(100))
+    assert len(os.listdir(tmp_path / "a")) == 1
+
+
+def test_a_journal_that_fails_ends_its_listener(tmp_path, monkeypatch):
+    """With a full queue, which nothing empties any more."""
+
+    def transport(options, after):
+        yield from ((i, "x") for i in range(1000))
+        raise live.Finished
+
+    def broken(self, frames):
+        raise OSError("disk")
+
+    monkeypatch.setattr(live.Journal, "append", broken)
+    feed = live.Feed(transport, {}, live.Journal(str(tmp_path / "j")), queue=10, segment=50).start()
+    feed.listener.join(10)
+    assert not feed.listener.is_alive()
+    with pytest.raises(OSError, match="disk"):
+        feed.end()
+
+
 def test_tasks_read_many_journal_files_and_none_twice(tmp_path, monkeypatch):
     j = live.Journal(str(tmp_path / "a"))
     for i in range(6):

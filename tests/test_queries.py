@@ -1,5 +1,6 @@
 """Every query runs at the smallest scale, and equals its SQL where it has one."""
 
+import json
 import os
 
 import pytest
@@ -89,6 +90,18 @@ def test_recorded_frames_come_in_bounded_batches(spark, tmp_path, monkeypatch):
         assert len([n for n in os.listdir(tmp_path / "w" / "state" / consumer / "offsets") if n.isdigit()]) >= 4
 
 
+def test_books_take_a_live_feed_in_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "workspace", lambda _: str(tmp_path / "w"))
+    monkeypatch.setattr(source_queries, "_BOOK_FRAMES", 300, raising=False)
+    assert_matches_duckdb(QUERIES["recorded_depth"], ORACLES["recorded_depth"], spark, SMALL)
+    ends = {}
+    for n in os.listdir(tmp_path / "w" / "state" / "depth" / "offsets"):
+        if n.isdigit():
+            feed = (tmp_path / "w" / "state" / "depth" / "offsets" / n).read_text().splitlines()[2:]
+            ends[int(n)] = json.loads(next(x for x in feed if "all" in x))["all"]
+    assert len(set(ends.values())) >= 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
