@@ -158,7 +158,7 @@ def json_snapshots(s, d):
 
 
 #: A micro-batch of recorded frames is at most so many files of so many frames: a listing's book takes a batch's updates in one task.
-_FILE_FRAMES, _BATCH_FILES = 100_000, 8
+_FILE_FRAMES, _BATCH_FILES = 100_000, 24
 #: Frames of a live feed in a micro-batch of its book.
 _BOOK_FRAMES = 500_000
 

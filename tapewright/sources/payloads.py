@@ -56,27 +56,37 @@ def _needed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def of_stream(frames: DataFrame, name: str, value: str = "value") -> DataFrame:
-    """Frames of one stream of a combined connection; the others' text is never parsed further."""
-    own = F.when(stream_of(F.col(value)) == name, F.col(value))
-    return frames.withColumn(value, own).where(F.col(value).isNotNull())
+    """Frames of one stream of a combined connection; the others' text is never parsed further.
+
+    A text that lacks the name, and an escape that may stand for it, is not parsed at all.
+    """
+    may = F.contains(F.col(value), F.lit(name)) | F.contains(F.col(value), F.lit("\\"))
+    own = F.when(may, F.when(stream_of(F.col(value)) == name, F.col(value)))
+    return frames.where(own.isNotNull())
+
+
+def _once(df: DataFrame, keep: list[str], parsed: Column) -> DataFrame:
+    """``keep`` and the fields of the struct ``parsed``, behind a generator: what is asked of a field later doesn't parse the text again."""
+    return df.select(*keep, F.inline(F.array(parsed)))
 
 
 def agg_trades(frames: DataFrame, value: str = "value") -> DataFrame:
     """Trade events of frames; other columns of ``frames`` stay."""
     keep = [c for c in frames.columns if c != value]
-    x = frames.withColumn("__m", F.from_json(payload_of(F.col(value)), _TRADE, {"mode": "FAILFAST"})).select(*keep, "__m.*", F.col(value).isNotNull().alias("__frame"))
+    flagged = frames.withColumn("__frame", F.col(value).isNotNull())
+    x = _once(flagged, [*keep, "__frame"], F.from_json(payload_of(F.col(value)), _TRADE, {"mode": "FAILFAST"}))
     x = _needed(x, ["T", "a", "f", "l", "p", "q", "m"])
     return x.select(*keep, epoch_per_row("T").alias("transact_time"), F.col("a").alias("trade_id"), F.col("f").alias("first_trade_id"), F.col("l").alias("last_trade_id"), F.col("p").cast("double").alias("price"), F.col("q").cast("double").alias("quantity"), F.col("m").alias("buyer_is_maker"))
 
 
 def depth_updates(frames: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in frames.columns if c != value]
-    # field names differ in case only: read them one by one
-    p = payload_of(F.col(value))
-    x = frames.select(
-        *keep, F.get_json_object(p, "$.E").cast("long").alias("E"), F.get_json_object(p, "$.U").cast("long").alias("first_update_id"), F.get_json_object(p, "$.u").cast("long").alias("final_update_id"),
-        F.from_json(F.get_json_object(p, "$.b"), _LEVELS).alias("b"), F.from_json(F.get_json_object(p, "$.a"), _LEVELS).alias("a"), F.col(value).isNotNull().alias("__frame"),
-    )
+    # field names differ in case only: they get others as they are read
+    texts = ["__E", "__U", "__u_", "__b", "__a"]
+    flagged = frames.withColumn("__frame", F.col(value).isNotNull())
+    read = flagged.select(*keep, "__frame", F.json_tuple(payload_of(F.col(value)), "E", "U", "u", "b", "a").alias(*texts))
+    at, first, final, b, a = (F.col(c) for c in texts)
+    x = _once(read, [*keep, "__frame"], F.struct(at.cast("long").alias("E"), first.cast("long").alias("first_update_id"), final.cast("long").alias("final_update_id"), F.from_json(b, _LEVELS).alias("b"), F.from_json(a, _LEVELS).alias("a")))
     x = _needed(x, ["E", "first_update_id", "final_update_id", "b", "a"])
     return x.select(*keep, epoch_per_row("E").alias("event_time"), "first_update_id", "final_update_id", _levels(F.col("b")).alias("bids"), _levels(F.col("a")).alias("asks"))
 

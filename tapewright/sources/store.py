@@ -94,15 +94,17 @@ class Store:
         """Append the rows that the table lacks; returns how many.
 
         Of rows with one key the smallest ``source`` stays; a stored row wins.
-        The stored keys are read from the batch's partitions only.
+        The stored keys are read from the batch's partitions only, and there between its
+        first and last moment: every key holds the time.
         """
         rows = conform(batch, table.schema).withColumn("date", F.to_date(table.time)).cache()
         try:
             parts = rows.select("symbol", "market", "date").distinct()
-            days = rows.agg(F.min("date"), F.max("date")).first()
+            first, last, *days = rows.agg(F.min(F.unix_micros(table.time)), F.max(F.unix_micros(table.time)), F.min("date"), F.max("date")).first()
             if days[0] is None:
                 return 0
             there = self.read(table).withColumn("date", F.to_date(table.time)).where(F.col("date").between(F.lit(days[0]), F.lit(days[1])))
+            there = there.where(F.col(table.time).between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
             there = there.join(F.broadcast(parts), ["symbol", "market", "date"], "left_semi") if parts.count() < 10_000 else there
             fresh = new_rows(rows.drop("date"), there, table.key, *[F.col(c).asc_nulls_last() for c in table.order]).cache()
             try:

@@ -595,3 +595,31 @@ def test_replay_by_epochs_equals_one_pass(spark, monkeypatch):
         want += [(symbol, "spot", *x) for x in orderbook.process(orderbook.Book(), one, 1_000_000)]
     assert orderbook.handover([5, 6, 90], 10, None) == ([5], [100])
     assert len(got) > 50 and [x[3:] for x in got] == [tuple(x[3:]) for x in sorted(want)]
+
+
+def test_stored_keys_are_read_within_the_batch_s_time(spark, tmp_path, monkeypatch):
+    """A batch of a few minutes doesn't read what the day already holds."""
+    from tapewright.sources import store as stored
+
+    def trades(first, n):
+        return spark.range(first, first + n).selectExpr("'BTC/USDT' symbol", "'spot' market", "timestamp_seconds(1704067200 + id) transact_time", "id trade_id", "1.0D price", "1.0D quantity", "id first_trade_id", "id last_trade_id", "true buyer_is_maker")
+
+    seen, real = [], stored.new_rows
+
+    def counted(batch, target, key, *order):
+        seen.append(target.count())
+        return real(batch, target, key, *order)
+
+    monkeypatch.setattr(stored, "new_rows", counted)
+    s = Store(spark, str(tmp_path))
+    s.migrate()
+    assert [s.save(TRADE_TABLE, trades(0, 1000)), s.save(TRADE_TABLE, trades(900, 200)), s.save(TRADE_TABLE, trades(2000, 10))] == [1000, 100, 10]
+    assert seen == [0, 100, 0] and s.read(TRADE_TABLE).count() == 1110
+
+
+def test_frames_are_parsed_once(spark):
+    """However many columns and checks ask for a message's fields."""
+    frames = spark.createDataFrame([("{}",)], "value string")
+    for parsed in (payloads.depth_updates(frames), payloads.agg_trades(frames)):
+        plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("$.data") == 1
